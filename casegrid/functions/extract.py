@@ -22,7 +22,12 @@ from casegrid.functions.scope import out_of_scope
 from casegrid.functions.text import contains_any, strip
 
 # First e-mail-like token, matched case-insensitively.
-EMAIL_RE = f"[{FOLDED_LETTERS}0-9._%+\\-]+@[{FOLDED_LETTERS}0-9.\\-]+\\.[{FOLDED_LETTERS}]{{2,}}"
+_LOCAL_CHARS = f"[{FOLDED_LETTERS}0-9._%+\\-]"
+EMAIL_RE = f"{_LOCAL_CHARS}+@[{FOLDED_LETTERS}0-9.\\-]+\\.[{FOLDED_LETTERS}]{{2,}}"
+# Same leftmost match, found in linear time: a match attempt that starts
+# inside a run of local-part characters cannot succeed unless one at the
+# run's start does, so those starts are skipped.
+_EMAIL_SEARCH_RE = f"(?<!{_LOCAL_CHARS})" + EMAIL_RE
 # "+", a digit, at least eight digits/hyphens/spaces, a digit.
 PHONE_RE = f"\\+{DIGIT}[{DIGIT}\\- ]{{8,}}{DIGIT}"
 # A name after "customer:" or "from:" (no word boundary), case-insensitive.
@@ -74,7 +79,8 @@ def normalize_email(email: Column) -> Column:
 
 
 def found_email(text: Column) -> Column:
-    return first_match(text, EMAIL_RE)
+    """First e-mail-like token (X5); the regex runs only on texts with '@'."""
+    return F.when(text.contains("@"), first_match(text, _EMAIL_SEARCH_RE))
 
 
 def rule_case(text: Column, lower_text: Column) -> Column:

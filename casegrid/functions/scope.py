@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 
 from casegrid.functions.patterns import COMPLAINT_CUES, INJECTION_PATTERNS, OFF_TASK_PATTERNS
@@ -11,6 +14,19 @@ INJECTION_RE = "|".join(INJECTION_PATTERNS)
 OFF_TASK_RE = "|".join(OFF_TASK_PATTERNS)
 
 
+def _required_literal(pattern: str) -> str:
+    """The literal text every match of ``pattern`` starts with."""
+    m = re.match(r"[a-z ]+", pattern)
+    return m.group(0) if m else ""
+
+
+def _any_pattern(lower_text: Column, patterns: tuple[str, ...]) -> Column:
+    """``rlike`` per pattern, each behind a byte search for its required
+    literal prefix, so the regex engine only runs on candidate texts."""
+    tests = [lower_text.contains(_required_literal(p)) & lower_text.rlike(p) for p in patterns]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def has_complaint_cue(lower_text: Column) -> Column:
     return contains_any(lower_text, COMPLAINT_CUES)
 
@@ -21,5 +37,5 @@ def out_of_scope(lower_text: Column) -> Column:
     absence of every pattern.  The cue test runs first and short-circuits
     the two regex scans."""
     return ~has_complaint_cue(lower_text) & (
-        lower_text.rlike(INJECTION_RE) | lower_text.rlike(OFF_TASK_RE)
+        _any_pattern(lower_text, INJECTION_PATTERNS) | _any_pattern(lower_text, OFF_TASK_PATTERNS)
     )
