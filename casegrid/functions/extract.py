@@ -83,9 +83,14 @@ def found_email(text: Column) -> Column:
     return F.when(text.contains("@"), first_match(text, _EMAIL_SEARCH_RE))
 
 
-def rule_case(text: Column, lower_text: Column) -> Column:
-    """The case struct the rule-based extractor yields for normalised text."""
-    email = found_email(text)
+def rule_case(text: Column, lower_text: Column, *, email: Column | None = None,
+              in_scope: Column | None = None) -> Column:
+    """The case struct the rule-based extractor yields for normalised text.
+
+    ``email`` (the found address) and ``in_scope`` (the gate's verdict) may
+    be passed in when the plan already computed them."""
+    email = found_email(text) if email is None else email
+    in_scope = ~out_of_scope(lower_text) if in_scope is None else in_scope
     name = first_match(text, NAME_RE, 1)
     return F.struct(
         F.nullif(strip(name), F.lit("")).alias("customer_name"),
@@ -94,14 +99,13 @@ def rule_case(text: Column, lower_text: Column) -> Column:
         category(lower_text).alias("complaint_category"),
         F.left(text, F.lit(ISSUE_MAX_CHARS)).alias("issue_description"),
         F.lit(None).cast("string").alias("resolution_provided"),
-        (~out_of_scope(lower_text)).alias("is_complaint"),
+        in_scope.alias("is_complaint"),
         contains_any(lower_text, ESCALATION_TOKENS).alias("escalation_required"),
         contains_any(lower_text, ATTACHMENT_TOKENS).alias("supporting_document_available"),
         F.lit("open").alias("overall_case_status"),
     )
 
 
-def rule_email_invalid(text: Column) -> Column:
+def rule_email_invalid(email: Column) -> Column:
     """A found e-mail that fails the schema check fails the extraction."""
-    email = found_email(text)
     return email.isNotNull() & ~email_is_valid(email)

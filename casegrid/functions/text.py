@@ -39,14 +39,19 @@ def normalize(text: Column) -> Column:
 
     In order: drop NUL; CRLF and CR become LF; runs of spaces/tabs become
     one space; strip every line; three or more LFs become two; strip all.
-    Literal replaces and set trims where possible; two simple regexes.
+    Literal replaces and set trims do most of the work; the two regexes run
+    only on the lines/texts a byte search shows need them.
     """
     t = F.replace(text, F.lit("\x00"), F.lit(""))
     t = F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    t = F.regexp_replace(t, "[ \t]+", " ")
-    lines = F.split(t, "\n", -1)
-    t = F.array_join(F.transform(lines, lambda line: F.btrim(line, F.lit(PY_SPACE_NO_NL))), "\n")
-    t = F.regexp_replace(t, "\n{3,}", "\n\n")
+
+    def clean_line(line: Column) -> Column:
+        dirty = line.contains("  ") | line.contains("\t")
+        squeezed = F.when(dirty, F.regexp_replace(line, "[ \t]+", " ")).otherwise(line)
+        return F.btrim(squeezed, F.lit(PY_SPACE_NO_NL))
+
+    t = F.array_join(F.transform(F.split(t, "\n", -1), clean_line), "\n")
+    t = F.when(t.contains("\n\n\n"), F.regexp_replace(t, "\n{3,}", "\n\n")).otherwise(t)
     return strip(t)
 
 

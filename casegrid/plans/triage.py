@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegrid.functions import drafts as D
-from casegrid.functions.extract import rule_case, rule_email_invalid
+from casegrid.functions.extract import found_email, rule_case, rule_email_invalid
 from casegrid.functions.scope import out_of_scope
 from casegrid.functions.text import normalize
 from casegrid.functions.validate import email_draft_ok, summary_draft_ok
@@ -108,19 +108,18 @@ def gate(docs: DataFrame, *, published: DataFrame | None = None, overwrite: bool
 
 
 def rule_extract(gated: DataFrame) -> DataFrame:
-    """X11: case struct for rows that passed the gates, natively."""
+    """X11: case struct for rows that passed the gates, natively.  Rows
+    reaching it passed the scope gate, so ``is_complaint`` is true."""
     open_ = F.col("_gate").isNull()
-    bad_email = open_ & rule_email_invalid(F.col("text"))
-    return (
-        gated.withColumn("_extract_error", F.when(bad_email, F.lit(LLM_PROVIDER_ERROR)))
-        .withColumn("_extract_message", F.when(bad_email, F.lit(UNEXPECTED_PROVIDER_MESSAGE)))
-        .withColumn(
-            "case",
-            F.when(open_ & ~bad_email, rule_case(F.col("text"), F.col("_lower"))).otherwise(
-                F.lit(None).cast(CASE_TYPE)
-            ),
-        )
-    )
+    d = gated.withColumn("_email", F.when(open_, found_email(F.col("text"))))
+    bad_email = open_ & rule_email_invalid(F.col("_email"))
+    d = d.withColumn("_extract_error", F.when(bad_email, F.lit(LLM_PROVIDER_ERROR)))
+    d = d.withColumn("_extract_message", F.when(bad_email, F.lit(UNEXPECTED_PROVIDER_MESSAGE)))
+    case = rule_case(F.col("text"), F.col("_lower"), email=F.col("_email"), in_scope=F.lit(True))
+    return d.withColumn(
+        "case",
+        F.when(open_ & F.col("_extract_error").isNull(), case).otherwise(F.lit(None).cast(CASE_TYPE)),
+    ).drop("_email")
 
 
 def rule_drafts(extracted: DataFrame) -> DataFrame:
