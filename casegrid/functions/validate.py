@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegrid.functions.extract import email_is_valid, normalize_email
 from casegrid.functions.patterns import EMAIL_SUBJECT_PREFIX, SUMMARY_HEADINGS
 from casegrid.functions.regex import SPACE
 from casegrid.functions.text import strip
-from casegrid.schema import CASE_STATUSES, CATEGORIES
+from casegrid.schema import CASE_FIELDS, CASE_STATUSES, CATEGORIES, STRUCTURED_OUTPUT_VALIDATION_ERROR
 
 # Line breaks as Python's str.splitlines() sees them.
 _BREAK_CHARS = "\\n\\r\\x{0B}\\x{0C}\\x{1C}-\\x{1E}\\x{85}\\x{2028}\\x{2029}"
@@ -41,10 +41,6 @@ def summary_draft_ok(draft: Column) -> Column:
 
 # --- case JSON -------------------------------------------------------------
 
-def _field(v: Column, name: str) -> Column:
-    return F.variant_get(v, f"$.{name}")
-
-
 def _kind(x: Column) -> Column:
     """JSON type of a variant value: STRING, BIGINT, BOOLEAN, VOID, ..."""
     return F.regexp_extract(F.schema_of_variant(x), "^([A-Z]+)", 1)
@@ -54,30 +50,25 @@ def _present(x: Column) -> Column:
     return x.isNotNull() & ~F.is_variant_null(x)
 
 
-def _opt_string(v: Column, name: str) -> tuple[Column, Column]:
-    x = _field(v, name)
+def _opt_string(x: Column) -> tuple[Column, Column]:
     ok = ~_present(x) | (_kind(x) == "STRING")
     return ok, F.when(_present(x), F.variant_get(x, "$", "string"))
 
 
-def _req_string(v: Column, name: str) -> tuple[Column, Column]:
-    x = _field(v, name)
-    ok = _present(x) & (_kind(x) == "STRING")
-    return ok, F.variant_get(x, "$", "string")
+def _req_string(x: Column) -> tuple[Column, Column]:
+    return _present(x) & (_kind(x) == "STRING"), F.variant_get(x, "$", "string")
 
 
-def _enum(v: Column, name: str, allowed: tuple[str, ...]) -> tuple[Column, Column]:
+def _enum(x: Column, allowed: tuple[str, ...]) -> tuple[Column, Column]:
     """Missing means ``unknown``; explicit null or a value outside the set
     fails."""
-    x = _field(v, name)
     s = F.variant_get(x, "$", "string")
     ok = x.isNull() | ((_kind(x) == "STRING") & s.isin(*allowed))
     return ok, F.when(x.isNull(), F.lit("unknown")).otherwise(s)
 
 
-def _req_bool(v: Column, name: str) -> tuple[Column, Column]:
+def _req_bool(x: Column) -> tuple[Column, Column]:
     """Lax booleans: true/false, integers 0/1, and the usual yes/no words."""
-    x = _field(v, name)
     kind = _kind(x)
     word = F.lower(F.variant_get(x, "$", "string"))
     num = F.try_variant_get(x, "$", "bigint")
@@ -90,57 +81,59 @@ def _req_bool(v: Column, name: str) -> tuple[Column, Column]:
     return _present(x) & value.isNotNull(), value
 
 
-def parse_case(content: Column) -> Column:
-    """Validate model output against the case schema.
+_STRINGS = ("customer_name", "phone_number", "resolution_provided")
+_BOOLS = ("is_complaint", "escalation_required", "supporting_document_available")
+
 
-    Returns ``struct<case, error_code, error_message>``: ``case`` is set only
-    when the content is a JSON object that passes every field rule; else the
-    code is STRUCTURED_OUTPUT_VALIDATION_ERROR.  Missing and explicit null
-    are told apart (missing enums default to ``unknown``, null enums fail).
+def validate_case_json(df: DataFrame, content: str, out: str) -> DataFrame:
+    """Validate model output in column ``content`` against the case schema.
+
+    Adds ``out`` = ``struct<case, error_code, error_message>``: ``case`` is
+    set only for a JSON object passing every field rule, else the code is
+    STRUCTURED_OUTPUT_VALIDATION_ERROR.  Missing and explicit null are told
+    apart (missing enums default to ``unknown``; null enums fail).  The
+    JSON is parsed once per row; fields are extracted once each.
     """
-    blank = content.isNull() | (strip(content) == "")
-    v = F.try_parse_json(F.when(content.rlike(_JSON_OBJECT_ONLY), content))
-    is_obj = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
+    c = F.col(content)
+    d = df.withColumn("_pj", F.try_parse_json(F.when(c.rlike(_JSON_OBJECT_ONLY), c)))
+    d = d.withColumn(
+        "_pj_obj", F.coalesce(F.col("_pj").isNotNull() & F.schema_of_variant("_pj").startswith("OBJECT"),
+                              F.lit(False)))
+    names = _STRINGS + ("email", "issue_description", "complaint_category", "overall_case_status") + _BOOLS
+    d = d.select("*", *[F.variant_get("_pj", f"$.{n}", "variant").alias(f"_pj_{n}") for n in names])
 
     checks, vals = [], {}
-    for name in ("customer_name", "phone_number", "resolution_provided"):
-        ok, val = _opt_string(v, name)
+    for n in _STRINGS:
+        ok, vals[n] = _opt_string(F.col(f"_pj_{n}"))
         checks.append(ok)
-        vals[name] = val
-    ok, raw_email = _opt_string(v, "email")
-    checks.append(ok & (raw_email.isNull() | email_is_valid(raw_email)))
-    vals["email"] = F.when(raw_email.isNotNull(), normalize_email(raw_email))
-    ok, vals["issue_description"] = _req_string(v, "issue_description")
+    ok, raw_email = _opt_string(F.col("_pj_email"))
+    d = d.withColumn("_pj_email_s", raw_email)
+    e = F.col("_pj_email_s")
+    checks.append(ok & (e.isNull() | email_is_valid(e)))
+    vals["email"] = F.when(e.isNotNull(), normalize_email(e))
+    ok, vals["issue_description"] = _req_string(F.col("_pj_issue_description"))
     checks.append(ok)
-    ok, vals["complaint_category"] = _enum(v, "complaint_category", CATEGORIES)
+    ok, vals["complaint_category"] = _enum(F.col("_pj_complaint_category"), CATEGORIES)
     checks.append(ok)
-    ok, vals["overall_case_status"] = _enum(v, "overall_case_status", CASE_STATUSES)
+    ok, vals["overall_case_status"] = _enum(F.col("_pj_overall_case_status"), CASE_STATUSES)
     checks.append(ok)
-    for name in ("is_complaint", "escalation_required", "supporting_document_available"):
-        ok, vals[name] = _req_bool(v, name)
+    for n in _BOOLS:
+        ok, vals[n] = _req_bool(F.col(f"_pj_{n}"))
         checks.append(ok)
-    fields_ok = reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in checks])
-
-    case = F.struct(
-        vals["customer_name"].alias("customer_name"),
-        vals["email"].alias("email"),
-        vals["phone_number"].alias("phone_number"),
-        vals["complaint_category"].alias("complaint_category"),
-        vals["issue_description"].alias("issue_description"),
-        vals["resolution_provided"].alias("resolution_provided"),
-        vals["is_complaint"].alias("is_complaint"),
-        vals["escalation_required"].alias("escalation_required"),
-        vals["supporting_document_available"].alias("supporting_document_available"),
-        vals["overall_case_status"].alias("overall_case_status"),
-    )
+    d = d.select("*", *[F.coalesce(x, F.lit(False)).alias(f"_pj_ok{i}") for i, x in enumerate(checks)],
+                 *[v.alias(f"_pj_v_{k}") for k, v in vals.items()])
+    fields_ok = reduce(lambda a, b: a & b, [F.col(f"_pj_ok{i}") for i in range(len(checks))])
+    blank = c.isNull() | (strip(c) == "")
+    good = ~blank & F.col("_pj_obj") & fields_ok
+    case = F.struct(*[F.col(f"_pj_v_{k}").alias(k) for k in CASE_FIELDS])
     message = (
         F.when(blank, F.lit("Provider returned empty content"))
-        .when(~F.coalesce(is_obj, F.lit(False)), F.lit("Provider returned invalid JSON"))
+        .when(~F.col("_pj_obj"), F.lit("Provider returned invalid JSON"))
         .when(~fields_ok, F.lit("Provider JSON failed case validation"))
     )
-    good = ~blank & F.coalesce(is_obj, F.lit(False)) & fields_ok
-    return F.struct(
+    d = d.withColumn(out, F.struct(
         F.when(good, case).alias("case"),
-        F.when(~good, F.lit("STRUCTURED_OUTPUT_VALIDATION_ERROR")).alias("error_code"),
+        F.when(~good, F.lit(STRUCTURED_OUTPUT_VALIDATION_ERROR)).alias("error_code"),
         message.alias("error_message"),
-    )
+    ))
+    return d.drop(*[x for x in d.columns if x.startswith("_pj")])

@@ -63,6 +63,8 @@ def mark_published(docs: DataFrame, published: DataFrame | None, overwrite: bool
     output).  The set is de-duplicated before the join, and no broadcast is
     forced: the planner broadcasts it only under its size threshold, and
     AQE re-plans from the real shuffle size otherwise."""
+    if "_published" in docs.columns:
+        return docs
     if published is None or overwrite:
         return docs.withColumn("_published", F.lit(False))
     ids = published.select("document_id").distinct().withColumn("_published", F.lit(True))
@@ -198,15 +200,18 @@ def finish(d: DataFrame, *, started_at: datetime | None = None,
     return fence(d, row)
 
 
-def fence(d: DataFrame, row: Column) -> DataFrame:
-    """Emit the result row through a one-element ``inline``.
+def fence(d: DataFrame, row: Column | None = None) -> DataFrame:
+    """Emit rows through a one-element ``inline`` (a plan fence).
 
     The optimizer pushes a filter through a projection by inlining the
     projected expressions into it; for a status computed from every gate,
     extraction and draft check that both duplicates the work and grows the
-    plan.  Filters on a generator's output stay above the generator, so
-    downstream ``where(status = ...)`` runs on computed values.  Column
-    pruning still trims unused struct fields below the fence."""
+    generated code.  Filters on a generator's output stay above the
+    generator, so downstream ``where(status = ...)`` runs on computed
+    values.  Column pruning still trims unused struct fields below it.
+    ``row`` defaults to all columns of ``d``."""
+    if row is None:
+        row = F.struct(*[F.col(c) for c in d.columns])
     return d.select(F.inline(F.array(row)))
 
 
