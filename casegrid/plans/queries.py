@@ -190,6 +190,37 @@ def q_usage_totals(spark, sf_dir):
     return A.usage_totals(_event_calls(spark, sf_dir), "run_id")
 
 
+def q_infer_repair(spark, sf_dir):
+    """U1-U7 end to end with the scripted provider (inference is staged)."""
+    from casegrid.plans.model import triage_with_model
+    from casegrid.plans.scripted import scripted_factory
+
+    run = triage_with_model(spark, complaint_corpus(spark, sf_dir), scripted_factory,
+                            started_at=RUN_STARTED, completed_at=RUN_COMPLETED)
+    return run.results.select("document_id", "status", "error_code")
+
+
+def uploads_from_conversations(spark, sf_dir):
+    """Upload batches derived from ``conversations``: one batch per
+    conversation, one file per turn, named after the speaker's role with
+    varying case and type (so names collide within a batch)."""
+    c = load_table(spark, sf_dir, "conversations")
+    name = (
+        F.when(F.col("turn") % 3 == 0, F.concat(F.col("role"), F.lit(".txt")))
+        .when(F.col("turn") % 3 == 1, F.concat(F.upper("role"), F.lit(".TXT")))
+        .otherwise(F.concat(F.col("role"), F.lit(".docx")))
+    )
+    return c.select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("pos"),
+                    name.alias("filename"), F.encode("text", "UTF-8").alias("content"))
+
+
+def q_upload_names(spark, sf_dir):
+    from casegrid.operators.names import stored_names
+
+    u = uploads_from_conversations(spark, sf_dir).drop("content")
+    return stored_names(u).select("batch_id", "pos", "filename", "stored_name")
+
+
 QUERIES = {
     "triage_summary": q_triage_summary,
     "normalize_text": q_normalize_text,
@@ -210,6 +241,8 @@ QUERIES = {
     "manifest_rows": q_manifest_rows,
     "run_payload": q_run_payload,
     "usage_totals": q_usage_totals,
+    "infer_repair": q_infer_repair,
+    "upload_names": q_upload_names,
 }
 
 
@@ -313,6 +346,37 @@ SELECT doc_id, email, phone, name, {duck.email_is_valid('email')} AS email_valid
             f"SELECT {duck.base_name('source_file')} AS source_file, document_id, status, error_code, error_message, "
             "coalesce(customer_email, '') AS customer_email, coalesce(case_summary, '') AS case_summary, "
             "(status = 'success') AS has_structured FROM results"),
+        "infer_repair": _with("""
+, scripted AS (
+  SELECT document_id, gate, status AS rule_status, length(text) % 5 AS k,
+    contains(lower(text), 'jailbreak') AS says_no, contains(lower(left(text, 100)), 'mug') AS bad_summary
+  FROM x4 JOIN results USING (document_id)
+)
+SELECT document_id,
+  CASE WHEN gate IS NOT NULL THEN rule_status
+       WHEN k IN (3, 4) THEN 'failed'
+       WHEN says_no THEN 'skipped'
+       WHEN bad_summary THEN 'failed' ELSE 'success' END AS status,
+  CASE WHEN gate IS NOT NULL THEN gate
+       WHEN k = 3 THEN 'LLM_PROVIDER_ERROR'
+       WHEN k = 4 THEN 'STRUCTURED_OUTPUT_VALIDATION_ERROR'
+       WHEN says_no THEN 'NOT_A_COMPLAINT'
+       WHEN bad_summary THEN 'SUMMARY_GENERATION_ERROR' END AS error_code
+FROM scripted""".replace("\n, scripted AS", ", scripted AS", 1)),
+        "upload_names": f"""
+WITH u AS (
+  SELECT conv_id AS batch_id, turn AS pos,
+    CASE WHEN turn % 3 = 0 THEN role || '.txt' WHEN turn % 3 = 1 THEN upper(role) || '.TXT'
+         ELSE role || '.docx' END AS filename
+  FROM conversations),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY batch_id, lower(filename) ORDER BY pos) AS rn,
+    {duck.suffix('filename')} AS sfx
+  FROM u)
+SELECT batch_id, pos, filename,
+  CASE WHEN rn = 1 THEN filename
+       ELSE left(filename, length(filename) - length(sfx)) || '_' || CAST(rn - 1 AS VARCHAR) || sfx END AS stored_name
+FROM n""",
         "usage_totals": """
 WITH calls AS (
   SELECT event_type AS run_id,
