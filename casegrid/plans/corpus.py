@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegrid.functions.ids import base_name, document_id, suffix
+from casegrid.plans.partitioning import spread
 
 SNIPPETS = (
     "Customer:  Jane   Doe\r\nEmail: jane.doe@Example.COM\r\n\r\n\r\n\r\n"
@@ -47,7 +48,7 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def complaint_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate frame: ``doc_id, document_id, source_file, rel_path, name,
     suffix, text, read_error`` — one row per ``documents`` row."""
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     slot = (F.col("doc_id") % 10).cast("int") + 1
     snippet = F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), slot)
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.floor(F.col("doc_id") / 10) % 10).cast("int") + 1)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from casegrid.functions import drafts as D
 from casegrid.functions.validate import validate_case_json
 from casegrid.operators.infer import PROVIDER, TRANSIENT, UNEXPECTED, ProviderFactory, infer
+from casegrid.plans.partitioning import spread
 from casegrid.plans.triage import JSON_OPTIONS, add_draft_checks, fence, finish, gate
 from casegrid.schema import (
     CASE_TYPE,
@@ -105,8 +106,7 @@ def extraction_passes(candidates: DataFrame, factory: ProviderFactory, *, max_at
         )
         if waits is not None:
             prompts = prompts.join(waits, "document_id", "left")
-        if partitions:
-            prompts = prompts.repartition(partitions)
+        prompts = prompts.repartition(partitions) if partitions else spread(prompts)
         out = _stage(infer(prompts, factory, ("extract",), sleep=sleep, concurrency=concurrency),
                      f"{stage}/extract_{k}")
         usage.append(_usage(out, "extract", F.lit(k)))
@@ -153,8 +153,7 @@ def draft_pass(cases: DataFrame, factory: ProviderFactory, *, stage: str,
         D.case_prompt(case_json, EMAIL_INSTRUCTION).alias("prompt_email"),
         D.case_prompt(case_json, SUMMARY_INSTRUCTION).alias("prompt_summary"),
     )
-    if partitions:
-        prompts = prompts.repartition(partitions)
+    prompts = prompts.repartition(partitions) if partitions else spread(prompts)
     out = _stage(infer(prompts, factory, ("email", "summary"), sleep=sleep, concurrency=concurrency),
                  f"{stage}/drafts")
     usage = _usage(out, "email", F.lit(1)).unionByName(_usage(out, "summary", F.lit(1)))
@@ -190,7 +189,7 @@ def triage_with_model(spark: SparkSession, docs: DataFrame, factory: ProviderFac
     eagerly (each is staged); the returned frames are cheap re-reads."""
     run_id = run_id or uuid.uuid4().hex
     stage = f"{staging_root(spark).rstrip('/')}/casegrid/{run_id}"
-    g = gate(docs, published=published, overwrite=overwrite)
+    g = fence(gate(docs, published=published, overwrite=overwrite))
     gated_out = g.where(F.col("_gate").isNotNull()).select("document_id", "source_file", "_gate", "_gate_message")
     candidates = _stage(g.where(F.col("_gate").isNull()).select("document_id", "source_file", "text"),
                         f"{stage}/candidates")

@@ -29,6 +29,7 @@ from casegrid.operators import aggregate as A
 from casegrid.operators import report as R
 from casegrid.plans import duck
 from casegrid.plans.corpus import complaint_corpus, load_table
+from casegrid.plans.partitioning import spread
 from casegrid.plans.triage import triage_rules
 
 # Fixed run times so report cells are reproducible.
@@ -87,7 +88,7 @@ def q_rule_extract(spark, sf_dir):
 
 
 def q_contact_find(spark, sf_dir):
-    d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
     d = d.select("doc_id", first_match(F.col("text"), EMAIL_RE).alias("email"),
                  first_match(F.col("text"), PHONE_RE).alias("phone"),
                  F.nullif(strip(first_match(F.col("text"), NAME_RE, 1)), F.lit("")).alias("name"))
