@@ -30,7 +30,7 @@ from casegrid.operators import report as R
 from casegrid.plans import duck
 from casegrid.plans.corpus import complaint_corpus, load_table
 from casegrid.plans.partitioning import spread
-from casegrid.plans.triage import triage_rules
+from casegrid.plans.triage import fence, triage_rules
 
 # Fixed run times so report cells are reproducible.
 RUN_STARTED = datetime(2026, 1, 1, 0, 0, 0, tzinfo=timezone.utc)
@@ -79,7 +79,7 @@ def q_scope_gate(spark, sf_dir):
 
 
 def q_rule_extract(spark, sf_dir):
-    c = complaint_corpus(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("text"))
+    c = fence(complaint_corpus(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("text")))
     c = c.where(F.col("text") != "").withColumn("low", F.lower("text"))
     c = c.select("doc_id", rule_case(F.col("text"), F.col("low")).alias("case"),
                  first_match(F.col("text"), EMAIL_RE).alias("found_email"))
