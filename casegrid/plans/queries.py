@@ -222,6 +222,15 @@ def q_upload_names(spark, sf_dir):
     return stored_names(u).select("batch_id", "pos", "filename", "stored_name")
 
 
+def q_upload_triage(spark, sf_dir):
+    """Uploaded batches (from ``conversations``) through the pipeline."""
+    from casegrid.operators.names import upload_candidates
+
+    res = triage_rules(upload_candidates(uploads_from_conversations(spark, sf_dir)),
+                       started_at=RUN_STARTED, completed_at=RUN_COMPLETED)
+    return res.select("document_id", "source_file", "status", "error_code")
+
+
 QUERIES = {
     "triage_summary": q_triage_summary,
     "normalize_text": q_normalize_text,
@@ -244,6 +253,7 @@ QUERIES = {
     "usage_totals": q_usage_totals,
     "infer_repair": q_infer_repair,
     "upload_names": q_upload_names,
+    "upload_triage": q_upload_triage,
 }
 
 
@@ -378,6 +388,38 @@ SELECT batch_id, pos, filename,
   CASE WHEN rn = 1 THEN filename
        ELSE left(filename, length(filename) - length(sfx)) || '_' || CAST(rn - 1 AS VARCHAR) || sfx END AS stored_name
 FROM n""",
+        "upload_triage": f"""
+WITH u AS (
+  SELECT conv_id AS batch_id, turn AS pos, text,
+    CASE WHEN turn % 3 = 0 THEN role || '.txt' WHEN turn % 3 = 1 THEN upper(role) || '.TXT'
+         ELSE role || '.docx' END AS filename
+  FROM conversations),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY batch_id, lower(filename) ORDER BY pos) AS rn,
+    {duck.suffix('filename')} AS sfx
+  FROM u),
+s AS (
+  SELECT *, CASE WHEN rn = 1 THEN filename
+       ELSE left(filename, length(filename) - length(sfx)) || '_' || CAST(rn - 1 AS VARCHAR) || sfx END AS stored
+  FROM n),
+t AS (
+  SELECT *, {duck.document_id('stored', 'stored')} AS document_id,
+    CAST(batch_id AS VARCHAR) || '/' || stored AS source_file,
+    CASE WHEN lower(sfx) = '.docx' THEN NULL ELSE {duck.normalize('text')} END AS norm
+  FROM s),
+g AS (
+  SELECT *, lower(norm) AS low, {duck.first_match('norm', EMAIL_RE)} AS found FROM t),
+c AS (
+  SELECT document_id, source_file,
+    CASE WHEN lower(sfx) = '.docx' THEN 'DOCUMENT_READ_ERROR'
+         WHEN norm = '' THEN 'EMPTY_DOCUMENT'
+         WHEN {duck.out_of_scope('low')} THEN 'NOT_A_COMPLAINT'
+         WHEN found IS NOT NULL AND NOT {duck.email_is_valid('found')} THEN 'LLM_PROVIDER_ERROR' END AS error_code
+  FROM g)
+SELECT document_id, source_file,
+  CASE WHEN error_code IS NULL THEN 'success' WHEN error_code = 'NOT_A_COMPLAINT' THEN 'skipped'
+       ELSE 'failed' END AS status, error_code
+FROM c""",
         "usage_totals": """
 WITH calls AS (
   SELECT event_type AS run_id,
