@@ -16,9 +16,21 @@ def target_partitions(df: DataFrame, factor: int = 2) -> int:
     return max(1, df.sparkSession.sparkContext.defaultParallelism * factor)
 
 
+def _scan_partitions(df: DataFrame) -> int | None:
+    """Partition count of a plan without exchanges, found by planning only.
+
+    For an adaptive plan (one with exchanges) counting would execute its
+    shuffle stages, so ``None`` is returned instead."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return None
+    return plan.execute().getNumPartitions()
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Repartition round-robin only when ``df`` has too few partitions."""
     target = min_partitions or target_partitions(df)
-    if df.rdd.getNumPartitions() >= max(1, target // 2):
+    n = _scan_partitions(df)
+    if n is not None and n >= max(1, target // 2):
         return df
     return df.repartition(target)
