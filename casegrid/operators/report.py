@@ -16,8 +16,10 @@ def bool_cell(b: Column) -> Column:
 
 def iso_utc(ts: Column) -> Column:
     """ISO-8601 with ``+00:00``; the fraction only when micros are non-zero."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")
-    frac = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    # Wall-clock time in UTC whatever the session time zone is.
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    whole = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    frac = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
     return F.when(F.unix_micros(ts) % 1_000_000 == 0, whole).otherwise(frac)
 
 

@@ -50,6 +50,16 @@ def test_iso_timestamps(spark):
     assert got == ["2026-01-01T01:02:03+00:00", "2026-01-01T01:02:03.000450+00:00"]
 
 
+def test_iso_timestamps_ignore_session_time_zone(spark):
+    df = spark.createDataFrame([(datetime(2026, 1, 1, 1, 2, 3, tzinfo=timezone.utc),)], "t timestamp")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = df.select(iso_utc(F.col("t")).alias("s")).first().s
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == "2026-01-01T01:02:03+00:00"
+
+
 def test_counts_on_empty_input_are_zero(spark):
     empty = _results(spark).where("false")
     c = outcome_counts(empty).first()
