@@ -9,9 +9,11 @@ from the stem and lower-case it with the suffix; a generated name stays in
 its original's family.  So rows are grouped by (batch, family):
 
 * a family whose rows all carry the same name (the common case, however
-  large) is numbered by a window ``row_number`` -- exact, no Python;
+  large) is numbered by a two-level rank over upload position -- exact, no
+  Python, and a hot name is spread over many tasks;
 * a family mixing names (``a.txt`` with ``a_1.txt``) is resolved by the
-  sequential rule in a grouped ``applyInPandas``, one family per group.
+  sequential rule in a grouped ``applyInPandas``, one family per group
+  (such a group holds only the mutually colliding names of one batch).
 """
 
 from __future__ import annotations
@@ -59,6 +61,25 @@ def _sequential_names(pdf: pd.DataFrame) -> pd.DataFrame:
     return res
 
 
+RANK_CHUNK = 1 << 16  # positions per rank chunk
+
+
+def _dense_rank_by_pos(d: DataFrame, keys: list[str]) -> DataFrame:
+    """1-based rank by ``pos`` within ``keys``, without a single-group window.
+
+    Rows are split into chunks of ``pos`` (so a huge group spreads over many
+    tasks), each chunk is numbered by a window, and each chunk's offset is the
+    number of rows of its group in earlier chunks: a small aggregate, prefix
+    summed over chunks and joined back."""
+    d = d.withColumn("_chunk", F.floor(F.col("pos") / RANK_CHUNK))
+    sizes = d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    prior = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(prior), F.lit(0))).drop("_n")
+    local = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy("pos"))
+    return (d.withColumn("_local", local).join(offsets, [*keys, "_chunk"])
+            .withColumn("_rank", F.col("_local") + F.col("_off")).drop("_chunk", "_local", "_off"))
+
+
 def stored_names(uploads: DataFrame) -> DataFrame:
     """``uploads(batch_id, pos, filename, ...)`` -> adds ``stored_name``."""
     d = uploads.withColumn("_name", base_name(F.col("filename")))
@@ -66,17 +87,22 @@ def stored_names(uploads: DataFrame) -> DataFrame:
     d = d.withColumn(
         "_family",
         F.concat(F.lower(F.regexp_replace("_stem", "(_[0-9]+)+$", "")), F.lit("\u0000"), F.lower("_sfx")),
+    ).withColumn("_lname", F.lower("_name"))
+    # Families mixing names: a partial aggregate (skew-safe), joined back.
+    mixed_fams = (
+        d.groupBy("batch_id", "_family")
+        .agg((F.min("_lname") != F.max("_lname")).alias("_mixed"))
+        .where("_mixed")
     )
-    fam = Window.partitionBy("batch_id", "_family")
-    lname = F.lower("_name")
-    d = d.withColumn("_mixed", F.min(lname).over(fam) != F.max(lname).over(fam))
-    rn = F.row_number().over(Window.partitionBy("batch_id", "_family", lname).orderBy("pos"))
-    simple = d.where(~F.col("_mixed")).withColumn(
+    d = d.join(mixed_fams, ["batch_id", "_family"], "left").withColumn(
+        "_mixed", F.coalesce(F.col("_mixed"), F.lit(False)))
+    ranked = _dense_rank_by_pos(d.where(~F.col("_mixed")), ["batch_id", "_lname"])
+    simple = ranked.withColumn(
         "stored_name",
-        F.when(rn == 1, F.col("_name")).otherwise(
-            F.concat(F.col("_stem"), F.lit("_"), (rn - 1).cast("string"), F.col("_sfx"))),
-    ).drop("_stem", "_sfx", "_family", "_mixed")
-    mixed_in = d.where(F.col("_mixed")).drop("_mixed")
+        F.when(F.col("_rank") == 1, F.col("_name")).otherwise(
+            F.concat(F.col("_stem"), F.lit("_"), (F.col("_rank") - 1).cast("string"), F.col("_sfx"))),
+    ).drop("_stem", "_sfx", "_family", "_mixed", "_lname", "_rank")
+    mixed_in = d.where(F.col("_mixed")).drop("_mixed", "_lname")
     schema = simple.schema
     mixed = mixed_in.groupBy("batch_id", "_family").applyInPandas(
         lambda pdf: _sequential_names(pdf.sort_values("pos", kind="stable")), schema

@@ -121,3 +121,13 @@ def test_entry_contract(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert "triage_summary" in q
+
+
+def test_upload_rank_spans_chunks(spark, monkeypatch):
+    import casegrid.operators.names as N
+
+    monkeypatch.setattr(N, "RANK_CHUNK", 3)
+    rows = [(7, pos, "Scan.PDF" if pos % 2 else "scan.pdf") for pos in range(0, 40, 1)]
+    df = spark.createDataFrame(rows, "batch_id int, pos int, filename string")
+    got = [r.stored_name for r in N.stored_names(df).orderBy("pos").collect()]
+    assert got == _brute([(p, n) for _, p, n in rows])
