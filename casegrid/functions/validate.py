@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from casegrid.functions.extract import email_is_valid, normalize_email
 from casegrid.functions.patterns import EMAIL_SUBJECT_PREFIX, SUMMARY_HEADINGS
-from casegrid.functions.regex import SPACE
 from casegrid.functions.text import strip
 from casegrid.schema import CASE_FIELDS, CASE_STATUSES, CATEGORIES, STRUCTURED_OUTPUT_VALIDATION_ERROR
 

@@ -8,7 +8,6 @@ cannot drift apart on word lists or regexes.  Only engine syntax differs
 
 from __future__ import annotations
 
-from casegrid.functions import drafts as D
 from casegrid.functions.extract import (
     EMAIL_RE,
     NAME_RE,
@@ -26,9 +25,6 @@ from casegrid.functions.patterns import (
 from casegrid.functions.scope import INJECTION_RE, OFF_TASK_RE
 from casegrid.functions.text import LINE_EDGE_SPACE, TEXT_EDGE_SPACE
 from casegrid.plans.corpus import BLANK_SNIPPET, EXTENSIONS, INPUT_ROOT, SNIPPETS, _sql_case, sql_str
-from casegrid.plans.triage import (
-    EMAIL_DRAFT_BAD_MESSAGE,  # noqa: F401  (kept for parity with the Spark side)
-)
 from casegrid.schema import (
     ARTIFACTS_EXIST_MESSAGE,
     NOT_A_COMPLAINT_MESSAGE,
@@ -246,5 +242,5 @@ results AS (
 
 __all__ = [
     "normalize", "strip", "out_of_scope", "category", "email_is_valid", "document_id",
-    "pipeline_ctes", "corpus_cte", "email_draft", "summary_draft", "sql_str", "D",
+    "pipeline_ctes", "corpus_cte", "email_draft", "summary_draft", "sql_str",
 ]

@@ -88,7 +88,10 @@ def manifest_frame(spark: SparkSession, results: DataFrame, usage: DataFrame | N
         .alias("config"),
         F.lit(report_path).alias("report_path"),
     )
-    return head.crossJoin(counts).crossJoin(tok)  # 1 x 1 x 1 rows
+    # Three one-row frames side by side: an equi-join on a constant key.
+    one = F.lit(1).alias("_one")
+    return (head.select("*", one).join(counts.select("*", one), "_one")
+            .join(tok.select("*", one), "_one").drop("_one"))
 
 
 def write_manifest(manifest: DataFrame, results: DataFrame, path: str) -> None:
