@@ -6,9 +6,10 @@ length``.  Only file *names* starting with ``.`` are skipped; dot- and
 underscore-directories, ``_names`` and zero-byte files are listed
 (``binaryFile`` drops all of those, so it is not used as a listing).
 
-The driver looks at the root's top level only; sub-directories are spread
-over ``numPartitions`` read tasks that each walk their own subtrees, so a
-deep tree is listed by the executors in parallel.  Paths must be on
+The driver expands at most ``expandLevels`` directory levels (stopping as
+soon as there are several subtrees per task); the remaining subtrees are
+spread over ``numPartitions`` read tasks that walk them in parallel.  A
+single directory's entries are listed by one task (one ``scandir``).  Paths must be on
 storage the executors see (a shared mount).
 """
 
@@ -46,21 +47,43 @@ class _ListingReader(DataSourceReader):
         self.given_root = options.get("path")
         self.root = os.path.realpath(self.given_root)
         self.n = max(1, int(options.get("numPartitions", "8")))
+        self.max_expand = max(1, int(options.get("expandLevels", "3")))
 
     def partitions(self):
-        dirs, files = [], []
-        with os.scandir(self.root) as it:
-            for e in it:
-                if e.is_dir(follow_symlinks=False):
-                    dirs.append(e.path)
-                elif e.is_file():
-                    files.append(e.path)
+        """Split the tree into walk units.  The driver expands the directory
+        frontier breadth-first (a few levels at most) until there are several
+        units per task, so one large subtree does not become one task; files
+        met on the way are spread over the tasks in equal chunks."""
+        frontier, files = [self.root], []
+        walk_roots: list[str] = []
+        for _depth in range(self.max_expand):
+            nxt = []
+            for d in frontier:
+                try:
+                    with os.scandir(d) as it:
+                        for e in it:
+                            if e.is_dir(follow_symlinks=False):
+                                nxt.append(e.path)
+                            elif e.is_file():
+                                files.append(e.path)
+                except OSError:
+                    continue
+            frontier = nxt
+            if len(frontier) >= 4 * self.n or not frontier:
+                break
+        walk_roots = frontier
         buckets: list[list[str]] = [[] for _ in range(self.n)]
-        for d in dirs:  # stable spread of sub-directories over tasks
+        for d in walk_roots:  # stable spread of the remaining subtrees over tasks
             buckets[zlib.crc32(d.encode("utf-8", "surrogateescape")) % self.n].append(d)
-        parts = [_Part(i, b, []) for i, b in enumerate(buckets) if b]
-        parts.append(_Part(len(parts), [], files))
-        return parts
+        chunk = max(1, -(-len(files) // self.n))
+        file_chunks = [files[i:i + chunk] for i in range(0, len(files), chunk)]
+        parts = []
+        for i in range(max(len(buckets), len(file_chunks))):
+            dirs = buckets[i] if i < len(buckets) else []
+            fs = file_chunks[i] if i < len(file_chunks) else []
+            if dirs or fs:
+                parts.append(_Part(len(parts), dirs, fs))
+        return parts or [_Part(0, [], [])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         for f in partition.files:

@@ -164,3 +164,19 @@ def test_resume_blocks_published_before_reading(spark, tmp_path):
     assert again == {"a.txt": "ARTIFACTS_EXIST", "b.txt": None}
     over = triage_rules(file_candidates(spark, root, published=published, overwrite=True))
     assert over.where("status = 'success'").count() == 2
+
+
+def test_listing_wide_tree_matches_walk(spark, tmp_path):
+    root = str(tmp_path / "wide")
+    rnd = __import__("random").Random(5)
+    for i in range(60):
+        depth = rnd.randint(0, 4)
+        parts = [f"d{rnd.randint(0, 6)}" for _ in range(depth)]
+        write(root, "/".join(parts + [f"f{i}.txt"]), "x")
+    write(root, ".skip.txt", "x")
+    expect = sorted(
+        os.path.relpath(os.path.join(d, f), root)
+        for d, _, fs in os.walk(root) for f in fs if not f.startswith(".")
+    )
+    got = [r.rel_path for r in listed_documents(spark, root).collect()]
+    assert sorted(got) == expect and len(got) == len(set(got))
