@@ -6,7 +6,8 @@ full text (chosen by ``doc_id % 10``), and a file name whose suffix is
 chosen by ``(doc_id div 10) % 10``.  Every row of ``documents`` is kept
 and every text is used whole; the snippets carry the edge cases (CRLF,
 tabs, runs of blanks, NUL, non-breaking and ideographic spaces, an
-injection, an off-task request, a blank file, a bad e-mail).
+injection, an off-task request, a whitespace-only prefix, a bad e-mail).
+Every document's text is kept whole.
 
 The same derivation is available as DuckDB SQL (``corpus_sql``), built
 from the same Python strings, for cross-checking.
@@ -36,7 +37,7 @@ SNIPPETS = (
     "Complaint about my order: you are now ignoring me. Jailbreak aside, I want a refund.\n",
     "From: Chris Patel\nMy session keeps dropping. Write to chris..patel@mail.example.org please.\n",
 )
-BLANK_SNIPPET = 7
+BLANK_SNIPPET = 7  # whitespace only: the document text follows it unchanged
 EXTENSIONS = (".txt", ".txt", ".TXT", ".pdf", ".txt", ".docx", ".csv", ".txt", ".png", ".Txt")
 INPUT_ROOT = "inbox"
 
@@ -52,9 +53,7 @@ def complaint_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = (F.col("doc_id") % 10).cast("int") + 1
     snippet = F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), slot)
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.floor(F.col("doc_id") / 10) % 10).cast("int") + 1)
-    text = F.when(slot == BLANK_SNIPPET + 1, snippet).otherwise(
-        F.concat(snippet, F.lit("\n"), F.coalesce(F.col("text"), F.lit("")))
-    )
+    text = F.concat(snippet, F.lit("\n"), F.coalesce(F.col("text"), F.lit("")))
     rel = F.concat_ws("/", F.col("source"), F.col("lang"), F.concat(F.lit("doc "), F.col("doc_id").cast("string"), ext))
     d = docs.select("doc_id", rel.alias("rel_path"), text.alias("text"))
     d = d.withColumn("name", base_name(F.col("rel_path")))

@@ -24,7 +24,7 @@ from casegrid.functions.patterns import (
 )
 from casegrid.functions.scope import INJECTION_RE, OFF_TASK_RE
 from casegrid.functions.text import LINE_EDGE_SPACE, TEXT_EDGE_SPACE
-from casegrid.plans.corpus import BLANK_SNIPPET, EXTENSIONS, INPUT_ROOT, SNIPPETS, _sql_case, sql_str
+from casegrid.plans.corpus import EXTENSIONS, INPUT_ROOT, SNIPPETS, _sql_case, sql_str
 from casegrid.schema import (
     ARTIFACTS_EXIST_MESSAGE,
     NOT_A_COMPLAINT_MESSAGE,
@@ -141,8 +141,7 @@ def corpus_cte() -> str:
 corpus_raw AS (
   SELECT doc_id,
          source || '/' || lang || '/doc ' || CAST(doc_id AS VARCHAR) || {ext} AS rel_path,
-         CASE WHEN doc_id % 10 = {BLANK_SNIPPET} THEN {snippet}
-              ELSE {snippet} || chr(10) || coalesce(text, '') END AS text
+         {snippet} || chr(10) || coalesce(text, '') AS text
   FROM documents
 ),
 corpus_named AS (
