@@ -15,6 +15,8 @@ Plan, for rows that passed the cheap gates:
 
 Staging is what keeps each call to one per row (G1): Spark recomputes
 lazy plans, so every inference output is written once and only re-read.
+Staged passes live under the run id; rerunning with the same ``run_id``
+after a driver failure re-reads every pass that committed.
 Task retries after an executor loss can still repeat a partition's calls
 (at-least-once), which is why speculation is off in the session defaults.
 """
@@ -63,9 +65,22 @@ class ModelRun:
     stage_dir: str
 
 
+def _committed(spark: SparkSession, path: str) -> bool:
+    """True if a write job committed ``path`` (its ``_SUCCESS`` marker exists)."""
+    jvm = spark._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.exists(marker))
+
+
 def _stage(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write once, then re-read.  A pass already committed under this run id
+    (a rerun after a driver failure) is re-read, not recomputed, so its model
+    calls are not paid twice."""
+    spark = df.sparkSession
+    if not _committed(spark, path):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _fill(df: DataFrame) -> DataFrame:

@@ -34,21 +34,22 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder for staged tables: the session's checkpoint directory.
+    """Shared folder for staged tables, stable across driver restarts.
 
-    On a cluster this must be set (``spark.checkpoint.dir``) to storage all
-    executors share.  Only a local-mode session without the setting gets a
-    fresh scratch folder of its own (tests, local benchmarks)."""
+    The base is the session's ``spark.checkpoint.dir`` (on a cluster this
+    must name storage all executors share).  A checkpoint directory set only
+    through ``setCheckpointDir`` carries a per-context id; its parent is used
+    so a restarted driver finds the same folder.  Only a local-mode session
+    with neither gets a fresh scratch folder of its own (tests, local runs)."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if conf_dir:
+        return conf_dir.rstrip("/")
     jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
-        return jdir.get()
-    if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        return jdir.get().rstrip("/").rsplit("/", 1)[0]
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     path = tempfile.mkdtemp(prefix="casegrid-stage-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return path

@@ -171,3 +171,18 @@ def test_usage_rules(spark):
     assert (b.calls, b.prompt_tokens, b.total_tokens) == (None, None, None)
     empty = usage_totals(calls.where("false")).first()
     assert empty.calls is None
+
+
+def test_rerun_with_same_run_id_reuses_staged_passes(spark):
+    texts = ["order alpha", "order echo"]
+    first = triage_with_model(spark, _docs(spark, texts), Script, run_id="t-resume", sleep=lambda s: None)
+    a = sorted((r.document_id, r.status) for r in first.results.collect())
+
+    class Dead:
+        model_name = "dead"
+
+        def complete(self, task, prompt):
+            raise AssertionError("a committed pass must not call the provider again")
+
+    again = triage_with_model(spark, _docs(spark, texts), Dead, run_id="t-resume")
+    assert sorted((r.document_id, r.status) for r in again.results.collect()) == a
