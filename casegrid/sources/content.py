@@ -52,7 +52,7 @@ def read_in_tasks(listed: DataFrame, path_col: str = "source_file") -> DataFrame
             out = pdf[keep].copy()
             out["content"] = [g[0] for g in got]
             out["read_error"] = [None if g[1] is None else DOCUMENT_READ_ERROR for g in got]
-            out["read_message"] = [None if g[1] is None else f"Could not read document ({g[1]})" for g in got]
+            out["read_message"] = None  # the message of a read failure is its code
             yield out
 
     return listed.mapInPandas(fn, schema)

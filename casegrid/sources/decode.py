@@ -90,9 +90,8 @@ def _parse_job(df: DataFrame, parse: Callable[[bytes], str] | None, what: str) -
                     continue
                 try:
                     texts.append(parse(bytes(data))), codes.append(None), msgs.append(None)
-                except Exception as exc:  # noqa: BLE001 - any parser failure is a read error
-                    texts.append(None), codes.append(DOCUMENT_READ_ERROR)
-                    msgs.append(f"Could not read document ({type(exc).__name__})")
+                except Exception:  # noqa: BLE001 - any parser failure is a read error
+                    texts.append(None), codes.append(DOCUMENT_READ_ERROR), msgs.append(None)
             out = pdf[keep].copy()
             out["text"], out["read_error"], out["read_message"] = texts, codes, msgs
             yield out
