@@ -50,9 +50,10 @@ def complaint_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate frame: ``doc_id, document_id, source_file, rel_path, name,
     suffix, text, read_error`` — one row per ``documents`` row."""
     docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
-    slot = (F.col("doc_id") % 10).cast("int") + 1
+    slot = F.pmod(F.col("doc_id"), F.lit(10)).cast("int") + 1
     snippet = F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), slot)
-    ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.floor(F.col("doc_id") / 10) % 10).cast("int") + 1)
+    ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]),
+                       F.pmod(F.floor(F.col("doc_id") / 10), F.lit(10)).cast("int") + 1)
     text = F.concat(snippet, F.lit("\n"), F.coalesce(F.col("text"), F.lit("")))
     rel = F.concat_ws("/", F.col("source"), F.col("lang"), F.concat(F.lit("doc "), F.col("doc_id").cast("string"), ext))
     d = docs.select("doc_id", rel.alias("rel_path"), text.alias("text"))

@@ -135,8 +135,8 @@ def summary_draft(c: str = "") -> str:
 
 def corpus_cte() -> str:
     """``corpus(doc_id, rel_path, name, suffix, document_id, source_file, text)``."""
-    snippet = _sql_case("(doc_id % 10)", SNIPPETS)
-    ext = _sql_case("((doc_id // 10) % 10)", EXTENSIONS)
+    snippet = _sql_case("(((doc_id % 10) + 10) % 10)", SNIPPETS)
+    ext = _sql_case("(((floor(doc_id / 10)::BIGINT % 10) + 10) % 10)", EXTENSIONS)
     return f"""
 corpus_raw AS (
   SELECT doc_id,

@@ -52,7 +52,7 @@ JSON_OPTIONS = {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint"
 def _status_of(code: Column) -> Column:
     mapping = F.create_map(*[x for c, (s, _) in ERROR_CODES.items() for x in (F.lit(c), F.lit(s))])
     return F.when(code.isNull(), F.lit(SUCCESS)).otherwise(
-        F.coalesce(F.element_at(mapping, code), F.lit("failed"))
+        F.coalesce(F.try_element_at(mapping, code), F.lit("failed"))
     )
 
 
