@@ -11,9 +11,11 @@ its original's family.  So rows are grouped by (batch, family):
 * a family whose rows all carry the same name (the common case, however
   large) is numbered by a two-level rank over upload position -- exact, no
   Python, and a hot name is spread over many tasks;
-* a family mixing names (``a.txt`` with ``a_1.txt``) is resolved by the
-  sequential rule in a grouped ``applyInPandas``, one family per group
-  (such a group holds only the mutually colliding names of one batch).
+* a family mixing names (``a.txt`` with ``a_1.txt``) is resolved exactly
+  without gathering its rows: only one row per *distinct name* goes through
+  a small per-family fold (which first rows keep their names, which child
+  indices they claim); every other row's index is then computed in place
+  from its rank and the claimed indices before it.
 """
 
 from __future__ import annotations
@@ -46,21 +48,6 @@ def check_batches(uploads: DataFrame) -> DataFrame:
     return u.join(bad, "batch_id").withColumn("batch_ok", F.col("_bad") == 0).drop("_bad")
 
 
-def _sequential_names(pdf: pd.DataFrame) -> pd.DataFrame:
-    used: set[str] = set()
-    out = []
-    for name, st, sx in zip(pdf["_name"], pdf["_stem"], pdf["_sfx"]):
-        dest, i = name, 1
-        while dest.lower() in used:
-            dest = f"{st}_{i}{sx}"
-            i += 1
-        used.add(dest.lower())
-        out.append(dest)
-    res = pdf.drop(columns=["_stem", "_sfx", "_family"])
-    res["stored_name"] = out
-    return res
-
-
 RANK_CHUNK = 1 << 16  # positions per rank chunk
 
 
@@ -80,6 +67,115 @@ def _dense_rank_by_pos(d: DataFrame, keys: list[str]) -> DataFrame:
             .withColumn("_rank", F.col("_local") + F.col("_off")).drop("_chunk", "_local", "_off"))
 
 
+_CHILD = "^(.+)_([1-9][0-9]*)$"  # a stem the rule generates from its parent
+
+
+def _fold_family(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Which first rows keep their name, and which child indices they claim.
+
+    One input row per distinct name of a mixed family (not per upload):
+    ``_slot`` (lower-case name), ``_pslot`` (the name it is generated from,
+    if any), ``_k`` (its index under that parent), ``_first`` (position of
+    its first row) and ``_before`` (rows named ``_pslot`` before it).
+    Parents are decided before children (a parent's name is shorter).
+    A child's first row keeps its name unless overflow rows of its parent
+    took that index first: the j-th overflow row of a parent takes the
+    j-th smallest index not yet claimed by a child's own first row."""
+    from bisect import bisect_left, insort
+
+    first = dict(zip(pdf["_slot"], pdf["_first"]))
+    kids: dict[str, list] = {}
+    keeps: dict[str, bool] = {}
+    for slot, pslot, k, f, before in zip(pdf["_slot"], pdf["_pslot"], pdf["_k"], pdf["_first"], pdf["_before"]):
+        if isinstance(pslot, str) and pslot in first:
+            kids.setdefault(pslot, []).append((int(f), None if pd.isna(k) else int(k), slot, int(before)))
+        else:
+            keeps[slot] = True  # nothing can overflow into it
+    out = []
+    for parent in sorted(first, key=len):
+        claimed: list[int] = []
+        for f, k, slot, before in sorted(kids.get(parent, [])):
+            overflowed = before - (1 if keeps[parent] and first[parent] < f else 0)
+            if k is None or k - bisect_left(claimed, k) > overflowed:
+                keeps[slot] = True
+                if k is not None:
+                    insort(claimed, k)
+                    out.append(("claim", parent, f, k, None))
+            else:
+                keeps[slot] = False
+    out += [("slot", slot, None, None, keep) for slot, keep in keeps.items()]
+    batch = pdf["batch_id"].iloc[0]
+    return pd.DataFrame(
+        [(batch, kind, slot, f, k, keep) for kind, slot, f, k, keep in out],
+        columns=["batch_id", "_kind", "_slot", "_f", "_k", "_keep"],
+    )
+
+
+def _rows_before(rows: DataFrame, markers: DataFrame) -> DataFrame:
+    """For each marker ``(batch_id, _key, _mpos, _slot)``: the number of rows
+    ``(batch_id, _key, pos)`` with ``pos < _mpos``.
+
+    Chunked like ``_dense_rank_by_pos``: rows in earlier chunks come from a
+    running sum over per-chunk counts merged with the markers (one record
+    per chunk or marker, not per row); rows in the marker's own chunk from a
+    running count inside that chunk (at most ``RANK_CHUNK`` rows)."""
+    keys = ["batch_id", "_key"]
+    chunk = F.floor(F.col("pos") / RANK_CHUNK)
+    r = rows.select(*keys, "pos", chunk.alias("_chunk"))
+    m = markers.select(*keys, F.col("_mpos").alias("pos"), "_slot").withColumn("_chunk", chunk)
+    # rows of the key in chunks before the marker's chunk
+    counts = r.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
+    recs = counts.select(*keys, "_chunk", "_cnt", F.lit(1).alias("_order"),
+                         F.lit(None).cast("string").alias("_slot")).unionByName(
+        m.select(*keys, "_chunk", F.lit(0).cast("bigint").alias("_cnt"), F.lit(0).alias("_order"), "_slot"))
+    upto = Window.partitionBy(*keys).orderBy("_chunk", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = recs.withColumn("_pre", F.sum("_cnt").over(upto)).where(F.col("_order") == 0) \
+        .select("batch_id", "_slot", "_pre")
+    # rows of the key in the marker's own chunk, before the marker
+    u = r.select(*keys, "pos", "_chunk", F.lit(1).alias("_row"), F.lit(None).cast("string").alias("_slot")) \
+        .unionByName(m.select(*keys, "pos", "_chunk", F.lit(0).alias("_row"), "_slot"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    same = u.withColumn("_in", F.sum("_row").over(inside)).where(F.col("_row") == 0).select("batch_id", "_slot", "_in")
+    return earlier.join(same, ["batch_id", "_slot"]).select(
+        "batch_id", "_slot", (F.col("_pre") + F.col("_in")).alias("_before"))
+
+
+def _mixed_names(d: DataFrame) -> DataFrame:
+    """Exact names for rows of mixed families, without gathering rows."""
+    lstem = F.lower("_stem")
+    d = d.withColumn("_slot", F.col("_lname"))
+    d = d.withColumn("_pslot", F.when(lstem.rlike(_CHILD),
+                                      F.concat(F.regexp_extract(lstem, _CHILD, 1), F.lower("_sfx"))))
+    d = d.withColumn("_k", F.when(F.col("_pslot").isNotNull(),
+                                  F.regexp_extract(lstem, _CHILD, 2).try_cast("bigint")))
+    events = d.groupBy("batch_id", "_family", "_slot", "_pslot", "_k").agg(F.min("pos").alias("_first"))
+    before = _rows_before(
+        d.select("batch_id", F.col("_slot").alias("_key"), "pos"),
+        events.where(F.col("_pslot").isNotNull()).select(
+            "batch_id", F.col("_pslot").alias("_key"), F.col("_first").alias("_mpos"), "_slot"),
+    )
+    events = events.join(before, ["batch_id", "_slot"], "left").withColumn(
+        "_before", F.coalesce("_before", F.lit(0)))
+    folded = events.groupBy("batch_id", "_family").applyInPandas(
+        _fold_family, "batch_id " + dict(d.dtypes)["batch_id"]
+        + ", _kind string, _slot string, _f bigint, _k bigint, _keep boolean")
+    keeps = folded.where(F.col("_kind") == "slot").select("batch_id", "_slot", "_keep")
+    claims = folded.where(F.col("_kind") == "claim").groupBy("batch_id", "_slot").agg(
+        F.collect_list(F.struct("_f", "_k")).alias("_claims"))
+    ranked = _dense_rank_by_pos(d.drop("_pslot", "_k"), ["batch_id", "_slot"])
+    r = ranked.join(keeps, ["batch_id", "_slot"], "left").join(claims, ["batch_id", "_slot"], "left")
+    keep_first = F.coalesce(F.col("_keep"), F.lit(True))
+    j = F.col("_rank") - F.when(keep_first, F.lit(1)).otherwise(F.lit(0))
+    taken = F.array_sort(F.transform(
+        F.filter(F.coalesce(F.col("_claims"), F.array().cast("array<struct<_f:bigint,_k:bigint>>")),
+                 lambda c: c["_f"] < F.col("pos")),
+        lambda c: c["_k"]))
+    index = F.aggregate(taken, j.cast("bigint"), lambda acc, k: F.when(k <= acc, acc + 1).otherwise(acc))
+    stored = F.when((F.col("_rank") == 1) & keep_first, F.col("_name")).otherwise(
+        F.concat(F.col("_stem"), F.lit("_"), index.cast("string"), F.col("_sfx")))
+    return r.withColumn("stored_name", stored).drop("_slot", "_keep", "_claims", "_rank")
+
+
 def stored_names(uploads: DataFrame) -> DataFrame:
     """``uploads(batch_id, pos, filename, ...)`` -> adds ``stored_name``."""
     d = uploads.withColumn("_name", base_name(F.col("filename")))
@@ -101,13 +197,10 @@ def stored_names(uploads: DataFrame) -> DataFrame:
         "stored_name",
         F.when(F.col("_rank") == 1, F.col("_name")).otherwise(
             F.concat(F.col("_stem"), F.lit("_"), (F.col("_rank") - 1).cast("string"), F.col("_sfx"))),
-    ).drop("_stem", "_sfx", "_family", "_mixed", "_lname", "_rank")
-    mixed_in = d.where(F.col("_mixed")).drop("_mixed", "_lname")
-    schema = simple.schema
-    mixed = mixed_in.groupBy("batch_id", "_family").applyInPandas(
-        lambda pdf: _sequential_names(pdf.sort_values("pos", kind="stable")), schema
-    )
-    return simple.unionByName(mixed).drop("_name")
+    ).drop("_rank")
+    mixed = _mixed_names(d.where(F.col("_mixed")))
+    drop = ("_name", "_stem", "_sfx", "_family", "_mixed", "_lname")
+    return simple.drop(*drop).unionByName(mixed.drop(*drop))
 
 
 def upload_candidates(uploads: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 import csv
 import glob
 import random
+
+import pytest
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from casegrid.operators.aggregate import outcome_counts, status_counts
-from casegrid.operators.names import _sequential_names, check_batches, stored_names
+from casegrid.operators.names import check_batches, stored_names
 from casegrid.operators.report import iso_utc, ordered_report, report_rows, with_base_names
 from casegrid.plans.triage import triage_rules
 from casegrid.schema import REPORT_COLUMNS
@@ -77,14 +79,18 @@ def test_manifest_has_no_secrets_and_null_usage(spark):
 
 
 def _brute(batch):
-    import pandas as pd
+    """The naming rule, stated sequentially."""
     from pathlib import PurePosixPath as P
 
-    pdf = pd.DataFrame({"_name": [n for _, n in batch]})
-    pdf["_stem"] = [P(n).stem for n in pdf["_name"]]
-    pdf["_sfx"] = [P(n).suffix for n in pdf["_name"]]
-    pdf["_family"] = ""
-    return list(_sequential_names(pdf)["stored_name"])
+    used, out = set(), []
+    for _, name in sorted(batch):
+        dest, i = name, 1
+        while dest.lower() in used:
+            dest = f"{P(name).stem}_{i}{P(name).suffix}"
+            i += 1
+        used.add(dest.lower())
+        out.append(dest)
+    return out
 
 
 def test_upload_names_match_sequential_rule(spark):
@@ -131,3 +137,24 @@ def test_upload_rank_spans_chunks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "batch_id int, pos int, filename string")
     got = [r.stored_name for r in N.stored_names(df).orderBy("pos").collect()]
     assert got == _brute([(p, n) for _, p, n in rows])
+
+
+@pytest.mark.parametrize("seed,chunk", [(11, 4), (23, 3), (5, 1 << 16)])
+def test_mixed_families_heavy_random(spark, monkeypatch, seed, chunk):
+    import casegrid.operators.names as N
+
+    monkeypatch.setattr(N, "RANK_CHUNK", chunk)
+    rnd = random.Random(seed)
+    pool = ["case.txt", "CASE.TXT", "case_1.txt", "case_2.txt", "case_1_1.txt", "case_1_2.txt",
+            "case_10.txt", "case_01.txt", "Case_3.Txt", "case_2_1.txt", "case.pdf", "case_1.pdf",
+            "x_1_1_1.docx", "x.docx", "x_1.docx", "x_1_1.docx"]
+    rows = []
+    for b in range(150):
+        positions = rnd.sample(range(0, 200), rnd.randint(1, 30))
+        for pos in positions:
+            rows.append((b, pos, rnd.choice(pool)))
+    df = spark.createDataFrame(rows, "batch_id int, pos int, filename string")
+    got = {(r.batch_id, r.pos): r.stored_name for r in stored_names(df).collect()}
+    for b in range(150):
+        batch = sorted((p, n) for bb, p, n in rows if bb == b)
+        assert [got[(b, p)] for p, _ in batch] == _brute(batch), batch
