@@ -204,11 +204,13 @@ def q_infer_repair(spark, sf_dir):
 def uploads_from_conversations(spark, sf_dir):
     """Upload batches derived from ``conversations``: one batch per
     conversation, one file per turn, named after the speaker's role with
-    varying case and type (so names collide within a batch)."""
+    varying case, type and a ``_1`` variant (so names collide within a
+    batch, including generated names against uploaded ones)."""
     c = load_table(spark, sf_dir, "conversations")
     name = (
-        F.when(F.col("turn") % 3 == 0, F.concat(F.col("role"), F.lit(".txt")))
-        .when(F.col("turn") % 3 == 1, F.concat(F.upper("role"), F.lit(".TXT")))
+        F.when(F.col("turn") % 4 == 0, F.concat(F.col("role"), F.lit(".txt")))
+        .when(F.col("turn") % 4 == 1, F.concat(F.upper("role"), F.lit(".TXT")))
+        .when(F.col("turn") % 4 == 2, F.concat(F.col("role"), F.lit("_1.txt")))
         .otherwise(F.concat(F.col("role"), F.lit(".docx")))
     )
     return c.select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("pos"),
@@ -290,6 +292,31 @@ def _case_json_cols() -> str:
     return ", ".join(out)
 
 
+# Upload names, stated as the sequential rule: a recursive CTE walks each
+# batch in upload order, carrying the set of names taken so far.
+_UPLOADS_SQL = f"""
+WITH RECURSIVE u AS (
+  SELECT conv_id AS batch_id, turn AS pos, text,
+    CASE WHEN turn % 4 = 0 THEN role || '.txt' WHEN turn % 4 = 1 THEN upper(role) || '.TXT'
+         WHEN turn % 4 = 2 THEN role || '_1.txt' ELSE role || '.docx' END AS filename
+  FROM conversations),
+n0 AS (SELECT *, {duck.suffix('filename')} AS sfx,
+         row_number() OVER (PARTITION BY batch_id ORDER BY pos) AS rn FROM u),
+n AS (SELECT *, left(filename, length(filename) - length(sfx)) AS stm FROM n0),
+steps AS (
+  SELECT batch_id, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS stored
+  FROM (SELECT DISTINCT batch_id FROM n)
+  UNION ALL
+  SELECT s.batch_id, s.rn + 1,
+    list_append(s.used, lower(list_filter(list_prepend(n.filename, list_transform(range(1, len(s.used) + 2),
+        lambda i: n.stm || '_' || CAST(i AS VARCHAR) || n.sfx)), lambda c: NOT list_contains(s.used, lower(c)))[1])),
+    list_filter(list_prepend(n.filename, list_transform(range(1, len(s.used) + 2),
+        lambda i: n.stm || '_' || CAST(i AS VARCHAR) || n.sfx)), lambda c: NOT list_contains(s.used, lower(c)))[1]
+  FROM steps s JOIN n ON n.batch_id = s.batch_id AND n.rn = s.rn + 1),
+named AS (
+  SELECT n.*, s.stored AS stored_name FROM steps s JOIN n ON s.batch_id = n.batch_id AND s.rn = n.rn)"""
+
+
 def oracle_sql() -> dict[str, str]:
     snorm = duck.normalize("text")
     return {
@@ -374,39 +401,14 @@ SELECT document_id,
        WHEN says_no THEN 'NOT_A_COMPLAINT'
        WHEN bad_summary THEN 'SUMMARY_GENERATION_ERROR' END AS error_code
 FROM scripted""".replace("\n, scripted AS", ", scripted AS", 1)),
-        "upload_names": f"""
-WITH u AS (
-  SELECT conv_id AS batch_id, turn AS pos,
-    CASE WHEN turn % 3 = 0 THEN role || '.txt' WHEN turn % 3 = 1 THEN upper(role) || '.TXT'
-         ELSE role || '.docx' END AS filename
-  FROM conversations),
-n AS (
-  SELECT *, row_number() OVER (PARTITION BY batch_id, lower(filename) ORDER BY pos) AS rn,
-    {duck.suffix('filename')} AS sfx
-  FROM u)
-SELECT batch_id, pos, filename,
-  CASE WHEN rn = 1 THEN filename
-       ELSE left(filename, length(filename) - length(sfx)) || '_' || CAST(rn - 1 AS VARCHAR) || sfx END AS stored_name
-FROM n""",
-        "upload_triage": f"""
-WITH u AS (
-  SELECT conv_id AS batch_id, turn AS pos, text,
-    CASE WHEN turn % 3 = 0 THEN role || '.txt' WHEN turn % 3 = 1 THEN upper(role) || '.TXT'
-         ELSE role || '.docx' END AS filename
-  FROM conversations),
-n AS (
-  SELECT *, row_number() OVER (PARTITION BY batch_id, lower(filename) ORDER BY pos) AS rn,
-    {duck.suffix('filename')} AS sfx
-  FROM u),
-s AS (
-  SELECT *, CASE WHEN rn = 1 THEN filename
-       ELSE left(filename, length(filename) - length(sfx)) || '_' || CAST(rn - 1 AS VARCHAR) || sfx END AS stored
-  FROM n),
+        "upload_names": _UPLOADS_SQL + """
+SELECT batch_id, pos, filename, stored_name FROM named""",
+        "upload_triage": _UPLOADS_SQL + f""",
 t AS (
-  SELECT *, {duck.document_id('stored', 'stored')} AS document_id,
-    CAST(batch_id AS VARCHAR) || '/' || stored AS source_file,
+  SELECT *, {duck.document_id('stored_name', 'stored_name')} AS document_id,
+    CAST(batch_id AS VARCHAR) || '/' || stored_name AS source_file,
     CASE WHEN lower(sfx) = '.docx' THEN NULL ELSE {duck.normalize('text')} END AS norm
-  FROM s),
+  FROM named),
 g AS (
   SELECT *, lower(norm) AS low, {duck.first_match('norm', EMAIL_RE)} AS found FROM t),
 c AS (
