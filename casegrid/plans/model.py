@@ -64,13 +64,23 @@ class ModelRun:
     run_id: str
     stage_dir: str
 
+    def cleanup(self) -> None:
+        """Delete this run's staged tables (after its results are written:
+        ``results`` and ``usage`` read from them lazily)."""
+        spark = self.results.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.stage_dir)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def _committed(spark: SparkSession, path: str) -> bool:
     """True if a write job committed ``path`` (its ``_SUCCESS`` marker exists)."""
-    jvm = spark._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(fs.exists(marker))
+    try:
+        jvm = spark._jvm
+        marker = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+        fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+        return bool(fs.exists(marker))
+    except AttributeError:  # no JVM handle: always recompute
+        return False
 
 
 def _stage(df: DataFrame, path: str) -> DataFrame:

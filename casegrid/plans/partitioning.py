@@ -21,7 +21,10 @@ def _scan_partitions(df: DataFrame) -> int | None:
 
     For an adaptive plan (one with exchanges) counting would execute its
     shuffle stages, so ``None`` is returned instead."""
-    plan = df._jdf.queryExecution().executedPlan()
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+    except AttributeError:  # no JVM handle (e.g. a Spark Connect session)
+        return None
     if plan.nodeName() == "AdaptiveSparkPlan":
         return None
     return plan.execute().getNumPartitions()
@@ -29,7 +32,10 @@ def _scan_partitions(df: DataFrame) -> int | None:
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Repartition round-robin only when ``df`` has too few partitions."""
-    target = min_partitions or target_partitions(df)
+    try:
+        target = min_partitions or target_partitions(df)
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): leave as is
+        return df
     n = _scan_partitions(df)
     if n is not None and n >= max(1, target // 2):
         return df
