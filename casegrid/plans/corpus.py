@@ -46,10 +46,17 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def complaint_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def complaint_corpus(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
     """Candidate frame: ``doc_id, document_id, source_file, rel_path, name,
-    suffix, text, read_error`` — one row per ``documents`` row."""
-    docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    suffix, text, read_error`` — one row per ``documents`` row.
+
+    ``with_text=False`` gives the ids and paths only (no text read, no
+    spreading: the work per row is small)."""
+    docs = load_table(spark, sf_dir, "documents")
+    if not with_text:
+        docs = docs.select("doc_id", "source", "lang", F.lit("").alias("text"))
+    else:
+        docs = spread(docs.select("doc_id", "source", "lang", "text"))
     slot = F.pmod(F.col("doc_id"), F.lit(10)).cast("int") + 1
     snippet = F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), slot)
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]),

@@ -155,7 +155,8 @@ def q_resume_skip(spark, sf_dir):
     """Documents with a ``labels`` row count as already published."""
     corpus = complaint_corpus(spark, sf_dir)
     labels = load_table(spark, sf_dir, "labels").select("doc_id")
-    published = corpus.join(labels, "doc_id", "left_semi").select("document_id")
+    ids = complaint_corpus(spark, sf_dir, with_text=False)
+    published = ids.join(labels, "doc_id", "left_semi").select("document_id")
     return triage_rules(corpus, published=published, started_at=RUN_STARTED,
                         completed_at=RUN_COMPLETED).select("document_id", "status", "error_code")
 
