@@ -70,25 +70,25 @@ def _dense_rank_by_pos(d: DataFrame, keys: list[str]) -> DataFrame:
 _CHILD = "^(.+)_([1-9][0-9]*)$"  # a stem the rule generates from its parent
 
 
-def _fold_family(pdf: pd.DataFrame) -> pd.DataFrame:
+def _fold_family(events: list[tuple]) -> list[tuple]:
     """Which first rows keep their name, and which child indices they claim.
 
-    One input row per distinct name of a mixed family (not per upload):
-    ``_slot`` (lower-case name), ``_pslot`` (the name it is generated from,
-    if any), ``_k`` (its index under that parent), ``_first`` (position of
-    its first row) and ``_before`` (rows named ``_pslot`` before it).
-    Parents are decided before children (a parent's name is shorter).
-    A child's first row keeps its name unless overflow rows of its parent
-    took that index first: the j-th overflow row of a parent takes the
-    j-th smallest index not yet claimed by a child's own first row."""
+    One event per distinct name of a mixed family (not per upload):
+    ``(slot, pslot, k, first, before)`` -- the lower-case name, the name it
+    is generated from (if any), its index under that parent, the position
+    of its first row and the number of rows named ``pslot`` before it.
+    Parents are decided before children (a parent's name is shorter).  A
+    child's first row keeps its name unless overflow rows of its parent
+    took that index first: the j-th overflow row of a parent takes the j-th
+    smallest index not yet claimed by a child's own first row."""
     from bisect import bisect_left, insort
 
-    first = dict(zip(pdf["_slot"], pdf["_first"]))
+    first = {slot: f for slot, _, _, f, _ in events}
     kids: dict[str, list] = {}
     keeps: dict[str, bool] = {}
-    for slot, pslot, k, f, before in zip(pdf["_slot"], pdf["_pslot"], pdf["_k"], pdf["_first"], pdf["_before"]):
-        if isinstance(pslot, str) and pslot in first:
-            kids.setdefault(pslot, []).append((int(f), None if pd.isna(k) else int(k), slot, int(before)))
+    for slot, pslot, k, f, before in events:
+        if pslot is not None and pslot in first:
+            kids.setdefault(pslot, []).append((f, k, slot, before))
         else:
             keeps[slot] = True  # nothing can overflow into it
     out = []
@@ -103,12 +103,28 @@ def _fold_family(pdf: pd.DataFrame) -> pd.DataFrame:
                     out.append(("claim", parent, f, k, None))
             else:
                 keeps[slot] = False
-    out += [("slot", slot, None, None, keep) for slot, keep in keeps.items()]
-    batch = pdf["batch_id"].iloc[0]
-    return pd.DataFrame(
-        [(batch, kind, slot, f, k, keep) for kind, slot, f, k, keep in out],
-        columns=["batch_id", "_kind", "_slot", "_f", "_k", "_keep"],
+    return out + [("slot", slot, None, None, keep) for slot, keep in keeps.items()]
+
+
+def _fold_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Fold every family in one hash bucket (one Python call per bucket,
+    not per family: per-group calls cost more than the fold itself)."""
+    from itertools import groupby
+
+    def opt_int(x):
+        return None if pd.isna(x) else int(x)
+
+    recs = sorted(
+        zip(pdf["batch_id"], pdf["_family"], pdf["_slot"], pdf["_pslot"], pdf["_k"], pdf["_first"],
+            pdf["_before"]),
+        key=lambda r: (r[0], r[1]),
     )
+    rows: list[tuple] = []
+    for (batch, _fam), grp in groupby(recs, key=lambda r: (r[0], r[1])):
+        events = [(slot, pslot if isinstance(pslot, str) else None, opt_int(k), int(f), int(before))
+                  for _, _, slot, pslot, k, f, before in grp]
+        rows.extend((batch, *r) for r in _fold_family(events))
+    return pd.DataFrame(rows, columns=["batch_id", "_kind", "_slot", "_f", "_k", "_keep"])
 
 
 def _rows_before(rows: DataFrame, markers: DataFrame) -> DataFrame:
@@ -156,9 +172,13 @@ def _mixed_names(d: DataFrame) -> DataFrame:
     )
     events = events.join(before, ["batch_id", "_slot"], "left").withColumn(
         "_before", F.coalesce("_before", F.lit(0)))
-    folded = events.groupBy("batch_id", "_family").applyInPandas(
-        _fold_family, "batch_id " + dict(d.dtypes)["batch_id"]
-        + ", _kind string, _slot string, _f bigint, _k bigint, _keep boolean")
+    buckets = max(1, d.sparkSession.sparkContext.defaultParallelism * 4)
+    folded = (
+        events.withColumn("_bucket", F.pmod(F.hash("batch_id", "_family"), F.lit(buckets)))
+        .groupBy("_bucket")
+        .applyInPandas(_fold_bucket, "batch_id " + dict(d.dtypes)["batch_id"]
+                       + ", _kind string, _slot string, _f bigint, _k bigint, _keep boolean")
+    )
     keeps = folded.where(F.col("_kind") == "slot").select("batch_id", "_slot", "_keep")
     claims = folded.where(F.col("_kind") == "claim").groupBy("batch_id", "_slot").agg(
         F.collect_list(F.struct("_f", "_k")).alias("_claims"))
