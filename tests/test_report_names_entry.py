@@ -158,3 +158,32 @@ def test_mixed_families_heavy_random(spark, monkeypatch, seed, chunk):
     for b in range(150):
         batch = sorted((p, n) for bb, p, n in rows if bb == b)
         assert [got[(b, p)] for p, _ in batch] == _brute(batch), batch
+
+
+def test_empty_report_still_has_header(spark, tmp_path):
+    out = str(tmp_path / "empty_report")
+    write_report_csv(report_rows(_results(spark).where("false")), out, single_file=True)
+    text = "".join(open(f, encoding="utf-8").read() for f in glob.glob(out + "/*.csv"))
+    assert text.splitlines()[0] == ",".join(REPORT_COLUMNS)
+
+
+def test_status_messages_and_transient_kinds():
+    from casegrid.operators.infer import ProviderError, status_message
+
+    assert "403" in status_message(403) and "rate limit" in status_message(429)
+    assert status_message(500).endswith("(500)") and status_message(None).endswith("failed")
+    assert ProviderError("x", status=503).transient and ProviderError("x", kind="timeout").transient
+    assert not ProviderError("x", status=401).transient
+
+
+def test_run_timing(spark):
+    from casegrid.operators.aggregate import run_timing
+
+    t0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    t1 = datetime(2026, 1, 1, 0, 0, 2, tzinfo=timezone.utc)
+    res = triage_rules(spark.createDataFrame([("a", "x/a.txt", ".txt", "order late", None)],
+                                             "document_id string, source_file string, suffix string, "
+                                             "text string, read_error string"),
+                       started_at=t0, completed_at=t1)
+    r = run_timing(res).first()
+    assert r.max_duration_ms == 2000 and r.total_duration_ms == 2000
