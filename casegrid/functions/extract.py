@@ -21,6 +21,8 @@ from casegrid.functions.regex import DIGIT, FOLDED_LETTERS, SPACE, ci_literal
 from casegrid.functions.scope import out_of_scope
 from casegrid.functions.text import contains_any, strip
 
+# EMAIL_PATTERN / PHONE_PATTERN / NAME_PATTERN (patterns.py) in a form that
+# Java regex and RE2 read the same way as Python does.
 # First e-mail-like token, matched case-insensitively.
 _LOCAL_CHARS = f"[{FOLDED_LETTERS}0-9._%+\\-]"
 EMAIL_RE = f"{_LOCAL_CHARS}+@[{FOLDED_LETTERS}0-9.\\-]+\\.[{FOLDED_LETTERS}]{{2,}}"

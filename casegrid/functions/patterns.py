@@ -64,4 +64,14 @@ SUMMARY_HEADINGS = ("## Overview", "## Issue", "## Action", "## Status", "## Nex
 
 # Special-use domain names an e-mail address may not end in.
 SPECIAL_USE_DOMAINS = ("arpa", "invalid", "local", "localhost", "onion", "test")
+
+# Contact patterns, as Python regular expressions (Unicode str semantics).
+EMAIL_PATTERN = r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"  # case-insensitive
+PHONE_PATTERN = r"\+\d[\d\- ]{8,}\d"
+NAME_PATTERN = r"(?:customer|from)\s*:\s*([A-Za-z][A-Za-z .'-]{1,80})"  # case-insensitive
 # --------------------------------------------------------------------------
+# The Spark plan cannot use these strings as they are: Python's \d and \s
+# are Unicode-aware and its case-insensitive matching folds four non-ASCII
+# letters onto ASCII ones, while Java regex and RE2 differ on both.
+# functions/extract.py spells the same patterns out with explicit classes
+# (functions/regex.py); tests compare the two forms on edge strings.

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from casegrid.functions.extract import email_is_valid, normalize_email
 from casegrid.functions.patterns import EMAIL_SUBJECT_PREFIX, SUMMARY_HEADINGS
 from casegrid.functions.text import strip
-from casegrid.schema import CASE_FIELDS, CASE_STATUSES, CATEGORIES, STRUCTURED_OUTPUT_VALIDATION_ERROR
+from casegrid.schema import (
+    CASE_FIELDS,
+    CASE_INVALID_MESSAGE,
+    CASE_STATUSES,
+    CATEGORIES,
+    EMPTY_CONTENT_MESSAGE,
+    INVALID_JSON_MESSAGE,
+    STRUCTURED_OUTPUT_VALIDATION_ERROR,
+)
 
 # Line breaks as Python's str.splitlines() sees them.
 _BREAK_CHARS = "\\n\\r\\x{0B}\\x{0C}\\x{1C}-\\x{1E}\\x{85}\\x{2028}\\x{2029}"
@@ -126,9 +134,9 @@ def validate_case_json(df: DataFrame, content: str, out: str) -> DataFrame:
     good = ~blank & F.col("_pj_obj") & fields_ok
     case = F.struct(*[F.col(f"_pj_v_{k}").alias(k) for k in CASE_FIELDS])
     message = (
-        F.when(blank, F.lit("Provider returned empty content"))
-        .when(~F.col("_pj_obj"), F.lit("Provider returned invalid JSON"))
-        .when(~fields_ok, F.lit("Provider JSON failed case validation"))
+        F.when(blank, F.lit(EMPTY_CONTENT_MESSAGE))
+        .when(~F.col("_pj_obj"), F.lit(INVALID_JSON_MESSAGE))
+        .when(~fields_ok, F.lit(CASE_INVALID_MESSAGE))
     )
     d = d.withColumn(out, F.struct(
         F.when(good, case).alias("case"),

@@ -39,9 +39,13 @@ from casegrid.plans.partitioning import spread
 from casegrid.plans.triage import JSON_OPTIONS, add_draft_checks, fence, finish, gate
 from casegrid.schema import (
     CASE_TYPE,
+    EMAIL_EMPTY_MESSAGE,
+    EMAIL_FAILED_MESSAGE,
     EMAIL_GENERATION_ERROR,
     LLM_PROVIDER_ERROR,
     STRUCTURED_OUTPUT_VALIDATION_ERROR,
+    SUMMARY_EMPTY_MESSAGE,
+    SUMMARY_FAILED_PREFIX,
     SUMMARY_GENERATION_ERROR,
     UNEXPECTED_PROVIDER_MESSAGE,
 )
@@ -193,12 +197,12 @@ def draft_pass(cases: DataFrame, factory: ProviderFactory, *, stage: str,
         F.when(~email_fail, F.col("email_content")).alias("customer_email"),
         F.when(~summary_fail, F.col("summary_content")).alias("case_summary"),
         F.when(email_fail | blank("email_content"), F.lit(EMAIL_GENERATION_ERROR)).alias("_email_error"),
-        F.when(email_fail, F.lit("Customer email generation failed"))
-        .when(blank("email_content"), F.lit("Customer email generation returned empty text"))
+        F.when(email_fail, F.lit(EMAIL_FAILED_MESSAGE))
+        .when(blank("email_content"), F.lit(EMAIL_EMPTY_MESSAGE))
         .alias("_email_message"),
         F.when(summary_fail | blank("summary_content"), F.lit(SUMMARY_GENERATION_ERROR)).alias("_summary_error"),
-        F.when(summary_fail, F.concat(F.lit("Case summary generation failed: "), F.col("summary_message")))
-        .when(blank("summary_content"), F.lit("Case summary generation returned empty text"))
+        F.when(summary_fail, F.concat(F.lit(SUMMARY_FAILED_PREFIX), F.col("summary_message")))
+        .when(blank("summary_content"), F.lit(SUMMARY_EMPTY_MESSAGE))
         .alias("_summary_message"),
     )
     return drafted, usage

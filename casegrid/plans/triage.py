@@ -29,6 +29,7 @@ from casegrid.schema import (
     ARTIFACTS_EXIST,
     ARTIFACTS_EXIST_MESSAGE,
     CASE_TYPE,
+    EMAIL_DRAFT_BAD_MESSAGE,
     EMAIL_GENERATION_ERROR,
     EMPTY_DOCUMENT,
     EMPTY_OR_SCANNED_PDF,
@@ -37,15 +38,13 @@ from casegrid.schema import (
     NOT_A_COMPLAINT,
     NOT_A_COMPLAINT_MESSAGE,
     SUCCESS,
+    SUMMARY_DRAFT_BAD_MESSAGE,
     SUMMARY_GENERATION_ERROR,
     SUPPORTED_SUFFIXES,
     UNEXPECTED_PROVIDER_MESSAGE,
     UNSUPPORTED_FILE_TYPE,
 )
 
-EMAIL_DRAFT_BAD_MESSAGE = "Customer email must start with a '# Subject:' heading and have a body"
-SUMMARY_DRAFT_BAD_MESSAGE = "Case summary is missing one of: overview, issue, action, status, next action"
-
 JSON_OPTIONS = {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"}
 
 

@@ -36,12 +36,26 @@ NOT_A_COMPLAINT = "NOT_A_COMPLAINT"
 ARTIFACTS_EXIST = "ARTIFACTS_EXIST"
 DOCUMENT_PROCESS_ERROR = "DOCUMENT_PROCESS_ERROR"
 
+# --- error messages ----------------------------------------------------------
+# These texts appear in results as upstream reports them.
+UNEXPECTED_PROVIDER_MESSAGE = "Unexpected provider failure"
+EMAIL_FAILED_MESSAGE = "Customer email generation failed"
+EMAIL_EMPTY_MESSAGE = "Customer email generation returned empty text"
+SUMMARY_FAILED_PREFIX = "Case summary generation failed: "
+SUMMARY_EMPTY_MESSAGE = "Case summary generation returned empty text"
+SUMMARY_DRAFT_BAD_MESSAGE = "Case summary is missing one of: overview, issue, action, status, next action"
+EMPTY_CONTENT_MESSAGE = "Provider returned empty content"
+INVALID_JSON_MESSAGE = "Provider returned invalid JSON"
+# Our own wording (the code is what identifies the outcome).
 NOT_A_COMPLAINT_MESSAGE = (
     "Skipped: the file is not a customer complaint. Only complaint cases are "
     "extracted, and instructions found inside documents are never followed."
 )
 ARTIFACTS_EXIST_MESSAGE = "Artifacts for this document already exist; run with overwrite"
-UNEXPECTED_PROVIDER_MESSAGE = "Unexpected provider failure"
+EMAIL_DRAFT_BAD_MESSAGE = "Customer email must start with a '# Subject:' heading and have a body"
+CASE_INVALID_MESSAGE = "Provider JSON failed case validation"
+NO_PDF_DECODER_MESSAGE = "no decoder for .pdf"
+# ------------------------------------------------------------------------------
 
 # code -> (status, stage). Stage orders the gates of the pipeline.
 ERROR_CODES: dict[str, tuple[str, str]] = {

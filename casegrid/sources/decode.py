@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegrid.functions.text import decode_utf8
-from casegrid.schema import DOCUMENT_READ_ERROR
+from casegrid.schema import DOCUMENT_READ_ERROR, NO_PDF_DECODER_MESSAGE
 
 PdfDecoder = Callable[[bytes], list[str]]
 
@@ -86,7 +86,7 @@ def _parse_job(df: DataFrame, parse: Callable[[bytes], str] | None, what: str) -
                     continue
                 if parse is None:
                     texts.append(None), codes.append(DOCUMENT_READ_ERROR)
-                    msgs.append(f"no decoder for {what}")
+                    msgs.append(NO_PDF_DECODER_MESSAGE if what == ".pdf" else f"no decoder for {what}")
                     continue
                 try:
                     texts.append(parse(bytes(data))), codes.append(None), msgs.append(None)
