@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 
 from casegrid.schema import DOCUMENT_READ_ERROR
 
+MAX_BATCH_BYTES = 64 << 20  # bytes of file content per output batch
+MAX_BATCH_ROWS = 1024
+
 
 def _read_file(path: str) -> tuple[bytes | None, str | None]:
     try:
@@ -41,19 +44,28 @@ def _out_schema(df: DataFrame) -> T.StructType:
     ])
 
 
-def read_in_tasks(listed: DataFrame, path_col: str = "source_file") -> DataFrame:
-    """Attach bytes by reading each path inside the executor task."""
+def read_in_tasks(listed: DataFrame, path_col: str = "source_file", *,
+                  max_rows: int = MAX_BATCH_ROWS, max_bytes: int = MAX_BATCH_BYTES) -> DataFrame:
+    """Attach bytes by reading each path inside the executor task.  Output
+    batches hold at most ``max_rows`` files or about ``max_bytes`` bytes."""
     schema = _out_schema(listed)
     keep = [f.name for f in schema.fields if f.name not in ("content", "read_error", "read_message")]
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [_read_file(p) for p in pdf[path_col]]
-            out = pdf[keep].copy()
-            out["content"] = [g[0] for g in got]
-            out["read_error"] = [None if g[1] is None else DOCUMENT_READ_ERROR for g in got]
-            out["read_message"] = None  # the message of a read failure is its code
-            yield out
+            start, size = 0, 0
+            got = []
+            for i, path in enumerate(pdf[path_col]):
+                got.append(_read_file(path))
+                size += len(got[-1][0] or b"")
+                # keep output batches bounded: file bytes, not paths, dominate
+                if size >= max_bytes or len(got) >= max_rows or i == len(pdf) - 1:
+                    out = pdf[keep].iloc[start:i + 1].copy()
+                    out["content"] = [g[0] for g in got]
+                    out["read_error"] = [None if g[1] is None else DOCUMENT_READ_ERROR for g in got]
+                    out["read_message"] = None  # the message of a read failure is its code
+                    yield out
+                    start, size, got = i + 1, 0, []
 
     return listed.mapInPandas(fn, schema)
 

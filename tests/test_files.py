@@ -180,3 +180,15 @@ def test_listing_wide_tree_matches_walk(spark, tmp_path):
     )
     got = [r.rel_path for r in listed_documents(spark, root).collect()]
     assert sorted(got) == expect and len(got) == len(set(got))
+
+
+def test_task_read_in_small_batches(spark, tmp_path):
+    from casegrid.sources.content import read_in_tasks
+
+    root = str(tmp_path / "many")
+    for i in range(7):
+        write(root, f"f{i}.txt", "x" * (i + 1))
+    write(root, "zero.txt", "")
+    got = {r.name: (len(r.content), r.read_error) for r in
+           read_in_tasks(listed_documents(spark, root), max_rows=2, max_bytes=3).collect()}
+    assert got == {**{f"f{i}.txt": (i + 1, None) for i in range(7)}, "zero.txt": (0, None)}
