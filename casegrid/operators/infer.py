@@ -10,7 +10,9 @@ provider once per task named in ``tasks`` (the prompts are columns
 ``prompt_<task>``), concurrently within the row when there are several
 (an email and a summary overlap), with bounded transport retries for
 transient failures.  It never raises for a row: each call yields content
-or an error kind, plus token usage.
+or an error kind, plus token usage.  The provider instance is shared by the
+``concurrency`` threads of its task, so it must be thread-safe (or use
+``concurrency=1``).
 """
 
 from __future__ import annotations
