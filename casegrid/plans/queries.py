@@ -234,6 +234,14 @@ def q_upload_triage(spark, sf_dir):
     return res.select("document_id", "source_file", "status", "error_code")
 
 
+def q_ingest_summary(spark, sf_dir):
+    """S7 over the corpus: ingest outcome and normalised length per file."""
+    from casegrid.sources.files import ingest_rows
+
+    return ingest_rows(complaint_corpus(spark, sf_dir)).select("source_file", "status", "error_code",
+                                                               "char_count")
+
+
 QUERIES = {
     "triage_summary": q_triage_summary,
     "normalize_text": q_normalize_text,
@@ -257,6 +265,7 @@ QUERIES = {
     "infer_repair": q_infer_repair,
     "upload_names": q_upload_names,
     "upload_triage": q_upload_triage,
+    "ingest_summary": q_ingest_summary,
 }
 
 
@@ -422,6 +431,23 @@ c AS (
 SELECT document_id, source_file,
   CASE WHEN error_code IS NULL THEN 'success' WHEN error_code = 'NOT_A_COMPLAINT' THEN 'skipped'
        ELSE 'failed' END AS status, error_code
+FROM c""",
+        "ingest_summary": "WITH " + duck.corpus_cte() + f""",
+i AS (
+  SELECT source_file, lower(suffix) AS sfx,
+    CASE WHEN lower(suffix) IN ('.txt', '.pdf', '.docx') THEN {snorm} END AS norm
+  FROM corpus),
+c AS (
+  SELECT source_file,
+    CASE WHEN sfx NOT IN ('.txt', '.pdf', '.docx') THEN 'UNSUPPORTED_FILE_TYPE'
+         WHEN norm = '' THEN CASE WHEN sfx = '.pdf' THEN 'EMPTY_OR_SCANNED_PDF' ELSE 'EMPTY_DOCUMENT' END
+    END AS error_code, norm
+  FROM i)
+SELECT source_file,
+  CASE WHEN error_code = 'UNSUPPORTED_FILE_TYPE' THEN 'skipped' WHEN error_code IS NOT NULL THEN 'failed'
+       ELSE 'extracted' END AS status,
+  error_code,
+  CAST(CASE WHEN error_code IS NULL THEN length(norm) END AS BIGINT) AS char_count
 FROM c""",
         "usage_totals": """
 WITH calls AS (

@@ -53,13 +53,12 @@ def file_candidates(spark: SparkSession, root: str, *, published: DataFrame | No
     return decoded.select(*CANDIDATE_COLUMNS).unionByName(skipped.select(*CANDIDATE_COLUMNS))
 
 
-def ingest_directory(spark: SparkSession, root: str, *, pdf_decoder: PdfDecoder | None = None) -> DataFrame:
-    """Ingest only (S7): ``source_file, status, error_code, char_count, text``
-    with status ``skipped`` / ``failed`` / ``extracted``.  Unordered; sort
-    a narrow projection by ``source_file`` if an order is needed."""
-    c = file_candidates(spark, root, pdf_decoder=pdf_decoder)
+def ingest_rows(c: DataFrame) -> DataFrame:
+    """Ingest-only outcome per candidate row (S7): ``source_file, status,
+    error_code, char_count, text`` with status ``skipped`` / ``failed`` /
+    ``extracted`` and ``char_count`` in code points of the normalised text."""
     sfx = F.lower(F.col("suffix"))
-    text = F.when(F.col("read_error").isNull(), normalize(F.col("text")))
+    text = F.when(sfx.isin(*SUPPORTED_SUFFIXES) & F.col("read_error").isNull(), normalize(F.col("text")))
     c = c.withColumn("text", text)
     code = (
         F.when(~sfx.isin(*SUPPORTED_SUFFIXES), F.lit("UNSUPPORTED_FILE_TYPE"))
@@ -78,3 +77,9 @@ def ingest_directory(spark: SparkSession, root: str, *, pdf_decoder: PdfDecoder
         F.when(ok, F.length("text").cast("bigint")).alias("char_count"),
         F.when(ok, F.col("text")).alias("text"),
     )
+
+
+def ingest_directory(spark: SparkSession, root: str, *, pdf_decoder: PdfDecoder | None = None) -> DataFrame:
+    """Ingest only (S7) for a directory.  Unordered; sort a narrow
+    projection by ``source_file`` if an order is needed."""
+    return ingest_rows(file_candidates(spark, root, pdf_decoder=pdf_decoder))
