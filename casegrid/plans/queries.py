@@ -242,6 +242,27 @@ def q_ingest_summary(spark, sf_dir):
                                                                "char_count")
 
 
+RUN_CONFIG = {"llm_provider": "rules", "model_name": None, "max_llm_attempts": 2,
+              "max_document_workers": 4, "input_dir": "inbox", "output_dir": "out", "overwrite": False}
+
+
+def q_manifest_header(spark, sf_dir):
+    """K6: the one-row run manifest of the rule-based run over the corpus
+    (rule runs make no model calls, so token usage is null)."""
+    from casegrid.sinks.publish import manifest_frame
+
+    m = manifest_frame(spark, _results(spark, sf_dir), None, started_at=RUN_STARTED,
+                       completed_at=RUN_COMPLETED, config=RUN_CONFIG, report_path="out/final_report.csv")
+    return m.select(
+        "started_at", "completed_at", "report_path",
+        F.col("config.llm_provider").alias("llm_provider"),
+        F.col("config.max_llm_attempts").cast("bigint").alias("max_llm_attempts"),
+        F.col("config.overwrite").alias("overwrite"),
+        "counts.discovered", "counts.successful", "counts.failed", "counts.skipped",
+        F.col("token_usage.calls").alias("token_calls"),
+    )
+
+
 QUERIES = {
     "triage_summary": q_triage_summary,
     "normalize_text": q_normalize_text,
@@ -266,6 +287,7 @@ QUERIES = {
     "upload_names": q_upload_names,
     "upload_triage": q_upload_triage,
     "ingest_summary": q_ingest_summary,
+    "manifest_header": q_manifest_header,
 }
 
 
@@ -449,6 +471,14 @@ SELECT source_file,
   error_code,
   CAST(CASE WHEN error_code IS NULL THEN length(norm) END AS BIGINT) AS char_count
 FROM c""",
+        "manifest_header": _with(
+            "SELECT '2026-01-01T00:00:00+00:00' AS started_at, "
+            f"'{RUN_COMPLETED_ISO}' AS completed_at, 'out/final_report.csv' AS report_path, "
+            "'rules' AS llm_provider, CAST(2 AS BIGINT) AS max_llm_attempts, false AS overwrite, "
+            "count(*) AS discovered, count(*) FILTER (WHERE status = 'success') AS successful, "
+            "count(*) FILTER (WHERE status NOT IN ('success', 'skipped')) AS failed, "
+            "count(*) FILTER (WHERE status = 'skipped') AS skipped, "
+            "CAST(NULL AS BIGINT) AS token_calls FROM results"),
         "usage_totals": """
 WITH calls AS (
   SELECT event_type AS run_id,
