@@ -263,6 +263,54 @@ def q_manifest_header(spark, sf_dir):
     )
 
 
+def model_outputs_from_documents(spark, sf_dir):
+    """Model replies derived from ``documents``: one JSON reply per row, in
+    one of twelve shapes chosen by ``doc_id % 12`` (valid, explicit nulls,
+    bad enum, bad e-mail, missing or numeric issue, not JSON, null enum,
+    extra key with lax booleans, trailing text, an array, a bad boolean).
+    The issue text is the whole document text."""
+    d = load_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    t, k = F.col("text"), F.pmod(F.col("doc_id"), F.lit(12))
+    yes, no = F.lit(True), F.lit(False)
+    opts = {"ignoreNullFields": "false"}
+
+    def js(*cols):
+        return F.to_json(F.struct(*cols), opts)
+
+    base = [t.alias("issue_description"), yes.alias("is_complaint"), no.alias("escalation_required"),
+            yes.alias("supporting_document_available")]
+    null_s = F.lit(None).cast("string")
+    content = (
+        F.when(k == 0, js(*base, F.lit("billing").alias("complaint_category"),
+                          F.lit("Ann@Example.COM").alias("email")))
+        .when(k == 1, js(*base, null_s.alias("customer_name"), null_s.alias("email"),
+                         null_s.alias("phone_number"), F.lit("open").alias("overall_case_status")))
+        .when(k == 2, js(*base, F.lit("furniture").alias("complaint_category")))
+        .when(k == 3, js(*base, F.lit("not-an-email").alias("email")))
+        .when(k == 4, js(*base[1:]))
+        .when(k == 5, js(F.lit(5).alias("issue_description"), *base[1:]))
+        .when(k == 6, F.concat(F.lit("not json "), F.col("source")))
+        .when(k == 7, js(*base, null_s.alias("complaint_category")))
+        .when(k == 8, js(t.alias("issue_description"), F.lit("yes").alias("is_complaint"),
+                         F.lit(0).alias("escalation_required"), F.lit("OFF").alias("supporting_document_available"),
+                         F.lit(1).alias("extra_field")))
+        .when(k == 9, F.concat(js(*base), F.lit(" trailing")))
+        .when(k == 10, F.lit("[1, 2]"))
+        .otherwise(js(t.alias("issue_description"), F.lit(2).alias("is_complaint"), no.alias("escalation_required"),
+                      no.alias("supporting_document_available")))
+    )
+    return d.select("doc_id", content.alias("content"))
+
+
+def q_case_validate(spark, sf_dir):
+    """Validate model replies against the case schema."""
+    from casegrid.functions.validate import validate_case_json
+
+    v = validate_case_json(model_outputs_from_documents(spark, sf_dir), "content", "v")
+    return v.select("doc_id", F.col("v.error_code").alias("error_code"),
+                    *[F.col("v.case")[c].alias(c) for c in CASE_COLS])
+
+
 QUERIES = {
     "triage_summary": q_triage_summary,
     "normalize_text": q_normalize_text,
@@ -288,6 +336,7 @@ QUERIES = {
     "upload_triage": q_upload_triage,
     "ingest_summary": q_ingest_summary,
     "manifest_header": q_manifest_header,
+    "case_validate": q_case_validate,
 }
 
 
@@ -349,6 +398,87 @@ named AS (
   SELECT n.*, s.stored AS stored_name FROM steps s JOIN n ON s.batch_id = n.batch_id AND s.rn = n.rn)"""
 
 
+def _case_validate_sql() -> str:
+    from casegrid.schema import CASE_STATUSES, CATEGORIES
+
+    def t(f):
+        return f"json_type(jc, '$.{f}')"
+
+    def v(f):
+        return f"json_extract_string(jc, '$.{f}')"
+
+    cats = ", ".join(duck.q(c) for c in CATEGORIES)
+    stats = ", ".join(duck.q(c) for c in CASE_STATUSES)
+    truthy = "('1', 'on', 't', 'true', 'y', 'yes')"
+    falsy = "('0', 'off', 'f', 'false', 'n', 'no')"
+
+    def boolean(f):
+        return (f"CASE WHEN {t(f)} = 'BOOLEAN' THEN {v(f)} = 'true' "
+                f"WHEN {t(f)} IN ('UBIGINT', 'BIGINT') AND {v(f)} IN ('0', '1') THEN {v(f)} = '1' "
+                f"WHEN {t(f)} = 'VARCHAR' AND lower({v(f)}) IN {truthy} THEN true "
+                f"WHEN {t(f)} = 'VARCHAR' AND lower({v(f)}) IN {falsy} THEN false END")
+
+    def opt_str(f):
+        return f"({t(f)} IS NULL OR {t(f)} IN ('NULL', 'VARCHAR'))"
+
+    email = v("email")
+    checks = " AND ".join([
+        opt_str("customer_name"), opt_str("phone_number"), opt_str("resolution_provided"),
+        f"({opt_str('email')} AND ({t('email')} IS DISTINCT FROM 'VARCHAR' OR {duck.email_is_valid(email)}))",
+        f"{t('issue_description')} = 'VARCHAR'",
+        f"({t('complaint_category')} IS NULL OR ({t('complaint_category')} = 'VARCHAR' AND {v('complaint_category')} IN ({cats})))",
+        f"({t('overall_case_status')} IS NULL OR ({t('overall_case_status')} = 'VARCHAR' AND {v('overall_case_status')} IN ({stats})))",
+        *[f"({boolean(b)}) IS NOT NULL" for b in ("is_complaint", "escalation_required", "supporting_document_available")],
+    ])
+    obj = ("(jc IS NOT NULL AND regexp_matches(content, '(?s)^[ \\t\\n\\r]*\\{.*\\}[ \\t\\n\\r]*$') "
+           "AND json_type(jc) = 'OBJECT')")
+    fields = {
+        "customer_name": f"CASE WHEN {t('customer_name')} = 'VARCHAR' THEN {v('customer_name')} END",
+        "email": f"CASE WHEN {t('email')} = 'VARCHAR' THEN {duck.normalize_email(email)} END",
+        "phone_number": f"CASE WHEN {t('phone_number')} = 'VARCHAR' THEN {v('phone_number')} END",
+        "complaint_category": f"coalesce({v('complaint_category')}, 'unknown')",
+        "issue_description": v("issue_description"),
+        "resolution_provided": f"CASE WHEN {t('resolution_provided')} = 'VARCHAR' THEN {v('resolution_provided')} END",
+        "is_complaint": boolean("is_complaint"),
+        "escalation_required": boolean("escalation_required"),
+        "supporting_document_available": boolean("supporting_document_available"),
+        "overall_case_status": f"coalesce({v('overall_case_status')}, 'unknown')",
+    }
+    cols = ", ".join(f"CASE WHEN good THEN {expr} END AS {name}" for name, expr in fields.items())
+    content = """CASE ((doc_id % 12) + 12) % 12
+      WHEN 0 THEN json_object('issue_description', text, 'is_complaint', true, 'escalation_required', false,
+                              'supporting_document_available', true, 'complaint_category', 'billing',
+                              'email', 'Ann@Example.COM')::VARCHAR
+      WHEN 1 THEN json_object('issue_description', text, 'is_complaint', true, 'escalation_required', false,
+                              'supporting_document_available', true, 'customer_name', NULL, 'email', NULL,
+                              'phone_number', NULL, 'overall_case_status', 'open')::VARCHAR
+      WHEN 2 THEN json_object('issue_description', text, 'is_complaint', true, 'escalation_required', false,
+                              'supporting_document_available', true, 'complaint_category', 'furniture')::VARCHAR
+      WHEN 3 THEN json_object('issue_description', text, 'is_complaint', true, 'escalation_required', false,
+                              'supporting_document_available', true, 'email', 'not-an-email')::VARCHAR
+      WHEN 4 THEN json_object('is_complaint', true, 'escalation_required', false,
+                              'supporting_document_available', true)::VARCHAR
+      WHEN 5 THEN json_object('issue_description', 5, 'is_complaint', true, 'escalation_required', false,
+                              'supporting_document_available', true)::VARCHAR
+      WHEN 6 THEN 'not json ' || source
+      WHEN 7 THEN json_object('issue_description', text, 'is_complaint', true, 'escalation_required', false,
+                              'supporting_document_available', true, 'complaint_category', NULL)::VARCHAR
+      WHEN 8 THEN json_object('issue_description', text, 'is_complaint', 'yes', 'escalation_required', 0,
+                              'supporting_document_available', 'OFF', 'extra_field', 1)::VARCHAR
+      WHEN 9 THEN json_object('issue_description', text, 'is_complaint', true, 'escalation_required', false,
+                              'supporting_document_available', true)::VARCHAR || ' trailing'
+      WHEN 10 THEN '[1, 2]'
+      ELSE json_object('issue_description', text, 'is_complaint', 2, 'escalation_required', false,
+                       'supporting_document_available', false)::VARCHAR END"""
+    blank = f"(content IS NULL OR {duck.strip('content')} = '')"
+    return f"""
+WITH r AS (SELECT doc_id, {content} AS content FROM documents),
+r2 AS (SELECT doc_id, content, CASE WHEN json_valid(content) THEN content END AS jc FROM r),
+g AS (SELECT doc_id, content, jc, coalesce(NOT {blank} AND {obj} AND {checks}, false) AS good FROM r2)
+SELECT doc_id, CASE WHEN good THEN NULL ELSE 'STRUCTURED_OUTPUT_VALIDATION_ERROR' END AS error_code, {cols}
+FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
     snorm = duck.normalize("text")
     return {
@@ -479,6 +609,7 @@ FROM c""",
             "count(*) FILTER (WHERE status NOT IN ('success', 'skipped')) AS failed, "
             "count(*) FILTER (WHERE status = 'skipped') AS skipped, "
             "CAST(NULL AS BIGINT) AS token_calls FROM results"),
+        "case_validate": _case_validate_sql(),
         "usage_totals": """
 WITH calls AS (
   SELECT event_type AS run_id,
