@@ -56,7 +56,7 @@ def complaint_corpus(spark: SparkSession, sf_dir: str, with_text: bool = True) -
     if not with_text:
         docs = docs.select("doc_id", "source", "lang", F.lit("").alias("text"))
     else:
-        docs = spread(docs.select("doc_id", "source", "lang", "text"))
+        docs = spread(docs.select("doc_id", "source", "lang", "text"), "doc_id")
     slot = F.pmod(F.col("doc_id"), F.lit(10)).cast("int") + 1
     snippet = F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), slot)
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]),

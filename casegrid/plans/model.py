@@ -135,7 +135,7 @@ def extraction_passes(candidates: DataFrame, factory: ProviderFactory, *, max_at
         )
         if waits is not None:
             prompts = prompts.join(waits, "document_id", "left")
-        prompts = prompts.repartition(partitions) if partitions else spread(prompts)
+        prompts = prompts.repartition(partitions) if partitions else spread(prompts, "document_id")
         out = _stage(infer(prompts, factory, ("extract",), sleep=sleep, concurrency=concurrency),
                      f"{stage}/extract_{k}")
         usage.append(_usage(out, "extract", F.lit(k)))
@@ -182,7 +182,7 @@ def draft_pass(cases: DataFrame, factory: ProviderFactory, *, stage: str,
         D.case_prompt(case_json, EMAIL_INSTRUCTION).alias("prompt_email"),
         D.case_prompt(case_json, SUMMARY_INSTRUCTION).alias("prompt_summary"),
     )
-    prompts = prompts.repartition(partitions) if partitions else spread(prompts)
+    prompts = prompts.repartition(partitions) if partitions else spread(prompts, "document_id")
     out = _stage(infer(prompts, factory, ("email", "summary"), sleep=sleep, concurrency=concurrency),
                  f"{stage}/drafts")
     usage = _usage(out, "email", F.lit(1)).unionByName(_usage(out, "summary", F.lit(1)))

@@ -2,7 +2,7 @@
 
 Text triage costs far more CPU per row than moving the row, so a scan that
 yields fewer partitions than the cluster has cores (one big row group, a
-few compacted files) is spread with a round-robin ``repartition(n)``
+few compacted files) is spread with ``repartition(n, key)`` on a unique id
 before the regex work.  A wide scan (the normal case at scale) is left
 as is: no shuffle.  AQE does not coalesce an explicit ``repartition(n)``.
 """
@@ -30,8 +30,12 @@ def _scan_partitions(df: DataFrame) -> int | None:
     return plan.execute().getNumPartitions()
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Repartition round-robin only when ``df`` has too few partitions."""
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Repartition only when ``df`` has too few partitions.
+
+    With ``key`` (a unique id) rows are hash-partitioned on it: even, and
+    deterministic on task retry without the per-partition sort Spark adds
+    before a round-robin exchange.  Without a key, round-robin."""
     try:
         target = min_partitions or target_partitions(df)
     except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): leave as is
@@ -39,4 +43,4 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     n = _scan_partitions(df)
     if n is not None and n >= max(1, target // 2):
         return df
-    return df.repartition(target)
+    return df.repartition(target, key) if key else df.repartition(target)

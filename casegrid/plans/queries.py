@@ -88,7 +88,7 @@ def q_rule_extract(spark, sf_dir):
 
 
 def q_contact_find(spark, sf_dir):
-    d = spread(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = spread(load_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     d = d.select("doc_id", first_match(F.col("text"), EMAIL_RE).alias("email"),
                  first_match(F.col("text"), PHONE_RE).alias("phone"),
                  F.nullif(strip(first_match(F.col("text"), NAME_RE, 1)), F.lit("")).alias("name"))
