@@ -48,11 +48,11 @@ def ordered_report(report: DataFrame) -> DataFrame:
     """Report order: by source path, code-point order (O2).  Sort only this
     narrow projection, never rows that still carry text.
 
-    The range partitioner samples its input in a separate job; a round-robin
-    exchange of the narrow rows first means that job reads shuffle output
-    instead of recomputing the whole triage plan."""
+    The range partitioner samples its input in a separate job; an exchange
+    of the narrow rows first (hashed on the unique id) means that job reads
+    shuffle output instead of recomputing the whole triage plan."""
     n = report.sparkSession.sparkContext.defaultParallelism
-    return report.repartition(n).orderBy("source_file")
+    return report.repartition(n, "document_id").orderBy("source_file")
 
 
 def with_base_names(report: DataFrame) -> DataFrame:
