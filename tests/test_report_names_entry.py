@@ -187,3 +187,14 @@ def test_run_timing(spark):
                        started_at=t0, completed_at=t1)
     r = run_timing(res).first()
     assert r.max_duration_ms == 2000 and r.total_duration_ms == 2000
+
+
+def test_payload_rows_defaults(spark):
+    from casegrid.operators.report import payload_rows
+
+    got = {r.document_id: r for r in payload_rows(_results(spark)).collect()}
+    ok, skipped = got["a1"], got["b1"]
+    assert ok.source_file == "a.txt" and ok.customer_email.startswith("# Subject:")
+    assert ok.structured_data.startswith("{") and ok.structured_data != "{}"
+    assert (skipped.customer_email, skipped.case_summary, skipped.structured_data) == ("", "", "{}")
+    assert skipped.error_message == "UNSUPPORTED_FILE_TYPE" and skipped.case is None
