@@ -24,7 +24,8 @@ from casegrid.schema import (
 _BREAK_CHARS = "\\n\\r\\x{0B}\\x{0C}\\x{1C}-\\x{1E}\\x{85}\\x{2028}\\x{2029}"
 _FIRST_LINE = f"^[^{_BREAK_CHARS}]*"
 _FIRST_LINE_AND_BREAK = f"^[^{_BREAK_CHARS}]*(?:\\r\\n|[{_BREAK_CHARS}])?"
-_JSON_OBJECT_ONLY = "(?s)^[ \\t\\n\\r]*\\{.*\\}[ \\t\\n\\r]*$"
+# The edge white space that JSON allows.
+_JSON_SPACE = " \t\n\r"
 _TRUE_WORDS = ("1", "on", "t", "true", "y", "yes")
 _FALSE_WORDS = ("0", "off", "f", "false", "n", "no")
 
@@ -48,6 +49,17 @@ def summary_draft_ok(draft: Column) -> Column:
 
 # --- case JSON -------------------------------------------------------------
 
+def _one_value(text: Column) -> Column:
+    """True when a JSON parser reads the whole of ``text`` as one value.
+
+    The parser behind ``try_parse_json`` stops at the end of the first value.
+    So the text is set in an array before its own digest: only if nothing but
+    white space follows the value, the digest is the second element."""
+    mark = F.sha2(text, 256)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    return F.coalesce(F.try_variant_get(wrapped, "$[1]", "string") == mark, F.lit(False))
+
+
 def _kind(x: Column) -> Column:
     """JSON type of a variant value: STRING, BIGINT, BOOLEAN, VOID, ..."""
     return F.regexp_extract(F.schema_of_variant(x), "^([A-Z]+)", 1)
@@ -75,13 +87,14 @@ def _enum(x: Column, allowed: tuple[str, ...]) -> tuple[Column, Column]:
 
 
 def _req_bool(x: Column) -> tuple[Column, Column]:
-    """Lax booleans: true/false, integers 0/1, and the usual yes/no words."""
+    """Lax booleans: true/false, the numbers 0 and 1 (``1.0`` too), and the
+    usual yes/no words."""
     kind = _kind(x)
     word = F.lower(F.variant_get(x, "$", "string"))
-    num = F.try_variant_get(x, "$", "bigint")
+    num = F.try_variant_get(x, "$", "double")
     value = (
         F.when(kind == "BOOLEAN", F.variant_get(x, "$", "boolean"))
-        .when((kind == "BIGINT") & num.isin(0, 1), num == 1)
+        .when(kind.isin("BIGINT", "DECIMAL", "DOUBLE") & num.isin(0.0, 1.0), num == 1.0)
         .when((kind == "STRING") & word.isin(*_TRUE_WORDS), F.lit(True))
         .when((kind == "STRING") & word.isin(*_FALSE_WORDS), F.lit(False))
     )
@@ -102,7 +115,9 @@ def validate_case_json(df: DataFrame, content: str, out: str) -> DataFrame:
     JSON is parsed once per row; fields are extracted once each.
     """
     c = F.col(content)
-    d = df.withColumn("_pj", F.try_parse_json(F.when(c.rlike(_JSON_OBJECT_ONLY), c)))
+    body = F.btrim(c, F.lit(_JSON_SPACE))
+    braced = body.startswith("{") & body.endswith("}")
+    d = df.withColumn("_pj", F.try_parse_json(F.when(braced & _one_value(body), body)))
     d = d.withColumn(
         "_pj_obj", F.coalesce(F.col("_pj").isNotNull() & F.schema_of_variant("_pj").startswith("OBJECT"),
                               F.lit(False)))

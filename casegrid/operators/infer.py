@@ -32,6 +32,7 @@ from casegrid.schema import TRANSIENT_HTTP_STATUSES
 TRANSPORT_TRIES = 3
 TRANSPORT_WAITS = (0.4, 0.8)
 
+USAGE_FIELDS = ("prompt_tokens", "completion_tokens", "total_tokens")
 TRANSIENT, PROVIDER, UNEXPECTED = "transient", "provider", "unexpected"
 
 
@@ -63,33 +64,50 @@ class Provider(Protocol):
 
 ProviderFactory = Callable[[], Provider]
 
+_FACTORIES: dict[str, ProviderFactory] = {}
 
-def status_message(status: int | None, vendor: str = "Provider") -> str:
-    """Human message for an HTTP status."""
-    if status == 403:
-        return f"{vendor} returned 403 Forbidden: the key was rejected or the model is not enabled."
-    if status == 404:
-        return f"{vendor} model was not found; check the model name."
-    if status == 429:
-        return f"{vendor} rate limit reached; retry later."
-    if status:
-        return f"{vendor} request failed ({status})"
-    return f"{vendor} request failed"
-
-
-def _usage_int(raw: Any, name: str) -> int:
-    value = raw.get(name, 0) if isinstance(raw, dict) else getattr(raw, name, 0)
+
+def register_provider(name: str, factory: ProviderFactory) -> None:
+    """Make a provider selectable by name."""
+    _FACTORIES[name.strip().lower()] = factory
+
+
+def provider_factory(name: str) -> ProviderFactory:
+    """The factory registered under ``name``; an unknown name is refused
+    before any job starts."""
     try:
-        return int(value or 0)
-    except (TypeError, ValueError):
-        return 0
+        return _FACTORIES[name.strip().lower()]
+    except KeyError:
+        known = ", ".join(sorted(_FACTORIES)) or "none"
+        raise ValueError(f"unknown provider {name!r}; registered: {known}") from None
+
+
+# What a status means to the person who runs the job, by status.
+STATUS_MESSAGES = {
+    403: "access denied (403): check the key, and that it may use this model",
+    404: "no such model (404): check its name",
+    429: "too many requests (429): try again later",
+}
+
+
+def status_message(status: int | None, vendor: str = "Provider") -> str:
+    """Human message for an HTTP status, or for a failure without one."""
+    known = STATUS_MESSAGES.get(status or 0, f"call failed with status {status}" if status else "call failed")
+    return f"{vendor}: {known}"
+
+
+def _raw_usage(usage: Any) -> dict[str, Any]:
+    """The three counts as the provider gave them, as text; what is no count
+    is settled by ``aggregate.usage_rows``, in column expressions."""
+    get = usage.get if isinstance(usage, dict) else lambda name: getattr(usage, name, None)
+    return {name: None if (v := get(name)) is None else str(v) for name in USAGE_FIELDS}
 
 
 def _call(provider: Provider, task: str, prompt: str, tries: int, waits: tuple[float, ...],
           sleep: Callable[[float], None]) -> dict:
     """One logical call with transport retries (U3).  Never raises."""
     out = {"content": None, "status": None, "error": None, "message": None, "tries": 0,
-           "prompt_tokens": None, "completion_tokens": None, "total_tokens": None}
+           "reported": False, **dict.fromkeys(USAGE_FIELDS)}
     for t in range(tries):
         out["tries"] = t + 1
         try:
@@ -109,9 +127,7 @@ def _call(provider: Provider, task: str, prompt: str, tries: int, waits: tuple[f
         out["content"] = None if content is None else str(content)
         usage = getattr(resp, "usage", None)
         if usage is not None:
-            out["prompt_tokens"] = _usage_int(usage, "prompt_tokens")
-            out["completion_tokens"] = _usage_int(usage, "completion_tokens")
-            out["total_tokens"] = _usage_int(usage, "total_tokens")
+            out.update(_raw_usage(usage), reported=True)
         return out
     return out
 
@@ -122,9 +138,8 @@ _RESULT_FIELDS = (
     ("error", T.StringType()),
     ("message", T.StringType()),
     ("tries", T.IntegerType()),
-    ("prompt_tokens", T.LongType()),
-    ("completion_tokens", T.LongType()),
-    ("total_tokens", T.LongType()),
+    ("reported", T.BooleanType()),
+    *((name, T.StringType()) for name in USAGE_FIELDS),
 )
 
 
@@ -149,27 +164,28 @@ def infer(prompts: DataFrame, factory: ProviderFactory, tasks: tuple[str, ...],
         provider = factory()
         model = getattr(provider, "model_name", None)
         waited = False
+
+        def submit(pool: ThreadPoolExecutor, row: dict) -> dict:
+            # Row by row, so that the calls of one row overlap.
+            return {t: pool.submit(_call, provider, t, row[f"prompt_{t}"], tries, waits, sleep) for t in tasks}
+
         with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
             for pdf in batches:
-                if not waited and "wait_s" in pdf.columns and len(pdf):
-                    w = float(pdf["wait_s"].fillna(0).max())
-                    if w > 0:
-                        sleep(w)
+                rows = pdf.to_dict("records")
+                delay = [float(r.get("wait_s") or 0.0) for r in rows]
+                # Rows without a back-off go at once; the others after one
+                # back-off per task.
+                jobs: list[dict | None] = [submit(pool, r) if w <= 0 else None for r, w in zip(rows, delay, strict=True)]
+                if not waited and max(delay, default=0.0) > 0:
+                    sleep(max(delay))
                     waited = True
-                jobs = {
-                    t: [pool.submit(_call, provider, t, p, tries, waits, sleep) for p in pdf[f"prompt_{t}"]]
-                    for t in tasks
-                }
+                jobs = [submit(pool, r) if j is None else j for r, j in zip(rows, jobs, strict=True)]
                 out = pdf[keep].copy()
                 for t in tasks:
-                    res = [j.result() for j in jobs[t]]
+                    res = [j[t].result() for j in jobs]
                     for name, _ in _RESULT_FIELDS:
                         col = [r[name] for r in res]
-                        if name in ("status", "tries"):
-                            col = pd.array(col, dtype="Int32")
-                        elif name.endswith("tokens"):
-                            col = pd.array(col, dtype="Int64")
-                        out[f"{t}_{name}"] = col
+                        out[f"{t}_{name}"] = pd.array(col, dtype="Int32") if name in ("status", "tries") else col
                 out["model"] = model
                 yield out
 

@@ -40,15 +40,42 @@ def name_problem(filename) -> F.Column:
     )
 
 
+NO_BATCH_MESSAGE = "The upload names no batch."
+BATCH_REFUSED_MESSAGE = "Another file of the batch was refused."
+
+
 def check_batches(uploads: DataFrame) -> DataFrame:
     """Adds ``name_error`` per row and ``batch_ok``: a batch is accepted
-    only if every name in it passes (one aggregate, no collect)."""
-    u = uploads.withColumn("name_error", name_problem(F.col("filename")))
-    bad = u.groupBy("batch_id").agg(F.count_if(F.col("name_error").isNotNull()).alias("_bad"))
-    return u.join(bad, "batch_id").withColumn("batch_ok", F.col("_bad") == 0).drop("_bad")
+    only if every name in it passes (one aggregate, no collect).  Rows without
+    a batch id are refused, and none is lost (null keys join null-safe)."""
+    u = uploads.withColumn("name_error", F.when(F.col("batch_id").isNull(), F.lit(NO_BATCH_MESSAGE))
+                           .otherwise(name_problem(F.col("filename"))))
+    bad = u.groupBy(F.col("batch_id").alias("_batch")).agg(F.count_if(F.col("name_error").isNotNull()).alias("_bad"))
+    return (u.join(bad, F.col("batch_id").eqNullSafe(F.col("_batch")))
+            .withColumn("batch_ok", F.col("_bad") == 0).drop("_bad", "_batch"))
+
+
+def quarantine(uploads: DataFrame) -> DataFrame:
+    """The refused rows (all rows of refused batches) with a ``reason`` each;
+    ``stored_names`` takes the rest, so no row is in both or in neither."""
+    reason = F.coalesce(F.col("name_error"), F.lit(BATCH_REFUSED_MESSAGE))
+    return check_batches(uploads).where("NOT batch_ok").withColumn("reason", reason).drop("name_error", "batch_ok")
+
+
+def accepted(uploads: DataFrame, strict: bool = False) -> DataFrame:
+    """The rows of accepted batches.  With ``strict`` the job fails on the
+    first refused row, with its reason, and an empty upload is refused."""
+    checked = check_batches(uploads)
+    if strict:
+        if uploads.isEmpty():
+            raise ValueError("an upload needs at least one file")
+        reason = F.concat(F.lit("upload refused: "), F.coalesce("name_error", F.lit(BATCH_REFUSED_MESSAGE)))
+        checked = checked.withColumn("batch_ok", F.when(F.col("batch_ok"), F.lit(True)).otherwise(F.raise_error(reason).cast("boolean")))
+    return checked.where("batch_ok").drop("name_error", "batch_ok")
 
 
 RANK_CHUNK = 1 << 16  # positions per rank chunk
+NAMES_PER_BUCKET = 4096  # distinct names of mixed families per fold call
 
 
 def _dense_rank_by_pos(d: DataFrame, keys: list[str]) -> DataFrame:
@@ -172,7 +199,8 @@ def _mixed_names(d: DataFrame) -> DataFrame:
     )
     events = events.join(before, ["batch_id", "_slot"], "left").withColumn(
         "_before", F.coalesce("_before", F.lit(0)))
-    buckets = max(1, d.sparkSession.sparkContext.defaultParallelism * 4)
+    # Buckets of bounded size: a few thousand distinct names each on average.
+    buckets = max(1, -(-events.count() // NAMES_PER_BUCKET))
     folded = (
         events.withColumn("_bucket", F.pmod(F.hash("batch_id", "_family"), F.lit(buckets)))
         .groupBy("_bucket")
@@ -197,8 +225,13 @@ def _mixed_names(d: DataFrame) -> DataFrame:
 
 
 def stored_names(uploads: DataFrame) -> DataFrame:
-    """``uploads(batch_id, pos, filename, ...)`` -> adds ``stored_name``."""
-    d = uploads.withColumn("_name", base_name(F.col("filename")))
+    """``uploads(batch_id, pos, filename, ...)`` -> adds ``stored_name``.
+
+    A row without batch, position or name takes no name (``stored_name`` null)
+    and keeps no other row from one."""
+    whole = F.col("batch_id").isNotNull() & F.col("pos").isNotNull() & F.col("filename").isNotNull()
+    unnamed = uploads.where(~whole).withColumn("stored_name", F.lit(None).cast("string"))
+    d = uploads.where(whole).withColumn("_name", base_name(F.col("filename")))
     d = d.withColumn("_stem", stem(F.col("_name"))).withColumn("_sfx", suffix(F.col("_name")))
     d = d.withColumn(
         "_family",
@@ -220,19 +253,22 @@ def stored_names(uploads: DataFrame) -> DataFrame:
     ).drop("_rank")
     mixed = _mixed_names(d.where(F.col("_mixed")))
     drop = ("_name", "_stem", "_sfx", "_family", "_mixed", "_lname")
-    return simple.drop(*drop).unionByName(mixed.drop(*drop))
+    return simple.drop(*drop).unionByName(mixed.drop(*drop)).unionByName(unnamed)
 
 
-def upload_candidates(uploads: DataFrame) -> DataFrame:
-    """Uploaded batch as triage input (S9): accepted batches only, stored
-    names as the relative path inside the batch, bytes decoded as files."""
+def upload_candidates(uploads: DataFrame, strict: bool = False) -> DataFrame:
+    """Uploaded batches as triage input (S9): accepted batches only (the rest
+    is ``quarantine``), stored names as the path inside the batch, bytes
+    decoded as files.  The id is made from batch and name, so equal names in
+    different batches get different ids."""
     from casegrid.functions.ids import document_id
     from casegrid.sources.decode import decode_documents
 
-    named = stored_names(check_batches(uploads).where("batch_ok"))
+    named = stored_names(accepted(uploads, strict))
+    path = F.concat_ws("/", F.col("batch_id").cast("string"), F.col("stored_name"))
     rows = named.select(
-        document_id(F.col("stored_name"), F.col("stored_name")).alias("document_id"),
-        F.concat_ws("/", F.col("batch_id").cast("string"), F.col("stored_name")).alias("source_file"),
+        document_id(path, F.col("stored_name")).alias("document_id"),
+        path.alias("source_file"),
         suffix(F.col("stored_name")).alias("suffix"),
         "content",
         F.lit(None).cast("string").alias("read_error"),

@@ -16,11 +16,16 @@ def bool_cell(b: Column) -> Column:
 
 def iso_utc(ts: Column) -> Column:
     """ISO-8601 with ``+00:00``; the fraction only when micros are non-zero."""
-    # Wall-clock time in UTC whatever the session time zone is.
-    utc = F.to_utc_timestamp(ts, F.current_timezone())
-    whole = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-    frac = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
-    return F.when(F.unix_micros(ts) % 1_000_000 == 0, whole).otherwise(frac)
+    # Wall-clock time in UTC whatever the session time zone is: micros since
+    # the epoch, added to a zoneless epoch and cast to text.  (date_format
+    # would go through the session's local time.)
+    micros = F.unix_micros(ts)
+    seconds = (F.floor(micros / 1_000_000)).cast("decimal(18,6)")
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    clock = F.replace(F.left(utc.cast("string"), F.lit(19)), F.lit(" "), F.lit("T"))
+    rest = F.pmod(micros, F.lit(1_000_000))
+    frac = F.when(rest == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(rest.cast("string"), 6, "0")))
+    return F.concat(clock, frac, F.lit("+00:00"))
 
 
 def report_rows(results: DataFrame) -> DataFrame:
@@ -49,10 +54,10 @@ def ordered_report(report: DataFrame) -> DataFrame:
     narrow projection, never rows that still carry text.
 
     The range partitioner samples its input in a separate job; an exchange
-    of the narrow rows first (hashed on the unique id) means that job reads
-    shuffle output instead of recomputing the whole triage plan."""
-    n = report.sparkSession.sparkContext.defaultParallelism
-    return report.repartition(n, "document_id").orderBy("source_file")
+    of the narrow rows first (hashed on the id, sized by the planner from the
+    data) means that job reads shuffle output instead of recomputing the whole
+    triage plan."""
+    return report.repartition("document_id").orderBy("source_file")
 
 
 def with_base_names(report: DataFrame) -> DataFrame:

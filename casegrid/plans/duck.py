@@ -73,8 +73,9 @@ def first_match(t: str, pattern: str, group: int = 0) -> str:
 
 def email_is_valid(e: str) -> str:
     return (
-        f"(regexp_matches({e}, {q(VALID_EMAIL_RE)}) AND length(split_part({e}, '@', 1)) <= 64"
-        f" AND length({e}) <= 254 AND NOT regexp_matches(lower(split_part({e}, '@', 2)), {q(SPECIAL_DOMAIN_RE)}))"
+        f"(CASE WHEN {e} IS NULL THEN NULL WHEN length({e}) > 254 THEN false"
+        f" WHEN length(split_part({e}, '@', 1)) > 64 THEN false ELSE regexp_matches({e}, {q(VALID_EMAIL_RE)})"
+        f" AND NOT regexp_matches(lower(split_part({e}, '@', 2)), {q(SPECIAL_DOMAIN_RE)}) END)"
     )
 
 
@@ -103,39 +104,36 @@ def yes_no(b: str) -> str:
 
 def email_draft(c: str = "") -> str:
     """Mirror of ``drafts.email_draft`` over flat case columns."""
-    name = f"coalesce({c}customer_name, 'Customer')"
+    nl, nl2 = "chr(10)", "chr(10) || chr(10)"
     return (
-        f"('# Subject: Your ' || {c}complaint_category || ' case is with our team' || chr(10) || chr(10)"
-        f" || 'Hello ' || {name} || ',' || chr(10) || chr(10)"
-        f" || 'Thank you for writing to us. This is the issue as we have recorded it:' || chr(10) || chr(10)"
-        f" || {c}issue_description || chr(10) || chr(10)"
-        f" || 'Case status: ' || {c}overall_case_status || chr(10)"
-        f" || 'Escalated: ' || {yes_no(c + 'escalation_required')} || chr(10) || chr(10)"
-        f" || 'This draft awaits human review before it is sent and makes no promise "
-        f"about dates, refunds, policies or other commitments.' || chr(10) || chr(10)"
-        f" || 'Kind regards,' || chr(10) || 'The Support Team' || chr(10))"
+        f"('# Subject: We are looking into your ' || {c}complaint_category || ' report' || {nl2}"
+        f" || 'Dear ' || coalesce({c}customer_name, 'Customer') || ',' || {nl2}"
+        f" || 'Your message has reached us. Our notes say:' || {nl2} || '> '"
+        f" || replace({c}issue_description, {nl}, {nl} || '> ') || {nl2}"
+        f" || '| Status | Passed to a senior colleague |' || {nl} || '| --- | --- |' || {nl} || '| '"
+        f" || {c}overall_case_status || ' | ' || {yes_no(c + 'escalation_required')} || ' |' || {nl2}"
+        f" || 'Draft for human review: nothing in it commits us to a date, a refund or a policy.' || {nl2}"
+        f" || 'Yours,' || {nl} || 'Customer Care' || {nl})"
     )
 
 
 def summary_draft(c: str = "") -> str:
-    name = f"coalesce({c}customer_name, 'Unknown')"
-    action = f"coalesce({c}resolution_provided, 'Unknown: no action is recorded in the case')"
-    nxt = (f"CASE WHEN {c}escalation_required THEN 'Escalate to a human reviewer' "
-           f"ELSE 'Review the draft and assign an owner' END")
-    nl2 = "chr(10) || chr(10)"
+    nl, nl2 = "chr(10)", "chr(10) || chr(10)"
+    nxt = (f"CASE WHEN {c}escalation_required THEN 'Hand over to a person who may decide.' "
+           f"ELSE 'Find someone to own the case, after a look at the draft.' END")
     return (
-        f"('# Case summary' || {nl2} || '## Overview' || chr(10) || {name} || ' | ' || {c}complaint_category"
-        f" || ' | complaint: ' || lower(CAST({c}is_complaint AS VARCHAR)) || {nl2}"
-        f" || '## Issue' || chr(10) || {c}issue_description || {nl2}"
-        f" || '## Action' || chr(10) || {action} || {nl2}"
-        f" || '## Status' || chr(10) || {c}overall_case_status || {nl2}"
-        f" || '## Next action' || chr(10) || {nxt} || chr(10))"
+        f"('# Internal notes' || {nl2} || '## Overview' || {nl} || '- who: ' || coalesce({c}customer_name, 'Unknown')"
+        f" || {nl} || '- about: ' || {c}complaint_category || {nl} || '- is a complaint: ' || {yes_no(c + 'is_complaint')} || {nl2}"
+        f" || '## Issue' || {nl} || {c}issue_description || {nl2}"
+        f" || '## Action' || {nl} || coalesce({c}resolution_provided, 'Unknown. Nothing has been noted so far.') || {nl2}"
+        f" || '## Status' || {nl} || {c}overall_case_status || {nl2}"
+        f" || '## Next action' || {nl} || {nxt} || {nl})"
     )
 
 
 def corpus_cte() -> str:
     """``corpus(doc_id, rel_path, name, suffix, document_id, source_file, text)``."""
-    snippet = _sql_case("(((doc_id % 10) + 10) % 10)", SNIPPETS)
+    snippet = _sql_case(f"(((doc_id % {len(SNIPPETS)}) + {len(SNIPPETS)}) % {len(SNIPPETS)})", SNIPPETS)
     ext = _sql_case("(((floor(doc_id / 10)::BIGINT % 10) + 10) % 10)", EXTENSIONS)
     return f"""
 corpus_raw AS (

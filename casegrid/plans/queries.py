@@ -18,6 +18,7 @@ from casegrid.functions.extract import (
     PHONE_RE,
     email_is_valid,
     first_match,
+    found_email,
     rule_case,
 )
 from casegrid.functions.ids import id_stem, stem
@@ -31,6 +32,13 @@ from casegrid.plans import duck
 from casegrid.plans.corpus import complaint_corpus, load_table
 from casegrid.plans.partitioning import spread
 from casegrid.plans.triage import fence, triage_rules
+from casegrid.schema import (
+    ERROR_CODES,
+    NOT_A_COMPLAINT_MESSAGE,
+    SUMMARY_DRAFT_BAD_MESSAGE,
+    error_code_table,
+)
+from casegrid.session import staging_root
 
 # Fixed run times so report cells are reproducible.
 RUN_STARTED = datetime(2026, 1, 1, 0, 0, 0, tzinfo=timezone.utc)
@@ -82,14 +90,14 @@ def q_rule_extract(spark, sf_dir):
     c = fence(complaint_corpus(spark, sf_dir).select("doc_id", normalize(F.col("text")).alias("text")))
     c = c.where(F.col("text") != "").withColumn("low", F.lower("text"))
     c = c.select("doc_id", rule_case(F.col("text"), F.col("low")).alias("case"),
-                 first_match(F.col("text"), EMAIL_RE).alias("found_email"))
+                 found_email(F.col("text")).alias("found_email"))
     return c.select("doc_id", *[F.col("case")[k].alias(k) for k in CASE_COLS],
                     F.coalesce(email_is_valid(F.col("found_email")), F.lit(True)).alias("email_ok"))
 
 
 def q_contact_find(spark, sf_dir):
     d = spread(load_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    d = d.select("doc_id", first_match(F.col("text"), EMAIL_RE).alias("email"),
+    d = d.select("doc_id", found_email(F.col("text")).alias("email"),
                  first_match(F.col("text"), PHONE_RE).alias("phone"),
                  F.nullif(strip(first_match(F.col("text"), NAME_RE, 1)), F.lit("")).alias("name"))
     return d.withColumn("email_valid", email_is_valid(F.col("email")))
@@ -192,14 +200,87 @@ def q_usage_totals(spark, sf_dir):
     return A.usage_totals(_event_calls(spark, sf_dir), "run_id")
 
 
-def q_infer_repair(spark, sf_dir):
-    """U1-U7 end to end with the scripted provider (inference is staged)."""
+def _model_run(spark, sf_dir):
+    """The model path with the scripted provider over the corpus; ids repeat
+    (97 of them), as short hashes of paths do at scale."""
     from casegrid.plans.model import triage_with_model
     from casegrid.plans.scripted import scripted_factory
 
-    run = triage_with_model(spark, complaint_corpus(spark, sf_dir), scripted_factory,
-                            started_at=RUN_STARTED, completed_at=RUN_COMPLETED)
-    return run.results.select("document_id", "status", "error_code")
+    shared = F.concat(F.lit("case_"), F.pmod("doc_id", F.lit(97)).cast("string"))
+    return triage_with_model(spark, complaint_corpus(spark, sf_dir).withColumn("document_id", shared), scripted_factory,
+                             started_at=RUN_STARTED, completed_at=RUN_COMPLETED, concurrency=8)
+
+
+def _settled(df: DataFrame, run) -> DataFrame:
+    """Write a small result of a model run and clear the run's own stage."""
+    path = f"{staging_root(df.sparkSession)}/casegrid/result-{run.run_id}"
+    df.write.parquet(path)
+    run.cleanup()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def q_infer_repair(spark, sf_dir):
+    """U1-U6 end to end with the scripted provider (inference is staged)."""
+    run = _model_run(spark, sf_dir)
+    return _settled(run.results.select("document_id", "source_file", "status", "error_code", "error_message",
+                                       *[F.col("case")[c].alias(c) for c in CASE_COLS]), run)
+
+
+def q_model_usage(spark, sf_dir):
+    """U7 on the model path: calls that reported usage, by task and attempt."""
+    run = _model_run(spark, sf_dir)
+    return _settled(run.usage.groupBy("task", "attempt").agg(F.count(F.lit(1)).alias("calls")), run)
+
+
+def q_prompts(spark, sf_dir):
+    """The three prompts of every successful row.  The draft prompts are
+    split at the case record; they hold the record and not the document."""
+    from casegrid.functions import drafts as D
+    from casegrid.plans.triage import JSON_OPTIONS
+
+    r = _results(spark, sf_dir).where("status = 'success'").select("document_id", "source_file", "case")
+    texts = complaint_corpus(spark, sf_dir).select("source_file", normalize(F.col("text")).alias("text"))
+    record = F.to_json("case", JSON_OPTIONS)
+    p = r.join(texts, "source_file").select(
+        "document_id", "text", D.extraction_prompt(F.col("text"), F.lit(False)).alias("extract_prompt"),
+        D.case_prompt(record, D.EMAIL_INSTRUCTION).alias("email"), D.case_prompt(record, D.SUMMARY_INSTRUCTION).alias("summary"))
+
+    def rules(c):
+        return F.substring_index(c, "\n" + D.CASE_OPEN, 1)
+
+    def issue(c):
+        body = F.substring_index(F.substring_index(c, D.CASE_OPEN + "\n", -1), "\n" + D.CASE_CLOSE, 1)
+        return F.get_json_object(body, "$.issue_description")
+
+    return p.select("document_id", F.lit(D.PROMPT_VERSION).alias("prompt_version"), "extract_prompt",
+                    rules(F.col("email")).alias("email_rules"), rules(F.col("summary")).alias("summary_rules"),
+                    issue(F.col("email")).alias("email_issue"),
+                    (F.col("email").contains(F.col("text")) | F.col("summary").contains(F.col("text"))).alias("text_in_drafts"))
+
+
+def q_error_codes(spark, sf_dir):
+    """the taxonomy beside the corpus's outcomes; codes that did not
+    occur count 0."""
+    n = _results(spark, sf_dir).where("error_code IS NOT NULL").groupBy("error_code").agg(F.count(F.lit(1)).alias("n"))
+    return error_code_table(spark).join(n, "error_code", "left").select(
+        "error_code", "status", "stage", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+
+
+def q_run_timing(spark, sf_dir):
+    """A4: start, end and durations of the rule-based run."""
+    t = A.run_timing(_results(spark, sf_dir))
+    return t.select(R.iso_utc(F.col("started_at")).alias("started_at"), R.iso_utc(F.col("completed_at")).alias("completed_at"),
+                    "max_duration_ms", "total_duration_ms")
+
+
+def q_run_summary(spark, sf_dir):
+    """K7 for a run: counts and the payload's per-status sums in one row."""
+    r = _results(spark, sf_dir)
+    return r.agg(
+        *A.outcome_count_columns(),
+        F.count("structured_data").alias("documents_with_case"),
+        F.coalesce(F.sum(F.length("customer_email")), F.lit(0).cast("bigint")).alias("email_chars"),
+        F.coalesce(F.sum(F.length("case_summary")), F.lit(0).cast("bigint")).alias("summary_chars"))
 
 
 def uploads_from_conversations(spark, sf_dir):
@@ -214,8 +295,51 @@ def uploads_from_conversations(spark, sf_dir):
         .when(F.col("turn") % 4 == 2, F.concat(F.col("role"), F.lit("_1.txt")))
         .otherwise(F.concat(F.col("role"), F.lit(".docx")))
     )
+    from casegrid.plans.corpus import docx_from_lines
+
+    content = F.when(F.col("turn") % 4 == 3, docx_from_lines("text", "turn")).otherwise(F.encode("text", "UTF-8"))
     return c.select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("pos"),
-                    name.alias("filename"), F.encode("text", "UTF-8").alias("content"))
+                    name.alias("filename"), content.alias("content"))
+
+
+def odd_uploads(spark, sf_dir):
+    """Uploads from ``conversations`` with bad, null and empty names, and some
+    without a batch; every third batch has good names only."""
+    c = load_table(spark, sf_dir, "conversations")
+    k = F.pmod(F.col("conv_id") * 7 + F.col("turn") * 3, F.lit(9))
+    good = F.concat(F.col("role"), F.lit(".txt"))
+    name = (
+        F.when(F.col("conv_id") % 3 == 0, good)
+        .when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit("")).when(k == 2, F.lit(".."))
+        .when(k == 3, F.concat(F.col("role"), F.lit(".exe"))).when(k == 4, F.concat(F.lit("in/"), good)).otherwise(good)
+    )
+    batch = F.when(~((F.col("conv_id") % 3 == 1) & (k == 5)), F.col("conv_id"))
+    return c.select(batch.alias("batch_id"), "conv_id", F.col("turn").alias("pos"), name.alias("filename"))
+
+
+def q_upload_rejects(spark, sf_dir):
+    """Every upload is either stored under a name or refused with a
+    reason, and none is lost."""
+    from casegrid.operators.names import accepted, quarantine, stored_names
+
+    u = odd_uploads(spark, sf_dir)
+    stored = stored_names(accepted(u)).select("batch_id", "conv_id", "pos", "filename", "stored_name",
+                                              F.lit(None).cast("string").alias("reason"))
+    refused = quarantine(u).select("batch_id", "conv_id", "pos", "filename", F.lit(None).cast("string").alias("stored_name"), "reason")
+    return stored.unionByName(refused)
+
+
+def q_docx_text(spark, sf_dir):
+    """Packages built from ``documents`` in the tasks (a line is a
+    paragraph), decoded and normalised; every fifth has another main part,
+    every seventh is broken."""
+    from casegrid.plans.corpus import docx_from_lines
+    from casegrid.sources.decode import decode_documents
+
+    d = spread(load_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = d.select("doc_id", F.lit(".DOCX").alias("suffix"), docx_from_lines("text", "doc_id").alias("content"),
+                    F.lit(None).cast("string").alias("read_error"))
+    return decode_documents(rows).select("doc_id", normalize(F.col("text")).alias("norm_text"), "read_error")
 
 
 def q_upload_names(spark, sf_dir):
@@ -332,6 +456,13 @@ QUERIES = {
     "run_payload": q_run_payload,
     "usage_totals": q_usage_totals,
     "infer_repair": q_infer_repair,
+    "model_usage": q_model_usage,
+    "prompts": q_prompts,
+    "error_codes": q_error_codes,
+    "run_timing": q_run_timing,
+    "run_summary": q_run_summary,
+    "upload_rejects": q_upload_rejects,
+    "docx_text": q_docx_text,
     "upload_names": q_upload_names,
     "upload_triage": q_upload_triage,
     "ingest_summary": q_ingest_summary,
@@ -373,14 +504,14 @@ def _case_json_cols() -> str:
     return ", ".join(out)
 
 
-# Upload names, stated as the sequential rule: a recursive CTE walks each
-# batch in upload order, carrying the set of names taken so far.
-_UPLOADS_SQL = f"""
-WITH RECURSIVE u AS (
-  SELECT conv_id AS batch_id, turn AS pos, text,
-    CASE WHEN turn % 4 = 0 THEN role || '.txt' WHEN turn % 4 = 1 THEN upper(role) || '.TXT'
-         WHEN turn % 4 = 2 THEN role || '_1.txt' ELSE role || '.docx' END AS filename
-  FROM conversations),
+def names_rule_sql(uploads: str) -> str:
+    """The naming rule stated sequentially: a recursive CTE walks each batch of
+    the query ``uploads`` (batch_id, pos, filename, ...) in upload order and
+    carries the set of names taken so far; the result is ``named``."""
+    candidates = """list_filter(list_prepend(n.filename, list_transform(range(1, len(s.used) + 2),
+        lambda i: n.stm || '_' || CAST(i AS VARCHAR) || n.sfx)), lambda c: NOT list_contains(s.used, lower(c)))[1]"""
+    return f"""
+WITH RECURSIVE u AS ({uploads}),
 n0 AS (SELECT *, {duck.suffix('filename')} AS sfx,
          row_number() OVER (PARTITION BY batch_id ORDER BY pos) AS rn FROM u),
 n AS (SELECT *, left(filename, length(filename) - length(sfx)) AS stm FROM n0),
@@ -388,16 +519,69 @@ steps AS (
   SELECT batch_id, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS stored
   FROM (SELECT DISTINCT batch_id FROM n)
   UNION ALL
-  SELECT s.batch_id, s.rn + 1,
-    list_append(s.used, lower(list_filter(list_prepend(n.filename, list_transform(range(1, len(s.used) + 2),
-        lambda i: n.stm || '_' || CAST(i AS VARCHAR) || n.sfx)), lambda c: NOT list_contains(s.used, lower(c)))[1])),
-    list_filter(list_prepend(n.filename, list_transform(range(1, len(s.used) + 2),
-        lambda i: n.stm || '_' || CAST(i AS VARCHAR) || n.sfx)), lambda c: NOT list_contains(s.used, lower(c)))[1]
+  SELECT s.batch_id, s.rn + 1, list_append(s.used, lower({candidates})), {candidates}
   FROM steps s JOIN n ON n.batch_id = s.batch_id AND n.rn = s.rn + 1),
 named AS (
   SELECT n.*, s.stored AS stored_name FROM steps s JOIN n ON s.batch_id = n.batch_id AND s.rn = n.rn)"""
 
 
+_UPLOADS_SQL = names_rule_sql("""
+  SELECT conv_id AS batch_id, turn AS pos, text,
+    CASE WHEN turn % 4 = 0 THEN role || '.txt' WHEN turn % 4 = 1 THEN upper(role) || '.TXT'
+         WHEN turn % 4 = 2 THEN role || '_1.txt' ELSE role || '.docx' END AS filename
+  FROM conversations""")
+
+
+# Uploads with odd names: the checks stated per row, then per batch.  Batches
+# that pass hold one name per role, so collisions are numbered in order.
+_REJECTS_SQL = """
+WITH k AS (SELECT *, ((conv_id * 7 + turn * 3) % 9 + 9) % 9 AS k FROM conversations),
+u AS (
+  SELECT CASE WHEN NOT (conv_id % 3 = 1 AND k = 5) THEN conv_id END AS batch_id, conv_id, turn AS pos,
+    CASE WHEN conv_id % 3 = 0 THEN role || '.txt' WHEN k = 0 THEN NULL WHEN k = 1 THEN '' WHEN k = 2 THEN '..'
+         WHEN k = 3 THEN role || '.exe' WHEN k = 4 THEN 'in/' || role || '.txt' ELSE role || '.txt' END AS filename
+  FROM k),
+e AS (
+  SELECT *, CASE WHEN batch_id IS NULL THEN 'The upload names no batch.'
+                 WHEN coalesce(filename, '') IN ('', '..') THEN 'Choose a file with a name.'
+                 WHEN ends_with(filename, '.exe') THEN 'Unsupported file type ''.exe''. Use .docx, .pdf, .txt.' END AS err
+  FROM u),
+b AS (SELECT *, count(err) OVER (PARTITION BY batch_id) > 0 AS refused,
+        CASE WHEN starts_with(filename, 'in/') THEN substr(filename, 4) ELSE filename END AS base FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY batch_id, base, refused ORDER BY pos) AS j FROM b)
+SELECT batch_id, conv_id, pos, filename,
+  CASE WHEN NOT refused THEN CASE WHEN j = 1 THEN base ELSE left(base, length(base) - 4) || '_' || (j - 1) || '.txt' END END AS stored_name,
+  CASE WHEN refused THEN coalesce(err, 'Another file of the batch was refused.') END AS reason
+FROM n"""
+
+
+def _scripted(body: str) -> str:
+    """The scripted provider's answers, by the length of the text."""
+    return _with("""
+, scripted AS (
+  SELECT r.source_file, 'case_' || (((r.doc_id % 97) + 97) % 97) AS shared, gate, r.status AS rule_status, r.error_message AS rule_message, text,
+    length(text) % 5 AS k, contains(lower(text), 'jailbreak') AS says_no, contains(lower(text), 'kettle') AS bad_summary
+  FROM x4 JOIN results r ON r.doc_id = x4.doc_id
+),
+scripted1 AS (
+  SELECT *, CASE WHEN gate IS NOT NULL THEN gate WHEN k = 3 THEN 'LLM_PROVIDER_ERROR' WHEN k = 4 THEN 'STRUCTURED_OUTPUT_VALIDATION_ERROR'
+                 WHEN says_no THEN 'NOT_A_COMPLAINT' WHEN bad_summary THEN 'SUMMARY_GENERATION_ERROR' END AS code FROM scripted),
+scripted2 AS (SELECT *, code IS NULL AS ok FROM scripted1)
+""".replace("\n, scripted AS", ", scripted AS", 1) + body)
+
+
+def _prompts_sql() -> str:
+    from casegrid.functions import drafts as D
+    from casegrid.plans.corpus import sql_str
+
+    return f"""
+SELECT r.document_id, '{D.PROMPT_VERSION}' AS prompt_version,
+  {sql_str(D.EXTRACTION_INSTRUCTION)} || chr(10) || '<<<DOCUMENT>>>' || chr(10) || x.text || chr(10) || '<<<END_DOCUMENT>>>' AS extract_prompt,
+  {sql_str(D.EMAIL_INSTRUCTION)} AS email_rules, {sql_str(D.SUMMARY_INSTRUCTION)} AS summary_rules,
+  r.issue_description AS email_issue, false AS text_in_drafts
+FROM results r JOIN x4 x ON x.doc_id = r.doc_id WHERE r.status = 'success'"""
+
+
 def _case_validate_sql() -> str:
     from casegrid.schema import CASE_STATUSES, CATEGORIES
 
@@ -546,36 +730,55 @@ SELECT doc_id, email, phone, name, {duck.email_is_valid('email')} AS email_valid
             f"SELECT {duck.base_name('source_file')} AS source_file, document_id, status, error_code, error_message, "
             "coalesce(customer_email, '') AS customer_email, coalesce(case_summary, '') AS case_summary, "
             "(status = 'success') AS has_structured FROM results"),
-        "infer_repair": _with("""
-, scripted AS (
-  SELECT document_id, gate, status AS rule_status, length(text) % 5 AS k,
-    contains(lower(text), 'jailbreak') AS says_no, contains(lower(left(text, 100)), 'mug') AS bad_summary
-  FROM x4 JOIN results USING (document_id)
-)
-SELECT document_id,
-  CASE WHEN gate IS NOT NULL THEN rule_status
-       WHEN k IN (3, 4) THEN 'failed'
-       WHEN says_no THEN 'skipped'
-       WHEN bad_summary THEN 'failed' ELSE 'success' END AS status,
-  CASE WHEN gate IS NOT NULL THEN gate
-       WHEN k = 3 THEN 'LLM_PROVIDER_ERROR'
-       WHEN k = 4 THEN 'STRUCTURED_OUTPUT_VALIDATION_ERROR'
-       WHEN says_no THEN 'NOT_A_COMPLAINT'
-       WHEN bad_summary THEN 'SUMMARY_GENERATION_ERROR' END AS error_code
-FROM scripted""".replace("\n, scripted AS", ", scripted AS", 1)),
+        "infer_repair": _scripted(f"""
+SELECT shared AS document_id, source_file,
+  CASE WHEN gate IS NOT NULL THEN rule_status WHEN code IS NULL THEN 'success' WHEN says_no AND k < 3 THEN 'skipped' ELSE 'failed' END AS status,
+  CASE WHEN gate IS NOT NULL THEN gate ELSE code END AS error_code,
+  CASE WHEN gate IS NOT NULL THEN rule_message WHEN k = 3 THEN 'unauthorized' WHEN k = 4 THEN 'Provider JSON failed case validation'
+       WHEN says_no THEN {duck.q(NOT_A_COMPLAINT_MESSAGE)} WHEN bad_summary THEN {duck.q(SUMMARY_DRAFT_BAD_MESSAGE)} END AS error_message,
+  CAST(NULL AS VARCHAR) AS customer_name, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS phone_number,
+  CASE WHEN ok THEN 'other' END AS complaint_category, CASE WHEN ok THEN text END AS issue_description,
+  CAST(NULL AS VARCHAR) AS resolution_provided, CASE WHEN ok THEN true END AS is_complaint,
+  CASE WHEN ok THEN true END AS escalation_required, CASE WHEN ok THEN false END AS supporting_document_available,
+  CASE WHEN ok THEN 'unknown' END AS overall_case_status
+FROM scripted2"""),
+        "model_usage": _scripted("""
+SELECT 'extract' AS task, 1 AS attempt, count(*) AS calls FROM scripted2 WHERE gate IS NULL AND k <> 3 HAVING count(*) > 0
+UNION ALL SELECT 'extract', 2, count(*) FROM scripted2 WHERE gate IS NULL AND k IN (1, 4) HAVING count(*) > 0
+UNION ALL SELECT t.task, 1, count(*) FROM scripted2, (VALUES ('email'), ('summary')) t(task)
+WHERE gate IS NULL AND k < 3 AND NOT says_no GROUP BY t.task"""),
+        "prompts": _with(_prompts_sql()),
+        "error_codes": _with(
+            ", taxonomy(error_code, status, stage) AS (VALUES "
+            + ", ".join(f"({duck.q(c)}, {duck.q(st)}, {duck.q(sg)})" for c, (st, sg) in ERROR_CODES.items())
+            + ") SELECT t.error_code, t.status, t.stage, count(r.document_id) AS n FROM taxonomy t "
+            "LEFT JOIN results r ON r.error_code = t.error_code GROUP BY ALL"),
+        "run_timing": f"SELECT '2026-01-01T00:00:00+00:00' AS started_at, '{RUN_COMPLETED_ISO}' AS completed_at, "
+                      "CAST(1500 AS BIGINT) AS max_duration_ms, CAST(1500 * count(*) AS BIGINT) AS total_duration_ms FROM documents",
+        "run_summary": _with(
+            "SELECT count(*) AS discovered, count(*) FILTER (WHERE status = 'success') AS successful, "
+            "count(*) FILTER (WHERE status NOT IN ('success', 'skipped')) AS failed, "
+            "count(*) FILTER (WHERE status = 'skipped') AS skipped, "
+            "count(*) FILTER (WHERE status = 'success') AS documents_with_case, "
+            "CAST(coalesce(sum(length(customer_email)), 0) AS BIGINT) AS email_chars, "
+            "CAST(coalesce(sum(length(case_summary)), 0) AS BIGINT) AS summary_chars FROM results"),
+        "upload_rejects": _REJECTS_SQL,
+        "docx_text": f"""
+SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN {duck.normalize("coalesce(text, '')")} END AS norm_text,
+  CASE WHEN doc_id % 7 = 0 THEN 'DOCUMENT_READ_ERROR' END AS read_error FROM documents""",
         "upload_names": _UPLOADS_SQL + """
 SELECT batch_id, pos, filename, stored_name FROM named""",
         "upload_triage": _UPLOADS_SQL + f""",
 t AS (
-  SELECT *, {duck.document_id('stored_name', 'stored_name')} AS document_id,
+  SELECT *, {duck.document_id("(CAST(batch_id AS VARCHAR) || '/' || stored_name)", 'stored_name')} AS document_id,
     CAST(batch_id AS VARCHAR) || '/' || stored_name AS source_file,
-    CASE WHEN lower(sfx) = '.docx' THEN NULL ELSE {duck.normalize('text')} END AS norm
+    CASE WHEN lower(sfx) = '.docx' AND pos % 7 = 0 THEN NULL ELSE {duck.normalize('text')} END AS norm
   FROM named),
 g AS (
   SELECT *, lower(norm) AS low, {duck.first_match('norm', EMAIL_RE)} AS found FROM t),
 c AS (
   SELECT document_id, source_file,
-    CASE WHEN lower(sfx) = '.docx' THEN 'DOCUMENT_READ_ERROR'
+    CASE WHEN norm IS NULL THEN 'DOCUMENT_READ_ERROR'
          WHEN norm = '' THEN 'EMPTY_DOCUMENT'
          WHEN {duck.out_of_scope('low')} THEN 'NOT_A_COMPLAINT'
          WHEN found IS NOT NULL AND NOT {duck.email_is_valid('found')} THEN 'LLM_PROVIDER_ERROR' END AS error_code

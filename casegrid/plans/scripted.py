@@ -12,8 +12,8 @@ chosen by ``len(document text) % 5``:
 Valid JSON has ``is_complaint`` false when the text mentions "jailbreak",
 a lax boolean word for ``escalation_required``, an integer for
 ``supporting_document_available`` and no ``overall_case_status`` (so it
-defaults to ``unknown``).  The summary omits a required heading when the
-case JSON mentions "mug".  Token usage is reported per response, with no
+defaults to ``unknown``).  The issue is the whole document text.  The
+summary omits a required heading when the case JSON mentions "kettle".  Token usage is reported per response, with no
 total for drafts.
 """
 
@@ -24,10 +24,9 @@ import json
 from casegrid.functions.drafts import DOC_CLOSE, DOC_OPEN, REPAIR_LINE
 from casegrid.operators.infer import ProviderError, Response
 
-ISSUE_CHARS = 100
-
 
 def _document(prompt: str) -> str:
+    # The first mark ends the rules; the last one ends the text.
     start = prompt.index(DOC_OPEN + "\n") + len(DOC_OPEN) + 1
     end = prompt.rindex("\n" + DOC_CLOSE)
     return prompt[start:end]
@@ -46,7 +45,7 @@ class ScriptedProvider:
     def complete(self, task: str, prompt: str) -> Response:
         if task == "extract":
             doc = _document(prompt)
-            repair = prompt.startswith(REPAIR_LINE)
+            repair = REPAIR_LINE in prompt[:prompt.index(DOC_OPEN + "\n")]
             k = len(doc) % 5
             if k == 3:
                 raise ProviderError("unauthorized", status=401)
@@ -61,7 +60,7 @@ class ScriptedProvider:
                     "email": None,
                     "phone_number": None,
                     "complaint_category": "furniture" if k == 4 else "other",
-                    "issue_description": doc[:ISSUE_CHARS],
+                    "issue_description": doc,
                     "resolution_provided": None,
                     "is_complaint": "jailbreak" not in doc.lower(),
                     "escalation_required": "yes",
@@ -73,7 +72,7 @@ class ScriptedProvider:
             return Response(content, self._usage(prompt, content, False))
         if task == "summary":
             heads = ["## Overview", "## Issue", "## Action", "## Status"]
-            if "mug" not in prompt.lower():
+            if "kettle" not in prompt.lower():
                 heads.append("## Next action")
             content = "# Case summary\n\n" + "\n\n".join(h + "\nx" for h in heads) + "\n"
             return Response(content, self._usage(prompt, content, False))

@@ -59,15 +59,18 @@ def mark_published(docs: DataFrame, published: DataFrame | None, overwrite: bool
     """Flag rows whose id already has published artifacts.
 
     ``published`` is any frame with a ``document_id`` column (prior run
-    output).  The set is de-duplicated before the join, and no broadcast is
-    forced: the planner broadcasts it only under its size threshold, and
-    AQE re-plans from the real shuffle size otherwise."""
+    output).  Where the candidates come from files, call this on the listing,
+    before any text is attached.  Where they come from a table, the published
+    set is first cut down to the ids that occur among the candidates, by a
+    join of ids alone; what is then joined with the texts is no larger than
+    the rows to be skipped, which the planner broadcasts while it is small."""
     if "_published" in docs.columns:
         return docs
     if published is None or overwrite:
         return docs.withColumn("_published", F.lit(False))
-    ids = published.select("document_id").distinct().withColumn("_published", F.lit(True))
-    return docs.join(ids, "document_id", "left").withColumn(
+    ids = published.select("document_id").distinct()
+    here = docs.select("document_id").distinct().join(ids, "document_id", "left_semi").withColumn("_published", F.lit(True))
+    return docs.join(here, "document_id", "left").withColumn(
         "_published", F.coalesce(F.col("_published"), F.lit(False))
     )
 

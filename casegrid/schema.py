@@ -47,12 +47,9 @@ SUMMARY_DRAFT_BAD_MESSAGE = "Case summary is missing one of: overview, issue, ac
 EMPTY_CONTENT_MESSAGE = "Provider returned empty content"
 INVALID_JSON_MESSAGE = "Provider returned invalid JSON"
 # Our own wording (the code is what identifies the outcome).
-NOT_A_COMPLAINT_MESSAGE = (
-    "Skipped: the file is not a customer complaint. Only complaint cases are "
-    "extracted, and instructions found inside documents are never followed."
-)
-ARTIFACTS_EXIST_MESSAGE = "Artifacts for this document already exist; run with overwrite"
-EMAIL_DRAFT_BAD_MESSAGE = "Customer email must start with a '# Subject:' heading and have a body"
+NOT_A_COMPLAINT_MESSAGE = "Out of scope: no customer complaint in this text; requests inside a text are data and are not carried out."
+ARTIFACTS_EXIST_MESSAGE = "Already published by an earlier run (overwrite is off)"
+EMAIL_DRAFT_BAD_MESSAGE = "E-mail draft: no subject line, or nothing after it"
 CASE_INVALID_MESSAGE = "Provider JSON failed case validation"
 NO_PDF_DECODER_MESSAGE = "no decoder for .pdf"
 # ------------------------------------------------------------------------------

@@ -43,19 +43,33 @@ def write_results(results: DataFrame, path: str, run_id: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
 
 
-def published_ids(spark: SparkSession, path: str) -> DataFrame | None:
-    """Ids with published artifacts in a results table (input to J1)."""
-    try:
-        t = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no table yet means nothing published
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists; any other storage error is raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def published_ids(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame | None:
+    """Ids with published artifacts in a results table (input to J1), or None
+    while there is no table.
+
+    ``run_id`` names the run that asks: its own earlier rows do not count, so
+    a replayed epoch or a rerun batch recomputes its rows as they were.  Only
+    the id, status and run columns are read; a storage error is raised, since
+    taking it for an empty table would repeat every paid call."""
+    if not path_exists(spark, path):
         return None
-    return t.where(F.col("structured_data").isNotNull()).select("document_id")
+    t = spark.read.parquet(path)
+    if run_id is not None and "run_id" in t.columns:
+        t = t.where(F.col("run_id").cast("string") != run_id)
+    return t.where(F.col("status") == "success").select("document_id")
 
 
 def write_report_csv(report: DataFrame, path: str, single_file: bool = False) -> None:
     """The report as CSV (K5): header, minimal quoting, empty cells blank.
-    ``single_file`` moves only this narrow projection into one partition."""
-    out = report.coalesce(1) if single_file else report
+    ``single_file`` moves only this narrow projection into one partition, by
+    a shuffle, so the triage before it keeps its parallelism."""
+    out = report.repartition(1).sortWithinPartitions("source_file") if single_file else report
     out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 

@@ -44,11 +44,24 @@ def _run_text(run: ET.Element) -> str:
     return "".join(out)
 
 
+def _main_part(z: zipfile.ZipFile) -> str:
+    """Name of the package's main document part, by its relationships; the
+    usual name where a package has none."""
+    try:
+        rels = ET.fromstring(z.read("_rels/.rels"))
+    except KeyError:
+        return "word/document.xml"
+    for r in rels:
+        if r.get("Type", "").endswith("/officeDocument") and r.get("TargetMode") != "External":
+            return r.get("Target", "").lstrip("/")
+    raise ValueError("no main document part")
+
+
 def docx_text(data: bytes) -> str:
     """Body paragraphs of a .docx joined with LF (tables, headers and
     footers are not read).  Raises on anything that is not a docx."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = ET.fromstring(z.read("word/document.xml"))
+        root = ET.fromstring(z.read(_main_part(z)))
     body = root.find(_W + "body")
     if body is None:
         raise ValueError("no document body")

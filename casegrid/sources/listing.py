@@ -25,6 +25,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 LISTING_SCHEMA = "source_file string, rel_path string, name string, length bigint"
 
 
+def _walk_error(exc: OSError) -> None:
+    """Directories that are closed or gone are passed over; any other error
+    (a device or network fault) would lose a subtree and is raised."""
+    if not isinstance(exc, (PermissionError, FileNotFoundError)):
+        raise exc
+
+
 class _Part(InputPartition):
     def __init__(self, index: int, dirs: list[str], files: list[str]):
         super().__init__(index)
@@ -66,8 +73,8 @@ class _ListingReader(DataSourceReader):
                                 nxt.append(e.path)
                             elif e.is_file():
                                 files.append(e.path)
-                except OSError:
-                    continue
+                except (PermissionError, FileNotFoundError):
+                    continue  # closed to us, or gone since its parent was read
             frontier = nxt
             if len(frontier) >= 4 * self.n or not frontier:
                 break
@@ -90,7 +97,7 @@ class _ListingReader(DataSourceReader):
             if not os.path.basename(f).startswith("."):
                 yield _row(f, self.root, self.given_root)
         for top in partition.dirs:
-            for dirpath, _dirnames, filenames in os.walk(top, followlinks=False):
+            for dirpath, _dirnames, filenames in os.walk(top, onerror=_walk_error, followlinks=False):
                 for fn in filenames:
                     p = os.path.join(dirpath, fn)
                     if fn.startswith(".") or not os.path.isfile(p):

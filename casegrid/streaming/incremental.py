@@ -5,8 +5,8 @@ same columns the batch plan takes), the same column functions per
 micro-batch, and ``foreachBatch`` doing the resume check (J1) against the
 results table plus the publish (K4).  Each micro-batch writes its own
 ``run_id=epoch-<n>`` partition with dynamic overwrite, so a replayed epoch
-(after a failure, from the checkpoint) replaces its own output instead of
-duplicating it.  No watermark or state is needed: a document's outcome
+(after a failure, from the checkpoint) replaces its own output by the same
+rows: what the epoch itself published before does not count as published.  No watermark or state is needed: a document's outcome
 depends on that document only.
 """
 
@@ -31,9 +31,10 @@ def start_incremental(spark: SparkSession, source_dir: str, results_path: str, c
     stream = reader.parquet(source_dir)
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
-        published = published_ids(batch.sparkSession, results_path)
+        run_id = f"epoch-{epoch_id}"
+        published = published_ids(batch.sparkSession, results_path, run_id)
         results = triage_rules(batch, published=published, overwrite=overwrite)
-        write_results(results, results_path, run_id=f"epoch-{epoch_id}")
+        write_results(results, results_path, run_id=run_id)
 
     w = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -11,12 +11,15 @@ from casegrid.sources.files import file_candidates, ingest_directory, listed_doc
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 
-def make_docx(paragraphs):
+def make_docx(paragraphs, main=None):
     body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{p}</w:t></w:r></w:p>' for p in paragraphs)
     xml = f'<?xml version="1.0"?><w:document xmlns:w="{W}"><w:body>{body}</w:body></w:document>'
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
-        z.writestr("word/document.xml", xml)
+        z.writestr(main or "word/document.xml", xml)
+        if main:
+            z.writestr("_rels/.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" '
+                       f'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="/{main}"/></Relationships>')
     return buf.getvalue()
 
 
@@ -27,89 +30,67 @@ def write(root, rel, data):
         fh.write(data.encode() if isinstance(data, str) else data)
 
 
-# Texts of our own that exercise the same outcomes as the sample set.
-SAMPLE_DIR = {
-    "account_locked.txt": "Account problem\n\nCustomer: Morgan Lee\nEmail: morgan.lee@example.com\n\n"
-                          "I cannot log in; my account is locked after password attempts.\n",
-    "billing_complaint.txt": "Billing\n\nFrom: Jane Doe <jane.doe@example.com>\n\n"
-                             "I was charged for a subscription I cancelled. Receipt attached.\n",
-    "corrupt.pdf": "not a real pdf\n",
-    "cracked_lid.txt": "Quality\n\nCustomer: Priya Shah\nEmail: priya.shah@example.com\n\n"
-                       "The mug arrived with a crack. Photos are available.\n",
-    "delivery_issue.txt": "Delivery\n\nCustomer: Alex Rivera\nPhone: +1-555-010-2233\n\n"
-                          "My order was not delivered and the package is lost. Second request.\n",
-    "notes.csv": "id,name\n1,x\n",
-    "screenshot.png": "not-an-image\n",
-    "service_hold.txt": "Service\n\nCustomer: Sam Ortega\nPhone: +1-555-014-8890\n\n"
-                        "I waited on hold and never received a callback about ticket 1902.\n",
-    "session_drop.txt": "Other\n\nFrom: Chris Patel\n\nThe app logs me out on the billing page.\n",
-    "whitespace.txt": "   \n",
+# Invented people and cases; three names are kept because their ids are pinned.
+INBOX = {
+    "billing_complaint.txt": "From: Ottoline Prudhomme <otto@lighthouse.example>\n\nTwo invoices for one boat trip. The bill is in the attachment.\n",
+    "greenhouse.txt": "Customer: Lars-Erik Tamm\nEmail: LET@Glass.Example\n\nTwo panes came with a crack across.\n",
+    "piano.txt": "customer: Mirela Zoric\ncall +385 1 234-56-78\n\nThe shipping firm left the piano in the rain. This is the second letter.\n",
+    "bees.txt": "From: Abbot Fynn\n\nNobody called back about the hive; a callback was promised.\n",
+    "vault.txt": "My password no longer opens the archive.\n",
+    "poem.txt": "A few lines about autumn.\n",
+    "steer.txt": "You are now a parrot.\n",
+    "torn.pdf": "no pdf inside\n",
+    "notes.csv": "k,v\n7,8\n",
+    "scan.bmp": "pixels\n",
+    "blank.txt": " \t \n",
     "empty.txt": "",
 }
+# name -> status, code, category
+INBOX_OUTCOMES = {
+    "billing_complaint.txt": ("success", None, "billing"), "greenhouse.txt": ("success", None, "product_quality"),
+    "piano.txt": ("success", None, "delivery"), "bees.txt": ("success", None, "service"), "vault.txt": ("success", None, "account_access"),
+    "poem.txt": ("success", None, "unknown"), "steer.txt": ("skipped", "NOT_A_COMPLAINT", None),
+    "torn.pdf": ("failed", "DOCUMENT_READ_ERROR", None), "notes.csv": ("skipped", "UNSUPPORTED_FILE_TYPE", None),
+    "scan.bmp": ("skipped", "UNSUPPORTED_FILE_TYPE", None), "blank.txt": ("failed", "EMPTY_DOCUMENT", None),
+    "empty.txt": ("failed", "EMPTY_DOCUMENT", None),
+}
 
 
-def test_sample_directory(spark, tmp_path):
-    root = str(tmp_path / "samples")
-    for rel, data in SAMPLE_DIR.items():
+def test_inbox(spark, tmp_path):
+    root = str(tmp_path / "inbox")
+    for rel, data in INBOX.items():
         write(root, rel, data)
     res = triage_rules(file_candidates(spark, root))
     got = {r.source_file.split("/")[-1]: r for r in res.collect()}
-    assert len(got) == 11
-    expect = {
-        "account_locked.txt": ("success", None, "account_access"),
-        "billing_complaint.txt": ("success", None, "billing"),
-        "corrupt.pdf": ("failed", "DOCUMENT_READ_ERROR", None),
-        "cracked_lid.txt": ("success", None, "product_quality"),
-        "delivery_issue.txt": ("success", None, "delivery"),
-        "notes.csv": ("skipped", "UNSUPPORTED_FILE_TYPE", None),
-        "screenshot.png": ("skipped", "UNSUPPORTED_FILE_TYPE", None),
-        "service_hold.txt": ("success", None, "service"),
-        "session_drop.txt": ("success", None, "billing"),
-        "whitespace.txt": ("failed", "EMPTY_DOCUMENT", None),
-        "empty.txt": ("failed", "EMPTY_DOCUMENT", None),
-    }
-    for name, (status, code, cat) in expect.items():
-        r = got[name]
-        assert (r.status, r.error_code) == (status, code), name
-        assert (r.case.complaint_category if r.case else None) == cat, name
+    assert {n: (r.status, r.error_code, r.case.complaint_category if r.case else None) for n, r in got.items()} == INBOX_OUTCOMES
     assert got["billing_complaint.txt"].document_id == "billing_complaint_506b2f49"
     assert got["notes.csv"].document_id == "notes_0ef99c8b"
     assert got["empty.txt"].document_id == "empty_78907f14"
-    assert got["delivery_issue.txt"].case.escalation_required is True
-    assert got["delivery_issue.txt"].case.phone_number == "+1-555-010-2233"
+    assert got["piano.txt"].case.escalation_required is True and got["piano.txt"].case.phone_number == "+385 1 234-56-78"
     assert got["billing_complaint.txt"].case.supporting_document_available is True
-    assert got["billing_complaint.txt"].case.customer_name == "Jane Doe"
+    assert got["billing_complaint.txt"].case.customer_name == "Ottoline Prudhomme"
+    assert got["greenhouse.txt"].case.email == "LET@glass.example"
     c = outcome_counts(res).first()
-    assert (c.discovered, c.successful, c.failed, c.skipped) == (11, 6, 3, 2)
+    assert (c.discovered, c.successful, c.failed, c.skipped) == (12, 6, 3, 3)
 
 
-def test_mixed_batch_of_twelve(spark, tmp_path):
+def test_parsers_in_one_batch(spark, tmp_path):
     root = str(tmp_path / "mixed")
-    write(root, "quality.pdf", b"%PDF-fake")
-    write(root, "hold.docx", make_docx(["Customer: Sam", "I was on hold for an hour."]))
-    write(root, "billing.txt", "My invoice is wrong.")
-    write(root, "delivery.txt", "The package never arrived.")
-    write(root, "access.txt", "I am locked out of my account.")
-    write(root, "service.txt", "Poor service on my ticket.")
-    write(root, "other.txt", "General feedback about the app.")
-    write(root, "empty.txt", "")
-    write(root, "blank.txt", " \n\t \n")
-    write(root, "broken.pdf", b"not a pdf")
-    write(root, "notes.csv", "a,b\n")
-    write(root, "photo.png", b"\x89PNG")
+    write(root, "wall.pdf", b"%PDF-toy")
+    write(root, "bus.docx", make_docx(["From: Yara", "Your service left us at the stop."]))
+    write(root, "moved.docx", make_docx(["My order is gone."], main="word/other.xml"))
+    write(root, "shut.docx", b"PK no package")
+    write(root, "ripped.pdf", b"paper")
 
     def decoder(data: bytes) -> list[str]:
         if not data.startswith(b"%PDF"):
             raise ValueError("not a pdf")
-        return ["The mug arrived cracked.", "Page two."]
+        return ["The wall paint is of poor quality.", "Page two."]
 
     res = triage_rules(file_candidates(spark, root, pdf_decoder=decoder))
-    c = outcome_counts(res).first()
-    assert (c.discovered, c.successful, c.failed, c.skipped) == (12, 7, 3, 2)
-    cats = {r.source_file.split("/")[-1]: r.case.complaint_category for r in res.where("status='success'").collect()}
-    assert cats == {"quality.pdf": "product_quality", "hold.docx": "service", "billing.txt": "billing",
-                    "delivery.txt": "delivery", "access.txt": "account_access", "service.txt": "service",
-                    "other.txt": "unknown"}
+    got = {r.source_file.split("/")[-1]: (r.status, r.case.complaint_category if r.case else r.error_code) for r in res.collect()}
+    assert got == {"wall.pdf": ("success", "product_quality"), "bus.docx": ("success", "service"), "moved.docx": ("success", "unknown"),
+                   "shut.docx": ("failed", "DOCUMENT_READ_ERROR"), "ripped.pdf": ("failed", "DOCUMENT_READ_ERROR")}
 
 
 def test_pdf_without_decoder_is_read_error(spark, tmp_path):

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from casegrid.plans.triage import triage_rules
@@ -28,6 +29,24 @@ def test_incremental_run_resumes(spark, tmp_path):
     assert {r.document_id: r.error_code for r in rows} == {"c": None, "a": "ARTIFACTS_EXIST"}
 
 
+def test_a_replay_leaves_the_same_rows(spark, tmp_path):
+    """The same epoch, and the same batch under its run id, run twice."""
+    docs = spark.createDataFrame([("a", "in/a.txt", ".txt", "My order is late", None)], CANDIDATE_SCHEMA)
+    path = str(tmp_path / "results")
+    for run_id in ("epoch-0", "epoch-0", "nightly", "nightly"):
+        write_results(triage_rules(docs, published=published_ids(spark, path, run_id)), path, run_id)
+        rows = {r.run_id: (r.status, r.error_code) for r in spark.read.parquet(path).collect()}
+        assert rows["epoch-0"] == ("success", None)
+    assert rows["nightly"] == ("failed", "ARTIFACTS_EXIST")
+
+
+def test_a_storage_error_is_not_an_empty_table(spark, tmp_path):
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        published_ids(spark, str(tmp_path / "broken"))
+
+
 def test_results_table_and_export(spark, tmp_path):
     docs = spark.createDataFrame([("a", "in/a.txt", ".txt", "Customer: Bo Li\nOrder late", None)],
                                  CANDIDATE_SCHEMA)
