@@ -176,20 +176,34 @@ LABELLED = np.array([
     (1, 0.0, 2, 0.0, 30, 0.0, 1, 0, 1), (6, 1.0, 12, 0.0, 80, 0.0, 1, 0, 1), (80, 0.0, 1, 0.0, 0, 0.0, 1, 0, 1),
     (40, 0.0, 5, 1.0, 40, 0.0, 1, 0, 1), (300, 0.0, 250, 0.1, 9, 0.5, 1, 0, 1), (0, 0.0, 1, 0.0, 0, 0.0, 1, 0, 1),
     (25, 0.0, 18, 0.4, 30, 0.0, 1, 0, 1), (3, 0.0, 4, 0.0, 5, 0.0, 1, 0, 1), (1, 1.0, 2, 0.0, 8, 0.2, 1, 0, 1),
+    (3, 0.0, 1, 0.0, 3, 0.3, 1, 0, 1), (4, 1.0, 3, 0.0, 2, 0.5, 1, 0, 1), (2, 1.0, 1, 0.0, 1, 0.0, 1, 0, 1),
+    (5, 0.0, 2, 1.0, 3, 0.0, 1, 0, 1), (0, 0.0, 6, 0.0, 4, 0.0, 1, 0, 1), (12, 0.0, 7, 0.0, 0, 0.0, 1, 0, 1),
+    (1, 0.0, 1, 1.0, 1, 1.0, 1, 0, 1), (6, 1.0, 150, 0.0, 2, 1.0, 1, 0, 1), (2, 0.0, 4, 0.5, 0, 0.0, 1, 0, 1),
+    (45, 0.0, 3, 0.0, 60, 0.0, 1, 0, 1), (7, 1.0, 7, 1.0, 7, 1.0, 1, 0, 1), (30, 0.1, 11, 0.0, 4, 1.0, 1, 0, 1),
     # parts marked as something else, in an article or out of it
     (90, 0.0, 30, 0.0, 12, 0.0, 1, 1, 0), (30, 0.0, 55, 0.0, 70, 0.0, 1, 1, 0), (70, 0.0, 4, 1.0, 4, 1.0, 1, 1, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (0, 0.0, 2, 1.0, 3, 1.0, 0, 1, 0), (6, 1.0, 40, 0.0, 10, 0.0, 0, 1, 0),
     (50, 0.0, 8, 0.1, 0, 0.0, 0, 1, 0), (8, 0.0, 120, 0.0, 60, 0.0, 0, 1, 0), (2, 0.0, 25, 0.2, 90, 0.0, 0, 1, 0),
-    (60, 0.0, 3, 0.0, 0, 0.0, 1, 1, 0),
+    (60, 0.0, 3, 0.0, 0, 0.0, 1, 1, 0), (40, 0.0, 45, 0.0, 50, 0.0, 0, 1, 0), (35, 0.0, 200, 0.1, 60, 0.0, 1, 1, 0),
+    (90, 0.0, 20, 0.0, 55, 0.0, 1, 1, 0), (5, 0.0, 15, 0.0, 30, 0.0, 1, 1, 0), (12, 0.0, 60, 0.0, 9, 0.0, 1, 1, 0),
+    (22, 0.2, 75, 0.0, 41, 0.0, 0, 1, 0), (64, 0.0, 33, 0.1, 27, 0.1, 0, 1, 0), (48, 0.0, 17, 0.0, 52, 0.0, 0, 1, 0),
     # pages without an article element: running text between other blocks
     (20, 0.0, 45, 0.0, 38, 0.0, 0, 0, 1), (45, 0.0, 22, 0.1, 50, 0.0, 0, 0, 1), (60, 0.0, 16, 0.0, 44, 0.0, 0, 0, 1),
     (7, 0.0, 70, 0.0, 4, 0.0, 0, 0, 1), (33, 0.1, 90, 0.2, 28, 0.0, 0, 0, 1), (80, 0.0, 12, 0.0, 66, 0.0, 0, 0, 1),
-    (5, 0.5, 55, 0.1, 61, 0.0, 0, 0, 1), (48, 0.0, 19, 0.0, 3, 1.0, 0, 0, 1),
+    (5, 0.5, 55, 0.1, 61, 0.0, 0, 0, 1), (48, 0.0, 19, 0.0, 3, 1.0, 0, 0, 1), (50, 0.0, 6, 0.0, 60, 0.0, 0, 0, 1),
+    (62, 0.0, 8, 0.0, 48, 0.1, 0, 0, 1), (44, 0.0, 3, 0.0, 90, 0.0, 0, 0, 1), (70, 0.1, 5, 0.0, 41, 0.0, 0, 0, 1),
+    (120, 0.0, 2, 0.0, 77, 0.0, 0, 0, 1), (39, 0.0, 7, 0.1, 52, 0.0, 0, 0, 1), (2, 1.0, 64, 0.0, 70, 0.0, 0, 0, 1),
+    (1, 1.0, 45, 0.1, 50, 0.0, 0, 0, 1), (3, 0.0, 80, 0.0, 62, 0.0, 0, 0, 1), (0, 0.0, 55, 0.0, 48, 0.0, 0, 0, 1),
+    (66, 0.0, 70, 0.0, 1, 1.0, 0, 0, 1), (40, 0.0, 36, 0.0, 0, 0.0, 0, 0, 1), (0, 0.0, 41, 0.0, 0, 0.0, 0, 0, 1),
+    (2, 1.0, 30, 0.0, 25, 0.0, 0, 0, 1), (3, 1.0, 24, 0.1, 2, 1.0, 0, 0, 1), (4, 0.0, 27, 0.0, 5, 0.0, 0, 0, 1),
     # pages without an article element: links, labels, legal lines
     (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0), (1, 1.0, 5, 0.9, 6, 1.0, 0, 0, 0), (0, 0.0, 4, 0.0, 2, 1.0, 0, 0, 0),
     (3, 1.0, 7, 0.0, 2, 1.0, 0, 0, 0), (9, 0.6, 14, 0.8, 30, 0.0, 0, 0, 0), (40, 0.0, 6, 1.0, 5, 1.0, 0, 0, 0),
     (6, 0.0, 8, 0.1, 0, 0.0, 0, 0, 0), (4, 0.0, 5, 0.0, 6, 0.0, 0, 0, 0), (30, 0.0, 25, 0.7, 20, 0.6, 0, 0, 0),
-    (2, 0.0, 9, 0.0, 4, 0.4, 0, 0, 0),
+    (2, 0.0, 9, 0.0, 4, 0.4, 0, 0, 0), (58, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0), (70, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0),
+    (95, 0.0, 3, 0.0, 2, 1.0, 0, 0, 0), (50, 0.1, 4, 0.0, 6, 0.0, 0, 0, 0), (2, 1.0, 2, 0.0, 55, 0.0, 0, 0, 0),
+    (33, 0.0, 18, 1.0, 21, 0.9, 0, 0, 0), (75, 0.0, 30, 0.6, 28, 0.1, 0, 0, 0), (60, 0.0, 26, 0.5, 44, 0.0, 0, 0, 0),
+    (3, 1.0, 3, 1.0, 80, 0.0, 0, 0, 0), (0, 0.0, 1, 0.0, 40, 0.0, 0, 0, 0),
 ], dtype=float)
 
 
