@@ -3,10 +3,10 @@
 Items are cut into windows of consecutive words (a shorter item is one
 window).  The corpus is read once for the frequencies of the benchmark's
 words; then, for the rarest words of each window, positional postings
-(term, document, position) are written to the shared folder, dealt by term and
-document.  A window is looked up by intersecting its rarest terms' lists after
-taking off each term's place in the window: the documents and starts at which
-all of them agree.  Those are compared word for word with the document, which
+(term, document, position) are written to the shared folder, in shards by
+document, sorted by term.  A window is looked up by intersecting its rarest
+terms' lists after taking off each term's place in the item: the documents and
+starts at which all of them agree.  Those are compared word for word with the document, which
 gives the exact phrase matches; where the terms do not agree on a start, but
 theirs lie in the same or neighbouring cells of ``slack + 1`` words, there is a
 proximity match.
@@ -48,25 +48,18 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(item_id, phrase) for every item and distinct window, and the distinct
-    (phrase, place, term) of the windows."""
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """(item_id, words) of the items with words, as one text with spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, phrases = [], []
-            for item, text in zip(b.column("item_id").to_pylist(), _texts(b), strict=True):
-                w = words_of(text)
-                for i in range(max(1, len(w) - window + 1) if w else 0):
-                    ids.append(item)
-                    phrases.append(b" ".join(w[i:i + window]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())],
-                                             ["item_id", "phrase"])
+            got = [(i, b" ".join(words_of(t))) for i, t in zip(b.column("item_id").to_pylist(), _texts(b), strict=True)]
+            got = [(i, w) for i, w in got if w]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.string()),
+                                              pa.array([w for _, w in got], pa.binary()).cast(pa.string())], ["item_id", "words"])
 
-    items = staged(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-                   .mapInArrow(run, "item_id string, phrase string").distinct(), "windows")
-    terms = items.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("place", "term"))
-    return items, terms
+    return staged(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+                  .mapInArrow(run, "item_id string, words string").distinct(), "items")
 
 
 def _slices(terms: DataFrame) -> Iterator[frozenset[bytes]]:
@@ -122,71 +115,96 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     out = docs.sparkSession.createDataFrame([], "term string, doc_id long, key long, position int")
     for vocabulary in _slices(terms):
         out = out.unionByName(listed(vocabulary))
-    # A frequent term's list is spread over the documents' hashes.
-    return staged(out.repartition("term", F.pmod("key", F.lit(32))).sortWithinPartitions("term", "doc_id", "position"), "postings")
+    # Shards by document: a frequent term's list is spread over all of them.
+    return staged(out.repartition("key").sortWithinPartitions("term", "doc_id", "position"), "postings")
+
+
+def lookups(items: DataFrame, counts: DataFrame, window: int, rarest: int) -> DataFrame:
+    """Of each distinct item text (words): the places to look up, and its
+    windows as (first place, length, places of its rarest terms).  A window
+    with a term that the corpus lacks is left out."""
+    texts = items.select("words").distinct().withColumn("w", F.split("words", " "))
+    n = F.least(F.size("w"), F.lit(window))
+    windows = texts.select("words", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("first"))
+    terms = texts.select("words", F.posexplode("w").alias("place", "term")).join(counts, "term")
+    inside = (windows.join(terms, "words").where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("n"))))
+    whole = Window.partitionBy("words", "first")
+    chosen = (inside.withColumn("have", F.count("*").over(whole)).where("have = n")
+              .withColumn("rank", F.row_number().over(whole.orderBy("count", "term", "place"))).where(F.col("rank") <= rarest))
+    return staged(chosen.groupBy("words", "first", "n").agg(F.collect_list(F.struct("place", "term")).alias("rarest")), "lookups")
+
+
+def _offsets(docs: DataFrame, items: DataFrame, window: int, rarest: int) -> tuple[DataFrame, DataFrame]:
+    """Postings of the windows' rarest terms, each taken back by the term's
+    place: (doc_id, key, words, start, place), ``start`` being where the item's
+    first word would stand; and the windows per item text."""
+    terms = items.select(F.explode(F.split("words", " ")).alias("term"))
+    found = lookups(items, term_counts(docs, terms).withColumnRenamed("n", "count"), window, rarest)
+    places = staged(found.select("words", F.inline("rarest")).distinct(), "places")
+    index = postings(docs, places)
+    offsets = index.join(places, "term").select("doc_id", "key", "words", (F.col("position") - F.col("place")).alias("start"), "place")
+    windows = found.groupBy("words").agg(F.collect_list(F.struct(
+        "first", "n", F.col("rarest.place").alias("places"))).alias("windows"))
+    return offsets, windows
+
+
+def _agreeing(offsets: DataFrame, windows: DataFrame, *by: str) -> DataFrame:
+    """Intersect the lists: per document, item and ``by``, the windows all of
+    whose rarest terms are there (arrays no longer than the item)."""
+    lists = offsets.groupBy("doc_id", "key", "words", *by).agg(F.collect_set("place").alias("there"))
+    agreed = F.filter("windows", lambda w: F.forall(w["places"], lambda p: F.array_contains(F.col("there"), p)))
+    return lists.join(windows, "words").withColumn("windows", agreed).where(F.size("windows") > 0).drop("there")
 
 
 def _verified(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, key, start, n_words, phrase, hit words) of the candidates
-    (doc_id, key, start, phrase) whose words stand in the text."""
-    per_doc = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "phrase")).alias("c"))
-    per_doc = staged(per_doc, "candidates")
+    """(doc_id, key, n_hit, items): of the candidates (doc_id, key, words,
+    start, windows), what stands in the text word for word: the words in it
+    and the texts of the items with a window there."""
+    per_doc = staged(found.groupBy("doc_id", "key").agg(F.collect_list(F.struct(
+        "words", "start", F.transform("windows", lambda w: F.struct(w["first"].alias("first"), w["n"].alias("n"))).alias("windows"))).alias("c")),
+        "candidates")
     rows = null_safe(pick(docs, per_doc.select("key").distinct(), ["key"]).select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"]),
                      per_doc, ["doc_id", "key"], "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits, phrases = [], []
+            hits, items = [], []
             for t, cand in zip(_texts(b), b.column("c").to_pylist(), strict=True):
                 words, got = words_of(t), set()
                 cover = np.zeros(len(words) + 1, np.int64)
                 for c in cand:
-                    want, s = c["phrase"].encode().split(b" "), c["start"]
-                    if s >= 0 and words[s:s + len(want)] == want:
-                        got.add(c["phrase"])
-                        cover[s] += 1
-                        cover[s + len(want)] -= 1
+                    item = c["words"].encode().split(b" ")
+                    for w in c["windows"]:
+                        i, n = w["first"], w["n"]
+                        s = c["start"] + i
+                        if s >= 0 and words[s:s + n] == item[i:i + n]:
+                            got.add(c["words"])
+                            cover[s] += 1
+                            cover[s + n] -= 1
                 hits.append(int((np.cumsum(cover) > 0).sum()))
-                phrases.append(sorted(got))
+                items.append(sorted(got))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(hits, pa.int64()),
-                                              pa.array(phrases, pa.list_(pa.string()))], ["doc_id", "key", "n_hit", "phrases"])
+                                              pa.array(items, pa.list_(pa.string()))], ["doc_id", "key", "n_hit", "texts"])
 
-    return rows.mapInArrow(run, "doc_id long, key long, n_hit long, phrases array<string>")
-
-
-def _candidates(docs: DataFrame, terms: DataFrame, rarest: int) -> DataFrame:
-    """(doc_id, key, phrase, need, deltas): postings of each window's rarest
-    terms, offset by their places, by document and window."""
-    counts = term_counts(docs, terms)
-    ranked = terms.join(counts, "term")  # a term that never occurs rules its window out, below
-    w = Window.partitionBy("phrase").orderBy("n", "term", "place")
-    size = F.size(F.split("phrase", " "))
-    anchors = staged(ranked.withColumn("have", F.count("*").over(Window.partitionBy("phrase"))).where(F.col("have") == size)
-                     .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rarest)
-                     .select("phrase", "place", "term", F.least(size, F.lit(rarest)).alias("need")), "anchors")
-    index = postings(docs, anchors)
-    return index.join(anchors, "term").select("doc_id", "key", "phrase", "need", "place",
-                                              (F.col("position") - F.col("place")).alias("start"))
+    return rows.mapInArrow(run, "doc_id long, key long, n_hit long, texts array<string>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST,
             slack: int = SLACK) -> DataFrame:
-    """(doc_id, phrase, start, kind): windows found by the index; ``kind`` is
-    "phrase" where the whole window stands at ``start``, "near" for a proximity
-    match."""
+    """(doc_id, words, start, kind): items found by the index at ``start``;
+    ``kind`` is "phrase" where a window's rarest terms agree on it, "near" for a
+    proximity match (``start`` being the first of the terms')."""
     bounded_batches(docs.sparkSession)
-    docs = _keyed(docs)
-    _, terms = item_windows(benchmark, window)
-    c = staged(_candidates(docs, terms, rarest), "offsets")
-    exact = c.groupBy("doc_id", "key", "phrase", "need", "start").agg(F.countDistinct("place").alias("n")).where("n = need")
-    # Starts in cells of slack + 1 words; a start reaches into the next cell.
+    offsets, windows = _offsets(_keyed(docs), item_words(benchmark), window, rarest)
+    offsets = staged(offsets, "offsets")
+    exact = _agreeing(offsets, windows, "start")
+    # Starts in cells of slack + 1 words; a start reaches into the cell before.
     cell = F.floor(F.col("start") / (slack + 1))
-    near = (c.withColumn("cell", F.explode(F.array(cell, cell - 1))).groupBy("doc_id", "key", "phrase", "need", "cell")
-            .agg(F.countDistinct("place").alias("n"), F.min("start").alias("start")).where("n = need")
-            .join(exact.select("key", "phrase").distinct(), ["key", "phrase"], "left_anti")
-            .groupBy("doc_id", "key", "phrase").agg(F.min("start").alias("start")))
-    return (exact.select("doc_id", "phrase", "start", F.lit("phrase").alias("kind"))
-            .unionByName(near.select("doc_id", "phrase", "start", F.lit("near").alias("kind"))))
+    near = (_agreeing(offsets.withColumn("cell", F.explode(F.array(cell, cell - 1))), windows, "cell")
+            .join(exact.select("key", "words").distinct(), ["key", "words"], "left_anti").select("doc_id", "key", "words").distinct())
+    first = offsets.groupBy("key", "words").agg(F.min("start").alias("start"))
+    return (exact.select("doc_id", "words", "start", F.lit("phrase").alias("kind"))
+            .unionByName(near.join(first, ["key", "words"]).select("doc_id", "words", "start", F.lit("near").alias("kind"))))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -201,11 +219,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     at least one word in ``share`` is hit."""
     bounded_batches(docs.sparkSession)
     docs = _keyed(docs)
-    items, terms = item_windows(benchmark, window)
-    found = (_candidates(docs, terms, rarest).groupBy("doc_id", "key", "phrase", "need", "start")
-             .agg(F.countDistinct("place").alias("n")).where("n = need").select("doc_id", "key", "start", "phrase"))
-    hit = staged(_verified(docs, found).where("n_hit > 0"), "hits")
-    by_item = (hit.select("doc_id", "key", F.explode("phrases").alias("phrase")).join(items, "phrase")
+    items = item_words(benchmark)
+    hit = staged(_verified(docs, _agreeing(*_offsets(docs, items, window, rarest), "start")).where("n_hit > 0"), "hits")
+    by_item = (hit.select("doc_id", "key", F.explode("texts").alias("words")).join(items, "words")
                .groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
     hits = null_safe(hit.select("doc_id", "key", "n_hit"), by_item, ["doc_id", "key"], "inner")
 
