@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # In an order of its own: rows arrive as the tasks before end.
-        got = sorted({(r["toxic"], r["doc_id"], r["text"] or "") for b in batches for r in b.to_pylist()})
+        got = sorted({(r["toxic"], -1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for b in batches for r in b.to_pylist()})
         model = fit([t for *_, t in got], [p for p, *_ in got], prior)
         yield pa.RecordBatch.from_pydict({"m": pa.array([pickle.dumps((model.weights, model.bias))], pa.binary())})
 
