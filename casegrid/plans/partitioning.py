@@ -1,9 +1,9 @@
 """Keep CPU-heavy row work spread over the cluster.
 
 Text triage costs far more CPU per row than moving the row, so a scan that
-yields fewer partitions than the cluster has cores (one big row group, a
-few compacted files) is spread with ``repartition(n, key)`` on a unique id
-before the regex work.  A wide scan (the normal case at scale) is left
+yields fewer partitions than its size or the cluster's cores call for (one big
+row group, a few compacted files) is spread with ``repartition(n, key)`` on a
+unique id before the regex work; ``n`` grows with the input.  A wide scan (the normal case at scale) is left
 as is: no shuffle.  AQE does not coalesce an explicit ``repartition(n)``.
 """
 
@@ -12,8 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+SPREAD_BYTES = 64 << 20  # input bytes of one partition, by the planner's estimate
+
+
 def target_partitions(df: DataFrame, factor: int = 2) -> int:
-    return max(1, df.sparkSession.sparkContext.defaultParallelism * factor)
+    """Partitions for ``df``: by its size, and no fewer than keep the cores busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism * factor
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:  # no JVM handle
+        size = 0
+    # The estimate of a plan without statistics is boundless: not a size.
+    return max(1, cores, -(-size // SPREAD_BYTES) if size < 1 << 60 else 0)
 
 
 def _scan_partitions(df: DataFrame) -> int | None:
