@@ -11,10 +11,11 @@ for the smaller bands its partners may lie in.
 
 Documents of equal sets are one node.  Rather than all pairs of a signature,
 each is compared with one centre (its smallest node; within a map task, the
-task's smallest); linked nodes are joined into components.  Only signatures
-that still hold several components are looked at again, and there every node
-outside the largest component is compared with all nodes of other components.
-So no link between components is missed, and no pair within one is listed.
+task's smallest); linked nodes are joined into components.  What may be left,
+links between nodes of different components, is settled exactly: the nodes
+that signatures connect (a family) are compared, if they are not yet in one
+component, in blocks of bounded size, which give links and no other pairs.  So
+no link between components is missed, and no list of pairs is made.
 
 Nodes are 64-bit digests of the sets and features 64-bit hashes: two
 different sets coincide with odds of about n * n / 4e19.
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ _U = np.uint64
 _ODD = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))  # mixing constants
 #: Words whose hash a Python worker remembers, and signatures combined at once.
 KEPT_WORDS, CHUNK = 500_000, 1_000_000
+#: Nodes of one block (in the mean), and features of one matrix product.
+BLOCK_NODES, COLUMNS = 256, 4096
 #: A band's largest size is at most so many times its smallest.
 BAND = 1.4
 
@@ -218,37 +222,51 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             .where(both * den >= (F.size("fa") + F.size("fb") - both) * num).select("a", "b"))
 
 
-def _rest(sets: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a signature but no component, where b
-    is outside the signature's largest component."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                b = batch.slice(i, 500)
-                sigs = [signatures(np.array(f, np.int64).view(_U), num, den) for f in b.column("f").to_pylist()]
-                times = [len(s) for s in sigs]
-                rep = lambda c: pa.array(np.repeat(b.column(c).to_numpy(), times))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), rep("node"), rep("component"), rep("size")],
-                    ["sig", "node", "component", "size"])
-
-    with_comp = (sets.join(comp, "node", "left")
-                 .select("node", F.coalesce("component", "node").alias("component"), F.size("f").cast("long").alias("size"), "f"))
-    schema = "sig long, node long, component long, size long"
-    signed = with_comp.mapInArrow(run, schema)
-    mixed = signed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    left = staged(signed.join(mixed.select("sig"), "sig", "left_semi"), "mixed")
-    counts = left.groupBy("sig", "component").count()
-    main = counts.groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    minor = left.join(main, "sig").where("component != main").select(
-        "sig", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("size_b"), "main")
-    other = left.select("sig", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("size_a"))
-    # Two nodes outside the main component meet once, not twice.
-    return (minor.join(other, "sig").where((F.col("ca") != F.col("cb")) & ((F.col("ca") == F.col("main")) | (F.col("a") < F.col("b")))
-                                           & (F.col("size_a") * den >= F.col("size_b") * num)
-                                           & (F.col("size_b") * den >= F.col("size_a") * num))
-            .select("a", "b", "size_b").distinct())
+def _block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Links between the components in one block: all intersections by products
+    of incidence matrices, and of the links found a forest."""
+    sets = [np.asarray(f, np.int64) for f in pdf["f"]]
+    nodes, comps = pdf["node"].to_numpy(), pdf["component"].to_numpy()
+    n, size = len(sets), np.array([len(f) for f in sets])
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[col] > 1  # the others are in no intersection
+    row, col = np.repeat(np.arange(n), size)[shared], (np.cumsum(times > 1) - 1)[col[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col, both = row[order], col[order], np.zeros((n, n))
+    for at in range(0, int((times > 1).sum()), COLUMNS):
+        i, j = np.searchsorted(col, (at, at + COLUMNS))
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[row[i:j], col[i:j] - at] = 1.0
+        both += m @ m.T
+    near = (both * den >= (size[:, None] + size[None, :] - both) * num) & (comps[:, None] != comps[None, :])
+    root = {c: c for c in comps.tolist()}
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near))), strict=True):
+        ends = []
+        for c in (comps[i], comps[j]):
+            while root[c] != c:
+                c = root[c]
+            ends.append(c)
+        if ends[0] != ends[1]:
+            root[ends[1]] = ends[0]
+            out.append((nodes[i], nodes[j]))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _rest(pairs: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between different components: of the nodes that signatures
+    connect (a family), every two are compared, in blocks of bounded size; only
+    families that hold several components are."""
+    family = components(pairs).withColumnRenamed("component", "family")
+    of = family.join(comp, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+    mixed = (of.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+             .where("lo < hi").select("family", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")))
+    # A node goes to every pair of blocks that its own block is in.
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (of.join(mixed, "family").join(sets, "node").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "f"))
+    return dealt.groupBy("family", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, num, den), "a long, b long")
 
 
 def similar_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -275,7 +293,7 @@ def similar_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     sized = pairs.join(known.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
     links = staged(_links(sized, sets, num, den), "links")
     comp = components(links)
-    more = staged(_links(_rest(sets, comp, num, den), sets, num, den), "links")
+    more = staged(_rest(pairs, sets, comp, num, den), "links")
     comp = components(links.unionByName(more))
     named = rows.where("node IS NOT NULL").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # Of each component the row with the smallest id stays, nulls last.
