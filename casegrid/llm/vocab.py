@@ -22,7 +22,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words remembered per worker (in two halves, of which the elder is dropped),
 #: the longest one (characters), and words encoded in one call.
-KEPT_WORDS, KEPT_CHARS, TOGETHER = 1_000_000, 48, 64
+KEPT_WORDS, KEPT_CHARS, TOGETHER = 1_600_000, 48, 64
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
