@@ -4,7 +4,7 @@ The ids equal those of ``Tokenizer.encode(text, add_special_tokens=False)`` on
 the whole text.  Texts are cut only where no token can span: a byte-level
 pre-tokeniser takes a space only at the front of a token, so before a space
 that stands between non-space characters; a word vocabulary that drops white
-space, at every space.  The pieces' ids are remembered per Python worker (a
+space and marks the ends of words by ``</w>``, at every space.  The pieces' ids are remembered per Python worker (a
 bounded table), so that the library is asked once per distinct word.
 """
 
@@ -41,6 +41,10 @@ class Encoder:
         self.words: dict[str, bytes | None] = {}
         self.elder: dict[str, bytes | None] = {}
         self.heads: dict[str, bytes] = {}
+        known = self.tok.get_vocab()
+        self.edge = np.zeros(max(known.values(), default=0) + 1, bool)
+        for t, i in known.items():
+            self.edge[i] = t.startswith("\u0120") if style == "byte" else t.endswith("</w>")
         # A special token divides a text before anything else is done to it,
         # so words joined by one are encoded each for itself.
         self.mark, self.mark_id = next(((t.content, i) for i, t in self.tok.get_added_tokens_decoder().items()
@@ -68,7 +72,31 @@ class Encoder:
             out.append(raw[at:])
         return out
 
+    def _runs(self, words: list[str]) -> list[bytes]:
+        """Ids of words encoded together, with a space between them: told apart
+        by the tokens that open a word after a space, or that end one."""
+        byte, out = self.style == "byte", []
+        for i in range(0, len(words), TOGETHER):
+            g = words[i:i + TOGETHER]
+            (e,) = self.tok.encode_batch_fast([" " * byte + " ".join(g)], add_special_tokens=False)
+            ids = np.array(e.ids, f"<u{self.width}")
+            cuts = np.flatnonzero(self.edge[ids]) + (not byte)
+            if len(cuts) != len(g):  # not one token of that kind for each word
+                out += self._each([" " * byte + w for w in g])
+                continue
+            ends = [*cuts[1:], len(ids)] if byte else cuts
+            raw, at = ids.tobytes(), 0
+            for c in (np.array(ends) * self.width).tolist():
+                out.append(raw[at:c])
+                at = c
+        return out
+
     def _learn(self, table: dict, keys: list[str], lead: str) -> None:
+        if lead or self.style == "word":
+            # In a word vocabulary only letters are sure to make one word.
+            plain = keys if lead else [k for k in keys if k.isalpha()]
+            table.update(zip(plain, self._runs(plain), strict=True))
+            keys = [] if lead else [k for k in keys if not k.isalpha()]
         table.update(zip(keys, self._encode([lead + k for k in keys]), strict=True))
 
     def _turn(self) -> None:
