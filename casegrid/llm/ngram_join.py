@@ -14,8 +14,10 @@ each is compared with one centre (its smallest node; within a map task, the
 task's smallest); linked nodes are joined into components.  What may be left,
 links between nodes of different components, is settled exactly: the nodes
 that signatures connect (a family) are compared, if they are not yet in one
-component, in blocks of bounded size, which give links and no other pairs.  So
-no link between components is missed, and no list of pairs is made.
+component, in blocks of bounded size, which give links and no other pairs; in a
+very large family, those that share one of their rarest features (a prefix in a
+fixed order, which similar sets cannot have disjoint).  So no link between
+components is missed, and no pair within one is listed.
 
 Nodes are 64-bit digests of the sets and features 64-bit hashes: two
 different sets coincide with odds of about n * n / 4e19.
@@ -36,7 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegrid.llm.common import bounded_batches, pick, row_key, staged
@@ -46,8 +48,12 @@ _U = np.uint64
 _ODD = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))  # mixing constants
 #: Words whose hash a Python worker remembers, and signatures combined at once.
 KEPT_WORDS, CHUNK = 500_000, 1_000_000
-#: Nodes of one block (in the mean), and features of one matrix product.
-BLOCK_NODES, COLUMNS = 256, 4096
+#: Nodes of one block (in the mean), features of one matrix product, and nodes
+#: of a family that is compared in blocks.
+BLOCK_NODES, COLUMNS, FAMILY_NODES = 256, 4096, 8192
+#: Hash cells whose counts are compared before sets are, and (as a power of
+#: two) those that order features by commonness: 2 MB.
+CELLS, ORDER_BITS = 128, 18
 #: A band's largest size is at most so many times its smallest.
 BAND = 1.4
 
@@ -198,7 +204,8 @@ def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _arrays(docs: DataFrame, n: int) -> DataFrame:
-    """(node, f): the set of each document as an array."""
+    """(node, f, c): the set of each document as an array, and how many of its
+    features fall into each of CELLS hash cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,21 +214,88 @@ def _arrays(docs: DataFrame, n: int) -> DataFrame:
                 sets = [f for f in (features(t or b"", n) for t in texts[i:i + 500]) if len(f)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([digest(f) for f in sets], pa.int64()),
-                     pa.array([f.view(np.int64) for f in sets], pa.list_(pa.int64()))], ["node", "f"])
+                     pa.array([f.view(np.int64) for f in sets], pa.list_(pa.int64())),
+                     pa.array([np.bincount((f % _U(CELLS)).astype(np.int64), minlength=CELLS) for f in sets], pa.list_(pa.int32()))],
+                    ["node", "f", "c"])
 
-    return docs.select("text").mapInArrow(run, "node long, f array<long>")
+    return docs.select("text").mapInArrow(run, "node long, f array<long>, c array<int>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by exact intersection."""
-    a = sets.select(F.col("node").alias("a"), F.col("f").alias("fa"))
-    b = sets.select(F.col("node").alias("b"), F.col("f").alias("fb"))
+    """The pairs (a, b) whose sets are similar enough, by exact intersection.
+    Sets differ in no fewer features than their cell counts do, so pairs whose
+    counts differ too much are left out before any set is sent."""
+    def side(name: str, *cols: Column) -> DataFrame:
+        return sets.select(F.col("node").alias(name), *cols)
+
+    near = (pairs.select("a", "b")
+            .join(side("a", F.col("c").alias("ca"), F.size("f").alias("na")), "a").join(side("b", F.col("c").alias("cb"), F.size("f").alias("nb")), "b"))
+    apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    near = near.where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
+                      & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)))
+    near = staged(near.select("a", "b"), "near")
     both = F.size(F.array_intersect("fa", "fb"))
-    return (pairs.join(a, "a").where(F.size("fa") * den >= F.col("size_b") * num)
-            .where(F.col("size_b") * den >= F.size("fa") * num).join(b, "b")
+    return (near.join(side("a", F.col("f").alias("fa")), "a").join(side("b", F.col("f").alias("fb")), "b")
             .where(both * den >= (F.size("fa") + F.size("fb") - both) * num).select("a", "b"))
 
 
+def _commonness(sets: DataFrame) -> np.ndarray:
+    """How many features of ``sets`` fall into each of 2 ** ORDER_BITS hash
+    cells: a fixed-size table that orders features from rare to common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << ORDER_BITS, np.int64)
+        for b in batches:
+            f = b.column("f").flatten().to_numpy().view(_U)
+            counts += np.bincount((f >> _U(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts))
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
+
+    table = sets.select("f").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << ORDER_BITS, np.int64)
+    out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def rarest(f: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A set's first features in the order (commonness, hash): so many that two
+    similar sets cannot be without a common one among them."""
+    order = np.lexsort((f, common[(f >> _U(64 - ORDER_BITS)).astype(np.int64)]))
+    return f[order[:len(f) - -(-num * len(f) // den) + 1]]
+
+
+def _by_rarest(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, component, f) in different components
+    that share one of their rarest features, where b is outside the feature's
+    largest component."""
+    common = nodes.sparkSession.sparkContext.broadcast(_commonness(nodes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                b = batch.slice(i, 500)
+                sets = [f.values.to_numpy().view(_U) for f in b.column("f")]
+                keys = [rarest(f, common.value, num, den) for f in sets]
+                times = [len(k) for k in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.repeat(x, times)) for x in (
+                        b.column("node").to_numpy(), b.column("component").to_numpy(), np.array([len(f) for f in sets])))],
+                    ["key", "node", "component", "size"])
+
+    keyed = staged(nodes.select("node", "component", "f").mapInArrow(run, "key long, node long, component long, size long"), "rarest")
+    mixed = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    left = staged(keyed.join(mixed.select("key"), "key", "left_semi"), "mixed")
+    counts = left.groupBy("key", "component").count()
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    minor = left.join(main, "key").where("component != main").select(
+        "key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), "main")
+    other = left.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"))
+    # Two nodes outside the main component meet once, not twice.
+    return (minor.join(other, "key").where((F.col("ca") != F.col("cb")) & ((F.col("ca") == F.col("main")) | (F.col("a") < F.col("b")))
+                                           & (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
+            .select("a", "b").distinct())
+
+
 def _block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Links between the components in one block: all intersections by products
     of incidence matrices, and of the links found a forest."""
@@ -254,19 +328,25 @@ def _block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
 
 
 def _rest(pairs: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between different components: of the nodes that signatures
-    connect (a family), every two are compared, in blocks of bounded size; only
-    families that hold several components are."""
+    """Links (a, b) between different components of the nodes that signatures
+    connect (a family).  In a family of up to FAMILY_NODES nodes, every two are
+    compared, in blocks of bounded size; in a larger one, those that share one
+    of their rarest features, as similar sets must."""
     family = components(pairs).withColumnRenamed("component", "family")
     of = family.join(comp, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
     mixed = (of.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-             .where("lo < hi").select("family", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")))
+             .where("lo < hi").select("family", "n", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")))
+    mixed = staged(mixed, "families")
+    small, large = (of.join(mixed.where(c), "family").join(sets.select("node", "f"), "node")
+                    for c in (F.col("n") <= FAMILY_NODES, F.col("n") > FAMILY_NODES))
     # A node goes to every pair of blocks that its own block is in.
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (of.join(mixed, "family").join(sets, "node").withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = (small.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "f"))
-    return dealt.groupBy("family", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, num, den), "a long, b long")
+    links = dealt.groupBy("family", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, num, den), "a long, b long")
+    if mixed.where(F.col("n") > FAMILY_NODES).isEmpty():
+        return links
+    return links.unionByName(_links(_by_rarest(large, num, den), sets, num, den))
 
 
 def similar_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -290,8 +370,7 @@ def similar_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     if not known.where("n > 1").isEmpty():  # repeated rows
         chosen = chosen.dropDuplicates(["key"])
     sets = staged(_arrays(chosen, n), "arrays")
-    sized = pairs.join(known.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
-    links = staged(_links(sized, sets, num, den), "links")
+    links = staged(_links(pairs, sets, num, den), "links")
     comp = components(links)
     more = staged(_rest(pairs, sets, comp, num, den), "links")
     comp = components(links.unionByName(more))

@@ -43,8 +43,9 @@ def test_op6_against_all_pairs(spark, sf, texts):
     assert got_classes(QUERIES["op6_ngram_join"](spark, sf)) == classes(texts.items(), 3, 90, 100)
 
 
-@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80), (1, 60)])
-def test_near_copies_of_every_degree(spark, docs_of, n, num):
+@pytest.mark.parametrize(("n", "num", "family"), [(3, 90, 8192), (5, 80, 8192), (5, 80, 1), (1, 60, 1)])
+def test_near_copies_of_every_degree(spark, docs_of, monkeypatch, n, num, family):
+    monkeypatch.setattr(ngram_join, "FAMILY_NODES", family)
     rnd, rows = random.Random(n * num), []
     for size in (1, 2, 3, 6, 9, 14, 25, 60, 200, 700):
         base = [f"w{rnd.randint(0, 4000)}" for _ in range(size)]
