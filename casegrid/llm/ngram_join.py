@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import bounded_batches, pick, row_key, staged
+from casegrid.llm.common import BROADCAST_IDS, bounded_batches, pick, row_key, staged
 from casegrid.llm.graph import components
 
 _U = np.uint64
@@ -234,6 +234,8 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     near = near.where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
                       & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)))
     near = staged(near.select("a", "b"), "near")
+    # Only the sets of these pairs are sent.
+    sets = pick(sets, staged(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes"), ["node"])
     both = F.size(F.array_intersect("fa", "fb"))
     return (near.join(side("a", F.col("f").alias("fa")), "a").join(side("b", F.col("f").alias("fb")), "b")
             .where(both * den >= (F.size("fa") + F.size("fb") - both) * num).select("a", "b"))
@@ -337,8 +339,7 @@ def _rest(pairs: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int
     mixed = (of.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
              .where("lo < hi").select("family", "n", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")))
     mixed = staged(mixed, "families")
-    small, large = (of.join(mixed.where(c), "family").join(sets.select("node", "f"), "node")
-                    for c in (F.col("n") <= FAMILY_NODES, F.col("n") > FAMILY_NODES))
+    small = of.join(mixed.where(F.col("n") <= FAMILY_NODES), "family").join(sets.select("node", "f"), "node")
     # A node goes to every pair of blocks that its own block is in.
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (small.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -346,6 +347,9 @@ def _rest(pairs: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int
     links = dealt.groupBy("family", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, num, den), "a long, b long")
     if mixed.where(F.col("n") > FAMILY_NODES).isEmpty():
         return links
+    members = staged(of.join(mixed.where(F.col("n") > FAMILY_NODES), "family").select("node", "component"), "members")
+    few = members.count() <= BROADCAST_IDS
+    large = sets.select("node", "f").join(F.broadcast(members) if few else members, "node")
     return links.unionByName(_links(_by_rarest(large, num, den), sets, num, den))
 
 
