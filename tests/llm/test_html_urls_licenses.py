@@ -121,3 +121,45 @@ def test_size_bounds_cut_nothing():
         low, high = licenses.bounds(n, 0.8)
         for a in range(1, 40):
             assert (2.0 * min(a, n) / (a + n) >= 0.8) == (low <= a <= high)
+
+
+def test_notices_inside_lines_across_lines_and_whole_texts(spark, docs_of):
+    bsd = dict(licenses.TEXTS)["BSD-3-Clause"].replace("the copyright holder nor", "Doe Incorporated nor")
+    wrapped = "\n * ".join(re.findall(r"(?:\S+\s*){1,9}", bsd))
+    rows = [(1, "Copyright 2020 Jane Doe. Released under the MIT License."), (2, "x\nIt is released under the\nMIT License, as said."),
+            (3, "Copyright (c) 2020 Jane Doe\n\n" + licenses.TEXTS[1][1] + "\nmore words " * 30), (4, "# a\n" + wrapped),
+            (5, "We speak of the software, of the license and of the copyright. " * 200),
+            (6, "A paragraph before. " + dict(licenses.TEXTS)["Apache-2.0"].replace("this file", "these files") + " A paragraph after.")]
+    got = {r["doc_id"]: (r["license"], r["line_no"], r["n_lines"]) for r in licenses.scan(docs_of(rows)).collect()}
+    assert got == {1: ("MIT", 1, 1), 2: ("MIT", 2, 1), 3: ("MIT", 3, 1), 4: ("BSD-3-Clause", 2, 1), 5: (None, None, 0),
+                   6: ("Apache-2.0", 1, 1)}
+
+
+def test_windows_against_all_windows(spark, docs_of):
+    """Every window of every template's sizes, and every line, by brute force."""
+    import random
+
+    rnd = random.Random(7)
+    pool = sorted({w for _, t in licenses.TEMPLATES for w in licenses.words_of(t)})
+    rows = []
+    for i in range(150):
+        words = [rnd.choice(pool) for _ in range(rnd.randint(0, 12))] + licenses.words_of(rnd.choice(licenses.TEMPLATES)[1])
+        words = [w for w in words if rnd.random() < 0.93] + [rnd.choice(pool) for _ in range(rnd.randint(0, 12))]
+        rows.append((i, "".join(w + rnd.choice([" ", " ", " ", "\n"]) for w in words)))
+    sets = [(set(licenses.bigrams_of(t)), *licenses.bounds(len(licenses.bigrams_of(t)), 0.8)) for _, t in licenses.TEMPLATES]
+    got = {r["doc_id"]: r for r in licenses.scan(docs_of(rows), licenses.TEMPLATES).collect()}
+    for i, text in rows:
+        w = licenses.words_of(text)
+        grams = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        line_of = [n for n, x in enumerate(text.split("\n"), 1) for _ in licenses.words_of(x)]
+        best = (0.8 - 1e-12, 0, 0, None)
+        for no, (b, low, high) in enumerate(sets):
+            spans = [(a, n) for a in range(len(grams)) for n in range(low, high + 1) if a + n <= len(grams)]
+            spans += [(line_of.index(x), line_of.count(x) - 1) for x in set(line_of)]
+            for a, n in spans:
+                s = set(grams[a:a + n])
+                best = max(best, (2 * len(s & b) / (len(s) + len(b)), -no, -a, no))
+        if best[3] is None:
+            assert got[i]["license"] is None and got[i]["n_lines"] == 0
+        else:
+            assert (got[i]["dice"], got[i]["license"]) == (best[0], licenses.TEMPLATES[best[3]][0]) and got[i]["n_lines"] >= 1
