@@ -1,10 +1,11 @@
 """Main text of web pages from flat text blocks and a trained decision tree.
 
 A page is cut at block-level tags into flat blocks.  A block's features are
-its word count and link density, those of the block before and after it, and
-whether it lies in an article element or in a part marked as something else.
-A small decision tree, grown here from a labelled table, decides which blocks
-are main text; no block is judged by position or cut.
+its word count and link density, those of the block before and after it,
+whether it lies in an article element or in a part marked as something else,
+whether it is a heading.  A
+small decision tree, grown here from a labelled table, decides which blocks are
+main text; no block is judged by position or cut.
 
 Defined results: null or empty html gives an empty text and 0 characters;
 markup that never closes ends at the page's end; character references are
@@ -31,6 +32,7 @@ SKIP = frozenset("svg math select button object canvas audio video head datalist
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = frozenset("nav aside footer form menu dialog".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure"
     " footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section"
@@ -66,13 +68,14 @@ def _tag_end(page: str, at: int, gone: dict[str, bool]) -> int:
                 at = close + 1
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, words in links, in article, in noise) of each flat block."""
-    out: list[tuple[str, int, int, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
+    """(text, words, words in links, in article, in noise, is heading) of each
+    flat block."""
+    out: list[tuple[str, int, int, bool, bool, bool]] = []
     text: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, is main, is noise
     open_ = Counter()
-    state = {"main": 0, "noise": 0, "skip": 0, "link": 0}
+    state = {"main": 0, "noise": 0, "skip": 0, "link": 0, "heading": 0}
     gone = {"'": False, '"': False}
     unclosed: set[str] = set()
 
@@ -82,7 +85,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         body = _SPACE.sub(" ", entities.unescape("".join(t for t, _ in text))).strip()
         if body:
             linked = sum(len(entities.unescape(t).split()) for t, in_link in text if in_link)
-            out.append((body, len(body.split()), linked, state["main"] > 0, state["noise"] > 0))
+            out.append((body, len(body.split()), linked, state["main"] > 0, state["noise"] > 0, state["heading"] > 0))
         text.clear()
 
     def close(name: str) -> None:
@@ -92,6 +95,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             state["main"] -= main
             state["noise"] -= noise
             state["skip"] -= top in SKIP
+            state["heading"] -= top in HEADINGS
             if top == name:
                 return
 
@@ -164,13 +168,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         state["main"] += main
         state["noise"] += noise
         state["skip"] += name in SKIP
+        state["heading"] += name in HEADINGS
     flush()
     return out
 
 
-#: Labelled blocks: words and link density of the block before, of the block
-#: itself and of the block after; in article; in noise; main text or not.
-LABELLED = np.array([
+# Labelled blocks: words and link density of the block before, of the block
+# itself and of the block after; in article; in noise; main text or not.
+_PLAIN = np.array([
     # running text of an article, long and short, headings, lists, last lines
     (0, 0.0, 9, 0.0, 60, 0.0, 1, 0, 1), (9, 0.0, 60, 0.0, 40, 0.0, 1, 0, 1), (60, 0.0, 1, 0.0, 2, 0.0, 1, 0, 1),
     (1, 0.0, 2, 0.0, 30, 0.0, 1, 0, 1), (6, 1.0, 12, 0.0, 80, 0.0, 1, 0, 1), (80, 0.0, 1, 0.0, 0, 0.0, 1, 0, 1),
@@ -205,9 +210,53 @@ LABELLED = np.array([
     (33, 0.0, 18, 1.0, 21, 0.9, 0, 0, 0), (75, 0.0, 30, 0.6, 28, 0.1, 0, 0, 0), (60, 0.0, 26, 0.5, 44, 0.0, 0, 0, 0),
     (3, 1.0, 3, 1.0, 80, 0.0, 0, 0, 0), (0, 0.0, 1, 0.0, 40, 0.0, 0, 0, 0),
 ], dtype=float)
+# The same, with is heading and follows a heading before the label.
+_MORE = np.array([
+    # headings before running text, long or short; before links or nothing; linked ones
+    (0, 0.0, 1, 0.0, 40, 0.0, 0, 0, 1, 0, 1), (2, 1.0, 2, 0.0, 55, 0.0, 0, 0, 1, 0, 1), (3, 1.0, 5, 0.0, 9, 0.0, 0, 0, 1, 0, 1),
+    (60, 0.0, 3, 0.0, 12, 0.1, 0, 0, 1, 0, 1), (14, 0.0, 2, 0.0, 5, 0.0, 0, 0, 1, 0, 1), (40, 0.0, 4, 0.0, 30, 0.2, 0, 0, 1, 0, 1),
+    (30, 0.0, 1, 0.0, 2, 1.0, 0, 0, 1, 0, 0), (60, 0.0, 2, 0.0, 5, 1.0, 0, 0, 1, 0, 0), (3, 1.0, 2, 0.0, 1, 1.0, 0, 0, 1, 0, 0),
+    (5, 0.0, 2, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (8, 0.0, 2, 0.0, 25, 0.9, 0, 0, 1, 0, 0), (40, 0.0, 5, 1.0, 50, 0.0, 0, 0, 1, 0, 0),
+    (3, 1.0, 3, 1.0, 80, 0.0, 0, 0, 1, 0, 0), (0, 0.0, 2, 0.0, 3, 0.0, 1, 0, 1, 0, 1), (3, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1, 0, 1),
+    (5, 0.0, 3, 0.0, 40, 0.0, 0, 1, 1, 0, 0), (5, 0.0, 3, 0.0, 40, 0.0, 1, 1, 1, 0, 0),
+    (25, 0.0, 3, 0.0, 6, 0.0, 0, 0, 1, 0, 1), (0, 0.0, 4, 0.0, 7, 0.1, 0, 0, 1, 0, 1), (3, 1.0, 1, 0.0, 5, 0.0, 0, 0, 1, 0, 1),
+    (2, 1.0, 6, 0.0, 6, 0.0, 0, 0, 1, 0, 1), (9, 0.0, 2, 0.0, 4, 0.0, 0, 0, 1, 0, 1), (70, 0.0, 5, 0.0, 7, 0.0, 0, 0, 1, 0, 1),
+    (3, 0.0, 3, 0.0, 18, 0.0, 0, 0, 1, 1, 1), (6, 0.0, 2, 0.0, 5, 0.0, 0, 0, 1, 1, 1), (1, 0.0, 4, 0.0, 66, 0.0, 0, 0, 1, 1, 1),
+    # labels of few words before text that are no headings
+    (1, 1.0, 1, 0.0, 48, 0.0, 0, 0, 0, 0, 0), (0, 0.0, 3, 0.0, 62, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 4, 0.0, 33, 0.0, 0, 0, 0, 0, 0),
+    # headings of an article, whatever follows
+    (5, 0.0, 3, 0.0, 0, 0.0, 1, 0, 1, 0, 1), (2, 1.0, 4, 0.0, 6, 1.0, 1, 0, 1, 0, 1), (30, 0.0, 2, 0.0, 1, 0.0, 1, 0, 1, 0, 1),
+    (8, 0.0, 6, 1.0, 60, 0.0, 1, 0, 1, 0, 1), (0, 0.0, 5, 0.0, 1, 1.0, 1, 0, 1, 0, 1), (3, 0.0, 3, 0.5, 20, 0.9, 1, 0, 1, 0, 1),
+    (60, 0.0, 2, 0.0, 5, 1.0, 1, 0, 1, 0, 1), (5, 0.0, 2, 0.0, 0, 0.0, 1, 0, 1, 0, 1), (3, 0.0, 4, 1.0, 3, 1.0, 1, 0, 1, 1, 1),
+    # after a heading: in an article; short text; links
+    (2, 0.0, 30, 0.0, 40, 0.0, 1, 0, 0, 1, 1), (3, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1, 1), (1, 0.0, 1, 0.0, 0, 0.0, 1, 0, 0, 1, 1),
+    (4, 0.0, 12, 0.9, 5, 0.0, 1, 0, 0, 1, 1), (5, 0.0, 40, 0.0, 9, 0.0, 1, 1, 0, 1, 0), (2, 0.0, 4, 1.0, 3, 1.0, 0, 1, 0, 1, 0),
+    (3, 0.0, 20, 0.0, 30, 0.0, 0, 1, 0, 1, 0), (1, 0.0, 6, 0.1, 0, 0.0, 0, 1, 0, 1, 0),
+    (7, 0.0, 6, 0.0, 8, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 5, 0.0, 3, 0.0, 0, 0, 0, 1, 1), (6, 0.0, 8, 0.1, 0, 0.0, 0, 0, 0, 1, 1),
+    (9, 0.0, 4, 0.0, 12, 0.0, 0, 0, 0, 1, 1), (4, 0.0, 7, 0.0, 4, 0.0, 0, 0, 0, 1, 1), (8, 0.0, 9, 0.0, 2, 1.0, 0, 0, 0, 1, 1),
+    (2, 0.0, 12, 0.0, 9, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 6, 0.0, 60, 0.0, 0, 0, 0, 1, 1), (1, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 1, 1),
+    (3, 0.0, 5, 0.0, 15, 0.0, 0, 0, 0, 1, 1), (4, 0.0, 9, 0.1, 0, 0.0, 0, 0, 0, 1, 1), (2, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 1, 0),
+    (1, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 1, 0), (3, 0.0, 25, 0.8, 4, 1.0, 0, 0, 0, 1, 0),
+    # short paragraphs in a row
+    (12, 0.0, 10, 0.0, 9, 0.0, 0, 0, 0, 0, 1), (10, 0.0, 14, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (14, 0.0, 11, 0.0, 3, 0.0, 0, 0, 0, 0, 1),
+    (11, 0.0, 12, 0.1, 16, 0.0, 0, 0, 0, 0, 1), (13, 0.0, 12, 0.0, 2, 0.0, 0, 0, 0, 0, 1),
+], dtype=float)
+
+
+#: Places of the features "is a heading" and "follows a heading".
+HEADING, AFTER = 8, 9
+#: Labelled blocks with all features.
+LABELLED = np.vstack([np.hstack([_PLAIN[:, :8], np.zeros((len(_PLAIN), 2)), _PLAIN[:, 8:]]), _MORE])
 
 
 def grow_tree(rows: np.ndarray, depth: int = 6):
+    """A tree each for headings, blocks after one and other blocks."""
+    heading, after = rows[:, HEADING] > 0.5, rows[:, AFTER] > 0.5
+    others = AFTER, 0.5, _grow(rows[~heading & ~after], depth), _grow(rows[~heading & after], depth)
+    return HEADING, 0.5, others, _grow(rows[heading], depth)
+
+
+def _grow(rows: np.ndarray, depth: int):
     """Decision tree (feature, threshold, low, high) or a label, by Gini
     impurity; ties go to the first feature and the lowest threshold."""
     x, y = rows[:, :-1], rows[:, -1]
@@ -224,7 +273,7 @@ def grow_tree(rows: np.ndarray, depth: int = 6):
     if best is None:
         return int(2 * y.sum() >= len(y))
     _, f, cut, low = best
-    return f, float(cut), grow_tree(rows[low], depth - 1), grow_tree(rows[~low], depth - 1)
+    return f, float(cut), _grow(rows[low], depth - 1), _grow(rows[~low], depth - 1)
 
 
 def classify(tree, x: np.ndarray) -> np.ndarray:
@@ -243,10 +292,20 @@ def main_text(page: str | None, tree) -> str:
         return ""
     words = np.array([b[1] for b in found], float)
     density = np.array([b[2] for b in found], float) / words
+    main, noise, heading = (np.array([b[i] for b in found]) for i in (3, 4, 5))
     before = lambda a: np.concatenate([[0.0], a[:-1]])
     after = lambda a: np.concatenate([a[1:], [0.0]])
-    x = np.column_stack([before(words), before(density), words, density, after(words), after(density),
-                         [b[3] for b in found], [b[4] for b in found]])
+    words_after, density_after = after(words), after(density)
+    # What a heading stands before is the next block that is none, in the same part.
+    following = None
+    for i in range(len(found) - 1, -1, -1):
+        if not heading[i]:
+            following = i
+            continue
+        there = following is not None and main[following] == main[i] and noise[following] == noise[i]
+        words_after[i], density_after[i] = (words[following], density[following]) if there else (0.0, 0.0)
+    x = np.column_stack([before(words), before(density), words, density, words_after, density_after,
+                         main, noise, heading, before(heading)])
     return "\n\n".join(b[0] for b, keep in zip(found, classify(tree, x), strict=True) if keep)
 
 

@@ -163,3 +163,19 @@ def test_windows_against_all_windows(spark, docs_of):
             assert got[i]["license"] is None and got[i]["n_lines"] == 0
         else:
             assert (got[i]["dice"], got[i]["license"]) == (best[0], licenses.TEMPLATES[best[3]][0]) and got[i]["n_lines"] >= 1
+
+
+LONG = "These words are the running text of a page and go on for a while, as running text does in most places. " * 2
+PARTS = f"<h1>The title</h1><p>{LONG}</p><h2>A part</h2><p>A short paragraph here.</p><p>{LONG}</p>"
+WANT = f"The title\n\n{LONG.strip()}\n\nA part\n\nA short paragraph here.\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<h1>Title</h1><p>{LONG * 2}</p>", f"Title\n\n{(LONG * 2).strip()}"),
+    (f"<a href=/>Home page</a><h2>Two words</h2><p>{LONG * 2}</p>", f"Two words\n\n{(LONG * 2).strip()}"),
+    (f"<ul><li><a href=/>Home</a></ul><div>{PARTS}</div><h3>More</h3><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul>", WANT),
+    (f"<h1>Title</h1><h2>Subtitle of it</h2><p>{LONG}</p>", f"Title\n\nSubtitle of it\n\n{LONG.strip()}"),
+    (f"<div><h1>Site name</h1></div><article>{PARTS}</article>", WANT),
+])
+def test_headings_and_short_paragraphs_without_an_article(page, text):
+    assert main(page) == text
