@@ -2,8 +2,11 @@
 
 A page is cut at block-level tags into flat blocks.  A block's features are
 its word count and link density, those of the block before and after it,
-whether it lies in an article element or in a part marked as something else,
-whether it is a heading.  A
+whether it lies in an article element or in an element for something else,
+whether it is a heading, and what its part's name says: a class, id or role
+with a noise word hints at something else the more, the less of the page's text
+lies under that word (a word around most of the text names a wrapper).  Names
+of article and main elements, and of what lies around them, say nothing.  A
 small decision tree, grown here from a labelled table, decides which blocks are
 main text; no block is judged by position or cut.
 
@@ -33,6 +36,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NOISE = frozenset("nav aside footer form menu dialog".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts by name that hold articles of their own (replies, teasers).
+HOLDERS = frozenset("comment comments commentlist disqus related promo promoted promotion sponsor sponsored".split())
+#: First words of names that say what a part has or lacks, not what it is.
+HAVING = frozenset("has have having no not non with without is".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure"
     " footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section"
@@ -47,6 +54,7 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile("[>\"']")
 _HINT = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_FIRST = re.compile(r"[a-z]+(?=[-_])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -68,14 +76,22 @@ def _tag_end(page: str, at: int, gone: dict[str, bool]) -> int:
                 at = close + 1
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, in article, in noise, is heading) of each
-    flat block."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
+def _hints(tag: str) -> frozenset[str]:
+    """Noise words in the class, id and role of a tag."""
+    names = [n for h in _HINT.findall(tag) for n in h.lower().strip("\"'").split()]
+    found = {w for n in names if not ((m := _FIRST.match(n)) and m.group() in HAVING) for w in _WORDS.findall(n)}
+    return NOISE_WORDS & found
+
+
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, frozenset[str]]]:
+    """(text, words, words in links, in article, in noise, is heading, noise
+    words of names around it) of each flat block."""
+    out: list[tuple[str, int, int, bool, bool, bool, frozenset[str]]] = []
     text: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, is main, is noise
+    stack: list[tuple[str, bool, bool, frozenset[str]]] = []  # name, is main, is noise, hints around it
     open_ = Counter()
     state = {"main": 0, "noise": 0, "skip": 0, "link": 0, "heading": 0}
+    hints: frozenset[str] = frozenset()
     gone = {"'": False, '"': False}
     unclosed: set[str] = set()
 
@@ -85,12 +101,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         body = _SPACE.sub(" ", entities.unescape("".join(t for t, _ in text))).strip()
         if body:
             linked = sum(len(entities.unescape(t).split()) for t, in_link in text if in_link)
-            out.append((body, len(body.split()), linked, state["main"] > 0, state["noise"] > 0, state["heading"] > 0))
+            out.append((body, len(body.split()), linked, state["main"] > 0, state["noise"] > 0, state["heading"] > 0, hints))
         text.clear()
 
     def close(name: str) -> None:
+        nonlocal hints
         while stack:
-            top, main, noise = stack.pop()
+            top, main, noise, hints = stack.pop()
             open_[top] -= 1
             state["main"] -= main
             state["noise"] -= noise
@@ -157,13 +174,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             close(name)
         if name in BLOCK:
             state["link"] = 0
-        hints = _HINT.findall(page[m.end():at])
-        noise = name in NOISE or (name == "header" and not state["main"]) or any(
-            not NOISE_WORDS.isdisjoint(_WORDS.findall(h.lower())) for h in hints)
-        if noise and name in ("html", "body"):
-            noise = False  # a theme's class on the page itself says nothing of a part
+        noise = name in NOISE or (name == "header" and not state["main"])
         main = name in MAIN
-        stack.append((name, main, noise))
+        stack.append((name, main, noise, hints))
+        if main:  # where the main text opens, names around it were a wrapper's
+            hints = hints if state["main"] else hints & HOLDERS
+        elif name not in ("html", "body"):  # a theme's class on the page itself says nothing of a part
+            hints |= _hints(page[m.end():at])
         open_[name] += 1
         state["main"] += main
         state["noise"] += noise
@@ -243,10 +260,23 @@ _MORE = np.array([
 ], dtype=float)
 
 
+def _labelled() -> np.ndarray:
+    def hinted(rows: np.ndarray, hint: float) -> np.ndarray:
+        rows = rows.copy()
+        rows[:, 7] = hint
+        return rows
+
+    rows = np.vstack([np.hstack([_PLAIN[:, :8], np.zeros((len(_PLAIN), 2)), _PLAIN[:, 8:]]), _MORE])
+    noise = rows[rows[:, 7] == 1]
+    # A name around nearly all of the text says nothing, one around little of
+    # it what a noise element does, in an article one around half of it too.
+    return np.vstack([rows, hinted(rows[rows[:, 7] == 0], 0.1), hinted(noise, 0.9), hinted(noise[noise[:, 6] == 1], 0.4)])
+
+
 #: Places of the features "is a heading" and "follows a heading".
 HEADING, AFTER = 8, 9
 #: Labelled blocks with all features.
-LABELLED = np.vstack([np.hstack([_PLAIN[:, :8], np.zeros((len(_PLAIN), 2)), _PLAIN[:, 8:]]), _MORE])
+LABELLED = _labelled()
 
 
 def grow_tree(rows: np.ndarray, depth: int = 6):
@@ -286,6 +316,20 @@ def classify(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _hint(found: list) -> np.ndarray:
+    """Of each block, what the noise words of names around it hint: 0 without
+    any, else the share of the text (words outside links and noise elements,
+    of the article's if it is in one) that does not lie under its rarest word.
+    Outside an article, on a page that has one, that is all."""
+    total, under = Counter(), Counter()
+    for _, n, linked, main, noise, _, hints in found:
+        if not noise:
+            total[main] += n - linked
+            under.update({(main, w): n - linked for w in hints})
+    return np.array([0.0 if not b[6] else 1.0 if total[True] and not b[3] else
+                     1.0 - min(under[b[3], w] for w in b[6]) / max(1, total[b[3]]) for b in found])
+
+
 def main_text(page: str | None, tree) -> str:
     found = blocks(page or "")
     if not found:
@@ -305,7 +349,7 @@ def main_text(page: str | None, tree) -> str:
         there = following is not None and main[following] == main[i] and noise[following] == noise[i]
         words_after[i], density_after[i] = (words[following], density[following]) if there else (0.0, 0.0)
     x = np.column_stack([before(words), before(density), words, density, words_after, density_after,
-                         main, noise, heading, before(heading)])
+                         main, np.maximum(noise, _hint(found)), heading, before(heading)])
     return "\n\n".join(b[0] for b, keep in zip(found, classify(tree, x), strict=True) if keep)
 
 

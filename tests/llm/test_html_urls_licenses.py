@@ -170,6 +170,18 @@ PARTS = f"<h1>The title</h1><p>{LONG}</p><h2>A part</h2><p>A short paragraph her
 WANT = f"The title\n\n{LONG.strip()}\n\nA part\n\nA short paragraph here.\n\n{LONG.strip()}"
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='content has-sidebar'><article>{}</article></div>", "<div id='page' class='no-comments'><article>{}</article></div>",
+    "<article class='post social'>{}</article>", "<main role=navigation><div class='post social'>{}</div></main>",
+    "<div class='widget social'><article>{}</article></div><div class=sidebar><p>Some words about the people who write here.</p></div>",
+    "<div id='page' class='no-comments'>{}</div>", "<div class='content sidebar-left'>{}</div><div><a href=/>Imprint</a></div>",
+    "<article>{}</article><div class=comments><article class=comment><p>A reply with quite a few words of its own.</p></article></div>",
+    "<article>{}<div class=related><article><h3>Other</h3><p>A teaser of a few words.</p></article></div></article>",
+])
+def test_names_of_wrappers_lose_no_article(page):
+    assert main(page.format(PARTS)) == WANT
+
+
 @pytest.mark.parametrize(("page", "text"), [
     (f"<h1>Title</h1><p>{LONG * 2}</p>", f"Title\n\n{(LONG * 2).strip()}"),
     (f"<a href=/>Home page</a><h2>Two words</h2><p>{LONG * 2}</p>", f"Two words\n\n{(LONG * 2).strip()}"),
