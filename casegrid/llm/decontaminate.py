@@ -7,9 +7,10 @@ words; then, for the rarest words of each window, positional postings
 document, sorted by term.  A window is looked up by intersecting its rarest
 terms' lists after taking off each term's place in the item: the documents and
 starts at which all of them agree.  Those are compared word for word with the document, which
-gives the exact phrase matches; where the terms do not agree on a start, but
-theirs lie in the same or neighbouring cells of ``slack + 1`` words, there is a
-proximity match.
+gives the exact phrase matches.  Where no phrase stands, but the starts of the
+terms lie in the same or neighbouring cells of ``slack + 1`` words, there is a
+proximity match, for which the terms of a window that the corpus has are enough
+if they are as many as are looked up.
 
 Defined results: words are runs of ASCII letters and digits and of all other
 characters beyond ASCII, A-Z lower-cased; null and empty texts have no words;
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casegrid.llm.common import bounded_batches, null_safe, pick, row_key, staged
@@ -119,53 +120,71 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return staged(out.repartition("key").sortWithinPartitions("term", "doc_id", "position"), "postings")
 
 
-def lookups(items: DataFrame, counts: DataFrame, window: int, rarest: int) -> DataFrame:
+def lookups(items: DataFrame, counts: DataFrame, window: int, rarest: int, partly: bool = False) -> DataFrame:
     """Of each distinct item text (words): the places to look up, and its
-    windows as (first place, length, places of its rarest terms).  A window
-    with a term that the corpus lacks is left out."""
+    windows as (first place, length, whether the corpus has all terms, places
+    of its rarest terms).  A window with a term that the corpus lacks is left
+    out, with ``partly`` only if too few terms remain to look up."""
     texts = items.select("words").distinct().withColumn("w", F.split("words", " "))
     n = F.least(F.size("w"), F.lit(window))
     windows = texts.select("words", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("first"))
     terms = texts.select("words", F.posexplode("w").alias("place", "term")).join(counts, "term")
     inside = (windows.join(terms, "words").where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("n"))))
     whole = Window.partitionBy("words", "first")
-    chosen = (inside.withColumn("have", F.count("*").over(whole)).where("have = n")
+    chosen = (inside.withColumn("have", F.count("*").over(whole))
+              .where(F.col("have") >= (F.least(F.col("n"), F.lit(rarest)) if partly else F.col("n")))
               .withColumn("rank", F.row_number().over(whole.orderBy("count", "term", "place"))).where(F.col("rank") <= rarest))
-    return staged(chosen.groupBy("words", "first", "n").agg(F.collect_list(F.struct("place", "term")).alias("rarest")), "lookups")
+    return staged(chosen.groupBy("words", "first", "n", (F.col("have") == F.col("n")).alias("whole")).agg(F.collect_list(F.struct("place", "term")).alias("rarest")), "lookups")
 
 
-def _offsets(docs: DataFrame, items: DataFrame, window: int, rarest: int) -> tuple[DataFrame, DataFrame]:
+def _offsets(docs: DataFrame, items: DataFrame, window: int, rarest: int, partly: bool = False) -> tuple[DataFrame, DataFrame]:
     """Postings of the windows' rarest terms, each taken back by the term's
     place: (doc_id, key, words, start, place), ``start`` being where the item's
     first word would stand; and the windows per item text."""
     terms = items.select(F.explode(F.split("words", " ")).alias("term"))
-    found = lookups(items, term_counts(docs, terms).withColumnRenamed("n", "count"), window, rarest)
+    found = lookups(items, term_counts(docs, terms).withColumnRenamed("n", "count"), window, rarest, partly)
     places = staged(found.select("words", F.inline("rarest")).distinct(), "places")
     index = postings(docs, places)
     offsets = index.join(places, "term").select("doc_id", "key", "words", (F.col("position") - F.col("place")).alias("start"), "place")
     windows = found.groupBy("words").agg(F.collect_list(F.struct(
-        "first", "n", F.col("rarest.place").alias("places"))).alias("windows"))
+        "first", "n", "whole", F.col("rarest.place").alias("places"))).alias("windows"))
     return offsets, windows
 
 
-def _agreeing(offsets: DataFrame, windows: DataFrame, *by: str) -> DataFrame:
+def _agreeing(offsets: DataFrame, windows: DataFrame, by: str, *more: Column) -> DataFrame:
     """Intersect the lists: per document, item and ``by``, the windows all of
-    whose rarest terms are there (arrays no longer than the item)."""
-    lists = offsets.groupBy("doc_id", "key", "words", *by).agg(F.collect_set("place").alias("there"))
+    whose rarest terms are there (arrays no longer than the item), and ``more``
+    aggregates."""
+    lists = offsets.groupBy("doc_id", "key", "words", by).agg(F.collect_set("place").alias("there"), *more)
     agreed = F.filter("windows", lambda w: F.forall(w["places"], lambda p: F.array_contains(F.col("there"), p)))
     return lists.join(windows, "words").withColumn("windows", agreed).where(F.size("windows") > 0).drop("there")
 
 
-def _verified(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, key, n_hit, items): of the candidates (doc_id, key, words,
-    start, windows), what stands in the text word for word: the words in it
-    and the texts of the items with a window there."""
+def _with_candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, key, text, c) of the documents with candidates (doc_id, key,
+    words, start, windows), ``c`` being these."""
     per_doc = staged(found.groupBy("doc_id", "key").agg(F.collect_list(F.struct(
         "words", "start", F.transform("windows", lambda w: F.struct(w["first"].alias("first"), w["n"].alias("n"))).alias("windows"))).alias("c")),
         "candidates")
-    rows = null_safe(pick(docs, per_doc.select("key").distinct(), ["key"]).select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"]),
+    return null_safe(pick(docs, per_doc.select("key").distinct(), ["key"]).select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"]),
                      per_doc, ["doc_id", "key"], "inner")
 
+
+def _standing(words: list[bytes], c: dict) -> Iterator[tuple[int, int]]:
+    """(place, length) of a candidate's windows that stand in the text word for word."""
+    item = c["words"].encode().split(b" ")
+    for w in c["windows"]:
+        i, n = w["first"], w["n"]
+        s = c["start"] + i
+        if s >= 0 and words[s:s + n] == item[i:i + n]:
+            yield s, n
+
+
+def _verified(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, key, n_hit, items): of the candidates (doc_id, key, words,
+    start, windows), what stands in the text word for word: the words in it
+    and the texts of the items with a window there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hits, items = [], []
@@ -173,38 +192,60 @@ def _verified(docs: DataFrame, found: DataFrame) -> DataFrame:
                 words, got = words_of(t), set()
                 cover = np.zeros(len(words) + 1, np.int64)
                 for c in cand:
-                    item = c["words"].encode().split(b" ")
-                    for w in c["windows"]:
-                        i, n = w["first"], w["n"]
-                        s = c["start"] + i
-                        if s >= 0 and words[s:s + n] == item[i:i + n]:
-                            got.add(c["words"])
-                            cover[s] += 1
-                            cover[s + n] -= 1
+                    for s, n in _standing(words, c):
+                        got.add(c["words"])
+                        cover[s] += 1
+                        cover[s + n] -= 1
                 hits.append(int((np.cumsum(cover) > 0).sum()))
                 items.append(sorted(got))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(hits, pa.int64()),
                                               pa.array(items, pa.list_(pa.string()))], ["doc_id", "key", "n_hit", "texts"])
 
-    return rows.mapInArrow(run, "doc_id long, key long, n_hit long, texts array<string>")
+    return _with_candidates(docs, found).mapInArrow(run, "doc_id long, key long, n_hit long, texts array<string>")
+
+
+def _phrases(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, key, words, start): the candidates of which a window stands in
+    the text word for word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, words, start = [], [], []
+            for r, (t, cand) in enumerate(zip(_texts(b), b.column("c").to_pylist(), strict=True)):
+                text = words_of(t)
+                for c in cand:
+                    if any(_standing(text, c)):
+                        row.append(r)
+                        words.append(c["words"])
+                        start.append(c["start"])
+            rows = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("key").take(rows), pa.array(words, pa.string()),
+                                              pa.array(start, pa.int32())], ["doc_id", "key", "words", "start"])
+
+    return _with_candidates(docs, found).mapInArrow(run, "doc_id long, key long, words string, start int")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST,
             slack: int = SLACK) -> DataFrame:
-    """(doc_id, words, start, kind): items found by the index at ``start``;
-    ``kind`` is "phrase" where a window's rarest terms agree on it, "near" for a
-    proximity match (``start`` being the first of the terms')."""
+    """(doc_id, words, start, kind): items found by the index at ``start``,
+    where the item's first word would stand; ``kind`` is "phrase" where a window
+    stands word for word, "near" for a proximity match away from these
+    (``start`` being the least of the terms')."""
     bounded_batches(docs.sparkSession)
-    offsets, windows = _offsets(_keyed(docs), item_words(benchmark), window, rarest)
+    docs = _keyed(docs)
+    offsets, windows = _offsets(docs, item_words(benchmark), window, rarest, partly=True)
     offsets = staged(offsets, "offsets")
-    exact = _agreeing(offsets, windows, "start")
+    whole = windows.withColumn("windows", F.filter("windows", lambda w: w["whole"]))
+    exact = staged(_phrases(docs, _agreeing(offsets, whole, "start")), "phrases")
     # Starts in cells of slack + 1 words; a start reaches into the cell before.
     cell = F.floor(F.col("start") / (slack + 1))
-    near = (_agreeing(offsets.withColumn("cell", F.explode(F.array(cell, cell - 1))), windows, "cell")
-            .join(exact.select("key", "words").distinct(), ["key", "words"], "left_anti").select("doc_id", "key", "words").distinct())
-    first = offsets.groupBy("key", "words").agg(F.min("start").alias("start"))
+    in_cells = lambda df: df.withColumn("cell", F.explode(F.array(cell, cell - 1)))
+    there = _agreeing(in_cells(offsets), windows, "cell", F.collect_set(F.struct("start", "place")).alias("at"))
+    agreed = F.filter("at", lambda a: F.exists("windows", lambda w: F.array_contains(w["places"], a["place"])))
+    near = (there.join(in_cells(exact).select("key", "words", "cell").distinct(), ["key", "words", "cell"], "left_anti")
+            .select("doc_id", "key", "words", F.array_min(agreed)["start"].alias("start")).distinct())
     return (exact.select("doc_id", "words", "start", F.lit("phrase").alias("kind"))
-            .unionByName(near.join(first, ["key", "words"]).select("doc_id", "words", "start", F.lit("near").alias("kind"))))
+            .unionByName(near.select("doc_id", "words", "start", F.lit("near").alias("kind"))))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -184,3 +184,15 @@ def test_a_crowd_of_equal_vectors_is_searched_whole(spark):
 def test_items_digest(spark, sf):
     rows = QUERIES["op7_decontaminate"](spark, sf).collect()
     assert {r["items_sha256"] for r in rows if not r["n_items"]} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_matches_by_place(spark, docs_of):
+    item = [f"k{i:02}" for i in range(13)]
+    bench = spark.createDataFrame([("1", " ".join(item)), ("2", "one two three four missing")], "item_id string, text string")
+    apart = " ".join(f"{w} " + "q " * 30 for w in item[3:]) * 12
+    same_places = " ".join(item[:3] + ["z"] * 10)
+    near = "k00 q q k01 k02"
+    rows = [(1, " ".join(item)), (2, same_places), (3, apart), (4, " ".join(["q"] * 7 + item + ["q"] * 80) + f" {near} " + "q " * 100 + near),
+            (5, "q " * 50 + "one two q three four"), (6, "q " * 40 + "k00 " + "q " * 59 + near)]
+    got = sorted((r["doc_id"], r["start"], r["kind"]) for r in decontaminate.matches(docs_of(rows), bench).collect())
+    assert got == [(1, 0, "phrase"), (2, 0, "near"), (4, 7, "phrase"), (4, 100, "near"), (4, 205, "near"), (5, 50, "near"), (6, 100, "near")]
