@@ -53,6 +53,18 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
+def drawn(df: DataFrame, share: float) -> DataFrame:
+    """About ``share`` of the rows (doc_id, text), by a hash of both: no null or
+    repeated id draws all its rows at once."""
+    return df.where(F.pmod(row_key(), F.lit(1 << 24)) < int(min(1.0, share) * (1 << 24)))
+
+
+def at_most(df: DataFrame, rows: int) -> DataFrame:
+    """The rows (doc_id, text and more) without repeated ones, and of too many
+    for a sample the first ``rows`` in the order of their hashes; in one partition."""
+    return df.distinct().orderBy(row_key(), *df.columns).limit(rows).repartition(1)
+
+
 def crc_mod(col: str, mod: int) -> Column:
     """crc32 of the column's text, modulo ``mod``; null for null."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import bounded_batches, pick, staged
+from casegrid.llm.common import at_most, bounded_batches, pick, staged
 
 #: Labelled rows (in the mean), terms, latent dimensions, voters, documents of
 #: one block of products.
@@ -171,14 +171,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int =
     share = min(1.0, sample_rows / max(1, known.count()))
     some = staged(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(share * (1 << 24))), "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = pick(texts, some.select("doc_id"), ["doc_id"]).join(F.broadcast(some), "doc_id")
+    rows = at_most(pick(texts, some.select("doc_id"), ["doc_id"]).join(F.broadcast(some), "doc_id"), 2 * sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted({(r["doc_id"], r["text"] or "", r["quality"]) for b in batches for r in b.to_pylist()})
         m = fit([t for _, t, _ in got], [q for *_, q in got])
         yield pa.RecordBatch.from_pydict({"m": pa.array([pickle.dumps(m)], pa.binary())})
 
-    made = rows.repartition(1).mapInArrow(run, "m binary").collect()
+    made = rows.mapInArrow(run, "m binary").collect()
     return pickle.loads(made[0]["m"]) if made else Model()
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import bounded_batches
+from casegrid.llm.common import at_most, bounded_batches, drawn
 from casegrid.llm.vocab import chunks, encoder
 
 #: Documents (about) whose ids train the dictionary, its size, and the piece
@@ -49,7 +49,7 @@ def train_dictionary(docs: DataFrame, vocab: str, style: str, sample_docs: int =
     in one task; empty when there is too little to train on."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     share = min(1.0, sample_docs / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).repartition(1)
+    sample = at_most(drawn(docs, share), 2 * sample_docs)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import bounded_batches, crc_mod, pick, staged
+from casegrid.llm.common import at_most, bounded_batches, crc_mod, drawn, pick, staged
 
 POSITIVES, UNLABELLED, FEATURES = 1500, 4000, 1000
 #: Word beginnings, in bytes.
@@ -127,13 +127,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
     if not toxic:
         return Model({}, 0.0)
 
-    def sample(df: DataFrame, rows: int, of: int) -> DataFrame:
-        return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(min(1.0, rows / max(1, of)) * (1 << 24)))
-
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(learn)
-    some = sample(known.where("toxic = 1"), positives, toxic).select("doc_id")
-    rows = (pick(texts, staged(some, "positives"), ["doc_id"]).select("doc_id", "text", F.lit(True).alias("toxic"))
-            .unionByName(sample(texts, unlabelled, texts.count()).select("doc_id", "text", F.lit(False).alias("toxic"))))
+    share = min(1.0, positives / toxic)
+    some = known.where("toxic = 1").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(share * (1 << 24))).select("doc_id")
+    sure = at_most(pick(texts, staged(some, "positives"), ["doc_id"]).select("doc_id", "text"), 2 * positives)
+    other = at_most(drawn(texts, unlabelled / max(1, texts.count())).select("doc_id", "text"), 2 * unlabelled)
+    rows = sure.withColumn("toxic", F.lit(True)).unionByName(other.withColumn("toxic", F.lit(False)))
     prior = toxic / n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

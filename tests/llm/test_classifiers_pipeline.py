@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from casegrid.llm import quality, toxicity
+from casegrid.llm.common import at_most, drawn
 from casegrid.llm.queries import QUERIES, QUALITY_FOLD, TOXIC_FOLD
 
 from .test_joins_search import classes
@@ -126,3 +127,19 @@ def test_equal_rows_leave_one(spark, docs_of):
 def test_pipeline_query(spark):
     rows = QUERIES["pipeline"](spark, "/root/testdata/sf0.001").collect()
     assert rows and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} == set(rows[0].asDict())
+
+
+def test_samples_stay_bounded_where_ids_are_null_or_repeat(spark):
+    rows = [(None, f"text {i}") for i in range(3000)] + [(7, f"words {i}") for i in range(3000)] + [(8, "same")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = drawn(docs.where("doc_id is null or doc_id = 7"), 0.1).collect()
+    assert 150 < sum(r["doc_id"] is None for r in got) < 450 and 150 < sum(r["doc_id"] == 7 for r in got) < 450
+    few = at_most(docs, 500)
+    assert few.count() == 500 and few.rdd.getNumPartitions() == 1
+    assert at_most(docs.where("doc_id = 8"), 500).count() == 1
+
+
+def test_training_takes_a_bounded_part_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1, f"some words {i}") for i in range(300)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert len(quality.train(docs, labels, F.lit(True), sample_rows=20).labels) == 40
