@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.llm import (decontaminate, html_text, licenses, ngram_join, packing, permutation_index, quality, token_files,
-                          toxicity, url_filter)
+from casegrid.llm import (centroids, decontaminate, exact_dedup, html_text, licenses, ngram_join, packing, permutation_index, quality,
+                          spelling, token_files, toxicity, url_filter)
 from casegrid.llm.common import crc_mod, fresh_folder, table
 
 # The rules of op4 (verdict, host, path).
@@ -14,6 +14,8 @@ URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 #: Folds whose labels are never learned from: (modulus, remainder).
 TOXIC_FOLD, QUALITY_FOLD = (5, 0), (4, 2)
 TOXIC_FROM, QUALITY_FROM = 0.5, 0.7
+# Clusters, rounds, components, their scale and the seed of the starts (op13).
+CLUSTERS, ROUNDS, DIMENSIONS, SCALE, SEED = 8, 10, 64, 1024, 3
 TOKEN_VOCAB, PACK_VOCAB = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
@@ -101,6 +103,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                       (score >= QUALITY_FROM).cast("int").alias("predicted"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, DIMENSIONS, SCALE, SEED)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,7 +122,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_packing, op3_html_text, op4_url_filter, op5_licenses, op6_ngram_join,
-                                   op7_decontaminate, op8_toxicity, op9_permutation_index, op10_quality, pipeline)}
+                                   op7_decontaminate, op8_toxicity, op9_permutation_index, op10_quality, op11_exact_dedup,
+                                   op12_spelling_variants, op13_centroids, pipeline)}
 
 
 def _url_sql() -> str:
@@ -162,4 +177,38 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN words USING (r) LEFT JOIN ids USING (r)"""
 
 
-ORACLES = {"op4_url_filter": _url_sql(), "op5_licenses": _license_sql(), "op7_decontaminate": _decontamination_sql()}
+def _dedup_sql() -> str:
+    return """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size,
+             arg_max(r, coalesce(doc_id, -9223372036854775808)) AS kept_row FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, r = kept_row AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
+
+
+def _centroid_sql() -> str:
+    """Rounds written out one after the other."""
+    k, dims = CLUSTERS, DIMENSIONS
+
+    def nearest(i: int) -> str:
+        d = "list_sum(list_transform(list_zip(x.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2])))"
+        return f"a{i} AS MATERIALIZED (SELECT r, min({d}::HUGEINT * {k} + c) AS m FROM x, c{i} AS c GROUP BY r)"
+
+    parts = [f"""x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, e -> floor({SCALE} * e::DOUBLE)::BIGINT) AS v
+FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, e -> e IS NOT NULL AND isfinite(e))) = {dims})""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('{SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM x)
+QUALIFY c < {k})"""]
+    for i in range(ROUNDS):
+        parts += [nearest(i), f"""s{i} AS (SELECT c, k, sum(e)::HUGEINT AS s, count(*)::HUGEINT AS n
+FROM (SELECT m % {k} AS c, unnest(v) AS e, generate_subscripts(v, 1) AS k FROM a{i} JOIN x USING (r)) GROUP BY c, k),
+u{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY k) AS v FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(u.v, o.v) AS v FROM c{i} o LEFT JOIN u{i} u ON o.c = u.c)"""]
+    parts += [nearest(ROUNDS), f"l AS (SELECT r, (m % {k})::INT AS cluster, (m // {k})::BIGINT AS distance FROM a{ROUNDS})"]
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM l JOIN x USING (r) JOIN c{ROUNDS} c ON c.c = l.cluster"""
+
+
+ORACLES = {"op4_url_filter": _url_sql(), "op5_licenses": _license_sql(), "op7_decontaminate": _decontamination_sql(),
+           "op11_exact_dedup": _dedup_sql(), "op13_centroids": _centroid_sql()}
