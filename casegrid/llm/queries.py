@@ -191,11 +191,11 @@ def _centroid_sql() -> str:
     k, dims = CLUSTERS, DIMENSIONS
 
     def nearest(i: int) -> str:
-        d = "list_sum(list_transform(list_zip(x.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2])))"
+        d = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
         return f"a{i} AS MATERIALIZED (SELECT r, min({d}::HUGEINT * {k} + c) AS m FROM x, c{i} AS c GROUP BY r)"
 
-    parts = [f"""x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, e -> floor({SCALE} * e::DOUBLE)::BIGINT) AS v
-FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, e -> e IS NOT NULL AND isfinite(e))) = {dims})""",
+    parts = [f"""x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor({SCALE} * e::DOUBLE)::BIGINT) AS v
+FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims})""",
              f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('{SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM x)
 QUALIFY c < {k})"""]
     for i in range(ROUNDS):
