@@ -26,11 +26,12 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.serializers import BatchedSerializer, CPickleSerializer
@@ -39,10 +40,13 @@ from pyspark.sql import functions as F
 
 from casegrid.llm.common import bounded_batches, staged
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 _U = np.uint64
-#: Fingerprints per row, rows of one block, rows of one message's chunk, and
-#: rows one owner answers for (8 bytes each once decoded).
-SPARE, BLOCK_ROWS, CHUNK_ROWS, OWNED_ROWS = 256, 2_000, 4_000_000, 8_000_000
+#: Fingerprints per row, rows and bytes of one block (or one longer text), rows
+#: of one message's chunk, and rows one owner answers for (8 bytes each once decoded).
+SPARE, BLOCK_ROWS, BLOCK_BYTES, CHUNK_ROWS, OWNED_ROWS = 256, 2_000, 1 << 20, 4_000_000, 8_000_000
 #: An owner gets at least so many rows, where there are few.
 LEAST_OWNED = 512
 
@@ -75,14 +79,19 @@ def fingerprint(text: bytes) -> int:
     return xxh3_64_intdigest(text)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], of: Callable[[bytes], int]) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
-    """Blocks of rows with their normalised texts and 64-bit fingerprints."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, BLOCK_ROWS):
-            b = batch.slice(i, BLOCK_ROWS)
-            # bytes.lower() changes A-Z only
-            texts = [t.lower() for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield b, texts, np.fromiter(map(of, texts), _U, len(texts))
+def _blocks(rows: Iterable[tuple], of: Callable[[bytes], int]) -> Iterator[tuple[list, list[bytes], np.ndarray]]:
+    """Blocks of rows (doc_id, text as bytes): ids, normalised texts, 64-bit
+    fingerprints.  Where a block ends depends on the rows alone."""
+    ids, texts, size = [], [], 0
+    for doc, text in rows:
+        ids.append(doc)
+        texts.append(text.lower())  # of bytes: changes A-Z only
+        size += len(text)
+        if len(ids) >= BLOCK_ROWS or size >= BLOCK_BYTES:
+            yield ids, texts, np.fromiter(map(of, texts), _U, len(texts))
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts, np.fromiter(map(of, texts), _U, len(texts))
 
 
 def messages(docs: DataFrame, limit: int, owners: int, of: Callable[[bytes], int] = fingerprint) -> DataFrame:
@@ -106,7 +115,8 @@ def messages(docs: DataFrame, limit: int, owners: int, of: Callable[[bytes], int
                 pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)],
                 ["part", "chunk", "owner", "n", "k", "code", "again", "blocks"])
 
-        for _, _, h in _blocks(batches, of):
+        rows = ((None, t) for b in batches for t in b.column("text").cast(pa.binary()).to_pylist())
+        for _, _, h in _blocks(rows, of):
             held.append(h % _U(limit))
             sums.append(zlib.crc32(h.tobytes()))
             if sum(map(len, held)) >= CHUNK_ROWS:
@@ -115,7 +125,7 @@ def messages(docs: DataFrame, limit: int, owners: int, of: Callable[[bytes], int
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "part int, chunk int, owner int, n int, k int, code binary, again binary, blocks array<long>")
+    return docs.select("text").mapInArrow(run, "part int, chunk int, owner int, n int, k int, code binary, again binary, blocks array<long>")
 
 
 def replies(sent: DataFrame) -> DataFrame:
@@ -136,64 +146,30 @@ def replies(sent: DataFrame) -> DataFrame:
         run, "part int, chunk int, owner int, n int, k int, code binary, blocks array<long>, bitmap binary")
 
 
-def _answers(answered: DataFrame, parts: int, limit: int, owners: int) -> DataFrame:
-    """In partition ``part`` one row a block, in order: its checksum and, with
-    the first block of a chunk, the chunk's repeated fingerprints."""
-    width = -(-limit // owners)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, found, sums = None, [], []
-
-        def flush() -> pa.RecordBatch:
-            several = np.concatenate(found).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()), pa.array([several] + [None] * (len(sums) - 1), pa.binary())],
-                                              ["checksum", "several"])
-
-        for b in batches:
-            for r in b.to_pylist():
-                if r["chunk"] != now and now is not None:
-                    yield flush()
-                    found, sums = [], []
-                now = r["chunk"]
-                sums += r["blocks"]
-                marks = np.unpackbits(np.frombuffer(r["bitmap"], np.uint8))[:r["n"]] > 0
-                found.append(golomb_decode(r["k"], r["code"], r["n"])[marks] + _U(r["owner"] * width))
-        if now is not None:
-            yield flush()
-
-    return (answered.repartitionById(parts, F.col("part")).sortWithinPartitions("chunk", "owner")
-            .mapInArrow(run, "checksum long, several binary"))
-
+def _answers(rows: Iterable, width: int) -> Iterator[tuple[int, bytes | None]]:
+    """For each block of a partition, in order: its checksum and, with the
+    first block of a chunk, the chunk's repeated fingerprints."""
+    for _, of_chunk in itertools.groupby(rows, key=lambda r: r["chunk"]):
+        found, sums = [], []
+        for r in of_chunk:
+            sums += r["blocks"]
+            marks = np.unpackbits(np.frombuffer(bytes(r["bitmap"]), np.uint8))[:r["n"]] > 0
+            found.append(golomb_decode(r["k"], bytes(r["code"]), r["n"])[marks] + _U(r["owner"] * width))
+        several = np.concatenate(found).tobytes()
+        for i, checksum in enumerate(sums):
+            yield checksum, None if i else several
 
-def _reread(docs: DataFrame, of: Callable[[bytes], int]) -> DataFrame:
-    """The blocks again: (h, sha, body), ``body`` the rows as an Arrow stream."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts, h in _blocks(batches, of):
-            sha = b"".join(hashlib.sha256(t).digest() for t in texts)
-            out = pa.BufferOutputStream()
-            rows = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "text"])
-            with pa.ipc.new_stream(out, rows.schema) as w:
-                w.write_batch(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (h.tobytes(), sha, out.getvalue().to_pybytes())],
-                                             ["h", "sha", "body"])
 
-    return docs.mapInArrow(run, "h binary, sha binary, body binary")
-
-
-def _marked(part: int, pairs: Iterator, limit: int) -> Iterator[tuple]:
+def _marked(part: int, pairs: Iterable, limit: int) -> Iterator[tuple]:
     """Rows (uid, doc_id, h, text_sha256, text); text of suspects only."""
     several, uid = np.empty(0, _U), part << 40
-    for block, answer in pairs:
-        if answer["several"] is not None:
-            several = np.frombuffer(bytes(answer["several"]), _U)
-        raw = bytes(block["h"])
+    for (ids, texts, raw), (checksum, news) in pairs:
+        if news is not None:
+            several = np.frombuffer(news, _U)
         h = np.frombuffer(raw, _U)
-        suspect = np.isin(h % _U(limit), several) if zlib.crc32(raw) == answer["checksum"] else np.ones(len(h), bool)
-        rows = pa.ipc.open_stream(bytes(block["body"])).read_next_batch()
-        for i, (doc, one, text) in enumerate(zip(rows.column("doc_id").to_pylist(), suspect.tolist(), rows.column("text"), strict=True)):
-            yield (uid, doc, int(h[i].astype(np.int64)), bytes(block["sha"][32 * i:32 * i + 32]).hex(),
-                   text.as_py().decode("utf-8", "replace") if one else None)
+        suspect = np.isin(h % _U(limit), several) if zlib.crc32(raw) == checksum else np.ones(len(h), bool)
+        for doc, text, one, key in zip(ids, texts, suspect.tolist(), h.view(np.int64).tolist(), strict=True):
+            yield uid, doc, key, hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if one else None
             uid += 1
 
 
@@ -215,9 +191,14 @@ def exact_duplicates(docs: DataFrame, of: Callable[[bytes], int] = fingerprint)
     sent = staged(messages(docs, limit, owners, of), "messages")
     answered = staged(replies(sent), "replies")
 
-    one = BatchedSerializer(CPickleSerializer(), 1)  # blocks meet their answers one by one
-    blocks = _reread(docs, of).rdd._reserialize(one)
-    answers = _answers(answered, blocks.getNumPartitions(), limit, owners).rdd._reserialize(one)
+    # Blocks meet their answers one by one.  Both sides are made by the workers
+    # that read them, so a task has three Python workers.
+    one = BatchedSerializer(CPickleSerializer(), 1)
+    width = -(-limit // owners)
+    blocks = (docs.rdd.mapPartitions(lambda rows: ((i, t, h.tobytes()) for i, t, h in _blocks(((r[0], r[1].encode()) for r in rows), of)))
+              ._reserialize(one))
+    home = answered.repartitionById(blocks.getNumPartitions(), F.col("part")).sortWithinPartitions("chunk", "owner")
+    answers = home.rdd.mapPartitions(lambda rows: _answers(rows, width))._reserialize(one)
     rows = blocks.zip(answers).mapPartitionsWithIndex(lambda part, pairs: _marked(part, pairs, limit))
     schema = "uid long, doc_id long, h long, text_sha256 string, text string"
     rows = staged(spark.createDataFrame(rows, schema, verifySchema=False), "rows")

@@ -72,7 +72,7 @@ def test_dedup_of_a_large_group(spark):
 
 
 def test_dedup_of_several_blocks_and_chunks(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "CHUNK_ROWS", 2 * exact_dedup.BLOCK_ROWS)
+    monkeypatch.setattr(exact_dedup, "CHUNK_ROWS", 2 * exact_dedup.BLOCK_ROWS)  # sent to the tasks with the function
     docs = spark.range(0, 14_000, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 9000).cast("string")).alias("text"))
     sent = exact_dedup.messages(docs, 14_000 * exact_dedup.SPARE, 3).collect()
     assert {(r.part, r.chunk) for r in sent} == {(0, 0), (0, 1), (1, 0), (1, 1)}
@@ -82,11 +82,13 @@ def test_dedup_of_several_blocks_and_chunks(spark, monkeypatch):
         (i, i % 9000 + 9000 if i % 9000 < 5000 else i, 2 if i % 9000 < 5000 else 1, i >= 5000) for i in range(14_000)]
 
 
-def test_rows_of_changed_blocks_are_suspects(spark, docs_of):
-    docs = docs_of([(i, f"t{i % 5}") for i in range(50)]).select("doc_id", "text").coalesce(2)
-    body = exact_dedup._reread(docs, exact_dedup.fingerprint).first()
-    marked = list(exact_dedup._marked(0, [(body, {"several": None, "checksum": -1})], 1000))
-    assert marked and all(m[4] is not None for m in marked)
+def test_rows_of_changed_blocks_are_suspects():
+    h = np.array([5, 6], np.uint64).tobytes()
+    block = ([1, None], [b"a", b"b"], h)
+    none = (zlib.crc32(h), np.empty(0, np.uint64).tobytes())
+    assert [m[4] for m in exact_dedup._marked(2, [(block, none)], 1000)] == [None, None]
+    assert [m[4] for m in exact_dedup._marked(2, [(block, (zlib.crc32(h), np.array([6], np.uint64).tobytes()))], 1000)] == [None, "b"]
+    assert [m[4] for m in exact_dedup._marked(2, [(block, (1, none[1]))], 1000)] == ["a", "b"]
 
 
 def test_dedup_of_nothing(spark, docs_of):
