@@ -40,6 +40,16 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if f"{staging_root(spark).split(':', 1)[-1].lstrip('/')}/llm/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pick(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose key is in ``ids`` (narrow, distinct, staged), or
     with "left_anti" is not.  The ids are broadcast when counted and few; else
@@ -53,6 +63,12 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
+def row_id() -> Column:
+    """A row's key of 128 bits, where ``doc_id`` may be null or repeat."""
+    doc, text = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))
+    return F.md5(F.concat_ws(":", doc, F.when(F.col("text").isNull(), F.lit("n")).otherwise(F.lit("t")), text).cast("binary"))
+
+
 def drawn(df: DataFrame, share: float) -> DataFrame:
     """About ``share`` of the rows (doc_id, text), by a hash of both: no null or
     repeated id draws all its rows at once."""

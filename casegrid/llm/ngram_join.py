@@ -1,26 +1,35 @@
 """Exact Jaccard self-join of word n-gram sets by PartEnum signatures.
 
-Sets of a similarity s or more differ in few features: at most
-(1 - s) / (1 + s) of their sizes' sum.  Sizes are divided into bands.  For a
-band, the feature domain is cut into n1 cells by hash, each cell into n2
-parts; if two sets differ in fewer features than n1 * 2, some cell holds at
-most one of the differences, and all but one of its parts are equal.  Each
-choice of n2 - 1 parts of a cell is one signature (a hash of the features in
-them), so linked sets share at least one.  A set signs for its own band and
-for the smaller bands its partners may lie in.
+Sets of a similarity s or more differ in few features: in at most k, which
+is (1 - s) / (1 + s) of their sizes' sum.  Sizes are divided into bands.  For a
+band, the feature domain is cut into n1 = k / 2 + m cells by hash (rounded
+down), each cell into n2 parts; at least m of the cells hold at most one of k
+differences, and there all but one of the parts are equal.  Each choice of
+n2 - 1 parts of a cell is one signature (a hash of the features in them), so
+linked sets share at least one.  A set signs for its own band and for the
+smaller bands its partners may lie in.
+
+A signature of parts without features would be shared by unlike sets.  A set
+with fewer than m cells that have such a one drops them all: one of the m cells
+it agrees in with a partner is not among them.  Only a set with m or more keeps
+them, so they are shared by those few sets alone.  n2 and m are chosen for each
+band by cost: the number of signatures, and how likely a set is to keep empty
+ones.
 
 Documents of equal sets are one node.  Rather than all pairs of a signature,
 each is compared with one centre (its smallest node; within a map task, the
 task's smallest); linked nodes are joined into components.  What may be left,
-links between nodes of different components, is settled exactly: the nodes
-that signatures connect (a family) are compared, if they are not yet in one
-component, in blocks of bounded size, which give links and no other pairs; in a
-very large family, those that share one of their rarest features (a prefix in a
-fixed order, which similar sets cannot have disjoint).  So no link between
-components is missed, and no pair within one is listed.
-
-Nodes are 64-bit digests of the sets and features 64-bit hashes: two
-different sets coincide with odds of about n * n / 4e19.
+links between nodes of different components that signatures connect, is
+settled exactly.  Similar sets cannot be without a common one among their
+rarest features (a prefix in one fixed order), so nodes are grouped by these;
+groups within one component are done, and the nodes of the others are compared
+in blocks of bounded size, but for those of a family's largest component with
+one another.  Blocks give links only, so no pair list is written.
+
+Nodes are 64-bit digests of the sets.  A second digest is kept with each row;
+where unequal second digests meet in one node, the nodes of those documents are
+made from the second one, so 128 bits tell sets apart.  Features are 64-bit
+hashes, compared within pairs only.
 
 Defined results: words are runs of other characters than ASCII white space,
 A-Z lower-cased; a document of fewer words than n has the whole sequence as
@@ -32,6 +41,8 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,21 +52,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import BROADCAST_IDS, bounded_batches, pick, row_key, staged
+from casegrid.llm.common import BROADCAST_IDS, bounded_batches, discard, pick, row_id, staged
 from casegrid.llm.graph import components
 
 _U = np.uint64
 _ODD = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))  # mixing constants
 #: Words whose hash a Python worker remembers, and signatures combined at once.
 KEPT_WORDS, CHUNK = 500_000, 1_000_000
-#: Nodes of one block (in the mean), features of one matrix product, and nodes
-#: of a family that is compared in blocks.
-BLOCK_NODES, COLUMNS, FAMILY_NODES = 256, 4096, 8192
+#: Nodes and features of one block (in the mean), and features of one matrix product.
+BLOCK_NODES, BLOCK_FEATURES, COLUMNS = 1024, 1 << 20, 4096
 #: Hash cells whose counts are compared before sets are, and (as a power of
 #: two) those that order features by commonness: 2 MB.
 CELLS, ORDER_BITS = 128, 18
 #: A band's largest size is at most so many times its smallest.
 BAND = 1.4
+#: Coinciding 64-bit digests that are sent to tasks (some 6e12 documents).
+MOST_COINCIDING = 1_000_000
+#: What it costs if a set keeps its empty signatures, in signatures; the most
+#: parts of a cell, and the most of them left out of a signature.
+EMPTY_COST, MOST_PARTS, MOST_MISSING = 300, 12, 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -92,21 +107,72 @@ def features(text: bytes, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def digest(f: np.ndarray) -> int:
+def digest(f: np.ndarray, taken: frozenset[int] = frozenset()) -> int:
+    """A set's node; of sets whose nodes coincide (``taken``) by the second digest."""
     from xxhash import xxh3_64_intdigest
 
-    return int(np.int64(_U(xxh3_64_intdigest(f.tobytes())).astype(np.int64)))
+    raw = f.tobytes()
+    first = int(np.int64(_U(xxh3_64_intdigest(raw)).astype(np.int64)))
+    return second_digest(raw) if first in taken else first
+
+
+def second_digest(raw: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return int(np.int64(_U(xxh3_64_intdigest(raw, seed=1)).astype(np.int64)))
+
+
+def _keeps_empty(size: int, n1: int, n2: int, k2: int, m: int) -> float:
+    """About how likely ``m`` or more of ``n1`` cells have an empty signature,
+    all features being in ``k2`` parts (Poisson), for sets of ``size`` features."""
+    none = math.exp(-size / n1 / n2)
+    p = sum(math.comb(n2, j) * (1 - none) ** j * none ** (n2 - j) for j in range(k2 + 1))
+    mean = n1 * p
+    return max(0.0, 1.0 - sum(math.exp(-mean + i * math.log(mean) - math.lgamma(i + 1)) for i in range(m))) if mean else 0.0
+
+
+def _cheapest(size: int, k: int) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, m) for up to ``k`` differences of sets of ``size`` and more."""
+    best = None
+    for k2 in range(1, min(k, MOST_MISSING) + 1):
+        for n2 in range(k2 + 1, MOST_PARTS + 1):
+            m = 1
+            while (n1 := k // (k2 + 1) + m) <= 2 * size:
+                number = n1 * math.comb(n2, k2)
+                if best is not None and number >= best[0]:
+                    break
+                cost = number + EMPTY_COST * _keeps_empty(size, n1, n2, k2, m)
+                if best is None or cost < best[0]:
+                    best = (cost, n1, n2, k2, m)
+                m += max(1, m // 8)
+    return best[1:]
+
+
+@lru_cache
+def _choices(n2: int, k2: int) -> np.ndarray:
+    """One row for each choice of ``n2 - k2`` parts."""
+    out = np.ones((math.comb(n2, k2), n2), _U)
+    for row, left in zip(out, itertools.combinations(range(n2), k2), strict=True):
+        row[list(left)] = 0
+    return out
 
 
 @lru_cache(maxsize=8)
-def bands(num: int, den: int) -> list[tuple[int, int, int, int]]:
-    """(low, high, n1, n2) of each size band, up to 2 ** 31."""
+def bands(num: int, den: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(low, high, n1, n2, k2, m) of each size band, up to 2 ** 31."""
     out, low = [], 1
     while low < 1 << 31:
         high = max(low, int(low * BAND))
         partner = high * den // num
         k = (den - num) * (high + partner) // (den + num)
-        out.append((low, high, 1, 1) if k == 0 else (low, high, (k + 2) // 2, 4 if high <= 128 else 3 if high <= 512 else 2))
+        if k == 0:
+            out.append((low, high, 1, 1, 0, 1))
+        elif low <= 1 << 12:
+            out.append((low, high, *_cheapest(low, k)))
+        else:  # as the last one, in proportion
+            n2, k2, m = out[-1][3:]
+            spare = math.ceil(m * low / out[-1][0])
+            out.append((low, high, k // (k2 + 1) + spare, n2, k2, spare))
         low = high + 1
     return out
 
@@ -117,7 +183,7 @@ def signatures(f: np.ndarray, num: int, den: int) -> np.ndarray:
     out = []
     own = next(i for i, b in enumerate(table) if b[1] >= size)
     for i in range(own, -1, -1):
-        _, high, n1, n2 = table[i]
+        _, high, n1, n2, k2, m = table[i]
         if i < own and high * den < num * size:
             break
         spread = _mix(f + _U((i + 1) * int(_ODD[0]) % (1 << 64)))
@@ -126,36 +192,41 @@ def signatures(f: np.ndarray, num: int, den: int) -> np.ndarray:
             keys = np.zeros(1, _U)
         else:
             cell = ((spread >> _U(40)) % _U(n1)).astype(np.int64)
-            part = ((spread >> _U(8)) % _U(n2)).astype(np.int64)
+            place = cell * n2 + ((spread >> _U(8)) % _U(n2)).astype(np.int64)
             parts = np.zeros(n1 * n2, _U)
-            np.add.at(parts, cell * n2 + part, _mix(spread))
+            np.add.at(parts, place, _mix(spread))
             parts = parts.reshape(n1, n2)
-            # All parts of a cell but one.
-            sums = (parts.sum(axis=1, dtype=_U, keepdims=True) - parts).ravel()
-            keys = np.arange(n1 * n2, dtype=_U)
+            count = np.bincount(place, minlength=n1 * n2).reshape(n1, n2)
+            chosen = _choices(n2, k2)
+            sums = (parts @ chosen.T).ravel()
+            empty = ((count > 0) @ chosen.T.astype(np.int64) == 0)
+            keys = np.arange(len(sums), dtype=_U)
+            if int(empty.any(axis=1).sum()) < m:
+                sums, keys = sums[~empty.ravel()], keys[~empty.ravel()]
         out.append(_mix(sums ^ _mix(keys + _U(((i << 40) + int(_ODD[2])) % (1 << 64)))))
     return np.unique(np.concatenate(out))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_id().alias("key"))
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, key, n_shingles, node) of every row; node null without features."""
+    """(doc_id, key, n_shingles, node, second) of every row; node null without features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, node = [], []
+            size, node, second = [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 f = features(t or b"", n)
                 size.append(len(f))
                 node.append(digest(f) if len(f) else None)
+                second.append(second_digest(f.tobytes()) if len(f) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("key"), pa.array(size, pa.int64()), pa.array(node, pa.int64())],
-                ["doc_id", "key", "n_shingles", "node"])
+                [b.column("doc_id"), b.column("key"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(second, pa.int64())],
+                ["doc_id", "key", "n_shingles", "node", "second"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, key string, n_shingles long, node long, second long")
 
 
 def _combine(sig: np.ndarray, node: np.ndarray) -> tuple[pa.RecordBatch, pa.RecordBatch]:
@@ -174,7 +245,7 @@ def _combine(sig: np.ndarray, node: np.ndarray) -> tuple[pa.RecordBatch, pa.Reco
             pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pairs[0]), pa.array(pairs[1])], names))
 
 
-def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _signed(docs: DataFrame, n: int, num: int, den: int, taken: frozenset[int] = frozenset()) -> DataFrame:
     """(sig, node, centre): signatures with a node each, and pairs found
     within a task (centre not null)."""
 
@@ -192,7 +263,7 @@ def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         for b in batches:
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 f = features(t or b"", n)
-                if len(f) and (d := digest(f)) not in sigs:
+                if len(f) and (d := digest(f, taken)) not in sigs:
                     sigs[d] = signatures(f, num, den)
                     held += len(sigs[d])
                 if held >= CHUNK:
@@ -203,7 +274,7 @@ def _signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, node long, centre long")
 
 
-def _arrays(docs: DataFrame, n: int) -> DataFrame:
+def _arrays(docs: DataFrame, n: int, taken: frozenset[int] = frozenset()) -> DataFrame:
     """(node, f, c): the set of each document as an array, and how many of its
     features fall into each of CELLS hash cells."""
 
@@ -213,7 +284,7 @@ def _arrays(docs: DataFrame, n: int) -> DataFrame:
             for i in range(0, len(texts), 500):
                 sets = [f for f in (features(t or b"", n) for t in texts[i:i + 500]) if len(f)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([digest(f) for f in sets], pa.int64()),
+                    [pa.array([digest(f, taken) for f in sets], pa.int64()),
                      pa.array([f.view(np.int64) for f in sets], pa.list_(pa.int64())),
                      pa.array([np.bincount((f % _U(CELLS)).astype(np.int64), minlength=CELLS) for f in sets], pa.list_(pa.int32()))],
                     ["node", "f", "c"])
@@ -266,36 +337,26 @@ def rarest(f: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
     return f[order[:len(f) - -(-num * len(f) // den) + 1]]
 
 
-def _by_rarest(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (node, component, f) in different components
-    that share one of their rarest features, where b is outside the feature's
-    largest component."""
+def _undecided(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, node, component) of ``nodes`` (node, component, f): a rare feature
+    that nodes of several components have among their rarest."""
     common = nodes.sparkSession.sparkContext.broadcast(_commonness(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 b = batch.slice(i, 500)
-                sets = [f.values.to_numpy().view(_U) for f in b.column("f")]
-                keys = [rarest(f, common.value, num, den) for f in sets]
+                keys = [rarest(f.values.to_numpy().view(_U), common.value, num, den) for f in b.column("f")]
                 times = [len(k) for k in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.repeat(x, times)) for x in (
-                        b.column("node").to_numpy(), b.column("component").to_numpy(), np.array([len(f) for f in sets])))],
-                    ["key", "node", "component", "size"])
+                    [pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.repeat(b.column(x).to_numpy(), times)) for x in ("node", "component"))],
+                    ["key", "node", "component"])
 
-    keyed = staged(nodes.select("node", "component", "f").mapInArrow(run, "key long, node long, component long, size long"), "rarest")
+    keyed = staged(nodes.select("node", "component", "f").mapInArrow(run, "key long, node long, component long"), "rarest")
     mixed = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    left = staged(keyed.join(mixed.select("key"), "key", "left_semi"), "mixed")
-    counts = left.groupBy("key", "component").count()
-    main = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    minor = left.join(main, "key").where("component != main").select(
-        "key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), "main")
-    other = left.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"))
-    # Two nodes outside the main component meet once, not twice.
-    return (minor.join(other, "key").where((F.col("ca") != F.col("cb")) & ((F.col("ca") == F.col("main")) | (F.col("a") < F.col("b")))
-                                           & (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
-            .select("a", "b").distinct())
+    out = staged(keyed.join(staged(mixed.select("key"), "mixed"), "key"), "undecided")
+    discard(keyed)
+    return out
 
 
 def _block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
@@ -330,42 +391,75 @@ def _block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
 
 
 def _rest(pairs: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between different components of the nodes that signatures
-    connect (a family).  In a family of up to FAMILY_NODES nodes, every two are
-    compared, in blocks of bounded size; in a larger one, those that share one
-    of their rarest features, as similar sets must."""
-    family = components(pairs).withColumnRenamed("component", "family")
-    of = family.join(comp, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
-    mixed = (of.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-             .where("lo < hi").select("family", "n", F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")))
-    mixed = staged(mixed, "families")
-    small = of.join(mixed.where(F.col("n") <= FAMILY_NODES), "family").join(sets.select("node", "f"), "node")
-    # A node goes to every pair of blocks that its own block is in.
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (small.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "f"))
-    links = dealt.groupBy("family", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, num, den), "a long, b long")
-    if mixed.where(F.col("n") > FAMILY_NODES).isEmpty():
-        return links
-    members = staged(of.join(mixed.where(F.col("n") > FAMILY_NODES), "family").select("node", "component"), "members")
-    few = members.count() <= BROADCAST_IDS
-    large = sets.select("node", "f").join(F.broadcast(members) if few else members, "node")
-    return links.unionByName(_links(_by_rarest(large, num, den), sets, num, den))
+    """Links (a, b) between different components of the nodes that ``pairs``
+    connect.  Nodes of several components that have a rare feature in common
+    form families; a family is compared in blocks, all with all but for two
+    nodes of its largest component."""
+    spark = pairs.sparkSession
+    nothing = spark.createDataFrame([], "a long, b long")
+    whole = components(pairs).withColumnRenamed("component", "family")
+    of = staged(whole.join(comp, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")), "members")
+    mixed = of.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    open_nodes = staged(of.join(staged(mixed.select("family"), "families"), "family").select("node", "component"), "open")
+    few = open_nodes.count()
+    if not few:
+        return nothing
+    left = _undecided(sets.select("node", "f").join(F.broadcast(open_nodes) if few <= BROADCAST_IDS else open_nodes, "node"), num, den)
+    # Nodes of one feature hang together through its smallest node.
+    least = staged(left.groupBy("key").agg(F.min("node").alias("centre")), "centres")
+    families = components(left.join(least, "key").select("node", "centre").where("node != centre").distinct(), "node", "centre")
+    member = staged(families.withColumnRenamed("component", "family").join(left.select("node", "component").distinct(), "node")
+                    .join(sets.select("node", F.size("f").alias("size")), "node"), "members")
+    if member.isEmpty():
+        return nothing
+    parts = member.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    need = F.greatest(F.ceil(F.sum("n") / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_FEATURES))
+    main = parts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    split = staged(parts.join(main, "family").groupBy("family", "main", (F.col("component") == F.col("main")).alias("large"))
+                   .agg(need.cast("int").alias("blocks")), "blocks")
+    counts = staged(split.groupBy("family", "main").agg(F.coalesce(F.max(F.when(~F.col("large"), F.col("blocks"))), F.lit(0)).alias("minor"),
+                                                        F.coalesce(F.max(F.when(F.col("large"), F.col("blocks"))), F.lit(0)).alias("major")),
+                    "families")
+    dealt = staged(member.join(counts, "family"), "dealt")
+    # Blocks are numbered, those outside the largest component first.  A node
+    # goes to every pair of its own block and another, if one of them is such.
+    large = F.col("component") == F.col("main")
+    hashed = F.xxhash64("node")
+    own = F.when(large, F.col("minor") + F.pmod(hashed, F.greatest("major", F.lit(1)))).otherwise(F.pmod(hashed, F.greatest("minor", F.lit(1)))).cast("int")
+    last = F.when(large, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1
+    dealt = (dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+             .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component"))
+    # Both sides as they were written, so that a skewed join can be split.
+    with_sets = dealt.join(sets.select("node", "f"), "node")
+    return with_sets.groupBy("family", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, num, den), "a long, b long")
+
+
+def _coinciding(rows: DataFrame) -> frozenset[int]:
+    """Nodes that unequal sets have, by their second digests: about n * n / 4e19
+    of n, so some sixty in 5e10."""
+    found = (rows.where("node IS NOT NULL").groupBy("node").agg(F.min("second").alias("lo"), F.max("second").alias("hi"))
+             .where("lo < hi").select("node").limit(1 + MOST_COINCIDING).collect())
+    if len(found) > MOST_COINCIDING:
+        raise RuntimeError(f"more than {MOST_COINCIDING} digests coincide")
+    return frozenset(r["node"] for r in found)
 
 
 def similar_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, key, keep) of every row of ``docs``
     (doc_id, text): classes of documents linked by a Jaccard similarity of at
     least ``num / den`` of their n-word shingle sets; ``keep`` marks the row of
-    the smallest id in its class (equal rows alike), ``key`` is ``row_key``."""
+    the smallest id in its class (equal rows alike), ``key`` is ``row_id``."""
     bounded_batches(docs.sparkSession)
     docs = _keyed(docs)
     rows = staged(_sets(docs, n), "sets")
+    taken = _coinciding(rows)
+    if taken:
+        rows = rows.withColumn("node", F.when(F.col("node").isin(*taken), F.col("second")).otherwise(F.col("node")))
     # Of each node, one document's key, and how many equal rows have it.
     sizes = (rows.where("node IS NOT NULL").groupBy("node", "key").agg(F.first("n_shingles").alias("size"), F.count("*").alias("n"))
              .groupBy("node").agg(F.first("size").alias("size"), F.min("key").alias("key"), F.min_by("n", "key").alias("n")))
     w = Window.partitionBy("sig")
-    star = (_signed(docs, n, num, den).withColumn("least", F.min("node").over(w))
+    star = (_signed(docs, n, num, den, taken).withColumn("least", F.min("node").over(w))
             .select(F.coalesce("centre", "least").alias("a"), F.col("node").alias("b")).where("a != b").distinct())
     pairs = staged(star, "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -373,14 +467,17 @@ def similar_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     chosen = pick(docs.select("key", "text"), known.select("key"), ["key"])
     if not known.where("n > 1").isEmpty():  # repeated rows
         chosen = chosen.dropDuplicates(["key"])
-    sets = staged(_arrays(chosen, n), "arrays")
+    sets = staged(_arrays(chosen, n, taken), "arrays")
     links = staged(_links(pairs, sets, num, den), "links")
     comp = components(links)
     more = staged(_rest(pairs, sets, comp, num, den), "links")
     comp = components(links.unionByName(more))
+    for t in (pairs, sets, links, more):
+        discard(t)
     named = rows.where("node IS NOT NULL").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # Of each component the row with the smallest id stays, nulls last.
-    least = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("least"))
+    # Of each component the row with the smallest id stays, nulls last.  Written
+    # first, so that the join of a large component's rows can be split.
+    least = staged(named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")).alias("least")), "least")
     cols = ["doc_id", "n_shingles", "component_id", "key", "keep"]
     return (named.join(least, "component")
             .select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), "key",

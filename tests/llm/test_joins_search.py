@@ -43,10 +43,8 @@ def test_op6_against_all_pairs(spark, sf, texts):
     assert got_classes(QUERIES["op6_ngram_join"](spark, sf)) == classes(texts.items(), 3, 90, 100)
 
 
-@pytest.mark.parametrize(("n", "num", "family"), [(3, 90, 8192), (5, 80, 8192), (5, 80, 1), (1, 60, 1)])
-def test_near_copies_of_every_degree(spark, docs_of, monkeypatch, n, num, family):
-    monkeypatch.setattr(ngram_join, "FAMILY_NODES", family)
-    rnd, rows = random.Random(n * num), []
+def near_copies(seed):
+    rnd, rows = random.Random(seed), []
     for size in (1, 2, 3, 6, 9, 14, 25, 60, 200, 700):
         base = [f"w{rnd.randint(0, 4000)}" for _ in range(size)]
         for _ in range(9):
@@ -54,9 +52,58 @@ def test_near_copies_of_every_degree(spark, docs_of, monkeypatch, n, num, family
             for _ in range(rnd.randint(0, max(1, size // 12))):
                 copy[rnd.randrange(size)] = f"v{rnd.randint(0, 40)}"
             rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80), (1, 60)])
+def test_near_copies_of_every_degree(spark, docs_of, n, num):
+    rows = near_copies(n * num)
     assert got_classes(ngram_join.similar_classes(docs_of(rows).repartition(6, "doc_id"), n, num, 100)) == classes(rows, n, num, 100)
 
 
+@pytest.mark.parametrize(("n", "num", "nodes", "size"), [(5, 80, 3, 1 << 20), (3, 90, 1000, 300)])
+def test_families_are_settled_in_blocks(spark, docs_of, monkeypatch, n, num, nodes, size):
+    """All nodes in one family, and no link found before."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", nodes)
+    monkeypatch.setattr(ngram_join, "BLOCK_FEATURES", size)
+    rows = near_copies(n + num)
+    docs = docs_of(rows)
+    sets = ngram_join._arrays(docs, n).dropDuplicates(["node"]).cache()
+    nodes = sorted(r["node"] for r in sets.select("node").collect())
+    pairs = spark.createDataFrame([(nodes[0], x) for x in nodes[1:]], "a long, b long")
+    for known in (0, 40):  # so many of the links beforehand, which make a large component
+        want = classes(rows, n, num, 100)
+        by_text = {t: ngram_join.digest(ngram_join.features(t.encode(), n)) for _, t in rows}
+        group = {by_text[t]: want[d][1] for d, t in rows}
+        first = [(min(x for x in nodes if group[x] == group[y]), y) for y in nodes][:known]
+        comp = components(spark.createDataFrame([e for e in first if e[0] != e[1]], "a long, b long"))
+        found = ngram_join._rest(pairs, sets, comp, num, 100).collect()
+        links = [e for e in first if e[0] != e[1]] + [(r["a"], r["b"]) for r in found]
+        root = {x: x for x in nodes}
+        for _ in range(60):
+            for x, y in links:
+                root[x] = root[y] = min(root[x], root[y])
+        assert {frozenset(x for x in nodes if root[x] == root[y]) for y in nodes} == {frozenset(x for x in nodes if group[x] == group[y]) for y in nodes}
+
+
+def test_unlike_sets_share_few_signatures():
+    rnd = np.random.default_rng(5)
+    for size in (30, 150, 600, 2000):
+        held = {}
+        for i in range(300):
+            for s in ngram_join.signatures(np.unique(rnd.integers(0, 1 << 63, size).astype(np.uint64)), 80, 100).tolist():
+                held.setdefault(s, set()).add(i)
+        assert max(map(len, held.values())) <= 30
+        assert len(set().union(*(v for v in held.values() if len(v) > 1))) <= 30
+
+
+def test_coinciding_digests_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 5), (2, 6), (2, 7), (None, None)], "node long, second long")
+    assert ngram_join._coinciding(rows) == {2}
+    f = ngram_join.features(b"one two three four", 2)
+    assert ngram_join.digest(f, frozenset([ngram_join.digest(f)])) == ngram_join.second_digest(f.tobytes()) != ngram_join.digest(f)
+
+
 def test_chains_are_joined_without_a_link_to_the_centre(spark, docs_of):
     """Each text is near the next only; the first is not near the last."""
     words = [f"w{i}" for i in range(400)]
