@@ -36,7 +36,8 @@ def id_stem(name: Column) -> Column:
 
 
 def document_id(rel_path: Column, name: Column | None = None) -> Column:
-    """``{stem}_{first 8 hex of sha256(relative posix path)}``."""
+    """``{stem}_{first 8 hex of sha256(relative posix path)}``; for listed files
+    the path is the resolved one (``listing.id_path``), the name the listed one."""
     name = base_name(rel_path) if name is None else name
     digest = F.left(F.sha2(rel_path, 256), F.lit(ID_HASH_CHARS))
     return F.concat(id_stem(name), F.lit("_"), digest)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -53,3 +54,16 @@ def staging_root(spark: SparkSession) -> str:
     spark.sparkContext.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder."""
+    return f"{staging_root(spark).rstrip('/')}/casegrid/{name}-{uuid.uuid4().hex}"
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: what it cost to make
+    is paid once, and a lost executor costs no more than a rereading."""
+    path = stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,10 +23,11 @@ CANDIDATE_COLUMNS = ("document_id", "source_file", "rel_path", "name", "suffix",
 
 
 def listed_documents(spark: SparkSession, root: str) -> DataFrame:
-    """Listing plus id and suffix."""
+    """Listing plus id and suffix (P1, P2); the id's hash is of the resolved
+    path, its stem of the name as listed."""
     ls = list_documents(spark, root)
     return ls.select(
-        document_id(F.col("rel_path"), F.col("name")).alias("document_id"),
+        document_id(F.col("id_path"), F.col("name")).alias("document_id"),
         "source_file", "rel_path", "name", suffix(F.col("name")).alias("suffix"), "length",
     )
 
@@ -80,6 +81,6 @@ def ingest_rows(c: DataFrame) -> DataFrame:
 
 
 def ingest_directory(spark: SparkSession, root: str, *, pdf_decoder: PdfDecoder | None = None) -> DataFrame:
-    """Ingest only (S7) for a directory.  Unordered; sort a narrow
-    projection by ``source_file`` if an order is needed."""
+    """Ingest only (S7) for a directory.  Unordered; ``listing.ordered`` or
+    ``listing.with_positions`` give a narrow projection the listing order."""
     return ingest_rows(file_candidates(spark, root, pdf_decoder=pdf_decoder))
