@@ -80,6 +80,23 @@ def q_document_ids(spark, sf_dir):
                     id_stem(F.col("name")).alias("id_stem"), "document_id")
 
 
+def nested_paths(spark, sf_dir):
+    """Paths derived from ``documents``: two to five parts, with parts that sort
+    otherwise as parts than as text (``a-b/`` and ``a/``, blanks, case, accents)."""
+    d = load_table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    k = F.pmod(F.col("doc_id"), F.lit(7))
+    top = F.when(k == 0, F.concat("source", F.lit("-old"))).when(k == 1, F.concat("source", F.lit(" b"))).when(k == 2, F.upper("source")).otherwise(F.col("source"))
+    middle = F.when(F.col("doc_id") % 3 == 0, F.col("lang")).when(F.col("doc_id") % 3 == 1, F.concat_ws("/", "lang", F.lit("é.d"), F.lit("x!")))
+    return d.select("doc_id", F.concat_ws("/", top, middle, F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("rel_path"))
+
+
+def q_listing_order(spark, sf_dir):
+    """O1: each path's place in listing order."""
+    from casegrid.sources.listing import with_positions
+
+    return with_positions(nested_paths(spark, sf_dir)).select("doc_id", "rel_path", "position")
+
+
 def q_scope_gate(spark, sf_dir):
     c = complaint_corpus(spark, sf_dir).select("doc_id", F.lower(normalize(F.col("text"))).alias("low"))
     return c.select("doc_id", has_complaint_cue(F.col("low")).alias("has_cue"),
@@ -233,8 +250,10 @@ def q_model_usage(spark, sf_dir):
 
 
 def q_prompts(spark, sf_dir):
-    """The three prompts of every successful row.  The draft prompts are
-    split at the case record; they hold the record and not the document."""
+    """The three prompts of every successful row.  A draft prompt is its
+    rules and the case record; ``text_in_drafts`` and ``mark_in_drafts`` look
+    for the document's text and marks outside the record, ``email_fields`` and
+    ``summary_fields`` are what the record holds."""
     from casegrid.functions import drafts as D
     from casegrid.plans.triage import JSON_OPTIONS
 
@@ -246,16 +265,28 @@ def q_prompts(spark, sf_dir):
         D.case_prompt(record, D.EMAIL_INSTRUCTION).alias("email"), D.case_prompt(record, D.SUMMARY_INSTRUCTION).alias("summary"))
 
     def rules(c):
-        return F.substring_index(c, "\n" + D.CASE_OPEN, 1)
+        return F.substring_index(c, "\n" + D.CASE_OPEN + "\n", 1)
+
+    def body(c):
+        """From the first opening mark to the last closing one."""
+        rest = F.substr(c, F.length(rules(c)) + F.lit(len(D.CASE_OPEN) + 3))
+        return F.left(rest, F.length(rest) - F.length(after(c)) - F.lit(len(D.CASE_CLOSE) + 1))
+
+    def after(c):
+        return F.substring_index(c, "\n" + D.CASE_CLOSE, -1)
 
-    def issue(c):
-        body = F.substring_index(F.substring_index(c, D.CASE_OPEN + "\n", -1), "\n" + D.CASE_CLOSE, 1)
-        return F.get_json_object(body, "$.issue_description")
+    def outside(c):
+        return F.concat(rules(c), F.lit("\n"), after(c))
 
-    return p.select("document_id", F.lit(D.PROMPT_VERSION).alias("prompt_version"), "extract_prompt",
-                    rules(F.col("email")).alias("email_rules"), rules(F.col("summary")).alias("summary_rules"),
-                    issue(F.col("email")).alias("email_issue"),
-                    (F.col("email").contains(F.col("text")) | F.col("summary").contains(F.col("text"))).alias("text_in_drafts"))
+    both = [F.col("email"), F.col("summary")]
+    return p.select(
+        "document_id", F.lit(D.PROMPT_VERSION).alias("prompt_version"), "extract_prompt",
+        rules(F.col("email")).alias("email_rules"), rules(F.col("summary")).alias("summary_rules"),
+        *[F.array_join(F.json_object_keys(body(c)), ",").alias(f"{n}_fields") for n, c in zip(("email", "summary"), both, strict=True)],
+        *[F.get_json_object(body(c), "$.issue_description").alias(f"{n}_issue") for n, c in zip(("email", "summary"), both, strict=True)],
+        *[(after(c) == "").alias(f"{n}_ends") for n, c in zip(("email", "summary"), both, strict=True)],
+        (outside(both[0]).contains(F.col("text")) | outside(both[1]).contains(F.col("text"))).alias("text_in_drafts"),
+        (outside(both[0]).contains(D.DOC_OPEN) | outside(both[1]).contains(D.DOC_OPEN)).alias("mark_in_drafts"))
 
 
 def q_error_codes(spark, sf_dir):
@@ -439,6 +470,7 @@ QUERIES = {
     "triage_summary": q_triage_summary,
     "normalize_text": q_normalize_text,
     "document_ids": q_document_ids,
+    "listing_order": q_listing_order,
     "scope_gate": q_scope_gate,
     "rule_extract": q_rule_extract,
     "contact_find": q_contact_find,
@@ -574,11 +606,15 @@ def _prompts_sql() -> str:
     from casegrid.functions import drafts as D
     from casegrid.plans.corpus import sql_str
 
+    email, summary = sql_str(D.EMAIL_INSTRUCTION), sql_str(D.SUMMARY_INSTRUCTION)
+    fields = duck.q(",".join(CASE_COLS))
     return f"""
 SELECT r.document_id, '{D.PROMPT_VERSION}' AS prompt_version,
   {sql_str(D.EXTRACTION_INSTRUCTION)} || chr(10) || '<<<DOCUMENT>>>' || chr(10) || x.text || chr(10) || '<<<END_DOCUMENT>>>' AS extract_prompt,
-  {sql_str(D.EMAIL_INSTRUCTION)} AS email_rules, {sql_str(D.SUMMARY_INSTRUCTION)} AS summary_rules,
-  r.issue_description AS email_issue, false AS text_in_drafts
+  {email} AS email_rules, {summary} AS summary_rules, {fields} AS email_fields, {fields} AS summary_fields,
+  r.issue_description AS email_issue, r.issue_description AS summary_issue, true AS email_ends, true AS summary_ends,
+  contains({email}, x.text) OR contains({summary}, x.text) AS text_in_drafts,
+  contains({email}, '<<<DOCUMENT>>>') OR contains({summary}, '<<<DOCUMENT>>>') AS mark_in_drafts
 FROM results r JOIN x4 x ON x.doc_id = r.doc_id WHERE r.status = 'success'"""
 
 
@@ -676,6 +712,11 @@ FROM (SELECT doc_id, {snorm} AS norm_text FROM corpus)""",
         "document_ids": "WITH " + duck.corpus_cte() + f"""
 SELECT doc_id, rel_path, name, suffix, left(name, length(name) - length(suffix)) AS stem,
   left(document_id, length(document_id) - 9) AS id_stem, document_id FROM corpus""",
+        "listing_order": """
+WITH d AS (SELECT doc_id, lang, CASE doc_id % 7 WHEN 0 THEN source || '-old' WHEN 1 THEN source || ' b' WHEN 2 THEN upper(source) ELSE source END AS top
+           FROM documents),
+p AS (SELECT doc_id, concat_ws('/', top, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN lang || '/é.d/x!' END, 'f' || doc_id || '.txt') AS rel_path FROM d)
+SELECT doc_id, rel_path, row_number() OVER (ORDER BY string_split(rel_path, '/')) - 1 AS position FROM p""",
         "scope_gate": "WITH " + duck.corpus_cte() + f""",
 low AS (SELECT doc_id, lower({snorm}) AS low FROM corpus)
 SELECT doc_id, {duck.contains_any('low', COMPLAINT_CUES)} AS has_cue,
