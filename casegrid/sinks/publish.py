@@ -1,7 +1,8 @@
-"""Sinks: results table, report CSV, manifest, per-document export.
+"""Sinks: results table, report CSV, manifest.
 
 Artifacts (structured JSON, email, summary) are columns of one result row,
-so the three always appear together (K4).  The results table is
+so the three always appear together (K4); ``sinks.documents`` publishes them as
+files.  The results table is
 partitioned by ``run_id`` and written with dynamic partition overwrite:
 the job commit swaps in the run's partition, and a failed job leaves the
 previous one in place.
@@ -10,8 +11,6 @@ previous one in place.
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,38 +111,3 @@ def write_manifest(manifest: DataFrame, results: DataFrame, path: str) -> None:
     """Header as one JSON object, entries as a sibling JSON table."""
     manifest.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/header")
     manifest_rows(results).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/results")
-
-
-def export_documents(results: DataFrame, out_dir: str) -> None:
-    """Opt-in per-document files (G6): ``structured/<id>.json``,
-    ``emails/<id>.md``, ``summaries/<id>.md`` for success rows.  Each
-    document's three files are written to temporary names first and then
-    renamed, so a document has all three or none.  ``out_dir`` must be on
-    storage every executor can write."""
-    rows = results.where(F.col("structured_data").isNotNull()).select(
-        "document_id", "structured_data", "customer_email", "case_summary")
-
-    def write_part(it: Iterator) -> None:
-        for sub in ("structured", "emails", "summaries"):
-            os.makedirs(os.path.join(out_dir, sub), exist_ok=True)
-        for r in it:
-            targets = [
-                (os.path.join(out_dir, "structured", f"{r.document_id}.json"), r.structured_data),
-                (os.path.join(out_dir, "emails", f"{r.document_id}.md"), r.customer_email),
-                (os.path.join(out_dir, "summaries", f"{r.document_id}.md"), r.case_summary),
-            ]
-            staged = []
-            try:
-                for final, body in targets:
-                    tmp = final + ".tmp"
-                    with open(tmp, "w", encoding="utf-8") as fh:
-                        fh.write(body)
-                    staged.append((tmp, final))
-            except OSError:
-                for tmp, _ in staged:
-                    os.remove(tmp)
-                raise
-            for tmp, final in staged:
-                os.replace(tmp, final)
-
-    rows.foreachPartition(write_part)

@@ -109,6 +109,11 @@ def exists(uri: str) -> bool:
     return system.get_file_info(path).type != pafs.FileType.NotFound
 
 
+def is_folder(uri: str) -> bool:
+    system, path = resolve(uri)
+    return system.get_file_info(path).type == pafs.FileType.Directory
+
+
 def move(source: str, target: str) -> None:
     """Rename, taking the place of a file; a copy and a deletion where the
     store knows no renames."""
