@@ -18,7 +18,8 @@ ones.
 
 Documents of equal sets are one node.  Rather than all pairs of a signature,
 each is compared with one centre (its smallest node; within a map task, the
-task's smallest); linked nodes are joined into components.  What may be left,
+task's smallest): first the one it shares most signatures with, then those in
+other components; linked nodes are joined into components.  What may be left,
 links between nodes of different components that signatures connect, is
 settled exactly.  Similar sets cannot be without a common one among their
 rarest features (a prefix in one fixed order), so nodes are grouped by these;
@@ -230,24 +231,25 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _combine(sig: np.ndarray, node: np.ndarray) -> tuple[pa.RecordBatch, pa.RecordBatch]:
-    """Rows (sig, node, centre) of one chunk: its smallest node for every
-    signature, and the distinct pairs of the other nodes with it."""
+    """Rows (sig, node, centre, n) of one chunk: its smallest node for every
+    signature, and the pairs of the other nodes with it, n times each."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     head = np.concatenate([[True], sig[1:] != sig[:-1]])
     centre = node[np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))]
     rest = ~head & (node != centre)
-    pairs = np.unique(np.stack([node[rest], centre[rest]]), axis=1)
+    pairs, times = np.unique(np.stack([node[rest], centre[rest]]), axis=1, return_counts=True)
     key = _mix(pairs[0].astype(_U) * _ODD[0] + pairs[1].astype(_U))
-    names = ["sig", "node", "centre"]
+    names = ["sig", "node", "centre", "n"]
     return (pa.RecordBatch.from_arrays([pa.array(sig[head].view(np.int64)), pa.array(node[head]),
-                                        pa.nulls(int(head.sum()), pa.int64())], names),
-            pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pairs[0]), pa.array(pairs[1])], names))
+                                        pa.nulls(int(head.sum()), pa.int64()), pa.nulls(int(head.sum()), pa.int32())], names),
+            pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pairs[0]), pa.array(pairs[1]),
+                                        pa.array(times.astype(np.int32))], names))
 
 
 def _signed(docs: DataFrame, n: int, num: int, den: int, taken: frozenset[int] = frozenset()) -> DataFrame:
-    """(sig, node, centre): signatures with a node each, and pairs found
-    within a task (centre not null)."""
+    """(sig, node, centre, n): signatures with a node each, and pairs found
+    ``n`` times within a task (centre not null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs: dict[int, np.ndarray] = {}
@@ -271,7 +273,7 @@ def _signed(docs: DataFrame, n: int, num: int, den: int, taken: frozenset[int] =
                     held = 0
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, "sig long, node long, centre long")
+    return docs.select("text").mapInArrow(run, "sig long, node long, centre long, n int")
 
 
 def _arrays(docs: DataFrame, n: int, taken: frozenset[int] = frozenset()) -> DataFrame:
@@ -312,6 +314,21 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             .where(both * den >= (F.size("fa") + F.size("fb") - both) * num).select("a", "b"))
 
 
+def _settled(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among ``pairs`` (a, b, n) that make the same components as all of
+    them: each node b is compared with the centre it shares most signatures
+    with, then with its others as far as they are in other components yet."""
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+    first = staged(_links(staged(best.select("a", "b"), "best"), sets, num, den), "links")
+    comp = components(first)
+    left = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
+    for side in ("a", "b"):
+        c = comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        left = left.join(c, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    left = staged(left.where("ca != cb").select("a", "b"), "left")
+    return first.unionByName(staged(_links(left, sets, num, den), "links"))
+
+
 def _commonness(sets: DataFrame) -> np.ndarray:
     """How many features of ``sets`` fall into each of 2 ** ORDER_BITS hash
     cells: a fixed-size table that orders features from rare to common."""
@@ -460,7 +477,8 @@ def similar_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
              .groupBy("node").agg(F.first("size").alias("size"), F.min("key").alias("key"), F.min_by("n", "key").alias("n")))
     w = Window.partitionBy("sig")
     star = (_signed(docs, n, num, den, taken).withColumn("least", F.min("node").over(w))
-            .select(F.coalesce("centre", "least").alias("a"), F.col("node").alias("b")).where("a != b").distinct())
+            .select(F.coalesce("centre", "least").alias("a"), F.col("node").alias("b"), F.coalesce("n", F.lit(1)).alias("n")).where("a != b")
+            .groupBy("a", "b").agg(F.sum("n").alias("n")))
     pairs = staged(star, "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     known = staged(sizes.join(nodes, "node"), "nodes")
@@ -468,9 +486,9 @@ def similar_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     if not known.where("n > 1").isEmpty():  # repeated rows
         chosen = chosen.dropDuplicates(["key"])
     sets = staged(_arrays(chosen, n, taken), "arrays")
-    links = staged(_links(pairs, sets, num, den), "links")
+    links = _settled(pairs, sets, num, den)
     comp = components(links)
-    more = staged(_rest(pairs, sets, comp, num, den), "links")
+    more = staged(_rest(pairs.select("a", "b"), sets, comp, num, den), "links")
     comp = components(links.unionByName(more))
     for t in (pairs, sets, links, more):
         discard(t)
