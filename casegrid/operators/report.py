@@ -28,8 +28,9 @@ def iso_utc(ts: Column) -> Column:
     return F.concat(clock, frac, F.lit("+00:00"))
 
 
-def report_rows(results: DataFrame) -> DataFrame:
-    """One all-string row per listed file (P4), columns in report order."""
+def report_rows(results: DataFrame, *more: str) -> DataFrame:
+    """One all-string row per listed file (P4), columns in report order, then
+    the columns ``more`` of ``results``."""
     case = F.col("case")
     has = case.isNotNull()
     cells = {
@@ -46,7 +47,7 @@ def report_rows(results: DataFrame) -> DataFrame:
         "error_code": F.coalesce(F.col("error_code"), F.lit("")),
         "processed_at": iso_utc(F.coalesce(F.col("completed_at"), F.col("started_at"))),
     }
-    return results.select(*[cells[c].alias(c) for c in REPORT_COLUMNS])
+    return results.select(*[cells[c].alias(c) for c in REPORT_COLUMNS], *more)
 
 
 def ordered_report(report: DataFrame) -> DataFrame:
@@ -68,17 +69,18 @@ def with_base_names(report: DataFrame) -> DataFrame:
     )
 
 
-def manifest_rows(results: DataFrame) -> DataFrame:
+def manifest_rows(results: DataFrame, *more: str) -> DataFrame:
     """Per-document manifest entries (P5): id, base name, status, code."""
     return results.select(
         "document_id",
         base_name(F.col("source_file")).alias("source_file"),
         "status",
         "error_code",
+        *more,
     )
 
 
-def payload_rows(results: DataFrame) -> DataFrame:
+def payload_rows(results: DataFrame, *more: str) -> DataFrame:
     """Per-document API payload entries (K7): bodies, blanks as ``""`` and
     structured data as ``"{}"`` when absent."""
     return results.select(
@@ -91,4 +93,5 @@ def payload_rows(results: DataFrame) -> DataFrame:
         F.coalesce(F.col("customer_email"), F.lit("")).alias("customer_email"),
         F.coalesce(F.col("case_summary"), F.lit("")).alias("case_summary"),
         F.coalesce(F.col("structured_data"), F.lit("{}")).alias("structured_data"),
+        *more,
     )

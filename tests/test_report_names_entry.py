@@ -1,5 +1,6 @@
 import csv
 import glob
+import json
 import random
 
 import pytest
@@ -220,3 +221,66 @@ def test_payload_rows_defaults(spark):
     assert ok.structured_data.startswith("{") and ok.structured_data != "{}"
     assert (skipped.customer_email, skipped.case_summary, skipped.structured_data) == ("", "", "{}")
     assert skipped.error_message == "UNSUPPORTED_FILE_TYPE" and skipped.case is None
+
+
+def _many(spark):
+    rows = [(f"d{i}", f"in/{'abc'[i % 3]}/{i:03d}.{'csv' if i % 5 == 0 else 'txt'}", ".csv" if i % 5 == 0 else ".txt",
+             f'Customer: Zoë "Q" Ray\nOrder {i}, late\tagain \u2028 \\', None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "document_id string, source_file string, suffix string, text string, read_error string")
+    t = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    return triage_rules(docs.repartition(4), started_at=t, completed_at=t)
+
+
+def test_manifest_file_holds_header_and_results_in_report_order(spark, tmp_path):
+    from casegrid.sinks.publish import write_manifest_file
+
+    t, path = datetime(2026, 1, 1, tzinfo=timezone.utc), str(tmp_path / "run" / "manifest.json")
+    for res in (_many(spark).where("false"), _many(spark)):  # the second takes the first one's place
+        head = manifest_frame(spark, res, None, started_at=t, completed_at=t, report_path="r.csv", config={"llm_provider": "rules", "api_key": "S"})
+        write_manifest_file(head, res, path)
+        got = json.loads(open(path, encoding="utf-8").read())
+        want = sorted(res.collect(), key=lambda r: r.source_file)
+        assert got["results"] == [{"document_id": r.document_id, "source_file": r.source_file.split("/")[-1], "status": r.status,
+                                   "error_code": r.error_code} for r in want]
+        assert list(got) == ["started_at", "completed_at", "config", "counts", "token_usage", "report_path", "results"]
+        assert got["token_usage"] is None and got["config"]["llm_provider"] == "rules" and got["config"]["model_name"] is None
+        assert got["counts"]["discovered"] == len(want) and got["started_at"] == "2026-01-01T00:00:00+00:00" and "api_key" not in got["config"]
+    assert [p.name for p in (tmp_path / "run").iterdir()] == ["manifest.json"]
+
+
+def test_payload_file_holds_the_run(spark, tmp_path):
+    from casegrid.sinks.publish import write_payload
+
+    res, path = _many(spark), str(tmp_path / "payload.json")
+    usage = spark.createDataFrame([("5", "3", "0"), ("1", "1", "9")], "prompt_tokens string, completion_tokens string, total_tokens string")
+    write_payload(res, path, usage)
+    got = json.loads(open(path, encoding="utf-8").read())
+    assert list(got) == ["counts", "token_usage", "report_rows", "report_csv", "documents"]
+    assert got["token_usage"] == {"calls": 2, "prompt_tokens": 6, "completion_tokens": 4, "total_tokens": 17}
+    want = sorted(res.collect(), key=lambda r: r.source_file)
+    assert got["counts"] == {"discovered": 60, "successful": 48, "failed": 0, "skipped": 12}
+    assert [d["document_id"] for d in got["documents"]] == [r["document_id"] for r in got["report_rows"]] == [r.document_id for r in want]
+    for d, r in zip(got["documents"], want, strict=True):
+        assert d["case"] == (r.case.asDict() if r.case else None)
+        assert (d["customer_email"], d["case_summary"], d["structured_data"]) == (r.customer_email or "", r.case_summary or "", r.structured_data or "{}")
+    out = str(tmp_path / "report")
+    write_report_csv(ordered_report(report_rows(res)), out, single_file=True)
+    assert got["report_csv"] == open(glob.glob(out + "/*.csv")[0], encoding="utf-8", newline="").read()
+    assert got["report_rows"] == [dict(r, source_file=r["source_file"].split("/")[-1])
+                                  for r in csv.DictReader(got["report_csv"].splitlines())]
+    write_payload(res.where("false"), path, with_csv=False)
+    assert json.loads(open(path, encoding="utf-8").read()) == {
+        "counts": {"discovered": 0, "successful": 0, "failed": 0, "skipped": 0}, "token_usage": None, "report_rows": [], "documents": []}
+
+
+def test_lines_are_joined_across_blocks_and_files(tmp_path, monkeypatch):
+    from casegrid.sinks import jsondoc
+
+    parts = [b"", b'{"a":1}\n{"a":2}\n', b'{"a":3}\n', b"", b'{"a":4}\n']
+    paths = [str(tmp_path / f"{i}") for i in range(len(parts))]
+    for p, data in zip(paths, parts, strict=True):
+        open(p, "wb").write(data)
+    for block in (1, 3, 8, 1 << 20):
+        monkeypatch.setattr(jsondoc, "BLOCK", block)
+        assert json.loads(b"".join(jsondoc.pieces([("x", paths, False), ("y", "null", False), ("z", paths[:1], False)]))) == {
+            "x": [{"a": i} for i in (1, 2, 3, 4)], "y": None, "z": []}
