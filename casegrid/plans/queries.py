@@ -38,7 +38,7 @@ from casegrid.schema import (
     SUMMARY_DRAFT_BAD_MESSAGE,
     error_code_table,
 )
-from casegrid.session import staging_root
+from casegrid.session import stage_path, staging_root
 
 # Fixed run times so report cells are reproducible.
 RUN_STARTED = datetime(2026, 1, 1, 0, 0, 0, tzinfo=timezone.utc)
@@ -418,6 +418,90 @@ def q_manifest_header(spark, sf_dir):
     )
 
 
+def q_publish_outcomes(spark, sf_dir):
+    """The run's files are published as sets; ids ending in 7 have a
+    folder where their third file belongs, so these rows fail and keep no new
+    file.  ``files`` counts what a listing of the output then finds."""
+    from casegrid.sinks.documents import artifact_path, publish_documents, with_publish_errors
+    from casegrid.sources import storage
+    from casegrid.sources.listing import list_documents
+
+    out = stage_path(spark, "export")
+    results = _results(spark, sf_dir)
+    target = storage.canonical(out)
+
+    def block(batches):
+        for pdf in batches:
+            for i in pdf["document_id"]:
+                storage.make_folder(artifact_path(target, 2, i))
+            yield pdf
+
+    results.select("document_id").where(F.col("document_id").endswith("7")).mapInPandas(block, "document_id string").count()
+    done = with_publish_errors(results, publish_documents(results, out))
+    files = (list_documents(spark, out).groupBy(stem(F.col("name")).alias("document_id"))
+             .agg(F.count("*").alias("files"), F.sum("length").alias("bytes")))
+    return done.join(files, "document_id", "left").select(
+        "document_id", "source_file", "status", "error_code", "error_message", F.coalesce("files", F.lit(0).cast("bigint")).alias("files"),
+        (F.col("bytes") > F.length("customer_email") + F.length("case_summary")).alias("holds_bodies"))
+
+
+def q_error_codes_published(spark, sf_dir):
+    """rows per code after publishing, all thirteen codes."""
+    n = q_publish_outcomes(spark, sf_dir).where("error_code IS NOT NULL").groupBy("error_code").agg(F.count(F.lit(1)).alias("n"))
+    return error_code_table(spark).join(n, "error_code", "left").select("error_code", "status", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+
+
+def _digest(*cols):
+    """An order-free digest over rows: the sum of 48 bits of each row's hash."""
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols])
+    return F.sum(F.conv(F.left(F.sha2(text, 256), F.lit(12)), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
+def q_manifest_document(spark, sf_dir):
+    """K6: the manifest as one JSON file, written and read back: its entries
+    as parsed from the file, and what its header says beside them."""
+    from casegrid.sinks.publish import manifest_frame, write_manifest_file
+
+    results, path = _results(spark, sf_dir), f"{stage_path(spark, 'manifest')}/manifest.json"
+    head = manifest_frame(spark, results, None, started_at=RUN_STARTED, completed_at=RUN_COMPLETED, config=RUN_CONFIG,
+                          report_path="out/final_report.csv")
+    write_manifest_file(head, results, path)
+    line = F.rtrim(F.col("value"), F.lit(","))
+    lines = spark.read.text(path).select(line.alias("line"))
+    entries = (lines.where(F.col("line").startswith('{"document_id"'))
+               .select(F.from_json("line", "document_id string, source_file string, status string, error_code string").alias("e")).select("e.*"))
+    counts = lines.where(F.col("line").startswith('"counts"')).select(
+        F.from_json(F.substring_index("line", ": ", -1), "discovered bigint, successful bigint").alias("c"), F.lit(1).alias("_one"))
+    return (entries.withColumn("_one", F.lit(1)).join(F.broadcast(counts), "_one")
+            .select("document_id", "source_file", "status", "error_code", F.col("c.discovered").alias("discovered"),
+                    F.col("c.successful").alias("successful")))
+
+
+def q_payload_document(spark, sf_dir):
+    """K7: the run's payload as one JSON file, written and read back: rows,
+    sizes and digests of its sections."""
+    from casegrid.sinks.publish import write_payload
+
+    results, path = _results(spark, sf_dir), f"{stage_path(spark, 'payload')}/payload.json"
+    write_payload(results, path, with_csv=False)
+    case = ", ".join(f"{c} {'boolean' if c in CASE_COLS[6:9] else 'string'}" for c in CASE_COLS)
+    entry = ("document_id string, source_file string, status string, error_code string, error_message string, customer_email string, "
+             f"case_summary string, structured_data string, processed_at string, complaint_category string, case struct<{case.replace(' ', ': ').replace(',:', ',')}>")
+    e = spark.read.text(path).select(F.from_json(F.rtrim(F.col("value"), F.lit(",")), entry).alias("e")).select("e.*")
+    e = e.where("document_id IS NOT NULL")
+    docs = e.where("processed_at IS NULL").agg(
+        F.lit("documents").alias("section"), F.count("*").alias("entries"), F.count("case").alias("cases"),
+        F.coalesce(F.sum(F.length("customer_email") + F.length("case_summary")), F.lit(0)).alias("chars"),
+        _digest(*[F.col(c) for c in ("document_id", "source_file", "status", "error_code", "error_message", "customer_email", "case_summary",
+                                     "case.customer_name", "case.email", "case.issue_description", "case.is_complaint")],
+                F.col("structured_data") != "{}").alias("digest"))
+    rows = e.where("processed_at IS NOT NULL").agg(
+        F.lit("report_rows").alias("section"), F.count("*").alias("entries"), F.count_if(F.col("complaint_category") != "").alias("cases"),
+        F.coalesce(F.sum(F.length("processed_at")), F.lit(0)).alias("chars"),
+        _digest(*[F.col(c) for c in ("document_id", "source_file", "status", "error_code", "complaint_category", "processed_at")]).alias("digest"))
+    return docs.unionByName(rows)
+
+
 def model_outputs_from_documents(spark, sf_dir):
     """Model replies derived from ``documents``: one JSON reply per row, in
     one of twelve shapes chosen by ``doc_id % 12`` (valid, explicit nulls,
@@ -499,6 +583,10 @@ QUERIES = {
     "upload_triage": q_upload_triage,
     "ingest_summary": q_ingest_summary,
     "manifest_header": q_manifest_header,
+    "publish_outcomes": q_publish_outcomes,
+    "error_codes_published": q_error_codes_published,
+    "manifest_document": q_manifest_document,
+    "payload_document": q_payload_document,
     "case_validate": q_case_validate,
 }
 
@@ -618,6 +706,25 @@ SELECT r.document_id, '{D.PROMPT_VERSION}' AS prompt_version,
 FROM results r JOIN x4 x ON x.doc_id = r.doc_id WHERE r.status = 'success'"""
 
 
+_PUBLISHED = """, published AS (
+  SELECT *, status = 'success' AND ends_with(document_id, '7') AS blocked FROM results)"""
+
+
+def _digest_sql(*cols: str) -> str:
+    text = "concat_ws('|', " + ", ".join(f"coalesce(({c})::VARCHAR, '~')" for c in cols) + ")"
+    return f"sum(('0x' || left(sha256({text}), 12))::BIGINT::HUGEINT)::VARCHAR"
+
+
+def _payload_sql() -> str:
+    docs = _digest_sql("document_id", "base", "status", "error_code", "error_message", "coalesce(customer_email, '')", "coalesce(case_summary, '')",
+                       "customer_name", "email", "issue_description", "is_complaint", "status = 'success'")
+    rows = _digest_sql("document_id", "base", "status", "coalesce(error_code, '')", "coalesce(complaint_category, '')", f"'{RUN_COMPLETED_ISO}'")
+    return _with(f""", b AS (SELECT *, {duck.base_name('source_file')} AS base FROM results)
+SELECT 'documents' AS section, count(*) AS entries, count(*) FILTER (WHERE status = 'success') AS cases,
+  coalesce(sum(length(coalesce(customer_email, '')) + length(coalesce(case_summary, ''))), 0)::BIGINT AS chars, {docs} AS digest FROM b
+UNION ALL SELECT 'report_rows', count(*), count(*) FILTER (WHERE status = 'success'), coalesce(sum(length('{RUN_COMPLETED_ISO}')), 0)::BIGINT, {rows} FROM b""")
+
+
 def _case_validate_sql() -> str:
     from casegrid.schema import CASE_STATUSES, CATEGORIES
 
@@ -853,6 +960,21 @@ FROM c""",
             "count(*) FILTER (WHERE status NOT IN ('success', 'skipped')) AS failed, "
             "count(*) FILTER (WHERE status = 'skipped') AS skipped, "
             "CAST(NULL AS BIGINT) AS token_calls FROM results"),
+        "publish_outcomes": _with(_PUBLISHED + """
+SELECT document_id, source_file, CASE WHEN blocked THEN 'failed' ELSE status END AS status,
+  CASE WHEN blocked THEN 'DOCUMENT_PROCESS_ERROR' ELSE error_code END AS error_code,
+  CASE WHEN blocked THEN 'IsADirectoryError' ELSE error_message END AS error_message,
+  CASE WHEN status = 'success' AND NOT blocked THEN 3 ELSE 0 END::BIGINT AS files,
+  CASE WHEN status = 'success' AND NOT blocked THEN true END AS holds_bodies FROM published"""),
+        "error_codes_published": _with(
+            _PUBLISHED + ", taxonomy(error_code, status) AS (VALUES "
+            + ", ".join(f"({duck.q(c)}, {duck.q(st)})" for c, (st, _) in ERROR_CODES.items())
+            + "), c AS (SELECT CASE WHEN blocked THEN 'DOCUMENT_PROCESS_ERROR' ELSE error_code END AS error_code FROM published) "
+            "SELECT t.error_code, t.status, count(c.error_code) AS n FROM taxonomy t LEFT JOIN c USING (error_code) GROUP BY ALL"),
+        "manifest_document": _with(
+            f"SELECT document_id, {duck.base_name('source_file')} AS source_file, status, error_code, "
+            "count(*) OVER () AS discovered, count(*) FILTER (WHERE status = 'success') OVER () AS successful FROM results"),
+        "payload_document": _payload_sql(),
         "case_validate": _case_validate_sql(),
         "usage_totals": """
 WITH calls AS (
