@@ -21,8 +21,9 @@ each is compared with one centre (its smallest node; within a map task, the
 task's smallest): first the one it shares most signatures with, then those in
 other components; linked nodes are joined into components.  What may be left,
 links between nodes of different components that signatures connect, is
-settled exactly.  Similar sets cannot be without a common one among their
-rarest features (a prefix in one fixed order), so nodes are grouped by these;
+settled exactly.  Sets most of whose features no set of another component has
+are done.  Similar sets cannot be without a common one among their rarest
+features (a prefix in one fixed order), so the others are grouped by these;
 groups within one component are done, and the nodes of the others are compared
 in blocks of bounded size, but for those of a family's largest component with
 one another.  Blocks give links only, so no pair list is written.
@@ -62,9 +63,9 @@ _ODD = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
 KEPT_WORDS, CHUNK = 500_000, 1_000_000
 #: Nodes and features of one block (in the mean), and features of one matrix product.
 BLOCK_NODES, BLOCK_FEATURES, COLUMNS = 1024, 1 << 20, 4096
-#: Hash cells whose counts are compared before sets are, and (as a power of
-#: two) those that order features by commonness: 2 MB.
-CELLS, ORDER_BITS = 128, 18
+#: Features per hash cell whose counts are compared before sets are, the least
+#: number of cells, and (as a power of two) those that order features by commonness: 2 MB.
+PER_CELL, CELLS, ORDER_BITS = 8, 128, 18
 #: A band's largest size is at most so many times its smallest.
 BAND = 1.4
 #: Coinciding 64-bit digests that are sent to tasks (some 6e12 documents).
@@ -276,9 +277,24 @@ def _signed(docs: DataFrame, n: int, num: int, den: int, taken: frozenset[int] =
     return docs.select("text").mapInArrow(run, "sig long, node long, centre long, n int")
 
 
+def cells(f: np.ndarray) -> np.ndarray:
+    """Features in each hash cell, about PER_CELL of them; a power of two of cells."""
+    n = max(CELLS, 1 << (len(f) // PER_CELL).bit_length())
+    return np.minimum(np.bincount((f & _U(n - 1)).astype(np.int64), minlength=n), 65535).astype(np.uint16)
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many features two sets differ at least, by their cells' counts;
+    those of the finer one are added up to the other's cells."""
+    x, y = (np.frombuffer(v, np.uint16).astype(np.int64) for v in (a, b))
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.abs(x.reshape(-1, len(y)).sum(axis=0) - y).sum())
+
+
 def _arrays(docs: DataFrame, n: int, taken: frozenset[int] = frozenset()) -> DataFrame:
     """(node, f, c): the set of each document as an array, and how many of its
-    features fall into each of CELLS hash cells."""
+    features fall into each hash cell (``cells``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,10 +304,10 @@ def _arrays(docs: DataFrame, n: int, taken: frozenset[int] = frozenset()) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([digest(f, taken) for f in sets], pa.int64()),
                      pa.array([f.view(np.int64) for f in sets], pa.list_(pa.int64())),
-                     pa.array([np.bincount((f % _U(CELLS)).astype(np.int64), minlength=CELLS) for f in sets], pa.list_(pa.int32()))],
+                     pa.array([cells(f).tobytes() for f in sets], pa.binary())],
                     ["node", "f", "c"])
 
-    return docs.select("text").mapInArrow(run, "node long, f array<long>, c array<int>")
+    return docs.select("text").mapInArrow(run, "node long, f array<long>, c binary")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -301,11 +317,17 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     def side(name: str, *cols: Column) -> DataFrame:
         return sets.select(F.col("node").alias(name), *cols)
 
-    near = (pairs.select("a", "b")
-            .join(side("a", F.col("c").alias("ca"), F.size("f").alias("na")), "a").join(side("b", F.col("c").alias("cb"), F.size("f").alias("nb")), "b"))
-    apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-    near = near.where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-                      & (apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)))
+    near = (pairs.select("a", "b").join(side("a", F.col("c").alias("ca"), F.size("f").alias("na")), "a")
+            .join(side("b", F.col("c").alias("cb"), F.size("f").alias("nb")), "b")
+            .where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            most = (t.column("na").to_numpy() + t.column("nb").to_numpy()) * (den - num)
+            least = [apart(x.as_py(), y.as_py()) * (den + num) for x, y in zip(t.column("ca"), t.column("cb"), strict=True)]
+            yield t.select(["a", "b"]).filter(pa.array(np.array(least, np.int64) <= most))
+
+    near = near.mapInArrow(close, "a long, b long")
     near = staged(near.select("a", "b"), "near")
     # Only the sets of these pairs are sent.
     sets = pick(sets, staged(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes"), ["node"])
@@ -354,6 +376,44 @@ def rarest(f: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
     return f[order[:len(f) - -(-num * len(f) // den) + 1]]
 
 
+def _sharing(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``nodes`` (node, component, f) that may be near one of another
+    component: of a set's features a partner lacks (den - num) / den at most,
+    so a set goes when more are in no set of another component.  This is
+    counted on the features in a part of the hash range."""
+    share = min(1.0, 1.6 * (den - num) / den)
+
+    def sample(f: np.ndarray) -> np.ndarray:
+        # 32 bits of a hash: features that coincide only keep more sets.
+        h = _mix(f * _ODD[2])
+        return (h[h < _U(int(share * ((1 << 64) - 1)))] & _U(0x7FFFFFFF)).astype(np.int32)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                b = batch.slice(i, 500)
+                some = [sample(f.values.to_numpy().view(_U)) for f in b.column("f")]
+                times = [len(x) for x in some]
+                if sum(times):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(some)), *(pa.array(np.repeat(b.column(x).to_numpy(), times)) for x in ("node", "component"))],
+                        ["h", "node", "component"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = [(len(f), len(sample(f.values.to_numpy().view(_U)))) for f in b.column("f")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), *(pa.array([x[i] for x in sizes], pa.int64()) for i in (0, 1))],
+                                             ["node", "size", "sampled"])
+
+    w = Window.partitionBy("h")
+    posted = nodes.select("node", "component", "f").mapInArrow(post, "h int, node long, component long")
+    shared = (posted.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo < hi")
+              .groupBy("node").agg(F.count("*").alias("shared")))
+    sizes = nodes.select("node", "f").mapInArrow(count, "node long, size long, sampled long")
+    unshared = F.col("sampled") - F.coalesce("shared", F.lit(0))
+    return sizes.join(shared, "node", "left").where(unshared * den <= F.col("size") * (den - num)).select("node")
+
+
 def _undecided(nodes: DataFrame, num: int, den: int) -> DataFrame:
     """(key, node, component) of ``nodes`` (node, component, f): a rare feature
     that nodes of several components have among their rarest."""
@@ -421,7 +481,11 @@ def _rest(pairs: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int
     few = open_nodes.count()
     if not few:
         return nothing
-    left = _undecided(sets.select("node", "f").join(F.broadcast(open_nodes) if few <= BROADCAST_IDS else open_nodes, "node"), num, den)
+    def with_sets(n: DataFrame, known: int) -> DataFrame:
+        return sets.select("node", "f").join(F.broadcast(n) if known <= BROADCAST_IDS else n, "node")
+
+    sharing = staged(_sharing(with_sets(open_nodes, few), num, den).join(open_nodes, "node"), "sharing")
+    left = _undecided(with_sets(sharing, few), num, den)
     # Nodes of one feature hang together through its smallest node.
     least = staged(left.groupBy("key").agg(F.min("node").alias("centre")), "centres")
     families = components(left.join(least, "key").select("node", "centre").where("node != centre").distinct(), "node", "centre")
@@ -446,9 +510,7 @@ def _rest(pairs: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int
     last = F.when(large, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1
     dealt = (dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
              .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component"))
-    # Both sides as they were written, so that a skewed join can be split.
-    with_sets = dealt.join(sets.select("node", "f"), "node")
-    return with_sets.groupBy("family", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, num, den), "a long, b long")
+    return dealt.join(sets.select("node", "f"), "node").groupBy("family", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, num, den), "a long, b long")
 
 
 def _coinciding(rows: DataFrame) -> frozenset[int]:

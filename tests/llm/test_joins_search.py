@@ -97,6 +97,18 @@ def test_unlike_sets_share_few_signatures():
         assert len(set().union(*(v for v in held.values() if len(v) > 1))) <= 30
 
 
+def test_cell_counts_never_exceed_the_difference():
+    rnd = np.random.default_rng(7)
+    for size in (3, 100, 1000, 1100, 5000):
+        for other in (size, int(size * 1.2) + 1):
+            a = np.unique(rnd.integers(0, 1 << 63, size).astype(np.uint64))
+            b = np.unique(np.concatenate([a[:int(size * 0.7)], rnd.integers(0, 1 << 63, other - int(size * 0.7)).astype(np.uint64)]))
+            got = ngram_join.apart(ngram_join.cells(a).tobytes(), ngram_join.cells(b).tobytes())
+            assert got <= len(np.setxor1d(a, b)) and got == ngram_join.apart(ngram_join.cells(b).tobytes(), ngram_join.cells(a).tobytes())
+    a, b = (np.unique(rnd.integers(0, 1 << 63, 5000).astype(np.uint64)) for _ in range(2))
+    assert ngram_join.apart(ngram_join.cells(a).tobytes(), ngram_join.cells(b).tobytes()) > 10_000 * 20 // 180  # unlike sets of any size are told apart
+
+
 def test_coinciding_digests_are_told_apart(spark):
     rows = spark.createDataFrame([(1, 5), (1, 5), (2, 6), (2, 7), (None, None)], "node long, second long")
     assert ngram_join._coinciding(rows) == {2}
