@@ -17,9 +17,10 @@ or an error kind, plus token usage.  The provider instance is shared by the
 
 from __future__ import annotations
 
+import heapq
 import time
 from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from typing import Any, Protocol
 
@@ -103,32 +104,57 @@ def _raw_usage(usage: Any) -> dict[str, Any]:
     return {name: None if (v := get(name)) is None else str(v) for name in USAGE_FIELDS}
 
 
-def _call(provider: Provider, task: str, prompt: str, tries: int, waits: tuple[float, ...],
-          sleep: Callable[[float], None]) -> dict:
-    """One logical call with transport retries (U3).  Never raises."""
+def _attempt(provider: Provider, task: str, prompt: str) -> dict:
+    """One try of one call.  Never raises."""
     out = {"content": None, "status": None, "error": None, "message": None, "tries": 0,
            "reported": False, **dict.fromkeys(USAGE_FIELDS)}
-    for t in range(tries):
-        out["tries"] = t + 1
-        try:
-            resp = provider.complete(task, prompt)
-        except ProviderError as exc:
-            out.update(status=exc.status, error=TRANSIENT if exc.transient else PROVIDER,
-                       message=str(exc) or status_message(exc.status))
-            if not exc.transient or t == tries - 1:
-                return out
-            sleep(waits[min(t, len(waits) - 1)])
+    try:
+        resp = provider.complete(task, prompt)
+    except ProviderError as exc:
+        return out | {"status": exc.status, "error": TRANSIENT if exc.transient else PROVIDER,
+                      "message": str(exc) or status_message(exc.status)}
+    except Exception as exc:  # noqa: BLE001 - isolate any provider bug to its row
+        return out | {"error": UNEXPECTED, "message": f"{type(exc).__name__}: {exc}"}
+    content, usage = getattr(resp, "content", None), getattr(resp, "usage", None)
+    out["content"] = None if content is None else str(content)
+    if usage is not None:
+        out.update(_raw_usage(usage), reported=True)
+    return out
+
+
+def run_calls(pool: ThreadPoolExecutor, slots: int, provider: Provider, calls: list[tuple[float, str, str]], tries: int,
+              waits: tuple[float, ...], sleep: Callable[[float], None], clock: Callable[[], float]) -> list[dict]:
+    """Outcomes of ``calls`` (wait, task, prompt), in their order.
+
+    Calls wait in a queue by the time they are due: a call with a back-off, or
+    one that failed for a passing reason and is to be tried again (U3), takes no
+    thread and holds up no other call until then.  At most ``slots`` calls are
+    in flight.  The task sleeps only when none is in flight and none is due."""
+    ahead = 0.0  # of the clock, where ``sleep`` returns early
+
+    def now() -> float:
+        return clock() + ahead
+
+    began = now()
+    queue = [(began + delay, i, 1) for i, (delay, _, _) in enumerate(calls)]
+    heapq.heapify(queue)
+    running: dict[Future, tuple[int, int]] = {}
+    out: list[dict] = [{}] * len(calls)
+    while queue or running:
+        while queue and len(running) < slots and queue[0][0] <= now():
+            _, i, t = heapq.heappop(queue)
+            running[pool.submit(_attempt, provider, *calls[i][1:])] = (i, t)
+        if not running:
+            due = queue[0][0]
+            sleep(due - now())
+            ahead += max(0.0, due - now())
             continue
-        except Exception as exc:  # noqa: BLE001 - isolate any provider bug to its row
-            out.update(error=UNEXPECTED, message=f"{type(exc).__name__}: {exc}")
-            return out
-        out.update(status=None, error=None, message=None)
-        content = getattr(resp, "content", None)
-        out["content"] = None if content is None else str(content)
-        usage = getattr(resp, "usage", None)
-        if usage is not None:
-            out.update(_raw_usage(usage), reported=True)
-        return out
+        next_due = max(0.0, queue[0][0] - now()) if queue and len(running) < slots else None
+        for f in wait(running, timeout=next_due, return_when=FIRST_COMPLETED).done:
+            i, t = running.pop(f)
+            out[i] = f.result() | {"tries": t}
+            if out[i]["error"] == TRANSIENT and t < tries:
+                heapq.heappush(queue, (now() + waits[min(t - 1, len(waits) - 1)], i, t + 1))
     return out
 
 
@@ -152,10 +178,11 @@ def infer_schema(df: DataFrame, tasks: Iterable[str]) -> T.StructType:
 
 def infer(prompts: DataFrame, factory: ProviderFactory, tasks: tuple[str, ...], *,
           tries: int = TRANSPORT_TRIES, waits: tuple[float, ...] = TRANSPORT_WAITS,
-          sleep: Callable[[float], None] = time.sleep, concurrency: int = 4) -> DataFrame:
+          sleep: Callable[[float], None] = time.sleep, concurrency: int = 4,
+          clock: Callable[[], float] = time.monotonic) -> DataFrame:
     """Run the provider over ``prompt_<task>`` columns; other columns pass
-    through.  A ``wait_s`` column asks for a back-off before the task's
-    first call (retry passes after transient failures)."""
+    through.  A ``wait_s`` column asks for a back-off before the row's
+    first calls (retry passes after transient failures)."""
     schema = infer_schema(prompts, tasks)
     keep = [f.name for f in prompts.schema.fields
             if f.name not in {f"prompt_{t}" for t in tasks} | {"wait_s"}]
@@ -163,26 +190,15 @@ def infer(prompts: DataFrame, factory: ProviderFactory, tasks: tuple[str, ...],
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = factory()
         model = getattr(provider, "model_name", None)
-        waited = False
-
-        def submit(pool: ThreadPoolExecutor, row: dict) -> dict:
-            # Row by row, so that the calls of one row overlap.
-            return {t: pool.submit(_call, provider, t, row[f"prompt_{t}"], tries, waits, sleep) for t in tasks}
-
-        with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+        slots = max(1, concurrency)
+        with ThreadPoolExecutor(max_workers=slots) as pool:
             for pdf in batches:
-                rows = pdf.to_dict("records")
-                delay = [float(r.get("wait_s") or 0.0) for r in rows]
-                # Rows without a back-off go at once; the others after one
-                # back-off per task.
-                jobs: list[dict | None] = [submit(pool, r) if w <= 0 else None for r, w in zip(rows, delay, strict=True)]
-                if not waited and max(delay, default=0.0) > 0:
-                    sleep(max(delay))
-                    waited = True
-                jobs = [submit(pool, r) if j is None else j for r, j in zip(rows, jobs, strict=True)]
+                # Row by row, so that the calls of one row overlap.
+                calls = [(float(r.get("wait_s") or 0.0), t, r[f"prompt_{t}"]) for r in pdf.to_dict("records") for t in tasks]
+                done = run_calls(pool, slots, provider, calls, tries, waits, sleep, clock)
                 out = pdf[keep].copy()
-                for t in tasks:
-                    res = [j[t].result() for j in jobs]
+                for i, t in enumerate(tasks):
+                    res = done[i::len(tasks)]
                     for name, _ in _RESULT_FIELDS:
                         col = [r[name] for r in res]
                         out[f"{t}_{name}"] = pd.array(col, dtype="Int32") if name in ("status", "tries") else col

@@ -12,10 +12,11 @@ its original's family.  So rows are grouped by (batch, family):
   large) is numbered by a two-level rank over upload position -- exact, no
   Python, and a hot name is spread over many tasks;
 * a family mixing names (``a.txt`` with ``a_1.txt``) is resolved exactly
-  without gathering its rows: only one row per *distinct name* goes through
-  a small per-family fold (which first rows keep their names, which child
-  indices they claim); every other row's index is then computed in place
-  from its rank and the claimed indices before it.
+  without gathering its rows or its names.  Of the distinct names, those that
+  the rule may generate from another one (children) are settled parent by
+  parent, in the order of their numbers and in blocks of bounded size; a block
+  takes from the one before it a single number.  Every other row's number is
+  its rank plus the kept numbers below it, counted by a window.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from casegrid.functions.ids import base_name, stem, suffix
 from casegrid.schema import SUPPORTED_SUFFIXES
+from casegrid.session import stage_table
 
 
 def name_problem(filename) -> F.Column:
@@ -75,7 +77,8 @@ def accepted(uploads: DataFrame, strict: bool = False) -> DataFrame:
 
 
 RANK_CHUNK = 1 << 16  # positions per rank chunk
-NAMES_PER_BUCKET = 4096  # distinct names of mixed families per fold call
+CHILD_BLOCK = 1 << 16  # children of one parent that are settled together
+NAMES_PER_BUCKET = 4096  # children in one call, in the mean
 
 
 def _dense_rank_by_pos(d: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,61 +100,93 @@ def _dense_rank_by_pos(d: DataFrame, keys: list[str]) -> DataFrame:
 _CHILD = "^(.+)_([1-9][0-9]*)$"  # a stem the rule generates from its parent
 
 
-def _fold_family(events: list[tuple]) -> list[tuple]:
-    """Which first rows keep their name, and which child indices they claim.
-
-    One event per distinct name of a mixed family (not per upload):
-    ``(slot, pslot, k, first, before)`` -- the lower-case name, the name it
-    is generated from (if any), its index under that parent, the position
-    of its first row and the number of rows named ``pslot`` before it.
-    Parents are decided before children (a parent's name is shorter).  A
-    child's first row keeps its name unless overflow rows of its parent
-    took that index first: the j-th overflow row of a parent takes the j-th
-    smallest index not yet claimed by a child's own first row."""
-    from bisect import bisect_left, insort
-
-    first = {slot: f for slot, _, _, f, _ in events}
-    kids: dict[str, list] = {}
-    keeps: dict[str, bool] = {}
-    for slot, pslot, k, f, before in events:
-        if pslot is not None and pslot in first:
-            kids.setdefault(pslot, []).append((f, k, slot, before))
-        else:
-            keeps[slot] = True  # nothing can overflow into it
+def kept_numbers(children: list[tuple[int, int]], kept: int) -> list[bool]:
+    """Which children of one parent keep their names.
+
+    A child ``(k, over)`` has the number ``k`` and is preceded by ``over`` rows
+    that overflow from the parent; children come in the order of their numbers,
+    ``kept`` of the smaller ones keep theirs.  An overflow takes the smallest
+    free number.  So of the numbers below ``k`` all but the kept ones go to
+    overflows before ``k`` does, and the child keeps its own if no more than
+    those have come before it."""
     out = []
-    for parent in sorted(first, key=len):
-        claimed: list[int] = []
-        for f, k, slot, before in sorted(kids.get(parent, [])):
-            overflowed = before - (1 if keeps[parent] and first[parent] < f else 0)
-            if k is None or k - bisect_left(claimed, k) > overflowed:
-                keeps[slot] = True
-                if k is not None:
-                    insort(claimed, k)
-                    out.append(("claim", parent, f, k, None))
+    for k, over in children:
+        keep = over <= k - 1 - kept
+        out.append(keep)
+        kept += keep
+    return out
+
+
+def _settle_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block of children of every parent in the frame."""
+    pdf = pdf.sort_values(["batch_id", "_pslot", "_k"], kind="stable").reset_index(drop=True)
+    keep: list[bool] = []
+    for _, g in pdf.groupby(["batch_id", "_pslot"], sort=False):
+        keep += kept_numbers(list(zip(g["_k"].tolist(), g["_over"].tolist(), strict=True)), int(g["_kept"].iloc[0]))
+    return pd.DataFrame({"batch_id": pdf["batch_id"], "_pslot": pdf["_pslot"], "_slot": pdf["_slot"], "_k": pdf["_k"], "_keep": keep})
+
+
+def _settled_children(events: DataFrame) -> DataFrame:
+    """``(batch_id, _pslot, _slot, _k, _keep)`` of the names that may have been
+    generated from another name of their batch.
+
+    ``events`` has one row per distinct name: ``_slot``, the name it is
+    generated from and its number (``_pslot``, ``_k``), how often that can be
+    done to it (``_level``), its first position, and the rows of ``_pslot``
+    before that.  Names are settled level by level, as a child depends on
+    whether its parent kept its name."""
+    parents = events.select("batch_id", F.col("_slot").alias("_pslot"), F.col("_first").alias("_pfirst"))
+    kids = stage_table(events.where(F.col("_k").isNotNull()).join(parents, ["batch_id", "_pslot"]), "children")
+    schema = f"batch_id {dict(events.dtypes)['batch_id']}, _pslot string, _slot string, _k bigint, _keep boolean"
+    settled = None
+    for level in sorted(r["_level"] for r in kids.select("_level").distinct().collect()):  # as many as a name has numbers at its end
+        now = kids.where(F.col("_level") == level)
+        if settled is None:
+            now = now.withColumn("_pkeep", F.lit(True))
+        else:
+            up = settled.select("batch_id", F.col("_slot").alias("_pslot"), F.col("_keep").alias("_pkeep"))
+            now = now.join(up, ["batch_id", "_pslot"], "left").withColumn("_pkeep", F.coalesce("_pkeep", F.lit(True)))
+        over = F.col("_before") - F.when(F.col("_pkeep") & (F.col("_pfirst") < F.col("_first")), F.lit(1)).otherwise(F.lit(0))
+        ranked = _dense_rank_by_pos(now.select("batch_id", "_pslot", "_slot", F.col("_k").alias("pos"), over.alias("_over")), ["batch_id", "_pslot"])
+        ranked = stage_table(ranked.withColumnRenamed("pos", "_k").withColumn("_block", F.floor((F.col("_rank") - 1) / CHILD_BLOCK)), "ranked")
+        n, last = ranked.agg(F.count("*"), F.max("_block")).first()
+        buckets = max(1, -(-n // NAMES_PER_BUCKET))
+        kept = None
+        for block in range(last + 1):
+            part = ranked.where(F.col("_block") == block)
+            if kept is None:
+                part = part.withColumn("_kept", F.lit(0).cast("bigint"))
             else:
-                keeps[slot] = False
-    return out + [("slot", slot, None, None, keep) for slot, keep in keeps.items()]
-
-
-def _fold_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fold every family in one hash bucket (one Python call per bucket,
-    not per family: per-group calls cost more than the fold itself)."""
-    from itertools import groupby
-
-    def opt_int(x):
-        return None if pd.isna(x) else int(x)
-
-    recs = sorted(
-        zip(pdf["batch_id"], pdf["_family"], pdf["_slot"], pdf["_pslot"], pdf["_k"], pdf["_first"],
-            pdf["_before"]),
-        key=lambda r: (r[0], r[1]),
-    )
-    rows: list[tuple] = []
-    for (batch, _fam), grp in groupby(recs, key=lambda r: (r[0], r[1])):
-        events = [(slot, pslot if isinstance(pslot, str) else None, opt_int(k), int(f), int(before))
-                  for _, _, slot, pslot, k, f, before in grp]
-        rows.extend((batch, *r) for r in _fold_family(events))
-    return pd.DataFrame(rows, columns=["batch_id", "_kind", "_slot", "_f", "_k", "_keep"])
+                part = part.join(kept, ["batch_id", "_pslot"])
+            done = stage_table(part.withColumn("_bucket", F.pmod(F.hash("batch_id", "_pslot"), F.lit(buckets))).groupBy("_bucket")
+                               .applyInPandas(_settle_block, schema), "settled")
+            settled = done if settled is None else settled.unionByName(done)
+            if block < last:
+                more = done.groupBy("batch_id", "_pslot").agg(F.count_if("_keep").alias("_kept"))
+                kept = stage_table(more if kept is None else more.unionByName(kept).groupBy("batch_id", "_pslot").agg(F.sum("_kept").alias("_kept")),
+                                   "kept")
+    return events.sparkSession.createDataFrame([], schema) if settled is None else settled
+
+
+def _claims_below(rows: DataFrame, claims: DataFrame) -> DataFrame:
+    """``rows`` (batch_id, _slot, _j, ...) with ``_below``: how many of the
+    slot's ``claims`` (batch_id, _slot, _gap) have ``_gap`` below ``_j``.
+
+    In chunks of numbers, as a slot may have any number of rows: a running
+    count within the chunk, plus the counts of the chunks before it."""
+    keys = ["batch_id", "_slot"]
+    rows = rows.withColumn("_chunk", F.floor(F.col("_j") / RANK_CHUNK))
+    claims = claims.withColumn("_chunk", F.floor(F.col("_gap") / RANK_CHUNK))
+    counts = claims.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    marks = rows.select(*keys, "_chunk").distinct().withColumn("_n", F.lit(0).cast("bigint"))
+    upto = Window.partitionBy(*keys).orderBy("_chunk").rangeBetween(Window.unboundedPreceding, -1)
+    chunks = (counts.unionByName(marks).groupBy(*keys, "_chunk").agg(F.sum("_n").alias("_n"))
+              .withColumn("_pre", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n"))
+    both = rows.withColumn("_claim", F.lit(0)).unionByName(
+        claims.select(*keys, "_chunk", F.col("_gap").alias("_j"), F.lit(1).alias("_claim")), allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_j", "_claim").rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("_in", F.sum("_claim").over(inside)).where("_claim = 0").drop("_claim")
+    return counted.join(chunks, [*keys, "_chunk"]).withColumn("_below", F.col("_in") + F.col("_pre")).drop("_in", "_pre", "_chunk")
 
 
 def _rows_before(rows: DataFrame, markers: DataFrame) -> DataFrame:
@@ -191,37 +226,26 @@ def _mixed_names(d: DataFrame) -> DataFrame:
                                       F.concat(F.regexp_extract(lstem, _CHILD, 1), F.lower("_sfx"))))
     d = d.withColumn("_k", F.when(F.col("_pslot").isNotNull(),
                                   F.regexp_extract(lstem, _CHILD, 2).try_cast("bigint")))
-    events = d.groupBy("batch_id", "_family", "_slot", "_pslot", "_k").agg(F.min("pos").alias("_first"))
+    level = F.regexp_count(F.regexp_extract(lstem, "((?:_[1-9][0-9]*)*)$", 1), F.lit("_"))
+    events = d.groupBy("batch_id", "_family", "_slot", "_pslot", "_k", level.alias("_level")).agg(F.min("pos").alias("_first"))
     before = _rows_before(
         d.select("batch_id", F.col("_slot").alias("_key"), "pos"),
         events.where(F.col("_pslot").isNotNull()).select(
             "batch_id", F.col("_pslot").alias("_key"), F.col("_first").alias("_mpos"), "_slot"),
     )
-    events = events.join(before, ["batch_id", "_slot"], "left").withColumn(
-        "_before", F.coalesce("_before", F.lit(0)))
-    # Buckets of bounded size: a few thousand distinct names each on average.
-    buckets = max(1, -(-events.count() // NAMES_PER_BUCKET))
-    folded = (
-        events.withColumn("_bucket", F.pmod(F.hash("batch_id", "_family"), F.lit(buckets)))
-        .groupBy("_bucket")
-        .applyInPandas(_fold_bucket, "batch_id " + dict(d.dtypes)["batch_id"]
-                       + ", _kind string, _slot string, _f bigint, _k bigint, _keep boolean")
-    )
-    keeps = folded.where(F.col("_kind") == "slot").select("batch_id", "_slot", "_keep")
-    claims = folded.where(F.col("_kind") == "claim").groupBy("batch_id", "_slot").agg(
-        F.collect_list(F.struct("_f", "_k")).alias("_claims"))
+    events = stage_table(events.join(before, ["batch_id", "_slot"], "left").withColumn("_before", F.coalesce("_before", F.lit(0))), "names")
     ranked = _dense_rank_by_pos(d.drop("_pslot", "_k"), ["batch_id", "_slot"])
-    r = ranked.join(keeps, ["batch_id", "_slot"], "left").join(claims, ["batch_id", "_slot"], "left")
+    settled = _settled_children(events)
+    # A kept number k of a parent stands after k - rank numbers that are not kept.
+    claims = _dense_rank_by_pos(settled.where("_keep").select("batch_id", F.col("_pslot").alias("_slot"), F.col("_k").alias("pos")),
+                                ["batch_id", "_slot"]).select("batch_id", "_slot", (F.col("pos") - F.col("_rank")).alias("_gap"))
+    r = ranked.join(settled.select("batch_id", "_slot", "_keep"), ["batch_id", "_slot"], "left")
     keep_first = F.coalesce(F.col("_keep"), F.lit(True))
-    j = F.col("_rank") - F.when(keep_first, F.lit(1)).otherwise(F.lit(0))
-    taken = F.array_sort(F.transform(
-        F.filter(F.coalesce(F.col("_claims"), F.array().cast("array<struct<_f:bigint,_k:bigint>>")),
-                 lambda c: c["_f"] < F.col("pos")),
-        lambda c: c["_k"]))
-    index = F.aggregate(taken, j.cast("bigint"), lambda acc, k: F.when(k <= acc, acc + 1).otherwise(acc))
+    r = r.withColumn("_j", F.col("_rank") - F.when(keep_first, F.lit(1)).otherwise(F.lit(0)))
+    r = _claims_below(r, claims)
     stored = F.when((F.col("_rank") == 1) & keep_first, F.col("_name")).otherwise(
-        F.concat(F.col("_stem"), F.lit("_"), index.cast("string"), F.col("_sfx")))
-    return r.withColumn("stored_name", stored).drop("_slot", "_keep", "_claims", "_rank")
+        F.concat(F.col("_stem"), F.lit("_"), (F.col("_j") + F.col("_below")).cast("string"), F.col("_sfx")))
+    return r.withColumn("stored_name", stored).drop("_slot", "_keep", "_rank", "_j", "_below")
 
 
 def stored_names(uploads: DataFrame) -> DataFrame:

@@ -164,11 +164,12 @@ def test_upload_rank_spans_chunks(spark, monkeypatch):
     assert got == _by_rule(rows)
 
 
-@pytest.mark.parametrize("seed,chunk", [(11, 4), (23, 3), (5, 1 << 16)])
-def test_mixed_families_heavy_random(spark, monkeypatch, seed, chunk):
+@pytest.mark.parametrize("seed,chunk,block", [(11, 4, 1), (23, 3, 2), (5, 1 << 16, 1 << 16)])
+def test_mixed_families_heavy_random(spark, monkeypatch, seed, chunk, block):
     import casegrid.operators.names as N
 
     monkeypatch.setattr(N, "RANK_CHUNK", chunk)
+    monkeypatch.setattr(N, "CHILD_BLOCK", block)
     rnd = random.Random(seed)
     pool = ["case.txt", "CASE.TXT", "case_1.txt", "case_2.txt", "case_1_1.txt", "case_1_2.txt",
             "case_10.txt", "case_01.txt", "Case_3.Txt", "case_2_1.txt", "case.pdf", "case_1.pdf",
@@ -183,6 +184,33 @@ def test_mixed_families_heavy_random(spark, monkeypatch, seed, chunk):
     assert got == _by_rule(rows)
 
 
+def test_one_family_of_many_names_stays_in_no_single_group(spark, monkeypatch):
+    """100,000 distinct names of one family and many rows of its parent, against
+    a walk in upload order; no group of names is larger than a block."""
+    import casegrid.operators.names as N
+
+    monkeypatch.setattr(N, "RANK_CHUNK", 10_000)
+    monkeypatch.setattr(N, "CHILD_BLOCK", 30_000)
+    rnd = random.Random(9)
+    names = [f"scan_{k}.txt" for k in rnd.sample(range(1, 250_000), 100_000)] + ["Scan.txt"] * 60_000
+    rnd.shuffle(names)
+    used, want, free = set(), [], 1
+    for n in names:
+        if n.lower() not in used:
+            stored = n
+        elif n == "Scan.txt":
+            while f"scan_{free}.txt" in used:
+                free += 1
+            stored = f"Scan_{free}.txt"
+        else:
+            stored = n[:-4] + "_1.txt"
+        used.add(stored.lower())
+        want.append(stored)
+    df = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "batch_id int, pos int, filename string")
+    got = [r.stored_name for r in stored_names(df).select("pos", "stored_name").orderBy("pos").collect()]
+    assert got == want
+
+
 def test_empty_report_still_has_header(spark, tmp_path):
     out = str(tmp_path / "empty_report")
     write_report_csv(report_rows(_results(spark).where("false")), out, single_file=True)
