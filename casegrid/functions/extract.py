@@ -50,6 +50,12 @@ VALID_EMAIL_RE = f"^{_LOCAL_ATOM}(?:\\.{_LOCAL_ATOM})*@(?:{_LABEL}\\.)+{_LAST_LA
 SPECIAL_DOMAIN_RE = "(?:^|\\.)(?:" + "|".join(SPECIAL_USE_DOMAINS) + ")$"
 
 
+# A display name, bare words or quoted, before an address in angle brackets.
+NAMED_MAX_CHARS = 2048
+_NAME_CHARS = "[\\p{L}\\p{N}_!#$%&'*+\\-/=?^`{|}~]"
+NAMED_ADDRESS_RE = f'^{SPACE}*(?:(?:{_NAME_CHARS}+{SPACE}+)*{_NAME_CHARS}+|"(?:[^"]|")+")?{SPACE}*<([^\\n]+)>{SPACE}*$'
+
+
 def first_match(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
@@ -86,6 +92,15 @@ def normalize_email(email: Column) -> Column:
     return F.concat(F.substring_index(email, "@", 1), F.lit("@"), F.lower(email_domain(email)))
 
 
+def address_of(email: Column) -> Column:
+    """The address in a field that may also hold a display name (X14):
+    ``Ann Lee <ann@x.example>`` or ``"Lee, Ann" <ann@x.example>``; else the
+    field without white space at its ends.  Over-long fields are left as they are."""
+    named = F.regexp_extract(email, NAMED_ADDRESS_RE, 1)
+    return (F.when(F.length(email) > NAMED_MAX_CHARS, email)
+            .when(email.contains("<") & (named != ""), strip(named)).otherwise(strip(email)))
+
+
 def found_email(text: Column) -> Column:
     """First e-mail-like token (X5); the regex runs only on texts with '@'."""
     return F.when(text.contains("@"), first_match(text, _EMAIL_SEARCH_RE))

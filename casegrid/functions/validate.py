@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.functions.extract import email_is_valid, normalize_email
+from casegrid.functions.extract import address_of, email_is_valid, normalize_email
 from casegrid.functions.patterns import EMAIL_SUBJECT_PREFIX, SUMMARY_HEADINGS
 from casegrid.functions.text import strip
 from casegrid.schema import (
@@ -49,15 +49,20 @@ def summary_draft_ok(draft: Column) -> Column:
 
 # --- case JSON -------------------------------------------------------------
 
+#: As a strict parser reads: no single quotes; of equal keys the last one
+#: counts, and NaN and Infinity are numbers.
+_READ = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
+
+
 def _one_value(text: Column) -> Column:
     """True when a JSON parser reads the whole of ``text`` as one value.
 
-    The parser behind ``try_parse_json`` stops at the end of the first value.
-    So the text is set in an array before its own digest: only if nothing but
-    white space follows the value, the digest is the second element."""
+    The parser stops at the end of the first value.  So the text is set in an
+    array before its own digest: only if nothing but white space follows the
+    value, the digest is the second of two elements."""
     mark = F.sha2(text, 256)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
-    return F.coalesce(F.try_variant_get(wrapped, "$[1]", "string") == mark, F.lit(False))
+    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), "array<string>", _READ)
+    return F.coalesce((F.size(wrapped) == 2) & (wrapped[1] == mark), F.lit(False))
 
 
 def _kind(x: Column) -> Column:
@@ -117,19 +122,18 @@ def validate_case_json(df: DataFrame, content: str, out: str) -> DataFrame:
     c = F.col(content)
     body = F.btrim(c, F.lit(_JSON_SPACE))
     braced = body.startswith("{") & body.endswith("}")
-    d = df.withColumn("_pj", F.try_parse_json(F.when(braced & _one_value(body), body)))
-    d = d.withColumn(
-        "_pj_obj", F.coalesce(F.col("_pj").isNotNull() & F.schema_of_variant("_pj").startswith("OBJECT"),
-                              F.lit(False)))
     names = _STRINGS + ("email", "issue_description", "complaint_category", "overall_case_status") + _BOOLS
-    d = d.select("*", *[F.variant_get("_pj", f"$.{n}", "variant").alias(f"_pj_{n}") for n in names])
+    fields = ", ".join(f"{n} variant" for n in names)
+    d = df.withColumn("_pj", F.from_json(F.when(braced & _one_value(body), body), f"{fields}, _bad string", _READ))
+    d = d.withColumn("_pj_obj", F.col("_pj").isNotNull() & F.col("_pj._bad").isNull())
+    d = d.select("*", *[F.col(f"_pj.{n}").alias(f"_pj_{n}") for n in names])
 
     checks, vals = [], {}
     for n in _STRINGS:
         ok, vals[n] = _opt_string(F.col(f"_pj_{n}"))
         checks.append(ok)
     ok, raw_email = _opt_string(F.col("_pj_email"))
-    d = d.withColumn("_pj_email_s", raw_email)
+    d = d.withColumn("_pj_email_s", address_of(raw_email))
     e = F.col("_pj_email_s")
     checks.append(ok & (e.isNull() | email_is_valid(e)))
     vals["email"] = F.when(e.isNotNull(), normalize_email(e))

@@ -509,7 +509,7 @@ def model_outputs_from_documents(spark, sf_dir):
     extra key with lax booleans, trailing text, an array, a bad boolean).
     The issue text is the whole document text."""
     d = load_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    t, k = F.col("text"), F.pmod(F.col("doc_id"), F.lit(12))
+    t, k = F.col("text"), F.pmod(F.col("doc_id"), F.lit(20))
     yes, no = F.lit(True), F.lit(False)
     opts = {"ignoreNullFields": "false"}
 
@@ -535,8 +535,16 @@ def model_outputs_from_documents(spark, sf_dir):
                          F.lit(1).alias("extra_field")))
         .when(k == 9, F.concat(js(*base), F.lit(" trailing")))
         .when(k == 10, F.lit("[1, 2]"))
-        .otherwise(js(t.alias("issue_description"), F.lit(2).alias("is_complaint"), no.alias("escalation_required"),
-                      no.alias("supporting_document_available")))
+        .when(k == 11, js(t.alias("issue_description"), F.lit(2).alias("is_complaint"), no.alias("escalation_required"),
+                          no.alias("supporting_document_available")))
+        .when(k == 12, F.concat(F.lit('{"issue_description": 7, "is_complaint": "perhaps", '), F.substr(js(*base), F.lit(2))))
+        .when(k == 13, F.concat(F.lit('{"confidence": NaN, "range": [-Infinity, Infinity], '), F.substr(js(*base), F.lit(2))))
+        .when(k == 14, F.concat(F.substr(js(*base[:3]), F.lit(1), F.length(js(*base[:3])) - 1), F.lit(', "supporting_document_available": NaN}')))
+        .when(k == 15, F.lit(" \n\t"))
+        .when(k == 16, F.lit(None).cast("string"))
+        .when(k == 17, js(*base, F.lit("Ann O'Lee <Ann@Example.COM>").alias("email")))
+        .when(k == 18, js(*base, F.lit(' "Lee, Ann" <Ann@Example.COM> ').alias("email")))
+        .otherwise(js(*base, F.lit("Ann Lee Ann@Example.COM").alias("email")))
     )
     return d.select("doc_id", content.alias("content"))
 
@@ -772,7 +780,7 @@ def _case_validate_sql() -> str:
         "overall_case_status": f"coalesce({v('overall_case_status')}, 'unknown')",
     }
     cols = ", ".join(f"CASE WHEN good THEN {expr} END AS {name}" for name, expr in fields.items())
-    content = """CASE ((doc_id % 12) + 12) % 12
+    content = """CASE ((doc_id % 20) + 20) % 20
       WHEN 0 THEN json_object('issue_description', text, 'is_complaint', true, 'escalation_required', false,
                               'supporting_document_available', true, 'complaint_category', 'billing',
                               'email', 'Ann@Example.COM')::VARCHAR
@@ -795,8 +803,22 @@ def _case_validate_sql() -> str:
       WHEN 9 THEN json_object('issue_description', text, 'is_complaint', true, 'escalation_required', false,
                               'supporting_document_available', true)::VARCHAR || ' trailing'
       WHEN 10 THEN '[1, 2]'
-      ELSE json_object('issue_description', text, 'is_complaint', 2, 'escalation_required', false,
-                       'supporting_document_available', false)::VARCHAR END"""
+      WHEN 11 THEN json_object('issue_description', text, 'is_complaint', 2, 'escalation_required', false,
+                               'supporting_document_available', false)::VARCHAR
+      -- What is left of keys given twice, and of keys of no interest.
+      WHEN 12 THEN json_object('issue_description', text, 'is_complaint', true, 'escalation_required', false,
+                               'supporting_document_available', true)::VARCHAR
+      WHEN 13 THEN json_object('issue_description', text, 'is_complaint', true, 'escalation_required', false,
+                               'supporting_document_available', true)::VARCHAR
+      WHEN 14 THEN json_object('issue_description', text, 'is_complaint', true, 'escalation_required', false,
+                               'supporting_document_available', 0.5)::VARCHAR
+      WHEN 15 THEN ' ' || chr(10) || chr(9)
+      WHEN 16 THEN NULL
+      WHEN 19 THEN json_object('issue_description', text, 'is_complaint', true, 'escalation_required', false,
+                               'supporting_document_available', true, 'email', 'Ann Lee Ann@Example.COM')::VARCHAR
+      -- Names before addresses are not part of them.
+      ELSE json_object('issue_description', text, 'is_complaint', true, 'escalation_required', false,
+                       'supporting_document_available', true, 'email', 'Ann@Example.COM')::VARCHAR END"""
     blank = f"(content IS NULL OR {duck.strip('content')} = '')"
     return f"""
 WITH r AS (SELECT doc_id, {content} AS content FROM documents),
