@@ -59,8 +59,8 @@ from casegrid.llm.graph import components
 
 _U = np.uint64
 _ODD = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))  # mixing constants
-#: Words whose hash a Python worker remembers, and signatures combined at once.
-KEPT_WORDS, CHUNK = 500_000, 1_000_000
+#: Signatures combined at once.
+CHUNK = 1_000_000
 #: Nodes and features of one block (in the mean), and features of one matrix product.
 BLOCK_NODES, BLOCK_FEATURES, COLUMNS = 1024, 1 << 20, 4096
 #: Features per hash cell whose counts are compared before sets are, the least
@@ -81,27 +81,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Words(dict):
-    """64-bit hash of a word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        h = xxh3_64_intdigest(word)
-        if len(self) < KEPT_WORDS:
-            self[word] = h
-        return h
-
-
-_words = _Words()
-
-
 def features(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles (uint64)."""
+    from xxhash import xxh3_64_intdigest
+
     words = text.lower().split()
     if not words:
         return np.empty(0, _U)
-    h = np.fromiter(map(_words.__getitem__, words), _U, len(words))
+    h = np.fromiter(map(xxh3_64_intdigest, words), _U, len(words))
     m = max(1, len(h) - n + 1)
     out = np.full(m, _U(min(n, len(h))))
     for i in range(min(n, len(h))):
