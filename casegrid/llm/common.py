@@ -12,7 +12,7 @@ from casegrid.session import staging_root
 #: Rows of ids that may be broadcast (16 MB of longs); beyond it a shuffle join is used.
 BROADCAST_IDS = 1_000_000
 #: Bytes of one Arrow batch sent to a Python worker, where the session sets no bound.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
