@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import bounded_batches, null_safe, pick, row_key, staged
+from casegrid.llm.common import bounded_batches, give_back, null_safe, pick, row_key, staged, trimmed
 
 WINDOW, RAREST, SLACK = 13, 3, 5
 #: Terms of one pass over the corpus (a Python set in each worker); a larger
@@ -60,7 +60,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
                                               pa.array([w for _, w in got], pa.binary()).cast(pa.string())], ["item_id", "words"])
 
     return staged(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-                  .mapInArrow(run, "item_id string, words string").distinct(), "items")
+                  .mapInArrow(trimmed(run), "item_id string, words string").distinct(), "items")
 
 
 def _slices(terms: DataFrame) -> Iterator[frozenset[bytes]]:
@@ -84,7 +84,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()),
                                               pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-        return docs.select("text").mapInArrow(run, "term string, n long")
+        return docs.select("text").mapInArrow(trimmed(run), "term string, n long")
 
     out = docs.sparkSession.createDataFrame([], "term string, n long")
     for vocabulary in _slices(terms):
@@ -111,7 +111,7 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
                     [pa.array(term, pa.binary()).cast(pa.string()), b.column("doc_id").take(rows), b.column("key").take(rows),
                      pa.array(position, pa.int32())], ["term", "doc_id", "key", "position"])
 
-        return docs.select("doc_id", "key", "text").mapInArrow(run, "term string, doc_id long, key long, position int")
+        return docs.select("doc_id", "key", "text").mapInArrow(trimmed(run), "term string, doc_id long, key long, position int")
 
     out = docs.sparkSession.createDataFrame([], "term string, doc_id long, key long, position int")
     for vocabulary in _slices(terms):
@@ -201,7 +201,7 @@ def _verified(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(hits, pa.int64()),
                                               pa.array(items, pa.list_(pa.string()))], ["doc_id", "key", "n_hit", "texts"])
 
-    return _with_candidates(docs, found).mapInArrow(run, "doc_id long, key long, n_hit long, texts array<string>")
+    return _with_candidates(docs, found).mapInArrow(trimmed(run), "doc_id long, key long, n_hit long, texts array<string>")
 
 
 def _phrases(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def _phrases(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("key").take(rows), pa.array(words, pa.string()),
                                               pa.array(start, pa.int32())], ["doc_id", "key", "words", "start"])
 
-    return _with_candidates(docs, found).mapInArrow(run, "doc_id long, key long, words string, start int")
+    return _with_candidates(docs, found).mapInArrow(trimmed(run), "doc_id long, key long, words string, start int")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST,
@@ -268,7 +268,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
 
     @F.arrow_udf("long")
     def count(text: pa.Array) -> pa.Array:
-        return pa.array([len(words_of(t)) for t in text.cast(pa.binary()).to_pylist()], pa.int64())
+        out = pa.array([len(words_of(t)) for t in text.cast(pa.binary()).to_pylist()], pa.int64())
+        give_back()
+        return out
 
     rows = docs.select("doc_id", "key", count("text").alias("n_words"))
     out = null_safe(rows, hits, ["doc_id", "key"], "left")

@@ -54,15 +54,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import BROADCAST_IDS, bounded_batches, discard, pick, row_id, staged
+from casegrid.llm.common import BROADCAST_IDS, bounded_batches, discard, give_back, pick, row_id, staged, trimmed
 from casegrid.llm.graph import components
 
 _U = np.uint64
 _ODD = (_U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))  # mixing constants
 #: Signatures combined at once.
-CHUNK = 1_000_000
+CHUNK = 400_000
 #: Nodes and features of one block (in the mean), and features of one matrix product.
-BLOCK_NODES, BLOCK_FEATURES, COLUMNS = 1024, 1 << 20, 4096
+BLOCK_NODES, BLOCK_FEATURES, COLUMNS = 1024, 1 << 18, 4096
 #: Features per hash cell whose counts are compared before sets are, the least
 #: number of cells, and (as a power of two) those that order features by commonness: 2 MB.
 PER_CELL, CELLS, ORDER_BITS = 8, 128, 18
@@ -215,7 +215,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 [b.column("doc_id"), b.column("key"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(second, pa.int64())],
                 ["doc_id", "key", "n_shingles", "node", "second"])
 
-    return docs.mapInArrow(run, "doc_id long, key string, n_shingles long, node long, second long")
+    return docs.mapInArrow(trimmed(run), "doc_id long, key string, n_shingles long, node long, second long")
 
 
 def _combine(sig: np.ndarray, node: np.ndarray) -> tuple[pa.RecordBatch, pa.RecordBatch]:
@@ -261,7 +261,7 @@ def _signed(docs: DataFrame, n: int, num: int, den: int, taken: frozenset[int] =
                     held = 0
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, "sig long, node long, centre long, n int")
+    return docs.select("text").mapInArrow(trimmed(run), "sig long, node long, centre long, n int")
 
 
 def cells(f: np.ndarray) -> np.ndarray:
@@ -294,7 +294,7 @@ def _arrays(docs: DataFrame, n: int, taken: frozenset[int] = frozenset()) -> Dat
                      pa.array([cells(f).tobytes() for f in sets], pa.binary())],
                     ["node", "f", "c"])
 
-    return docs.select("text").mapInArrow(run, "node long, f array<long>, c binary")
+    return docs.select("text").mapInArrow(trimmed(run), "node long, f array<long>, c binary")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -314,7 +314,7 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             least = [apart(x.as_py(), y.as_py()) * (den + num) for x, y in zip(t.column("ca"), t.column("cb"), strict=True)]
             yield t.select(["a", "b"]).filter(pa.array(np.array(least, np.int64) <= most))
 
-    near = near.mapInArrow(close, "a long, b long")
+    near = near.mapInArrow(trimmed(close), "a long, b long")
     near = staged(near.select("a", "b"), "near")
     # Only the sets of these pairs are sent.
     sets = pick(sets, staged(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes"), ["node"])
@@ -350,7 +350,7 @@ def _commonness(sets: DataFrame) -> np.ndarray:
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
 
-    table = sets.select("f").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = sets.select("f").mapInArrow(trimmed(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << ORDER_BITS, np.int64)
     out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
     return out
@@ -393,10 +393,10 @@ def _sharing(nodes: DataFrame, num: int, den: int) -> DataFrame:
                                              ["node", "size", "sampled"])
 
     w = Window.partitionBy("h")
-    posted = nodes.select("node", "component", "f").mapInArrow(post, "h int, node long, component long")
+    posted = nodes.select("node", "component", "f").mapInArrow(trimmed(post), "h int, node long, component long")
     shared = (posted.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo < hi")
               .groupBy("node").agg(F.count("*").alias("shared")))
-    sizes = nodes.select("node", "f").mapInArrow(count, "node long, size long, sampled long")
+    sizes = nodes.select("node", "f").mapInArrow(trimmed(count), "node long, size long, sampled long")
     unshared = F.col("sampled") - F.coalesce("shared", F.lit(0))
     return sizes.join(shared, "node", "left").where(unshared * den <= F.col("size") * (den - num)).select("node")
 
@@ -416,7 +416,7 @@ def _undecided(nodes: DataFrame, num: int, den: int) -> DataFrame:
                     [pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.repeat(b.column(x).to_numpy(), times)) for x in ("node", "component"))],
                     ["key", "node", "component"])
 
-    keyed = staged(nodes.select("node", "component", "f").mapInArrow(run, "key long, node long, component long"), "rarest")
+    keyed = staged(nodes.select("node", "component", "f").mapInArrow(trimmed(run), "key long, node long, component long"), "rarest")
     mixed = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     out = staged(keyed.join(staged(mixed.select("key"), "mixed"), "key"), "undecided")
     discard(keyed)
@@ -451,6 +451,8 @@ def _block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
         if ends[0] != ends[1]:
             root[ends[1]] = ends[0]
             out.append((nodes[i], nodes[j]))
+    del sets, row, col, both, near
+    give_back()
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import bounded_batches, staged
+from casegrid.llm.common import bounded_batches, staged, trimmed
 from casegrid.llm.vocab import chunks, encoder
 
 WINDOW, OPEN_WINDOWS, MERGE = 2048, 64, 64
@@ -161,6 +161,6 @@ def pack(docs: DataFrame, vocab: str, style: str = "word", end_id: int = 1, wind
         return out.astype({"doc_id": "Int64"})
 
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = staged(text.mapInArrow(first, _PIECE), "packed")
+    made = staged(text.mapInArrow(trimmed(first), _PIECE), "packed")
     merged = (made.where("leftover").groupBy(F.floor(F.col("part") / MERGE).alias("g")).applyInPandas(last, _PIECE))
     return made.where("NOT leftover").unionByName(merged).drop("part", "leftover")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import at_most, bounded_batches, pick, staged
+from casegrid.llm.common import at_most, bounded_batches, give_back, pick, staged, trimmed
 
 #: Labelled rows (in the mean), terms, latent dimensions, voters, documents of
 #: one block of products.
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int =
         m = fit([t for _, t, _ in got], [q for *_, q in got])
         yield pa.RecordBatch.from_pydict({"m": pa.array([pickle.dumps(m)], pa.binary())})
 
-    made = rows.mapInArrow(run, "m binary").collect()
+    made = rows.mapInArrow(trimmed(run), "m binary").collect()
     return pickle.loads(made[0]["m"]) if made else Model()
 
 
@@ -189,6 +189,8 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     @F.arrow_udf("double")
     def run(text: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(text.to_pylist()), pa.float64())
+        out = pa.array(shared.value.score(text.to_pylist()), pa.float64())
+        give_back()
+        return out
 
     return docs.withColumn(name, run("text"))

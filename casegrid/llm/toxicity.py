@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import at_most, bounded_batches, crc_mod, drawn, pick, staged
+from casegrid.llm.common import at_most, bounded_batches, crc_mod, drawn, give_back, pick, staged, trimmed
 
 POSITIVES, UNLABELLED, FEATURES = 1500, 4000, 1000
 #: Word beginnings, in bytes.
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = PO
         model = fit([t for *_, t in got], [p for p, *_ in got], prior)
         yield pa.RecordBatch.from_pydict({"m": pa.array([pickle.dumps((model.weights, model.bias))], pa.binary())})
 
-    made = rows.repartition(1).mapInArrow(run, "m binary").collect()
+    made = rows.repartition(1).mapInArrow(trimmed(run), "m binary").collect()
     return Model(*pickle.loads(made[0]["m"])) if made else Model({}, 0.0)
 
 
@@ -153,7 +153,9 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     @F.arrow_udf("double")
     def run(text: pa.Array) -> pa.Array:
         m = shared.value
-        return pa.array([m.score(t.as_py()) for t in text], pa.float64())
+        out = pa.array([m.score(t.as_py()) for t in text], pa.float64())
+        give_back()
+        return out
 
     return docs.withColumn(name, run("text"))
 
