@@ -23,8 +23,8 @@ other components; linked nodes are joined into components.  What may be left,
 links between nodes of different components that signatures connect, is
 settled exactly.  Sets most of whose features no set of another component has
 are done.  Similar sets cannot be without a common one among their rarest
-features (a prefix in one fixed order), so the others are grouped by these;
-groups within one component are done, and the nodes of the others are compared
+features (a prefix in one fixed order), so the others, as far as signatures
+connect them, are grouped by these; groups within one component are done, and the nodes of the others are compared
 in blocks of bounded size, but for those of a family's largest component with
 one another.  Blocks give links only, so no pair list is written.
 
@@ -363,23 +363,31 @@ def rarest(f: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
     return f[order[:len(f) - -(-num * len(f) // den) + 1]]
 
 
+def _families(b: pa.RecordBatch) -> np.ndarray:
+    """The families of a batch's nodes, as signs that are mixed into hashes."""
+    return _mix(b.column("family").to_numpy().view(_U) * _ODD[1])
+
+
 def _sharing(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``nodes`` (node, component, f) that may be near one of another
-    component: of a set's features a partner lacks (den - num) / den at most,
-    so a set goes when more are in no set of another component.  This is
-    counted on the features in a part of the hash range."""
+    """Those of ``nodes`` (node, family, component, f) that may be near one of
+    another component of their family: of a set's features a partner lacks
+    (den - num) / den at most, so a set goes when more are in no set of another
+    component.  This is counted on the features in a part of the hash range."""
     share = min(1.0, 1.6 * (den - num) / den)
 
     def sample(f: np.ndarray) -> np.ndarray:
-        # 32 bits of a hash: features that coincide only keep more sets.
         h = _mix(f * _ODD[2])
-        return (h[h < _U(int(share * ((1 << 64) - 1)))] & _U(0x7FFFFFFF)).astype(np.int32)
+        return h[h < _U(int(share * ((1 << 64) - 1)))]
+
+    def within(h: np.ndarray, family: np.uint64) -> np.ndarray:
+        # 32 bits of a hash: features that coincide only keep more sets.
+        return (_mix(h ^ family) & _U(0x7FFFFFFF)).astype(np.int32)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 b = batch.slice(i, 500)
-                some = [sample(f.values.to_numpy().view(_U)) for f in b.column("f")]
+                some = [within(sample(f.values.to_numpy().view(_U)), k) for f, k in zip(b.column("f"), _families(b), strict=True)]
                 times = [len(x) for x in some]
                 if sum(times):
                     yield pa.RecordBatch.from_arrays(
@@ -393,7 +401,7 @@ def _sharing(nodes: DataFrame, num: int, den: int) -> DataFrame:
                                              ["node", "size", "sampled"])
 
     w = Window.partitionBy("h")
-    posted = nodes.select("node", "component", "f").mapInArrow(trimmed(post), "h int, node long, component long")
+    posted = nodes.select("node", "family", "component", "f").mapInArrow(trimmed(post), "h int, node long, component long")
     shared = (posted.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo < hi")
               .groupBy("node").agg(F.count("*").alias("shared")))
     sizes = nodes.select("node", "f").mapInArrow(trimmed(count), "node long, size long, sampled long")
@@ -402,21 +410,23 @@ def _sharing(nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _undecided(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, node, component) of ``nodes`` (node, component, f): a rare feature
-    that nodes of several components have among their rarest."""
+    """(key, node, component) of ``nodes`` (node, family, component, f): a rare
+    feature that nodes of several components of one family have among their
+    rarest, as a hash of both."""
     common = nodes.sparkSession.sparkContext.broadcast(_commonness(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 b = batch.slice(i, 500)
-                keys = [rarest(f.values.to_numpy().view(_U), common.value, num, den) for f in b.column("f")]
+                keys = [_mix(rarest(f.values.to_numpy().view(_U), common.value, num, den) ^ k)
+                        for f, k in zip(b.column("f"), _families(b), strict=True)]
                 times = [len(k) for k in keys]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.repeat(b.column(x).to_numpy(), times)) for x in ("node", "component"))],
                     ["key", "node", "component"])
 
-    keyed = staged(nodes.select("node", "component", "f").mapInArrow(trimmed(run), "key long, node long, component long"), "rarest")
+    keyed = staged(nodes.select("node", "family", "component", "f").mapInArrow(trimmed(run), "key long, node long, component long"), "rarest")
     mixed = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     out = staged(keyed.join(staged(mixed.select("key"), "mixed"), "key"), "undecided")
     discard(keyed)
@@ -458,15 +468,16 @@ def _block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
 
 def _rest(pairs: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between different components of the nodes that ``pairs``
-    connect.  Nodes of several components that have a rare feature in common
-    form families; a family is compared in blocks, all with all but for two
-    nodes of its largest component."""
+    connect, in one step or more: two linked sets share a signature, and its
+    stars hang together.  Of the nodes so connected, those of several components
+    that have a rare feature in common form families; a family is compared in
+    blocks, all with all but for two nodes of its largest component."""
     spark = pairs.sparkSession
     nothing = spark.createDataFrame([], "a long, b long")
     whole = components(pairs).withColumnRenamed("component", "family")
     of = staged(whole.join(comp, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")), "members")
     mixed = of.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_nodes = staged(of.join(staged(mixed.select("family"), "families"), "family").select("node", "component"), "open")
+    open_nodes = staged(of.join(staged(mixed.select("family"), "families"), "family").select("node", "family", "component"), "open")
     few = open_nodes.count()
     if not few:
         return nothing
