@@ -10,26 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.session import staging_root
+from casegrid.session import bounded_batches, staging_root  # noqa: F401 - the operators take the bound from here
 
 #: Rows of ids that may be broadcast (16 MB of longs); beyond it a shuffle join is used.
 BROADCAST_IDS = 1_000_000
-#: Bytes of one Arrow batch sent to a Python worker, where the session sets no bound.
-BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes unless the session already does, so that
-    very long texts do not meet by the thousand in one Python worker."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(2**31 - 1)).rstrip("bB")) >= 2**31 - 1:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def give_back() -> None:
     """Return freed memory to the system.  Python workers go on to other
     stages, and what a task has freed stays theirs otherwise."""

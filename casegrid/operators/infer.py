@@ -5,11 +5,12 @@ A *provider* is any object with a ``model_name`` and a
 partition from a picklable zero-argument factory, so clients, sessions and
 connection pools are per executor task, never shipped from the driver.
 
-``infer`` is a ``mapInPandas`` step: for each input row it calls the
+``infer`` is a ``mapInArrow`` step: for each input row it calls the
 provider once per task named in ``tasks`` (the prompts are columns
 ``prompt_<task>``), concurrently within the row when there are several
 (an email and a summary overlap), with bounded transport retries for
-transient failures.  It never raises for a row: each call yields content
+transient failures.  A task holds the prompts and replies of a few
+rows at a time (``HELD_BYTES`` of prompts), whatever its input.  It never raises for a row: each call yields content
 or an error kind, plus token usage.  The provider instance is shared by the
 ``concurrency`` threads of its task, so it must be thread-safe (or use
 ``concurrency=1``).
@@ -19,19 +20,26 @@ from __future__ import annotations
 
 import heapq
 import time
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from typing import Any, Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from casegrid.schema import TRANSIENT_HTTP_STATUSES
+from casegrid.session import bounded_batches
 
 TRANSPORT_TRIES = 3
 TRANSPORT_WAITS = (0.4, 0.8)
+#: Prompt bytes of the rows that a task has under way, and of those it hands on
+#: together; one row at least.
+HELD_BYTES, PART_BYTES = 8 << 20, 1 << 20
 
 USAGE_FIELDS = ("prompt_tokens", "completion_tokens", "total_tokens")
 TRANSIENT, PROVIDER, UNEXPECTED = "transient", "provider", "unexpected"
@@ -122,40 +130,93 @@ def _attempt(provider: Provider, task: str, prompt: str) -> dict:
     return out
 
 
-def run_calls(pool: ThreadPoolExecutor, slots: int, provider: Provider, calls: list[tuple[float, str, str]], tries: int,
-              waits: tuple[float, ...], sleep: Callable[[float], None], clock: Callable[[], float]) -> list[dict]:
-    """Outcomes of ``calls`` (wait, task, prompt), in their order.
+@dataclass
+class _Part:
+    """Calls taken up together: their size, their outcomes, and how many are open."""
+
+    size: int
+    out: list[dict]
+    left: int
+
+
+def call_parts(pool: ThreadPoolExecutor, slots: int, provider: Provider, parts: Iterable[tuple[int, list[tuple[float, str, str]]]],
+               tries: int, waits: tuple[float, ...], sleep: Callable[[float], None], clock: Callable[[], float],
+               most: int) -> Iterator[list[dict]]:
+    """Outcomes of each of ``parts`` (size, calls (wait, task, prompt)), in their order.
 
     Calls wait in a queue by the time they are due: a call with a back-off, or
     one that failed for a passing reason and is to be tried again (U3), takes no
     thread and holds up no other call until then.  At most ``slots`` calls are
-    in flight.  The task sleeps only when none is in flight and none is due."""
+    in flight.  Parts are taken up while those not yet handed on have a size
+    below ``most``, so a part's last calls do not hold up the next part's.  The
+    task sleeps only when no call is in flight and none is due."""
     ahead = 0.0  # of the clock, where ``sleep`` returns early
 
     def now() -> float:
         return clock() + ahead
 
-    began = now()
-    queue = [(began + delay, i, 1) for i, (delay, _, _) in enumerate(calls)]
-    heapq.heapify(queue)
-    running: dict[Future, tuple[int, int]] = {}
-    out: list[dict] = [{}] * len(calls)
-    while queue or running:
+    source, more, held, number = iter(parts), True, 0, 0
+    taken: deque[_Part] = deque()
+    queue: list[tuple] = []  # (due, number, try, part, place in it, call)
+    running: dict[Future, tuple] = {}
+    while True:
+        while more and (not taken or held < most):
+            found = next(source, None)
+            if found is None:
+                more = False
+                break
+            size, calls = found
+            part, began = _Part(size, [{}] * len(calls), len(calls)), now()
+            for i, (delay, *call) in enumerate(calls):
+                heapq.heappush(queue, (began + delay, number, 1, part, i, call))
+                number += 1
+            taken.append(part)
+            held += size
+        if not taken:
+            return
+        if not taken[0].left:
+            part = taken.popleft()
+            held -= part.size
+            yield part.out
+            continue
         while queue and len(running) < slots and queue[0][0] <= now():
-            _, i, t = heapq.heappop(queue)
-            running[pool.submit(_attempt, provider, *calls[i][1:])] = (i, t)
+            one = heapq.heappop(queue)
+            running[pool.submit(_attempt, provider, *one[5])] = one
         if not running:
             due = queue[0][0]
-            sleep(due - now())
+            sleep(max(0.0, due - now()))  # the clock goes on between two looks at it
             ahead += max(0.0, due - now())
             continue
         next_due = max(0.0, queue[0][0] - now()) if queue and len(running) < slots else None
         for f in wait(running, timeout=next_due, return_when=FIRST_COMPLETED).done:
-            i, t = running.pop(f)
-            out[i] = f.result() | {"tries": t}
-            if out[i]["error"] == TRANSIENT and t < tries:
-                heapq.heappush(queue, (now() + waits[min(t - 1, len(waits) - 1)], i, t + 1))
-    return out
+            _, n, t, part, i, call = running.pop(f)
+            got = f.result() | {"tries": t}
+            if got["error"] == TRANSIENT and t < tries:
+                heapq.heappush(queue, (now() + waits[min(t - 1, len(waits) - 1)], n, t + 1, part, i, call))
+            else:
+                part.out[i] = got
+                part.left -= 1
+
+
+def run_calls(pool: ThreadPoolExecutor, slots: int, provider: Provider, calls: list[tuple[float, str, str]], tries: int,
+              waits: tuple[float, ...], sleep: Callable[[float], None], clock: Callable[[], float]) -> list[dict]:
+    """Outcomes of ``calls`` (wait, task, prompt), in their order, all taken up at once."""
+    return next(call_parts(pool, slots, provider, [(0, calls)], tries, waits, sleep, clock, 1))
+
+
+def runs(batch: pa.RecordBatch, columns: list[str], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """``batch`` in slices of whole rows with at most ``most`` bytes of text in
+    ``columns`` (a longer row is one by itself), each with its bytes."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        sizes += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield int(ends[end - 1]) - before, batch.slice(at, end - at)
+        at = end
 
 
 _RESULT_FIELDS = (
@@ -167,6 +228,7 @@ _RESULT_FIELDS = (
     ("reported", T.BooleanType()),
     *((name, T.StringType()) for name in USAGE_FIELDS),
 )
+_ARROW_TYPES = {T.StringType(): pa.string(), T.IntegerType(): pa.int32(), T.BooleanType(): pa.bool_()}
 
 
 def infer_schema(df: DataFrame, tasks: Iterable[str]) -> T.StructType:
@@ -183,26 +245,35 @@ def infer(prompts: DataFrame, factory: ProviderFactory, tasks: tuple[str, ...],
     """Run the provider over ``prompt_<task>`` columns; other columns pass
     through.  A ``wait_s`` column asks for a back-off before the row's
     first calls (retry passes after transient failures)."""
+    bounded_batches(prompts.sparkSession)
     schema = infer_schema(prompts, tasks)
     keep = [f.name for f in prompts.schema.fields
             if f.name not in {f"prompt_{t}" for t in tasks} | {"wait_s"}]
+    names = schema.names
+
+    asked = [f"prompt_{t}" for t in tasks]
 
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = factory()
         model = getattr(provider, "model_name", None)
         slots = max(1, concurrency)
+        kept: deque[list[pa.Array]] = deque()  # of the parts under way
+
+        def parts() -> Iterator[tuple[int, list[tuple[float, str, str]]]]:
+            for batch in batches:
+                for size, part in runs(batch, asked, PART_BYTES):
+                    kept.append([part.column(c) for c in keep])
+                    delays = part.column("wait_s").to_pylist() if "wait_s" in part.schema.names else [0.0] * part.num_rows
+                    texts = zip(*[part.column(c).to_pylist() for c in asked], strict=True)
+                    # Row by row, so that the calls of one row overlap.
+                    yield size, [(float(d or 0.0), t, p) for d, row in zip(delays, texts, strict=True) for t, p in zip(tasks, row, strict=True)]
+
         with ThreadPoolExecutor(max_workers=slots) as pool:
-            for pdf in batches:
-                # Row by row, so that the calls of one row overlap.
-                calls = [(float(r.get("wait_s") or 0.0), t, r[f"prompt_{t}"]) for r in pdf.to_dict("records") for t in tasks]
-                done = run_calls(pool, slots, provider, calls, tries, waits, sleep, clock)
-                out = pdf[keep].copy()
-                for i, t in enumerate(tasks):
-                    res = done[i::len(tasks)]
-                    for name, _ in _RESULT_FIELDS:
-                        col = [r[name] for r in res]
-                        out[f"{t}_{name}"] = pd.array(col, dtype="Int32") if name in ("status", "tries") else col
-                out["model"] = model
-                yield out
-
-    return prompts.mapInPandas(fn, schema)
+            for done in call_parts(pool, slots, provider, parts(), tries, waits, sleep, clock, HELD_BYTES):
+                cols = kept.popleft()
+                cols += [pa.array([r[name] for r in done[i::len(tasks)]], _ARROW_TYPES[typ])
+                         for i in range(len(tasks)) for name, typ in _RESULT_FIELDS]
+                cols.append(pa.array([model] * (len(done) // len(tasks)), pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return prompts.mapInArrow(fn, schema)

@@ -20,6 +20,10 @@ DEFAULT_CONF = {
     "spark.speculation": "false",
 }
 
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of one Arrow batch sent to a Python worker, where the session sets no bound.
+BATCH_BYTES = 8 << 20
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app: str = "casegrid", extra: dict | None = None) -> SparkSession:
@@ -34,6 +38,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes unless the session was given a bound, so
+    that long texts do not meet by the thousand in one Python worker.  Spark's
+    own default (64 MB, or none in older versions) is not a choice of the
+    session's."""
+    if BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def staging_root(spark: SparkSession) -> str:
     """Shared folder for staged tables, stable across driver restarts.
 

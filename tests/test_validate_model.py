@@ -342,3 +342,91 @@ def test_a_sleep_that_returns_at_once_does_not_spin():
     with ThreadPoolExecutor(2) as pool:
         out = run_calls(pool, 2, P(), [(50.0, "x", "p"), (90.0, "x", "q")], 3, (0.4,), slept.append, __import__("time").monotonic)
     assert [r["content"] for r in out] == ["p", "q"] and len(slept) == 2 and 0 < slept[1] <= 40.5
+
+
+def test_later_parts_go_on_while_a_call_waits():
+    from concurrent.futures import Future
+
+    from casegrid.operators.infer import call_parts
+
+    clock, order, taken = _Clock(), [], []
+
+    class Now:
+        def submit(self, fn, *args):
+            f = Future()
+            order.append(args[2])
+            f.set_result(fn(*args))
+            clock.t += 0.1
+            return f
+
+    class P:
+        def complete(self, task, prompt):
+            if prompt == "a" and order.count("a") == 1:
+                raise ProviderError("busy", status=503)
+            return Response(prompt)
+
+    def parts():
+        for name in "abcdefgh":
+            taken.append(name)
+            yield 1, [(0.0, "x", name)]
+
+    out = []
+    for part in call_parts(Now(), 1, P(), parts(), 3, (0.4,), clock.sleep, clock, 3):
+        out.append((part[0]["content"], part[0]["tries"], len(taken)))
+    # "b" and "c" do not wait for "a"; no more than three parts are under way.
+    assert order == ["a", "b", "c", "a", "d", "e", "f", "g", "h"]
+    assert [o[:2] for o in out] == [("a", 2), *[(c, 1) for c in "bcdefgh"]]
+    assert max(n - i for i, (_, _, n) in enumerate(out)) == 3
+
+
+def test_a_call_due_between_two_looks_at_the_clock_is_not_slept_for():
+    from concurrent.futures import ThreadPoolExecutor
+
+    from casegrid.operators.infer import run_calls
+
+    times, slept = iter([0.0, 1.0, 3.0, 3.0, 3.0]), []
+
+    class P:
+        def complete(self, task, prompt):
+            return Response(prompt)
+
+    with ThreadPoolExecutor(1) as pool:
+        out = run_calls(pool, 1, P(), [(2.0, "x", "p")], 3, (0.4,), slept.append, lambda: next(times, 3.0))
+    assert out[0]["content"] == "p" and slept == [0.0]
+
+
+def test_a_task_holds_few_rows_of_a_large_batch(spark):
+    import pyarrow as pa
+
+    from casegrid.operators.infer import runs
+
+    batch = pa.RecordBatch.from_pydict({"p": ["x" * 400] * 10 + [None, "", "y" * 5000, "z"], "n": list(range(14))})
+    got = list(runs(batch, ["p"], 1000))
+    assert [b.column("n").to_pylist() for _, b in got] == [[0, 1], [2, 3], [4, 5], [6, 7], [8, 9, 10, 11], [12], [13]]
+    assert [s for s, _ in got] == [800] * 5 + [5000, 1]
+
+
+def test_batches_are_bounded_unless_the_session_says_so(spark):
+    from casegrid.session import BATCH_BYTES, BATCH_KEY, bounded_batches
+
+    before = spark.conf.getAll.get(BATCH_KEY)
+    try:
+        spark.conf.unset(BATCH_KEY)
+        bounded_batches(spark)
+        assert spark.conf.get(BATCH_KEY).rstrip("b") == str(BATCH_BYTES)
+        spark.conf.set(BATCH_KEY, "123456")
+        bounded_batches(spark)
+        assert spark.conf.get(BATCH_KEY).rstrip("b") == "123456"
+    finally:
+        spark.conf.unset(BATCH_KEY) if before is None else spark.conf.set(BATCH_KEY, before)
+
+
+def test_the_scripted_provider_keeps_no_prompts():
+    from casegrid.functions import drafts as D
+    from casegrid.plans.scripted import ScriptedProvider
+
+    p = ScriptedProvider()
+    prompt = D.DOC_OPEN + "\n" + "x" * 10_002 + "\n" + D.DOC_CLOSE
+    with pytest.raises(ProviderError):
+        p.complete("extract", prompt)
+    assert p.complete("extract", prompt).content and all(len(s) <= 16 for s in p._seen)
