@@ -38,7 +38,7 @@ from casegrid.schema import (
     SUMMARY_DRAFT_BAD_MESSAGE,
     error_code_table,
 )
-from casegrid.session import stage_path, staging_root
+from casegrid.session import stage_path, stage_table, staging_root
 
 # Fixed run times so report cells are reproducible.
 RUN_STARTED = datetime(2026, 1, 1, 0, 0, 0, tzinfo=timezone.utc)
@@ -427,7 +427,8 @@ def q_publish_outcomes(spark, sf_dir):
     from casegrid.sources.listing import list_documents
 
     out = stage_path(spark, "export")
-    results = _results(spark, sf_dir)
+    # Published and then joined with the outcomes: the triage runs once.
+    results = stage_table(_results(spark, sf_dir).drop("case"), "results")
     target = storage.canonical(out)
 
     def block(batches):
@@ -436,7 +437,9 @@ def q_publish_outcomes(spark, sf_dir):
                 storage.make_folder(artifact_path(target, 2, i))
             yield pdf
 
-    results.select("document_id").where(F.col("document_id").endswith("7")).mapInPandas(block, "document_id string").count()
+    # One result for each document, so the ids need no text.
+    ids = complaint_corpus(spark, sf_dir, with_text=False).select("document_id")
+    ids.where(F.col("document_id").endswith("7")).mapInPandas(block, "document_id string").count()
     done = with_publish_errors(results, publish_documents(results, out))
     files = (list_documents(spark, out).groupBy(stem(F.col("name")).alias("document_id"))
              .agg(F.count("*").alias("files"), F.sum("length").alias("bytes")))

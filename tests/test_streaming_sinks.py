@@ -156,3 +156,23 @@ def test_an_aborted_job_leaves_nothing(tmp_path):
 def test_publishing_nothing(spark, tmp_path):
     res = triage_rules(spark.createDataFrame([], CANDIDATE_SCHEMA))
     assert publish_documents(res, str(tmp_path / "out")).count() == 0
+
+
+def test_publishing_runs_the_triage_once(spark, monkeypatch):
+    from casegrid.plans import queries as Q
+
+    rows, real = spark.sparkContext.accumulator(0), Q._results
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    def results(spark, sf_dir):
+        df = real(spark, sf_dir)
+        return df.mapInArrow(counted, df.schema)
+
+    monkeypatch.setattr(Q, "_results", results)
+    got = Q.q_publish_outcomes(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 200 and rows.value == 200
+    assert {r.files for r in got} == {0, 3}
