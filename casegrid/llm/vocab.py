@@ -17,6 +17,8 @@ from functools import lru_cache
 from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -94,9 +96,11 @@ class Encoder:
     def _learn(self, table: dict, keys: list[str], lead: str) -> None:
         if lead or self.style == "word":
             # In a word vocabulary only letters are sure to make one word.
-            plain = keys if lead else [k for k in keys if k.isalpha()]
+            plain, others = (keys, []) if lead else ([], [])
+            for k in [] if lead else keys:
+                (plain if k.isalpha() else others).append(k)
             table.update(zip(plain, self._runs(plain), strict=True))
-            keys = [] if lead else [k for k in keys if not k.isalpha()]
+            keys = others
         table.update(zip(keys, self._encode([lead + k for k in keys]), strict=True))
 
     def _turn(self) -> None:
@@ -110,11 +114,37 @@ class Encoder:
         if self.style == "whole":
             return self._each(texts)
         self._turn()
+        byte, heads = self.style == "byte", self.heads
+        rest: list[str | None] = list(texts)
+        if byte:
+            opened = [t.partition(" ") for t in texts]
+            rest = [after if space else None for _, space, after in opened]
+            first = {h for h, _, _ in opened} - heads.keys()
+            self._learn(heads, list(first), "")
+        # Words are told apart by Arrow, so that a table is asked once per distinct word of the call.
+        split = pc.split_pattern(pa.array(rest, pa.large_string()), " ")
+        found = split.flatten().dictionary_encode()
+        ids = pa.array(self._known(found.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(found.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset:ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        data = memoryview(ids.buffers()[2] or b"")
+        bounds = split.offsets.to_numpy()
+        at = ends[bounds].tolist()
+        out = [bytes(data[i:j]) for i, j in zip(at, at[1:], strict=False)]
+        if byte:
+            out = [heads[h] + raw for (h, _, _), raw in zip(opened, out, strict=True)]
+            if ids.null_count:
+                odd = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False))
+                for i in set((np.searchsorted(bounds, odd, side="right") - 1).tolist()):
+                    out[i] = self._ragged(texts[i])
+            for w in [w for w in first if len(w) > KEPT_CHARS]:
+                del heads[w]
+        return out
+
+    def _known(self, asked: list[str]) -> list[bytes | None]:
+        """Ids of distinct words; None for those that must not be cut out of
+        their text."""
         words, byte = self.words, self.style == "byte"
-        parts = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        for p in parts:
-            new.update(filterfalse(words.__contains__, p))
+        new = set(filterfalse(words.__contains__, asked))
         known = new & self.elder.keys()
         words.update((w, self.elder[w]) for w in known)
         new -= known
@@ -125,23 +155,10 @@ class Encoder:
             words.update(dict.fromkeys(odd))
             new -= odd
         self._learn(words, list(new), " " if byte else "")
-        out: list[bytes | None] = []
-        if not byte:
-            out = [b"".join(map(words.__getitem__, p)) for p in parts]
-        else:
-            heads = self.heads
-            first = {p[0] for p in parts} - heads.keys()
-            self._learn(heads, list(first), "")
-            for p, t in zip(parts, texts, strict=True):
-                try:
-                    out.append(heads[p[0]] + b"".join([words[w] for w in p[1:]]))
-                except TypeError:
-                    out.append(self._ragged(t))
-            for w in [w for w in first if len(w) > KEPT_CHARS]:
-                del heads[w]
+        ids = list(map(words.__getitem__, asked))
         for w in [w for w in new if len(w) > KEPT_CHARS]:
             del words[w]
-        return out
+        return ids
 
     def _ragged(self, text: str) -> bytes:
         """A text with runs of white space: cut before the first space of each."""
@@ -155,7 +172,7 @@ def encoder(path: str, style: str) -> Encoder:
     return Encoder(path, style)
 
 
-def chunks(items: list, texts: list[str], chars: int = 2_000_000):
+def chunks(items: list, texts: list[str], chars: int = 6_000_000):
     """(items, texts) in runs of bounded size, whole texts only."""
     at, size = 0, 0
     for i, t in enumerate(texts):

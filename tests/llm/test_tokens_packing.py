@@ -131,3 +131,17 @@ def test_best_fit_prefers_the_tightest_window():
         p.add(doc, 0, n, np.arange(n, dtype="<u4"))
     # None fits 8: the fullest (7) is topped up with 3 and emitted; 5 stay open.
     assert [(q[0], len(q[3])) for q in p.done[-1][1]] == [(6, 7), (7, 3)]
+
+
+def test_a_call_asks_for_each_distinct_word_once(monkeypatch):
+    import public_tokenizers
+
+    from casegrid.llm.vocab import Encoder
+
+    for style, name, want in (("word", "word_bpe_49k.json", ["to", "be", "or", "not"]), ("byte", "byte_bpe_50k.json", ["be", "or", "not", "to", ""])):
+        enc, asked = Encoder(str(public_tokenizers.path(name)), style), []
+        known = enc._known
+        monkeypatch.setattr(enc, "_known", lambda words, known=known, asked=asked: asked.extend(words) or known(words))
+        texts = ["to be or not to be"] * 3 + ["", "to", "to  be"]
+        assert enc.encode(texts) == enc._each(texts)
+        assert sorted(asked) == sorted(want if style == "byte" else [*want, ""])
