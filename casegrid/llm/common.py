@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegrid.llm.vocab import encoder
 from casegrid.session import bounded_batches, staging_root  # noqa: F401 - the operators take the bound from here
 
 #: Rows of ids that may be broadcast (16 MB of longs); beyond it a shuffle join is used.
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def give_back() -> None:
+def give_back(keep_encoder: bool = False) -> None:
     """Return freed memory to the system.  Python workers go on to other
-    stages, and what a task has freed stays theirs otherwise."""
+    stages, and what a task has freed stays theirs otherwise; so does the
+    encoder of an earlier stage, with its words, which only tasks that encode keep."""
+    if not keep_encoder:
+        encoder.cache_clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -30,14 +34,17 @@ def give_back() -> None:
         pass
 
 
-def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run``, a function over a task's batches, giving memory back at its end."""
+def trimmed(run: Callable[[Iterator], Iterator], keep_encoder: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run``, a function over a task's batches, giving memory back at its end,
+    and that of an encoder it does not use (``keep_encoder``) at its start."""
 
     def whole(batches: Iterator) -> Iterator:
+        if not keep_encoder:
+            encoder.cache_clear()
         try:
             yield from run(batches)
         finally:
-            give_back()
+            give_back(keep_encoder)
 
     return whole
 

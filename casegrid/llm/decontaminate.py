@@ -86,7 +86,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
         return docs.select("text").mapInArrow(trimmed(run), "term string, n long")
 
-    out = docs.sparkSession.createDataFrame([], "term string, n long")
+    out = docs.sparkSession.range(0).selectExpr("'' AS term", "id AS n")
     for vocabulary in _slices(terms):
         out = out.unionByName(counted(vocabulary))
     return out.groupBy("term").agg(F.sum("n").alias("n"))
@@ -113,7 +113,7 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
         return docs.select("doc_id", "key", "text").mapInArrow(trimmed(run), "term string, doc_id long, key long, position int")
 
-    out = docs.sparkSession.createDataFrame([], "term string, doc_id long, key long, position int")
+    out = docs.sparkSession.range(0).selectExpr("'' AS term", "id AS doc_id", "id AS key", "0 AS position")
     for vocabulary in _slices(terms):
         out = out.unionByName(listed(vocabulary))
     # Shards by document: a frequent term's list is spread over all of them.
@@ -137,27 +137,39 @@ def lookups(items: DataFrame, counts: DataFrame, window: int, rarest: int, partl
     return staged(chosen.groupBy("words", "first", "n", (F.col("have") == F.col("n")).alias("whole")).agg(F.collect_list(F.struct("place", "term")).alias("rarest")), "lookups")
 
 
+def _bit(place: Column) -> Column:
+    """The bit of a place in a mask of 64; places of a window up to 64 words differ in it."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+
+
 def _offsets(docs: DataFrame, items: DataFrame, window: int, rarest: int, partly: bool = False) -> tuple[DataFrame, DataFrame]:
     """Postings of the windows' rarest terms, each taken back by the term's
-    place: (doc_id, key, words, start, place), ``start`` being where the item's
-    first word would stand; and the windows per item text."""
+    place: (doc_id, key, item, start, place, bit, least), ``start`` being where
+    the item's first word would stand, ``item`` a number in place of its text
+    and ``least`` the fewest bits of one of its windows.  And the windows per
+    item: (item, words, windows)."""
     terms = items.select(F.explode(F.split("words", " ")).alias("term"))
     found = lookups(items, term_counts(docs, terms).withColumnRenamed("n", "count"), window, rarest, partly)
-    places = staged(found.select("words", F.inline("rarest")).distinct(), "places")
+    mask = F.aggregate("rarest", F.lit(0).cast("long"), lambda m, r: m.bitwiseOR(_bit(r["place"])))
+    windows = staged(found.withColumn("mask", mask).groupBy("words").agg(
+        F.min(F.bit_count("mask")).alias("least"), F.collect_list(F.struct("first", "n", "whole", "mask", F.col("rarest.place").alias("places"))).alias("windows"))
+        .withColumn("item", F.monotonically_increasing_id()), "windows")
+    places = staged(found.select("words", F.inline("rarest")).distinct().join(windows.select("words", "item", "least"), "words").drop("words"), "places")
     index = postings(docs, places)
-    offsets = index.join(places, "term").select("doc_id", "key", "words", (F.col("position") - F.col("place")).alias("start"), "place")
-    windows = found.groupBy("words").agg(F.collect_list(F.struct(
-        "first", "n", "whole", F.col("rarest.place").alias("places"))).alias("windows"))
-    return offsets, windows
+    offsets = index.join(places, "term").select("doc_id", "key", "item", (F.col("position") - F.col("place")).alias("start"), "place",
+                                                _bit(F.col("place")).alias("bit"), "least")
+    return offsets, windows.drop("least")
 
 
 def _agreeing(offsets: DataFrame, windows: DataFrame, by: str, *more: Column) -> DataFrame:
     """Intersect the lists: per document, item and ``by``, the windows all of
-    whose rarest terms are there (arrays no longer than the item), and ``more``
-    aggregates."""
-    lists = offsets.groupBy("doc_id", "key", "words", by).agg(F.collect_set("place").alias("there"), *more)
-    agreed = F.filter("windows", lambda w: F.forall(w["places"], lambda p: F.array_contains(F.col("there"), p)))
-    return lists.join(windows, "words").withColumn("windows", agreed).where(F.size("windows") > 0).drop("there")
+    whose rarest terms are there, by their bits, and ``more`` aggregates.  The
+    lists are summed up as numbers; nearly all have too few bits for any window
+    and end there."""
+    lists = (offsets.groupBy("doc_id", "key", "item", by).agg(F.bit_or("bit").alias("there"), F.max("least").alias("least"), *more)
+             .where(F.bit_count("there") >= F.col("least")).drop("least"))
+    agreed = F.filter("windows", lambda w: F.col("there").bitwiseAND(w["mask"]) == w["mask"])
+    return lists.join(windows, "item").withColumn("windows", agreed).where(F.size("windows") > 0).drop("there", "item")
 
 
 def _with_candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -241,6 +253,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest:
     cell = F.floor(F.col("start") / (slack + 1))
     in_cells = lambda df: df.withColumn("cell", F.explode(F.array(cell, cell - 1)))
     there = _agreeing(in_cells(offsets), windows, "cell", F.collect_set(F.struct("start", "place")).alias("at"))
+    stand = F.filter("windows", lambda w: F.forall(w["places"], lambda p: F.array_contains(F.col("at.place"), p)))
+    there = there.withColumn("windows", stand).where(F.size("windows") > 0)
     agreed = F.filter("at", lambda a: F.exists("windows", lambda w: F.array_contains(w["places"], a["place"])))
     near = (there.join(in_cells(exact).select("key", "words", "cell").distinct(), ["key", "words", "cell"], "left_anti")
             .select("doc_id", "key", "words", F.array_min(agreed)["start"].alias("start")).distinct())
@@ -272,7 +286,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
         give_back()
         return out
 
-    rows = docs.select("doc_id", "key", count("text").alias("n_words"))
+    # Called nondeterministic, or a condition on n_words has the words counted twice, by two Python workers a task.
+    rows = docs.select("doc_id", "key", count.asNondeterministic()("text").alias("n_words"))
     out = null_safe(rows, hits, ["doc_id", "key"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select("doc_id", "key", "n_words", n_hit.alias("n_hit"),

@@ -473,7 +473,7 @@ def _rest(pairs: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int
     that have a rare feature in common form families; a family is compared in
     blocks, all with all but for two nodes of its largest component."""
     spark = pairs.sparkSession
-    nothing = spark.createDataFrame([], "a long, b long")
+    nothing = spark.range(0).selectExpr("id AS a", "id AS b")
     whole = components(pairs).withColumnRenamed("component", "family")
     of = staged(whole.join(comp, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")), "members")
     mixed = of.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")

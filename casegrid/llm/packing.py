@@ -128,14 +128,16 @@ def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def pack(docs: DataFrame, vocab: str, style: str = "word", end_id: int = 1, window: int = WINDOW,
-         open_windows: int = OPEN_WINDOWS) -> DataFrame:
+         open_windows: int = OPEN_WINDOWS, kept_words: int | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of
-    all of ``docs`` (doc_id, text); ``ids`` little-endian unsigned 32-bit."""
+    all of ``docs`` (doc_id, text); ``ids`` little-endian unsigned 32-bit.  A
+    worker remembers ``kept_words`` words (KEPT_WORDS of ``vocab``): fewer take
+    less memory and more time."""
     spark = docs.sparkSession
     bounded_batches(spark)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocab, style)
+        enc = encoder(vocab, style, kept_words)
         part = TaskContext.get().partitionId()
         kind, p = ("<u2" if enc.width == 2 else "<u4"), Packer(window, open_windows, part << 32)
         end = array(enc.code, [end_id]).tobytes()
@@ -161,6 +163,6 @@ def pack(docs: DataFrame, vocab: str, style: str = "word", end_id: int = 1, wind
         return out.astype({"doc_id": "Int64"})
 
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = staged(text.mapInArrow(trimmed(first), _PIECE), "packed")
+    made = staged(text.mapInArrow(trimmed(first, keep_encoder=True), _PIECE), "packed")
     merged = (made.where("leftover").groupBy(F.floor(F.col("part") / MERGE).alias("g")).applyInPandas(last, _PIECE))
     return made.where("NOT leftover").unionByName(merged).drop("part", "leftover")

@@ -36,8 +36,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(table(spark, sf_dir, "documents"))
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    packed = packing.pack(docs, vocab_path(PACK_VOCAB))
+def pieces(docs: DataFrame, kept_words: int | None = None) -> DataFrame:
+    packed = packing.pack(docs, vocab_path(PACK_VOCAB), kept_words=kept_words)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -77,27 +77,29 @@ def fit(texts: list[str | None], toxic: list[bool], prior: float, n_features: in
     n_p, n_u = int(y.sum()), int((~y).sum())
     if not n_p or not n_u:
         return Model({}, 0.0)
-    words = [words_of(t) for t in texts]
+    same: dict[bytes, bytes] = {}  # equal words of several texts are kept once
+    words = [{same.setdefault(w, w) for w in words_of(t)} for t in texts]
     in_p, in_u = Counter(), Counter()
     for s, p in zip(words, toxic, strict=True):
         if p:
             in_p.update({f for w in s for f in word_features(w)})
     least = 2 if n_p < 200 else 4
     some = {f for f, c in in_p.items() if c >= least}
-    known = {w: [f for f in word_features(w) if f in some] for w in set().union(*words)}
-    sets = [{f for w in s for f in known[w]} for s in words]
-    for s, p in zip(sets, toxic, strict=True):
+    in_p = {f: in_p[f] for f in some}
+    known = {w: fs for w in same if (fs := [f for f in word_features(w) if f in some])}
+    features = lambda s: {f for w in s for f in known.get(w, ())}  # noqa: E731 - one text's at a time
+    for s, p in zip(words, toxic, strict=True):
         if not p:
-            in_u.update(s)
+            in_u.update(features(s))
     lift = {f: (in_p[f] / n_p) / ((in_u[f] + 1) / (n_u + 1)) for f in some}
     names = sorted((f for f, v in lift.items() if v >= 1.5),
                    key=lambda f: (-in_p[f] * math.log(lift[f]), f))[:n_features]
     if not names:
         return Model({}, 0.0)
     place = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(sets), len(names)), np.float32)
-    for i, s in enumerate(sets):
-        x[i, [place[f] for f in s & place.keys()]] = 1.0
+    x = np.zeros((len(words), len(names)), np.float32)
+    for i, s in enumerate(words):
+        x[i, [place[f] for f in features(s) & place.keys()]] = 1.0
     xp, xu = x[y], x[~y]
     w, b = np.zeros(len(names)), -1.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)

@@ -32,12 +32,13 @@ class Encoder:
     """``style``: "byte" (byte-level, spaces lead tokens), "word" (white space
     dropped) or "whole" (no cutting; for any other vocabulary)."""
 
-    def __init__(self, path: str, style: str):
+    def __init__(self, path: str, style: str, kept_words: int | None = None):
         from tokenizers import Tokenizer
 
         if style not in ("byte", "word", "whole"):
             raise ValueError(f"unknown style {style!r}")
         self.tok, self.style = Tokenizer.from_file(path), style
+        self.kept_words = KEPT_WORDS if kept_words is None else kept_words
         self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.words: dict[str, bytes | None] = {}
@@ -104,9 +105,9 @@ class Encoder:
         table.update(zip(keys, self._encode([lead + k for k in keys]), strict=True))
 
     def _turn(self) -> None:
-        if len(self.words) > KEPT_WORDS // 2:
+        if len(self.words) > self.kept_words // 2:
             self.elder, self.words = self.words, {}
-        if len(self.heads) > KEPT_WORDS // 4:
+        if len(self.heads) > self.kept_words // 4:
             self.heads = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -166,10 +167,10 @@ class Encoder:
         return b"".join(self._encode(pieces))
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, style: str) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    return Encoder(path, style)
+@lru_cache(maxsize=1)
+def encoder(path: str, style: str, kept_words: int | None = None) -> Encoder:
+    """The encoder of this Python worker, one at a time."""
+    return Encoder(path, style, kept_words)
 
 
 def chunks(items: list, texts: list[str], chars: int = 6_000_000):

@@ -1,3 +1,5 @@
+import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -73,6 +75,16 @@ def test_positive_unlabelled_learning_finds_hidden_positives():
     assert min(map(model.score, bad)) >= 0.5 > max(map(model.score, clean))
 
 
+def test_training_holds_words_once():
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choices([f"word{i}" for i in range(3000)], k=150) + [f"u{rnd.random()}" for _ in range(30)]) for _ in range(1300)]
+    tracemalloc.start()
+    toxicity.fit([f"awful{i % 40} " + t for i, t in enumerate(texts[:300])] + texts[300:], [True] * 300 + [False] * 1000, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+
+
 def test_nearest_labels_decide():
     good, poor = ["Plain words of a sentence, and more."] * 5, ["x *** y *** z ***"] * 5
     model = quality.fit(good + poor, [1] * 5 + [0] * 5)

@@ -182,6 +182,28 @@ def test_phrase_and_proximity_matches(spark, docs_of):
     assert got == [(1, 1, "phrase"), (2, 0, "near")]
 
 
+def test_lists_carry_no_texts(spark, docs_of):
+    """What is shuffled for each posting is numbers; words are counted once."""
+    bench = spark.createDataFrame([("1", "alpha beta gamma delta")], "item_id string, text string")
+    docs = docs_of([(1, "alpha beta gamma delta")])
+    offsets, windows = decontaminate._offsets(decontaminate._keyed(docs), decontaminate.item_words(bench), 13, 3)
+    assert {kind for _, kind in offsets.dtypes} <= {"bigint", "int"}
+    plan = decontaminate._agreeing(offsets, windows, "start")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan
+    found = decontaminate.contamination(docs, bench).where("contaminated").select("key")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert found.count() == 1
+
+
+def test_windows_wider_than_a_mask(spark, docs_of):
+    """Places 64 apart share a bit; the word-for-word check decides."""
+    item = [f"k{i:03}" for i in range(200)]
+    bench = spark.createDataFrame([("1", " ".join(item))], "item_id string, text string")
+    rows = [(1, " ".join(["q"] * 3 + item)), (2, " ".join(item[:130])), (3, " ".join(item[:100] + ["x"] + item[100:])), (4, "k000 " + "q " * 63 + "k064 k065 k066")]
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.contamination(docs_of(rows), bench, window=100).collect()}
+    assert got == {1: (200, ["1"]), 2: (130, ["1"]), 3: (200, ["1"]), 4: (0, [])}
+
+
 def test_vocabulary_in_slices(spark, docs_of, monkeypatch):
     monkeypatch.setattr(decontaminate, "TERMS", 3)
     bench = spark.createDataFrame([("1", "one two three four"), ("2", "five six")], "item_id string, text string")

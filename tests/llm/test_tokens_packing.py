@@ -7,9 +7,9 @@ import pytest
 from tokenizers import Tokenizer
 
 from casegrid.llm import packing, token_files
-from casegrid.llm.common import fresh_folder
+from casegrid.llm.common import fresh_folder, give_back, trimmed
 from casegrid.llm.queries import PACK_VOCAB, QUERIES, TOKEN_VOCAB, vocab_path
-from casegrid.llm.vocab import Encoder
+from casegrid.llm.vocab import Encoder, encoder
 
 ODD = ["", "  ", "a  b", "a   b", " a", "a ", "a\n b", "a \nb", "x\n\n  y", "a\tb c", "<|endoftext|> a <|endoftext|>x",
        "abc  <|endoftext|> z", "<|startoftext|> q", "É è", "e\u0301 b", "it's 'Re x", "\x1c a\x1cb", "a\u00a0 b \u3000c",
@@ -40,6 +40,22 @@ def test_encoder_keeps_half_of_its_words(monkeypatch):
     assert enc.encode(["gg hh ii jj kk"]) and enc.encode(["a bb cc dd ee ff"]) == first
 
 
+def test_other_operators_drop_the_encoder():
+    """A Python worker that goes on to another operator keeps no words."""
+    path = vocab_path(PACK_VOCAB)
+    enc = encoder(path, "word", 4)
+    assert list(trimmed(iter, keep_encoder=True)([1])) == [1] and encoder(path, "word", 4) is enc
+    assert list(trimmed(lambda b: iter([encoder.cache_info().currsize]))([])) == [0]
+    encoder(path, "word", 4)
+    give_back()
+    assert encoder.cache_info().currsize == 0
+
+
+def test_packing_with_few_kept_words(docs_of):
+    want, got = ([tuple(r) for r in packing.pack(docs_of(EDGE).coalesce(1), vocab_path(PACK_VOCAB), kept_words=k).collect()] for k in (None, 2))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_op1_round_trip(spark, sf, texts):
     got = {r["doc_id"]: r for r in QUERIES["op1_token_files"](spark, sf).collect()}
     start = 0
@@ -136,7 +152,7 @@ def test_best_fit_prefers_the_tightest_window():
 def test_a_call_asks_for_each_distinct_word_once(monkeypatch):
     import public_tokenizers
 
-    from casegrid.llm.vocab import Encoder
+    from casegrid.llm.vocab import Encoder, encoder
 
     for style, name, want in (("word", "word_bpe_49k.json", ["to", "be", "or", "not"]), ("byte", "byte_bpe_50k.json", ["be", "or", "not", "to", ""])):
         enc, asked = Encoder(str(public_tokenizers.path(name)), style), []
