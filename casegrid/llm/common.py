@@ -6,6 +6,7 @@ import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ from casegrid.session import bounded_batches, staging_root  # noqa: F401 - the o
 
 #: Rows of ids that may be broadcast (16 MB of longs); beyond it a shuffle join is used.
 BROADCAST_IDS = 1_000_000
+#: The same for ids that rows are picked by: with keys as text they take 150 bytes
+#: each, and up to three times that on the driver while they are sent.
+PICKED_IDS = 100_000
+#: Bits of the map that stands for more ids than that (4 MB).
+MAP_BITS = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,12 +78,43 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def likely(ids: DataFrame, on: list[str]) -> Column:
+    """Whether a row's key may be one of ``ids``: true for each of them and, by
+    a map of MAP_BITS bits set at the ids' hashes, for few others.  The map is
+    all that the driver holds, however many the ids are."""
+    at = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in on]), F.lit(1 << MAP_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    words = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(max(1, (1 << MAP_BITS) // 64), np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def test(at: pa.Array) -> pa.Array:
+        at = at.to_numpy()
+        return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return test(at)
+
+
+def narrowed(df: DataFrame, ids: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose key is in ``ids`` (narrow, distinct, staged), and,
+    where these are too many to be broadcast, a few others; nothing is shuffled.
+    And ``ids`` as an exact join should have them."""
+    if ids.count() <= PICKED_IDS:
+        return df.join(F.broadcast(ids.select(on)), on, "left_semi"), F.broadcast(ids)
+    return df.where(likely(ids, on)), ids
+
+
 def pick(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose key is in ``ids`` (narrow, distinct, staged), or
     with "left_anti" is not.  The ids are broadcast when counted and few; else
-    both sides are shuffled."""
-    few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, on, how)
+    they are shuffled, with the rows that are likely among them."""
+    if ids.count() <= PICKED_IDS:
+        return df.join(F.broadcast(ids), on, how)
+    some = likely(ids, on)
+    exact = df.where(some).join(ids, on, how)
+    return exact.unionByName(df.where(~some)) if how == "left_anti" else exact
 
 
 def row_key() -> Column:
