@@ -97,23 +97,16 @@ def likely(ids: DataFrame, on: list[str]) -> Column:
     return test(at)
 
 
-def narrowed(df: DataFrame, ids: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``df`` whose key is in ``ids`` (narrow, distinct, staged), and,
-    where these are too many to be broadcast, a few others; nothing is shuffled.
-    And ``ids`` as an exact join should have them."""
-    if ids.count() <= PICKED_IDS:
-        return df.join(F.broadcast(ids.select(on)), on, "left_semi"), F.broadcast(ids)
-    return df.where(likely(ids, on)), ids
-
-
 def pick(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids`` (narrow, distinct, staged), or
-    with "left_anti" is not.  The ids are broadcast when counted and few; else
-    they are shuffled, with the rows that are likely among them."""
+    """Rows of ``df`` whose key is in ``ids`` (narrow, distinct, staged), with
+    "inner" beside the columns of ``ids``, or with "left_anti" not in them.  The
+    ids are broadcast when counted and few; else they are shuffled, with the
+    rows that are likely among them: one Python worker a task where ``df`` is
+    read, none where it is joined."""
     if ids.count() <= PICKED_IDS:
         return df.join(F.broadcast(ids), on, how)
     some = likely(ids, on)
-    exact = df.where(some).join(ids, on, how)
+    exact = df.where(some).join(ids.hint("merge"), on, how)
     return exact.unionByName(df.where(~some)) if how == "left_anti" else exact
 
 

@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casegrid.llm.common import bounded_batches, discard, give_back, narrowed, pick, row_id, staged, trimmed
+from casegrid.llm.common import bounded_batches, discard, give_back, pick, row_id, staged, trimmed
 from casegrid.llm.graph import components
 
 _U = np.uint64
@@ -372,8 +372,7 @@ def _sharing(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """Those of ``nodes`` (node, family, component) that may be near one of
     another component of their family: of a set's features a partner lacks
     (den - num) / den at most, so a set goes when more are in no set of another
-    component.  This is counted on the features in a part of the hash range,
-    and only these are sent to the nodes."""
+    component.  This is counted on the features in a part of the hash range."""
     share = min(1.0, 1.6 * (den - num) / den)
 
     def sample(f: np.ndarray) -> np.ndarray:
@@ -384,65 +383,52 @@ def _sharing(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         # 32 bits of a hash: features that coincide only keep more sets.
         return (_mix(h ^ family) & _U(0x7FFFFFFF)).astype(np.int32)
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                b = batch.slice(i, 500)
-                some = [sample(f.values.to_numpy().view(_U)).view(np.int64) for f in b.column("f")]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("node"), pa.array([len(f) for f in b.column("f")], pa.int64()), pa.array([len(h) for h in some], pa.int64()),
-                     pa.array(some, pa.list_(pa.int64()))], ["node", "size", "sampled", "h"])
-
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 b = batch.slice(i, 500)
-                some = [within(h.values.to_numpy().view(_U), k) for h, k in zip(b.column("h"), _families(b), strict=True)]
+                some = [within(sample(f.values.to_numpy().view(_U)), k) for f, k in zip(b.column("f"), _families(b), strict=True)]
                 times = [len(x) for x in some]
                 if sum(times):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(some)), *(pa.array(np.repeat(b.column(x).to_numpy(), times)) for x in ("node", "component"))],
                         ["h", "node", "component"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = [(len(f), len(sample(f.values.to_numpy().view(_U)))) for f in b.column("f")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), *(pa.array([x[i] for x in sizes], pa.int64()) for i in (0, 1))],
+                                             ["node", "size", "sampled"])
+
     w = Window.partitionBy("h")
-    some, nodes = narrowed(sets.select("node", "f"), nodes.select("node", "family", "component"), ["node"])
-    drawn = some.mapInArrow(trimmed(draw), "node long, size long, sampled long, h array<long>")
-    posted = (drawn.select("node", "h").join(nodes, "node").select("node", "family", "component", "h")
+    posted = (pick(sets.select("node", "f"), nodes, ["node"], "inner").select("node", "family", "component", "f")
               .mapInArrow(trimmed(post), "h int, node long, component long"))
     shared = (posted.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo < hi")
               .groupBy("node").agg(F.count("*").alias("shared")))
+    # Of all sets, so that their features meet the nodes once only.
+    sizes = sets.select("node", "f").mapInArrow(trimmed(count), "node long, size long, sampled long")
     unshared = F.col("sampled") - F.coalesce("shared", F.lit(0))
-    return (drawn.select("node", "size", "sampled").join(shared, "node", "left").where(unshared * den <= F.col("size") * (den - num))
-            .select("node").join(nodes, "node"))
+    return sizes.join(shared, "node", "left").where(unshared * den <= F.col("size") * (den - num)).select("node").join(nodes, "node")
 
 
-def _undecided(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, node, component) of ``nodes`` (node, family, component): a rare
+def _undecided(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, node, component) of ``nodes`` (node, family, component, f): a rare
     feature that nodes of several components of one family have among their
-    rarest, as a hash of both.  Any one order does; that of ``common`` may count
-    a few other sets, too."""
-    some, nodes = narrowed(sets.select("node", "f"), nodes.select("node", "family", "component"), ["node"])
-    common = sets.sparkSession.sparkContext.broadcast(_commonness(some))
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                b = batch.slice(i, 500)
-                keys = [rarest(f.values.to_numpy().view(_U), common.value, num, den).view(np.int64) for f in b.column("f")]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(keys, pa.list_(pa.int64()))], ["node", "r"])
+    rarest, as a hash of both."""
+    common = nodes.sparkSession.sparkContext.broadcast(_commonness(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 b = batch.slice(i, 500)
-                keys = [_mix(r.values.to_numpy().view(_U) ^ k) for r, k in zip(b.column("r"), _families(b), strict=True)]
+                keys = [_mix(rarest(f.values.to_numpy().view(_U), common.value, num, den) ^ k)
+                        for f, k in zip(b.column("f"), _families(b), strict=True)]
                 times = [len(k) for k in keys]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.repeat(b.column(x).to_numpy(), times)) for x in ("node", "component"))],
                     ["key", "node", "component"])
 
-    named = some.mapInArrow(trimmed(rare), "node long, r array<long>").join(nodes, "node").select("node", "family", "component", "r")
-    keyed = staged(named.mapInArrow(trimmed(run), "key long, node long, component long"), "rarest")
+    keyed = staged(nodes.select("node", "family", "component", "f").mapInArrow(trimmed(run), "key long, node long, component long"), "rarest")
     mixed = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     out = staged(keyed.join(staged(mixed.select("key"), "mixed"), "key"), "undecided")
     discard(keyed)
@@ -497,7 +483,7 @@ def _rest(pairs: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int
     if open_nodes.isEmpty():
         return nothing
     sharing = staged(_sharing(open_nodes, sets, num, den), "sharing")
-    left = _undecided(sharing, sets, num, den)
+    left = _undecided(pick(sets.select("node", "f"), sharing, ["node"], "inner"), num, den)
     # Nodes of one feature hang together through its smallest node.
     least = staged(left.groupBy("key").agg(F.min("node").alias("centre")), "centres")
     families = components(left.join(least, "key").select("node", "centre").where("node != centre").distinct(), "node", "centre")
